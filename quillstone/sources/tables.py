@@ -94,7 +94,7 @@ def first_seen(df: DataFrame, key: str, pos: str) -> DataFrame:
 
 #: The same views for DuckDB.
 VIEWS = {
-    "paras": "SELECT doc_id, lang, source, row_number() OVER (PARTITION BY doc_id ORDER BY i) - 1 AS pos, p AS text FROM (SELECT doc_id, lang, source, trim(unnest(string_split(text, chr(10)))) AS p, generate_subscripts(string_split(text, chr(10)), 1) AS i FROM documents) WHERE p <> ''",
+    "paras": "SELECT doc_id, lang, source, CAST(generate_subscripts(k, 1) - 1 AS BIGINT) AS pos, unnest(k) AS text FROM (SELECT doc_id, lang, source, list_filter(list_transform(string_split(text, chr(10)), lambda x: trim(x)), lambda x: x <> '') AS k FROM documents)",
     "chunks": "SELECT CASE WHEN pos = 0 THEN doc_id || '::abstract::0' ELSE doc_id || '::text::' || (pos - 1) END AS id, CAST(doc_id AS VARCHAR) AS doc_key, CAST(doc_id AS VARCHAR) AS pmid, CASE WHEN pos = 0 THEN 'abstract' ELSE 'text' END AS type, text, lang AS section, pos AS page, source AS tags, doc_id * 100000 + pos AS seq FROM paras",
     "two": "SELECT doc_id, lang, source, max(CASE WHEN pos = 0 THEN text END) AS abstract, max(CASE WHEN pos = 1 THEN text END) AS second FROM paras WHERE pos < 2 GROUP BY ALL",
     "claims": "SELECT doc_id || '::claim::0' AS id, CAST(doc_id AS VARCHAR) AS doc_key, CAST(doc_id AS VARCHAR) AS pmid, 'claim' AS type, CASE WHEN instr(abstract, '.') > 0 THEN substr(abstract, 1, instr(abstract, '.')) ELSE abstract END AS text, lang AS section, CAST(0 AS BIGINT) AS page, source AS tags, doc_id * 100000 + 99999 AS seq, CASE WHEN doc_id % 2 = 0 AND second IS NOT NULL THEN [doc_id || '::abstract::0', doc_id || '::text::0'] ELSE [doc_id || '::abstract::0'] END AS source_chunk_ids, abstract, second FROM two JOIN (SELECT DISTINCT doc_id FROM labels WHERE quality = 1) USING (doc_id)",
@@ -119,7 +119,7 @@ def with_views(body: str, *views: str) -> str:
 
     for v in views:
         add(v)
-    head = ",\n".join(f"{v} AS MATERIALIZED ({VIEWS[v]})" for v in order)  # as a table: one engine version moved filters on pos below its window
+    head = ",\n".join(f"{v} AS ({VIEWS[v]})" for v in order)
     body = body.strip()
     if not head:
         return f"WITH {body[1:].strip()}" if body.startswith(",") else body
