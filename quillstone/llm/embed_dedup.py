@@ -18,7 +18,6 @@ are vectors of their own when links are counted. An empty table gives no rows.
 from __future__ import annotations
 
 import math
-from statistics import NormalDist
 
 import numpy as np
 import pyarrow as pa
@@ -40,6 +39,20 @@ def directions(dim: int, size: int, seed: int, code: int) -> tuple[np.ndarray, n
     return rotation, of / np.linalg.norm(of, axis=2, keepdims=True)
 
 
+def threshold_for(code: np.ndarray, passes: float, vectors: int = 16, steps: int = 24) -> float:
+    """The tau at which random unit vectors pass ``passes`` filters on average, by bisection; right in few dimensions too."""
+    half = code.shape[2]
+    x = np.random.default_rng(half).standard_normal((vectors, 2 * half))
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    first, second = x[:, :half] @ code[0].T, np.sort(x[:, half:] @ code[1].T, axis=1)
+    low, high = -2.0, 2.0
+    for _ in range(steps):
+        tau = (low + high) / 2
+        n = sum(len(t) * len(s) - np.searchsorted(t, tau - s).sum() for s, t in zip(first, second, strict=True)) / vectors
+        low, high = (tau, high) if n > passes else (low, tau)
+    return low
+
+
 def decode(x: np.ndarray, code: np.ndarray, tau: float) -> list[np.ndarray]:
     """For each row of ``x`` the numbers of all filters whose two scores add up to tau or more."""
     half = x.shape[1] // 2
@@ -55,8 +68,6 @@ def decode(x: np.ndarray, code: np.ndarray, tau: float) -> list[np.ndarray]:
 
 def filters(points: DataFrame, size: int, passes: float = PASSES, codes: int = CODES, seed: int = SEED) -> DataFrame:
     """(dim, filter, id) of rows (id, vector array<float>)."""
-    z = NormalDist().inv_cdf(1 - min(0.5, passes / size**2))
-
     def rows(batches):
         made: dict[int, tuple] = {}
         for b in batches:
@@ -67,7 +78,8 @@ def filters(points: DataFrame, size: int, passes: float = PASSES, codes: int = C
             for dim in np.unique(dims):
                 even = int(dim) + int(dim) % 2
                 if dim not in made:
-                    made[dim] = [directions(even, size, seed, k) for k in range(codes)]
+                    of = [directions(even, size, seed, k) for k in range(codes)]
+                    made[dim] = of, threshold_for(of[0][1], passes)
                 own = np.nonzero(dims == dim)[0]
                 for at in range(0, len(own), _BLOCK):
                     part = own[at : at + _BLOCK]
@@ -75,8 +87,8 @@ def filters(points: DataFrame, size: int, passes: float = PASSES, codes: int = C
                     x[:, :dim] = np.stack([flat[starts[k] : starts[k] + dim] for k in part])
                     x /= np.abs(x).max(axis=1, keepdims=True)
                     x /= np.linalg.norm(x, axis=1, keepdims=True)
-                    for k, (rotation, code) in enumerate(made[dim]):
-                        found = decode(x @ rotation, code, z * math.sqrt(2 / even))
+                    for k, (rotation, code) in enumerate(made[dim][0]):
+                        found = decode(x @ rotation, code, made[dim][1])
                         n = [len(f) for f in found]
                         yield pa.RecordBatch.from_arrays([pa.array(np.full(sum(n), dim), pa.int32()), pa.array(np.concatenate(found) * codes + k, pa.int64()), pa.array(np.repeat(ids[part], n), pa.int64())], names=["dim", "filter", "id"])
 
