@@ -33,16 +33,40 @@ def term_stats(post: DataFrame, stats: DataFrame) -> DataFrame:
     return raw.crossJoin(F.broadcast(mean)).select("term", "df", F.when(F.col("raw") < 0, F.col("floor")).otherwise(F.col("raw")).alias("idf"))
 
 
+def frequencies(docs: DataFrame) -> DataFrame:
+    """(term, df, w): a row's terms are made distinct before they leave it, so only counts by term are shuffled.
+
+    The empty term, which no text has, stands for the corpus: df is its rows and w its length in tokens.
+    """
+    toks = docs.select(tokenize(F.col("text")).alias("t"))
+    one = F.array(F.struct(F.lit("").alias("term"), F.size("t").cast("long").alias("w")))
+    each = F.transform(F.array_distinct("t"), lambda x: F.struct(x.alias("term"), F.lit(0).cast("long").alias("w")))
+    return toks.select(F.explode(F.concat(one, each)).alias("x")).groupBy("x.term").agg(F.count("*").alias("df"), F.sum("x.w").alias("w"))
+
+
 def bm25_scores(docs: DataFrame, query: list[str]) -> DataFrame:
-    """(id, score) of rows that hold a query term; a term asked for twice counts twice."""
-    post, stats = postings(docs), corpus_stats(docs)
-    times = {t: query.count(t) for t in query}
-    q = docs.sparkSession.createDataFrame([(t, n) for t, n in times.items()], "term string, times long")  # the query's own terms
-    idf = term_stats(post, stats)
-    hit = post.join(F.broadcast(q), "term").join(idf.join(F.broadcast(q.select("term")), "term", "left_semi"), "term").crossJoin(F.broadcast(stats))
-    tf = F.col("tf")
-    part = F.col("times") * F.col("idf") * tf * (K1 + 1) / (tf + K1 * (1 - B + B * F.col("dl") / F.col("avgdl")))
-    return hit.groupBy("id").agg(F.sum(part).alias("score"))
+    """(id, score) of rows that hold a query term; a term asked for twice counts twice.
+
+    Statistics come down to one row: the mean idf, and the idf of the query's own terms. Scoring is then a projection
+    over the rows, without a shuffle.
+    """
+    terms = list(dict.fromkeys(query))
+    if not terms:
+        return docs.select("id", F.lit(0.0).alias("score")).where(F.lit(False))
+    freq = frequencies(docs)
+    stats = freq.where("term = ''").select(F.col("df").alias("n"), (F.col("w") / F.col("df")).alias("avgdl"))
+    raw = F.log(F.col("n") - F.col("df") + 0.5) - F.log(F.col("df") + 0.5)
+    of = [F.max(F.when(F.col("term") == t, raw)).alias(f"r{i}") for i, t in enumerate(terms)]
+    one = freq.where("term <> ''").crossJoin(F.broadcast(stats)).agg((EPSILON * F.avg(raw)).alias("floor"), F.first("avgdl").alias("avgdl"), *of)  # one row each
+    own = docs.select("id", tokenize(F.col("text")).alias("t")).select("id", F.size("t").alias("dl"), F.filter("t", lambda x: x.isin(terms)).alias("hit")).where(F.size("hit") > 0)
+    both = own.crossJoin(F.broadcast(one))
+    long = K1 * (1 - B + B * F.col("dl") / F.col("avgdl"))
+    score = F.lit(0.0)
+    for i, t in enumerate(terms):
+        tf = (F.size("hit") - F.size(F.array_remove("hit", t))).cast("double")
+        idf = F.when(F.col(f"r{i}") < 0, F.col("floor")).otherwise(F.col(f"r{i}"))
+        score = score + F.when(tf > 0, query.count(t) * idf * tf * (K1 + 1) / (tf + long)).otherwise(0.0)
+    return both.select("id", score.alias("score"))
 
 
 def lexical(docs: DataFrame, query: list[str], k: int, where: Column | None = None, order: str = "id") -> DataFrame:

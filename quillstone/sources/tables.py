@@ -6,8 +6,15 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 
+#: Tables whose rows are texts: work on them is worth spreading.
+TEXTS = {"documents", "pages", "conversations"}
+
+
 def table(spark: SparkSession, d: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{d}/{name}.parquet")
+    """A stored table. Texts in fewer splits than half the cores, such as one small file, are dealt out to all cores."""
+    df = spark.read.parquet(f"{d}/{name}.parquet")
+    cores = spark.sparkContext.defaultParallelism
+    return df.repartition(cores) if name in TEXTS and 2 * df.rdd.getNumPartitions() <= cores else df
 
 
 def paras(spark: SparkSession, d: str) -> DataFrame:
