@@ -58,7 +58,7 @@ def year_of(c: Column) -> Column:
 
 
 def doi_of(c: Column) -> Column:
-    return nullif_empty(F.rtrim(F.regexp_extract(c, r"(10\.[0-9]{4,9}/[^\s\"<>]+)", 1), F.lit(".,;")))
+    return nullif_empty(F.rtrim(F.regexp_extract(c, r"(10\.[0-9]{4,9}/[^\s\"'<>)]+)", 1), F.lit(".,;")))
 
 
 def html_escape(c: Column) -> Column:
@@ -89,7 +89,7 @@ def human_mb(c: Column) -> Column:
 
 def html_text(c: Column) -> Column:
     """Text of an HTML page: scripts, styles and comments go, tags become spaces, common entities are undone."""
-    t = F.regexp_replace(c, r"(?is)<(script|style)\b.*?</\1>|<!--.*?-->", " ")
+    t = F.regexp_replace(c, r"(?is)<script\b.*?</script>|<style\b.*?</style>|<!--.*?-->", " ")
     t = F.regexp_replace(t, r"(?s)<[^>]*>", " ")
     for a, b in (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#x27;", "'"), ("&nbsp;", " "), ("&amp;", "&")):
         t = F.replace(t, F.lit(a), F.lit(b))

@@ -8,7 +8,13 @@ from pyspark.sql import functions as F
 from quillstone.functions import text as X
 
 #: Tokens that an embedding model takes (fixed values); others take DEFAULT_TOKENS.
-MODEL_TOKENS = {"BAAI/bge-small-en-v1.5": 512, "BAAI/bge-base-en-v1.5": 512, "BAAI/bge-large-en-v1.5": 512, "sentence-transformers/all-MiniLM-L6-v2": 256, "NeuML/pubmedbert-base-embeddings": 512}
+MODEL_TOKENS = {
+    "BAAI/bge-small-en-v1.5": 512,
+    "BAAI/bge-base-en-v1.5": 512,
+    "BAAI/bge-large-en-v1.5": 512,
+    "BAAI/bge-m3": 8192,
+    "jinaai/jina-embeddings-v2-base-en": 8192,
+}
 DEFAULT_TOKENS = 512
 IMAGES = ["jpg", "jpeg", "png", "gif", "tif", "tiff"]
 
@@ -96,12 +102,14 @@ def nearest_caption(figures: DataFrame, captions: DataFrame) -> DataFrame:
     return figures.join(lists, "doc", "left").select("doc", "figure", F.array_min(F.transform("x", rank))["caption"].alias("caption"))
 
 
-CAPTION = r"(?m)^((?:Figure|Fig\.?)\s+[0-9]+[.:][^\n]*(?:\n(?!\s*\n)[^\n]+)*)"
+#: What a caption starts with (fixed pattern), and the 500 characters from there on, seen without being consumed.
+CAPTION = r"(?im)^(?=Fig(?:ure)?\.?\s*[0-9]+\s*[|:.])(?=((?s:.{1,500})))"
 
 
 def caption_scan(text: Column) -> Column:
     """Captions of a page's text: from a figure label at the start of a line to a blank line, 500 characters at most."""
-    return F.transform(F.regexp_extract_all(text, F.lit(CAPTION), F.lit(1)), lambda c: F.trim(F.substring(F.replace(c, F.lit("\n"), F.lit(" ")), 1, 500)))
+    windows = F.regexp_extract_all(text, F.lit(CAPTION), F.lit(1))
+    return F.transform(windows, lambda c: F.trim(F.replace(F.get(F.split(c, r"\n\s*\n"), F.lit(0)), F.lit("\n"), F.lit(" "))))
 
 
 def infer_filename(url: Column, content_type: Column) -> Column:

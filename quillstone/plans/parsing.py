@@ -14,7 +14,10 @@ def docs(spark, d):
     return T.table(spark, d, "documents")
 
 
-query("html_to_text")(lambda spark, d: T.table(spark, d, "pages").select("page_id", X.html_text(F.col("html")).alias("text")))
+HTML = r"regexp_replace(regexp_replace(html, '(?is)<script\b.*?</script>|<style\b.*?</style>|<!--.*?-->', ' ', 'g'), '(?s)<[^>]*>', ' ', 'g')"
+for _a, _b in (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#x27;", "''"), ("&nbsp;", " "), ("&amp;", "&")):
+    HTML = f"replace({HTML}, '{_a}', '{_b}')"
+query("html_to_text", rf"SELECT page_id, trim(regexp_replace({HTML}, '\s+', ' ', 'g')) AS text FROM pages")(lambda spark, d: T.table(spark, d, "pages").select("page_id", X.html_text(F.col("html")).alias("text")))
 query("html_escape", "SELECT page_id, md5(replace(replace(replace(replace(replace(html, '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '\"', '&quot;'), '''', '&#x27;')) AS digest FROM pages")(
     lambda spark, d: T.table(spark, d, "pages").select("page_id", F.md5(X.html_escape(F.col("html"))).alias("digest")))
 query("sha256", "SELECT page_id, sha256(html) AS digest FROM pages")(lambda spark, d: T.table(spark, d, "pages").select("page_id", F.sha2("html", 256).alias("digest")))
@@ -37,8 +40,8 @@ query("skip_sections", "SELECT doc_id, doc_id % 3 <> 0 AS skipped FROM documents
 query("chunk_filter", "SELECT id FROM chunks WHERE tags <> 'src3' AND length(trim(text)) > 20", "chunks")(lambda spark, d: T.chunks(spark, d).withColumn("labels", F.array("tags")).where(~F.array_contains("labels", "src3") & (F.length(F.trim("text")) > 20)).select("id"))
 query("heading_path", "SELECT doc_id, CASE WHEN doc_id % 2 = 0 THEN lang || ' > ' || source ELSE source END AS path, doc_id % 7 AS page FROM documents")(
     lambda spark, d: docs(spark, d).select("doc_id", P.heading_path(F.array(F.when(F.col("doc_id") % 2 == 0, F.col("lang")).otherwise(""), F.lit(None).cast("string"), F.col("source"))).alias("path"), F.get(F.filter(F.array(F.lit(None).cast("long"), F.col("doc_id") % 7), lambda p: p.isNotNull()), F.lit(0)).alias("page")))
-query("max_tokens", "SELECT doc_id, CAST(CASE WHEN doc_id % 2 = 0 THEN 256 ELSE 512 END AS BIGINT) AS n FROM documents")(
-    lambda spark, d: docs(spark, d).select("doc_id", P.max_tokens(F.when(F.col("doc_id") % 2 == 0, "sentence-transformers/all-MiniLM-L6-v2").otherwise(F.col("source"))).alias("n")))
+query("max_tokens", "SELECT doc_id, CAST(CASE WHEN doc_id % 2 = 0 THEN 8192 ELSE 512 END AS BIGINT) AS n FROM documents")(
+    lambda spark, d: docs(spark, d).select("doc_id", P.max_tokens(F.when(F.col("doc_id") % 2 == 0, "BAAI/bge-m3").otherwise(F.col("source"))).alias("n")))
 query("chunk_documents", r"SELECT doc_id, CAST(floor(b / 200) AS BIGINT) AS chunk, md5(string_agg(text, chr(10) ORDER BY pos)) AS digest FROM (SELECT *, sum(w) OVER (PARTITION BY doc_id ORDER BY pos) - w AS b FROM (SELECT *, len(string_split_regex(text, ' +')) AS w FROM paras)) GROUP BY 1, 2", "paras")(
     lambda spark, d: P.chunk(T.paras(spark, d), 200).select("doc_id", "chunk", F.md5("text").alias("digest")))
 
@@ -63,8 +66,8 @@ query("figure_filter", "SELECT conv_id, turn FROM conversations WHERE role = 'as
     lambda spark, d: turns(spark, d, "assistant").withColumns({"caption": F.when(F.length("text") > 200, F.col("text")), "image": F.when(F.col("turn") % 4 != 3, "img")}).where("caption IS NOT NULL AND image IS NOT NULL").select("conv_id", "turn"))
 query("figure_rows", "SELECT conv_id || '::fig::' || turn AS id, coalesce(CASE WHEN turn % 4 = 1 THEN text END, 'Figure ' || (turn + 1) || ' (no caption)') AS text FROM conversations WHERE role = 'assistant'")(
     lambda spark, d: turns(spark, d, "assistant").select(F.concat(F.col("conv_id").cast("string"), F.lit("::fig::"), F.col("turn").cast("string")).alias("id"), F.coalesce(F.when(F.col("turn") % 4 == 1, F.col("text")), F.concat(F.lit("Figure "), (F.col("turn") + 1).cast("string"), F.lit(" (no caption)"))).alias("text")))
-query("figure_captions")(lambda spark, d: turns(spark, d, "user").select("conv_id", "turn", F.regexp_extract_all(F.concat(F.lit("![Figure "), F.col("turn").cast("string"), F.lit("](p)\n\n"), F.split("text", "\n")[0], F.lit("\n\n")), F.lit(r"!\[Figure (\d+)\]\([^)]*\)\n\n([^\n]+)"), F.lit(2))[0].alias("caption")))
-query("caption_scan")(lambda spark, d: turns(spark, d, "user").select("conv_id", "turn", F.array_join(P.caption_scan(F.concat(F.lit("x\nFigure "), F.col("turn").cast("string"), F.lit(". "), "text", F.lit("\n\nmore"))), "|").alias("captions")))
+query("figure_captions", "SELECT conv_id, turn, string_split(text, chr(10))[1] AS caption FROM conversations WHERE role = 'user'")(lambda spark, d: turns(spark, d, "user").select("conv_id", "turn", F.regexp_extract_all(F.concat(F.lit("![Figure "), F.col("turn").cast("string"), F.lit("](p)\n\n"), F.split("text", "\n")[0], F.lit("\n\n")), F.lit(r"!\[Figure (\d+)\]\([^)]*\)\n\n([^\n]+)"), F.lit(2))[0].alias("caption")))
+query("caption_scan", "SELECT conv_id, turn, trim(replace(split_part(substr('Figure ' || turn || '. ' || text || chr(10) || chr(10) || 'more', 1, 500), chr(10) || chr(10), 1), chr(10), ' ')) AS captions FROM conversations WHERE role = 'user'")(lambda spark, d: turns(spark, d, "user").select("conv_id", "turn", F.array_join(P.caption_scan(F.concat(F.lit("x\nFigure "), F.col("turn").cast("string"), F.lit(". "), "text", F.lit("\n\nmore"))), "|").alias("captions")))
 query("bbox_json", "SELECT p_partkey, '{\"l\":' || p_size || '.0,\"t\":1.0,\"r\":' || (p_size + 2) || '.0,\"b\":3.5}' AS bbox FROM part")(
     lambda spark, d: T.table(spark, d, "part").select("p_partkey", F.to_json(F.struct(F.col("p_size").cast("double").alias("l"), F.lit(1.0).alias("t"), (F.col("p_size") + 2).cast("double").alias("r"), F.lit(3.5).alias("b"))).alias("bbox")))
 query("unwrap_article", "SELECT doc_id, '<article a=\"1\"><p>' || lang || '</p></article>' AS article FROM documents")(

@@ -125,3 +125,10 @@ def test_articles_with_doctype_and_missing_parts(spark):
     xml = "<!DOCTYPE article SYSTEM 'x.dtd'><article><front><article-meta><title-group><article-title>A</article-title></title-group></article-meta></front></article>"
     r = P.jats_front(spark.createDataFrame([(1, xml)], "id int, xml string")).first()
     assert r["title"] == "A" and r["pmid"] is None and r["pages"] is None and r["authors"] == []
+
+
+def test_captions_in_page_text(spark):
+    text = "see Figure 1.\nFig. 2 | Two\nlines\n \nno\nFIGURE 3: three " + "x" * 600 + "\nFigure four. no"
+    got = one(spark, P.caption_scan(F.lit(text)))
+    assert got[0] == "Fig. 2 | Two lines" and got[1].startswith("FIGURE 3: three") and len(got[1]) == 500 and len(got) == 2
+    assert one(spark, X.doi_of(F.lit("(doi 10.1000/ab.c).,"))) == "10.1000/ab.c"
