@@ -1,13 +1,14 @@
 """SimHash near-duplicates: fingerprints, and all pairs within a Hamming distance by segment popcounts.
 
-A fingerprint is embedded as the bit counts of its ``SEGMENTS`` two-bit segments. The Manhattan distance of two such
-vectors is at most the Hamming distance of the fingerprints. So pairs within Hamming distance 3 lie within Manhattan
-distance 3, and of the two halves of the vector at least one is within 1: a range join on the grid of each half, where
-a point meets its own cell and the cells one step up along an axis. What meets is held against the Manhattan bound
-over the whole vector, then verified bit by bit. Equal fingerprints are one point, so copies cost nothing.
+A fingerprint is embedded as the bit counts of two-bit segments, which overlap: in each half of 32 bits, one at every
+place, the last going round to the first bit. A bit that differs moves two of these counts by one. So of fingerprints within
+Hamming distance 3 one half is within Manhattan distance 2: a range join on the grid of each half, where a point meets
+its own cell and the cells that one more bit leads to. What meets is held against the Manhattan distance over the segments
+that don't overlap, which is at most the Hamming distance, then verified bit by bit. Equal fingerprints are one
+point, so copies cost nothing.
 
-Segments of two bits were chosen over wider ones because random fingerprints meet least: of pairs of unrelated
-points about 7 in a million share a cell of either half.
+Segments overlap because random fingerprints then meet least: of pairs of unrelated points about 15 in a billion share
+a cell of either half; with segments side by side it is 7 in a million, too many for billions of points.
 
 Defined results: a null or empty text has no words and the fingerprint zero, which links like any other. A null doc_id
 takes part in no minimum: a group of null ids alone has a null component. Repeated doc_ids are rows of one document if
@@ -25,7 +26,7 @@ from pyspark.sql import functions as F
 
 from quillstone.llm.common import LOWER, UPPER, WORD, components, materialise
 
-SEGMENTS, SHINGLE, DISTANCE, SEED = 32, 3, 3, 42
+SHINGLE, DISTANCE, SEED = 3, 3, 42
 _TABLE = str.maketrans(UPPER, LOWER)
 #: Shingles are hashed in blocks of so many, which bounds the memory of a very long text.
 _BLOCK = 20_000
@@ -62,11 +63,20 @@ def fingerprints(docs: DataFrame, shingle: int = SHINGLE, seed: int = SEED) -> D
 _EVEN = 0x5555555555555555
 
 
-def cell_of(fp: Column, half: int) -> Column:
-    """The 16 segment counts of a half, two bits each: its cell of that half's grid."""
-    word = F.shiftrightunsigned(fp, 32 * half).bitwiseAND(F.lit(0xFFFFFFFF))
+def half_of(fp: Column, half: int) -> Column:
+    return F.shiftrightunsigned(fp, 32 * half).bitwiseAND(F.lit(0xFFFFFFFF))
+
+
+def counts(word: Column) -> tuple[Column, Column]:
+    """The counts of a half's segments, two bits each: of those that begin at even places, and at odd ones."""
     even = F.lit(_EVEN & 0xFFFFFFFF)
-    return word.bitwiseAND(even) + F.shiftright(word, 1).bitwiseAND(even)
+    turned = F.shiftright(word, 1).bitwiseOR(F.shiftleft(word.bitwiseAND(1), 31))
+    first, second = (w.bitwiseAND(even) + F.shiftright(w, 1).bitwiseAND(even) for w in (word, turned))
+    return first, second
+
+
+def cell_at(first: Column, second: Column) -> Column:
+    return first.bitwiseOR(F.shiftleft(second, 32))
 
 
 def manhattan(a: Column, b: Column) -> Column:
@@ -82,12 +92,19 @@ def manhattan(a: Column, b: Column) -> Column:
 def near_pairs(points: DataFrame, distance: int = DISTANCE) -> DataFrame:
     """All pairs (a, b) of distinct ``points.fp`` within the Hamming distance, which is at most 3; a pair may come twice."""
     if not 0 <= distance <= 3:
-        raise ValueError("two halves guarantee Manhattan distance 1 in one of them up to distance 3 only")
-    half = F.array(*[F.struct(F.lit(h).alias("half"), cell_of(F.col("fp"), h).alias("cell")) for h in (0, 1)])
-    cells = points.select("fp", F.explode(half).alias("c")).select(F.col("fp").alias("a"), "c.half", "c.cell")
-    up = [F.when(F.shiftright("cell", 2 * i).bitwiseAND(3) < 2, F.col("cell") + F.lit(1 << 2 * i)) for i in range(SEGMENTS // 2)]
-    steps = F.filter(F.array(F.col("cell"), *up), lambda c: c.isNotNull())
-    probes = cells.select(F.col("a").alias("b"), "half", F.posexplode(steps).alias("step", "cell"))
+        raise ValueError("one of two halves differs in one bit at most up to distance 3 only")
+    half = F.array(*[F.struct(F.lit(h).alias("half"), half_of(F.col("fp"), h).alias("word")) for h in (0, 1)])
+    words = points.select(F.col("fp").alias("a"), F.explode(half).alias("w")).select("a", "w.half", "w.word")
+    first, second = counts(F.col("word"))
+    grid = words.select("a", "half", "word", first.alias("first"), second.alias("second"))
+    # a bit more at a place is one step up in each of the two segments over it
+    up = [
+        F.when(F.shiftright("word", i).bitwiseAND(1) == 0, cell_at(F.col("first") + F.lit(1 << i // 2 * 2), F.col("second") + F.lit(1 << (i - 1) % 32 // 2 * 2)))
+        for i in range(32)
+    ]
+    own = cell_at(F.col("first"), F.col("second"))
+    cells = grid.select("a", "half", own.alias("cell"))
+    probes = grid.select(F.col("a").alias("b"), "half", F.posexplode(F.filter(F.array(own, *up), lambda c: c.isNotNull())).alias("step", "cell"))
     met = cells.join(probes, ["half", "cell"]).where((F.col("step") > 0) | (F.col("a") < F.col("b")))
     near = met.where(manhattan(F.col("a"), F.col("b")) <= distance)
     return near.where(F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= distance).select("a", "b")

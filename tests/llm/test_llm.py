@@ -228,7 +228,7 @@ def test_simhash_query(spark):
 
 def test_near_pairs_are_all_found(spark):
     rng = random.Random(5)
-    fps = [rng.getrandbits(64) for _ in range(150)] + [0, 1, 3, 7, 15, 2**64 - 1, 2**63, 2**63 + 5]
+    fps = [rng.getrandbits(64) for _ in range(150)] + [0, 1, 3, 7, 15, 2**64 - 1, 2**63, 2**63 + 5, 0x5555555555555555, 0xAAAAAAAAAAAAAAAA, 0x55555555AAAAAAAA]
     fps += [f ^ sum(1 << b for b in rng.sample(range(64), rng.randrange(5))) for f in fps for _ in range(3)]
     fps = sorted(set(fps))
     signed = lambda f: f - (f >> 63 << 64)
