@@ -14,8 +14,6 @@ learned. Ties go to the language first in order. Null and repeated doc_ids are r
 
 from __future__ import annotations
 
-import re
-
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -24,7 +22,6 @@ from pyspark.sql import functions as F
 BITS, TRAIN_ROWS, SMOOTHING, UNKNOWN = 15, 2000, 0.5, "und"
 #: Characters of a text are taken in blocks of so many, which bounds the memory of a very long one.
 _BLOCK = 1 << 18
-_LETTER = re.compile(r"[^\W\d_]")
 
 
 def buckets(text: str, bits: int = BITS):
@@ -54,7 +51,7 @@ class Model:
         self.matrix = np.log((counts + smoothing) / (counts.sum(0) + smoothing * len(counts))).astype(np.float32)
 
     def predict(self, text: str | None) -> tuple[str, float]:
-        if not self.langs or not text or not _LETTER.search(text):
+        if not self.langs or not text or not any(map(str.isalpha, text)):
             return UNKNOWN, 0.0
         score = self.prior.copy()
         for b in buckets(text, int(np.log2(len(self.matrix)))):

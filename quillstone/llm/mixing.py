@@ -27,6 +27,8 @@ from pyspark.sql import functions as F
 from quillstone.llm.common import ranked
 
 BLOCK_ROWS, TEMPERATURE, PERIOD = 16, 0.8, 4096
+#: Tables on sources and slots are broadcast up to so many rows, which is some megabytes; longer ones are joined by a shuffle.
+BROADCAST_ROWS = 100_000
 
 
 def whole_weights(weights: dict, period: int) -> dict:
@@ -58,6 +60,11 @@ def schedule(parts: dict, period: int) -> list[tuple[int, object, int, int, int]
     return out
 
 
+def small(table: DataFrame, rows: int) -> DataFrame:
+    """The table with a broadcast hint if that is known to be cheap."""
+    return F.broadcast(table) if rows <= BROADCAST_ROWS else table
+
+
 def mix(docs: DataFrame, weights: dict | None = None, temperature: float = TEMPERATURE, block_rows: int = BLOCK_ROWS, period: int = PERIOD, order: list[str] | None = None) -> DataFrame:
     """Adds epoch, block, release, deadline, slot and position (all long) to ``docs``, whose rows come once an epoch.
 
@@ -84,13 +91,13 @@ def mix(docs: DataFrame, weights: dict | None = None, temperature: float = TEMPE
     table = spark.createDataFrame([(s, parts[s], n, ends[s] * block_rows) for s, n in counts.items()], "_s string, _part long, _rows long, _end long")
     one = spark.createDataFrame(schedule(parts, period) if parts else [], "_slot long, _s string, _block long, _release long, _deadline long")
     at = ranked(docs.select(*own), ["source"], order, sum(counts.values()), "_rank")
-    at = at.join(F.broadcast(table), F.col("source").eqNullSafe(F.col("_s"))).drop("_s")  # as many rows as sources
+    at = at.join(small(table, len(counts)), F.col("source").eqNullSafe(F.col("_s"))).drop("_s")
     # documents of the block that closes a source's first epoch are all dealt, whatever the end
     last = F.greatest(F.col("_end") - 1, F.col("_rank"))
     at = at.withColumn("_g", F.explode(F.sequence(F.col("_rank"), last, F.col("_rows"))))
     at = at.withColumn("block", F.expr(f"_g div {block_rows}")).withColumn("epoch", F.expr("_g div _rows"))
     at = at.withColumn("_round", F.expr("block div _part")).withColumn("_in", F.expr("block % _part"))
-    at = at.join(F.broadcast(one), F.col("source").eqNullSafe(F.col("_s")) & (F.col("_in") == F.col("_block")))  # ``period`` rows
+    at = at.join(small(one, period), F.col("source").eqNullSafe(F.col("_s")) & (F.col("_in") == F.col("_block")))
     first = F.col("_round") * period
     out = at.withColumns({"release": first + F.col("_release"), "deadline": first + F.col("_deadline"), "slot": first + F.col("_slot")})
     out = out.withColumn("position", F.col("slot") * block_rows + F.col("_g") % block_rows)

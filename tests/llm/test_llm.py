@@ -111,7 +111,7 @@ def test_schedule_stays_within_a_block():
     assert done == parts
 
 
-def test_mixing_keeps_each_document(spark, odd):
+def test_mixing_keeps_each_document(spark, odd, monkeypatch):
     out = mixing.mix(odd, block_rows=2, period=16).collect()
     assert Counter((r["doc_id"], r["source"]) for r in out if r["epoch"] == 0) == Counter((r[0], r[3]) for r in ODD)
     assert len({r["position"] for r in out}) == len(out) and out[0]["kept"] == "mine"
@@ -124,6 +124,8 @@ def test_mixing_keeps_each_document(spark, odd):
     with pytest.raises(ValueError, match="no target weight"):
         mixing.mix(df, weights={"big": 1})
     assert mixing.mix(df.limit(0)).count() == 0
+    monkeypatch.setattr(mixing, "BROADCAST_ROWS", 0)
+    assert sorted(mixing.mix(df, weights={"big": 0.5, "small": 0.5, "none": 1}, block_rows=10).collect()) == sorted(out)
 
 
 def test_ranks_in_a_hot_group(spark):
@@ -315,6 +317,7 @@ def test_langid_odd_rows(spark, odd):
     assert [got[i]["lang_pred"] for i in (1, 2, 6)] == ["und"] * 3 and got[5]["lang_pred"] == "fr" and got[5]["kept"] == "mine"
     empty = langid.train(odd.limit(0))
     assert {r["lang_pred"] for r in langid.predict(odd, empty).collect()} == {"und"}
+    assert [model.predict(t)[0] == "und" for t in ("½ ² 12 _", "12 ß", "漢")] == [True, False, False]
 
 
 def test_ngrams_of_blocks_are_those_of_the_whole(monkeypatch):
