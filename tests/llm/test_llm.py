@@ -11,7 +11,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from quillstone.llm import common, embed_dedup, langid, mixing, packing, pii, quality, queries, simhash, token_rollup, url_filter, warc
+from quillstone.llm import common, embed_dedup, langid, minhash, mixing, packing, pii, quality, queries, simhash, token_rollup, url_filter, warc
 from quillstone.llm.tokens import WordBpe, tokenizer
 from tests.oracle import compare, connect
 
@@ -253,6 +253,35 @@ def test_components_of_long_chains(spark):
     assert all(got.get(i, i) == 0 for i in range(201)) and all(got.get(1000 + i, 1000) == 1000 for i in range(100))
 
 
+# near copies by Jaccard similarity
+
+
+def test_near_copies_go_at_jaccard_of_four_fifths(spark):
+    rng = random.Random(8)
+    word = lambda: "".join(rng.choice("abcdefghij") for _ in range(6))
+    base = [[word() for _ in range(200)] for _ in range(20)]
+    rows = []
+    for i, w in enumerate(base):
+        near, far = w[:], w[:]
+        for at in (20, 90, 160):  # 15 of 196 shingles change: 181 / 211
+            near[at] = word()
+        for at in range(10, 190, 20):  # 45 of 196: 151 / 241
+            far[at] = word()
+        rows += [(4 * i + 1, " ".join(near), "en", "s", 0), (4 * i, " ".join(w), "en", "s", 0), (4 * i + 2, " ".join(far), "en", "s", 0), (4 * i + 3, " ".join(w).upper(), "en", "s", 0)]
+    df = spark.createDataFrame(rows, DOCS)
+    assert max((brute_fp(a[1]) ^ brute_fp(b[1])).bit_count() for a, b in zip(rows[::4], rows[1::4], strict=True)) > 3
+    stage = dict(corpus_pipeline.STAGES)["simhash near-dedup"]
+    assert sorted(r["doc_id"] for r in stage(spark, df, D).collect()) == sorted(i for k in range(20) for i in (4 * k, 4 * k + 2))
+    assert minhash.deduplicate(df.limit(0)).count() == 0
+
+
+def test_chains_in_a_bucket_are_compared_across_components(spark):
+    words = [f"w{k}" for k in range(300)]
+    rows = [(i, " ".join(words[4 * i : 4 * i + 100]), "en", "s", 0) for i in range(40)]  # neighbours 92 / 100, four apart 80 / 112
+    found = {r["component"] for r in minhash.near_duplicates(spark.createDataFrame(rows, DOCS)).collect()}
+    assert len(found) == 1
+
+
 # 6 packing
 
 
