@@ -128,6 +128,18 @@ def test_mixing_keeps_each_document(spark, odd, monkeypatch):
     assert sorted(mixing.mix(df, weights={"big": 0.5, "small": 0.5, "none": 1}, block_rows=10).collect()) == sorted(out)
 
 
+def test_mixing_stays_within_a_block_of_its_targets_to_the_end(spark):
+    n = {"hot": 40_000, "mid": 4_000, "tiny": 5}
+    df = spark.createDataFrame([(i, s) for s, k in n.items() for i in range(k)], "doc_id long, source string")
+    out = mixing.mix(df, block_rows=1).select("slot", "source", "epoch", "doc_id").toPandas().sort_values("slot")
+    share = {s: k**0.8 / sum(x**0.8 for x in n.values()) for s, k in n.items()}
+    slot = out["slot"].to_numpy() + 1
+    for s, w in share.items():
+        own = (out["source"] == s).to_numpy().cumsum()
+        assert np.abs(own - w * slot)[:-3].max() < 1 and own[-1] >= n[s]  # past the last whole block slots may stay empty
+    assert len(out[out["epoch"] == 0].drop_duplicates(["source", "doc_id"])) == sum(n.values()) and out["slot"].is_unique
+
+
 def test_ranks_in_a_hot_group(spark):
     df = spark.createDataFrame([("hot" if i % 10 else None, i) for i in range(3000)], "g string, i long")
     out = defaultdict(list)
