@@ -22,7 +22,7 @@ def counted(docs: DataFrame) -> DataFrame:
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops documents that the rules reject and takes boilerplate lines out of the others."""
-    return counted(quality.clean(docs))
+    return counted(quality.clean(docs, **quality.CLEANING))
 
 
 def simhash_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

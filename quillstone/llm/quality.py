@@ -2,11 +2,13 @@
 
 Lines are normalised (A-Z lower-cased, runs of white space made one space, trimmed) and hashed. For each host, here the
 source, the distinct documents that hold a line are counted; copies of a text are one document. Lines in more than
-``max(LEAST_DOCS, SHARE * the host's distinct documents)`` of them are boilerplate and are removed. A document is rejected if its base
+``max(least_docs, share * the host's distinct documents)`` of them, but at most ``most_docs`` if that is given, are boilerplate and are
+removed. The query's own limits, LEAST_DOCS and SHARE, are those of its SQL and rise with the host; CLEANING, for the pipeline, doesn't rise
+above 20 documents, which is past where line frequencies of clean text thin out in a host of 1,700 or 18,000 documents alike. A document is rejected if its base
 rules fail, or if it is depleted: fewer than MIN_WORDS words remain, or less than MIN_LEFT of its words.
 
 Everything is DataFrame functions. Counts are pre-aggregated before they are shuffled, so a line that a third of the documents
-share is a few rows; the lines above the limit, at most all lines / LEAST_DOCS, go back by a join that Spark
+share is a few rows; the lines above the limit, at most all lines / least_docs, go back by a join that Spark
 broadcasts only while they are small.
 
 Defined results: a null text has no words and fails the base rules. A null source is a host of its own. Null and
@@ -23,6 +25,8 @@ from quillstone.llm.common import LOWER, UPPER, materialise
 
 MIN_WORDS, MAX_REPEAT_PERCENT, WINDOW = 10, 20, 5
 LEAST_DOCS, SHARE, MIN_LEFT = 20, 0.01, 0.3
+#: Limits that catch a repeated line in a host of any size.
+CLEANING = {"least_docs": 5, "share": 0.1, "most_docs": 20}
 SYMBOLS = "#*$%&|<>"
 #: White space that parts words.
 SPACES = " \t\n\x0b\x0c\r"
@@ -84,18 +88,19 @@ def measure(docs: DataFrame) -> DataFrame:
     return base_stats(docs, own + hashes)
 
 
-def frequent_lines(measured: DataFrame, least_docs: int = LEAST_DOCS, share: float = SHARE) -> DataFrame:
+def frequent_lines(measured: DataFrame, least_docs: int = LEAST_DOCS, share: float = SHARE, most_docs: int | None = None) -> DataFrame:
     """(source, h, n_docs): line hashes above their host's limit. Copies of a text are one document."""
     at = measured.select(*TEXT, F.explode(F.array_distinct(F.transform("_x", lambda x: x["h"]))).alias("h"))
-    seen = at.distinct().groupBy("source", "h").agg(F.count("*").alias("n_docs")).where(F.col("n_docs") > least_docs)
+    seen = at.distinct().groupBy("source", "h").agg(F.count("*").alias("n_docs")).where(F.col("n_docs") > (least_docs if most_docs is None else min(least_docs, most_docs)))
     hosts = measured.select(*TEXT).distinct().groupBy(F.col("source").alias("_host")).agg(F.count("*").alias("_all"))
-    over = seen.join(hosts, F.col("source").eqNullSafe(F.col("_host"))).where(F.col("n_docs") > share * F.col("_all"))
+    limit = F.greatest(F.lit(least_docs), share * F.col("_all"))
+    over = seen.join(hosts, F.col("source").eqNullSafe(F.col("_host"))).where(F.col("n_docs") > (limit if most_docs is None else F.least(limit, F.lit(most_docs))))
     return over.select("source", "h", "n_docs")
 
 
-def verdicts(measured: DataFrame, least_docs: int = LEAST_DOCS, share: float = SHARE, min_left: float = MIN_LEFT) -> DataFrame:
+def verdicts(measured: DataFrame, least_docs: int = LEAST_DOCS, share: float = SHARE, min_left: float = MIN_LEFT, most_docs: int | None = None) -> DataFrame:
     """Adds removed_words, kept and bad_lines (hashes of the lines to remove, null if none) to ``measured``."""
-    frequent = materialise(frequent_lines(measured, least_docs, share).select(F.col("source").alias("_f"), F.col("h").alias("_fh")), "frequent-lines")
+    frequent = materialise(frequent_lines(measured, least_docs, share, most_docs).select(F.col("source").alias("_f"), F.col("h").alias("_fh")), "frequent-lines")
     at = measured.select(*TEXT, F.explode(F.array_distinct(F.transform("_x", lambda x: x["h"]))).alias("h")).distinct()
     bad = at.join(frequent, (F.col("h") == F.col("_fh")) & F.col("source").eqNullSafe(F.col("_f")), "left_semi")
     bad = bad.groupBy(*[F.col(c).alias(f"_b{c}") for c in TEXT]).agg(F.collect_set("h").alias("bad_lines"))

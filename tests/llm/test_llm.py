@@ -387,6 +387,16 @@ def test_boilerplate_goes_and_clean_lines_stay(spark):
     assert set(out) == {*range(60), 200, 201} and all(out[i] == own(i) for i in range(60)) and out[200] == own(200)
 
 
+def test_pipeline_catches_repeated_lines_in_hosts_of_any_size(spark):
+    own = lambda i: " ".join(f"w{i}x{k}" for k in range(12))
+    rows = [(i, ("Share this page\n" if i < 30 else "") + own(i), "en", "hot", 0) for i in range(4000)]
+    rows += [(5000 + i, ("share THIS page\n" if i < 11 else "once\n" if i < 15 else "") + own(5000 + i), "en", "small", 0) for i in range(50)]
+    stage = dict(corpus_pipeline.STAGES)["quality rules"]
+    out = {r["doc_id"]: r["text"] for r in stage(spark, spark.createDataFrame(rows, DOCS), D).collect()}
+    assert set(out) == {r[0] for r in rows} and not any("page" in t.lower() for t in out.values())
+    assert sum("once" in t for t in out.values()) == 4
+
+
 # 9 embeddings
 
 
