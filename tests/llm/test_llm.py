@@ -294,6 +294,14 @@ def test_chains_in_a_bucket_are_compared_across_components(spark):
     assert len(found) == 1
 
 
+def test_rows_of_one_id_with_different_texts_stay_and_copies_without_id_go(spark):
+    a, b, c = (" ".join(f"{x}{k}" for k in range(30)) for x in "abc")
+    rows = [(1, a), (1, b), (2, b), (None, c), (None, c), (None, a), (7, a), (1, a)]
+    df = spark.createDataFrame([(i, t, "en", "s", 0) for i, t in rows], DOCS)
+    stage = dict(corpus_pipeline.STAGES)["simhash near-dedup"]
+    assert Counter((r["doc_id"], r["text"]) for r in stage(spark, df, D).collect()) == Counter([(1, a), (1, b), (None, c)])
+
+
 # 6 packing
 
 
