@@ -432,6 +432,21 @@ def test_embeddings_odd_rows(spark):
     assert embed_dedup.near_duplicates(spark.createDataFrame([], "vec_id long, embedding array<float>")).count() == 0
 
 
+def test_near_vectors_share_filters_at_the_size_of_millions():
+    rng, size = np.random.default_rng(3), 8945  # the directions for ten million vectors
+    a, b = rng.standard_normal((2, 200, 64))
+    a /= np.linalg.norm(a, axis=1, keepdims=True)
+    b -= (a * b).sum(1, keepdims=True) * a
+    b = 0.95 * a + np.sqrt(1 - 0.95**2) * b / np.linalg.norm(b, axis=1, keepdims=True)
+    passes, shared = embed_dedup.passes_for(size), np.zeros(200)
+    for k in range(embed_dedup.CODES):
+        rotation, code = embed_dedup.directions(64, size, embed_dedup.SEED, k)
+        tau = embed_dedup.threshold_for(code, passes)
+        both = zip(*(embed_dedup.decode(x @ rotation, code, tau, round(passes)) for x in (a, b)), strict=True)
+        shared += [len(np.intersect1d(x, y)) for x, y in both]
+    assert shared.min() >= 8 and embed_dedup.passes_for(64) == embed_dedup.PASSES
+
+
 # 10 pii
 
 PATTERNS = {"email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", "ip": r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", "card": r"[0-9]([\x20-]?[0-9])+", "phone": r"\+[0-9][\x20().0-9-]+[0-9]"}
