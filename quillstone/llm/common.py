@@ -2,14 +2,21 @@
 
 from __future__ import annotations
 
+import atexit
 import math
+import shutil
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 _own: dict[str, str] = {}
+#: Tables written inside ``scratch`` blocks, innermost last.
+_scratch: list[list[str]] = []
 
 #: Words are runs of anything but space, tab, newline, vertical tab, form feed and carriage return.
 WORD = r"[^\x20\x09-\x0D]+"
@@ -25,6 +32,7 @@ def shared_dir(spark: SparkSession) -> str:
             raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         if app not in _own:
             _own[app] = tempfile.mkdtemp(prefix="quillstone-")
+            atexit.register(shutil.rmtree, _own[app], ignore_errors=True)
         base = "file://" + _own[app]
     return f"{base.rstrip('/')}/{app}"
 
@@ -49,15 +57,34 @@ def materialise(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = new_path(spark, name)
     df.write.parquet(path)
+    if _scratch:
+        _scratch[-1].append(path)
     out = spark.read.schema(df.schema).parquet(path)
     out._stored_at = path
     return out
 
 
-def release(df: DataFrame) -> None:
-    """Deletes the table that ``materialise`` wrote, once nothing reads it any more."""
-    if path := getattr(df, "_stored_at", None):
-        delete(df.sparkSession, path)
+def release(*tables: DataFrame) -> None:
+    """Deletes the tables that ``materialise`` wrote, once nothing reads them any more."""
+    for df in tables:
+        if path := getattr(df, "_stored_at", None):
+            delete(df.sparkSession, path)
+
+
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[None]:
+    """Deletes at its end all tables that ``materialise`` wrote inside, for results that are written out before it ends."""
+    _scratch.append([])
+    try:
+        yield
+    finally:
+        for path in _scratch.pop():
+            delete(spark, path)
+
+
+def sweep(spark: SparkSession) -> None:
+    """Deletes the application's whole folder: call it when no result is read any more, at the latest at the application's end."""
+    delete(spark, shared_dir(spark))
 
 
 def ascii_lower(c: Column) -> Column:
@@ -85,6 +112,22 @@ def ranked(df: DataFrame, group: list[str], order: list[str], total: int, name:
     return out.withColumn(name, F.col("_start") + place - 1).drop("_start", "_bucket")
 
 
+def forest(linked: np.ndarray) -> np.ndarray:
+    """For a matrix of links between n rows and m columns: the least node of each node's component, rows being nodes 0.., columns n.. .
+
+    So n + m numbers say what up to n * m links connect.
+    """
+    n, none = len(linked), sum(linked.shape)
+    least = np.arange(none)
+    while True:
+        rows = np.minimum(least[:n], np.where(linked, least[None, n:], none).min(1, initial=none))
+        columns = np.minimum(least[n:], np.where(linked, rows[:, None], none).min(0, initial=none))
+        now = np.concatenate([rows, columns])
+        if (now == least).all():
+            return least
+        least = now
+
+
 def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     """Smallest id reachable from each linked node: (node, component), for nodes that have links.
 

@@ -1,14 +1,18 @@
-"""SimHash near-duplicates: fingerprints, and all pairs within a Hamming distance by segment popcounts.
+"""SimHash near-duplicates: fingerprints, all pairs within a Hamming distance by segment popcounts, and near copies by Jaccard similarity.
 
-A fingerprint is embedded as the bit counts of two-bit segments, which overlap: in each half of 32 bits, one at every
-place, the last going round to the first bit. A bit that differs moves two of these counts by one. So of fingerprints within
-Hamming distance 3 one half is within Manhattan distance 2: a range join on the grid of each half, where a point meets
-its own cell and the cells that one more bit leads to. What meets is held against the Manhattan distance over the segments
-that don't overlap, which is at most the Hamming distance, then verified bit by bit. Equal fingerprints are one
-point, so copies cost nothing.
+A fingerprint is embedded as the bit counts of its 32 segments of two bits, side by side. A bit that differs moves one
+count by one, so the Manhattan distance of two embeddings is at most the Hamming distance. Of fingerprints within distance 3
+one half of 32 bits differs in one bit at most: a range join on the grid of each half's 16 counts, where a point meets
+its own cell and the cells that lie one step up. The distance that this leaves for the other half bounds, in the join's own
+condition, the Manhattan distance of that half's counts over segments of eight bits. What meets is held against the
+Manhattan distance of all 32 counts, then verified bit by bit. Equal fingerprints are one point, so copies cost nothing.
 
-Segments overlap because random fingerprints then meet least: of pairs of unrelated points about 15 in a billion share
-a cell of either half; with segments side by side it is 7 in a million, too many for billions of points.
+A cell is shared by up to 2 ** 16 words of a half. Of pairs of unrelated fingerprints 7 in a million lie in cells that meet, 3 in ten
+million pass the range condition and 5 in a hundred million all 32 counts (measured, see README).
+
+A 64-bit fingerprint can't tell a Jaccard similarity of 0.8: such texts differ in ten bits, where a range of cells rules
+nothing out. So ``near_copies``, which takes five words and a similarity of 0.8, holds fingerprints within DISTANCE bits to be candidates
+only, adds those of MinHash bands, and verifies all on the whole sets of shingles.
 
 Defined results: a null or empty text has no words and the fingerprint zero, which links like any other. A null doc_id
 takes part in no minimum: a group of null ids alone has a null component. Repeated doc_ids are rows of one document if
@@ -24,14 +28,30 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from quillstone.llm.common import LOWER, UPPER, WORD, components, materialise
+from quillstone.llm import minhash
+from quillstone.llm.common import LOWER, UPPER, WORD, components, materialise, release
 
+#: Of the query: words a shingle, differing bits, seed.
 SHINGLE, DISTANCE, SEED = 3, 3, 42
 _TABLE = str.maketrans(UPPER, LOWER)
 #: Shingles are hashed in blocks of so many, which bounds the memory of a very long text.
 _BLOCK = 20_000
 
 
+def bit_sums(hashes: np.ndarray) -> np.ndarray:
+    """How many of the 64-bit hashes have each bit."""
+    total = np.zeros(64, np.int64)
+    for at in range(0, len(hashes), _BLOCK):
+        part = hashes[at : at + _BLOCK].astype("<u8", copy=False)
+        total += np.unpackbits(part.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(0, dtype=np.int64)
+    return total
+
+
+def majority(sums: np.ndarray, n: int) -> int:
+    """The fingerprint whose bits are those that more than half of ``n`` hashes have."""
+    return int(np.packbits(2 * sums > n, bitorder="little").view("<u8")[0])
+
+
 def fingerprint(text: str | None, shingle: int = SHINGLE, seed: int = SEED) -> int:
     """The 64-bit SimHash of a text: a bit is 1 if more than half of the shingles' hashes have it."""
     from xxhash import xxh64_intdigest
@@ -44,9 +64,8 @@ def fingerprint(text: str | None, shingle: int = SHINGLE, seed: int = SEED) -> i
     for at in range(0, n, _BLOCK):
         part = words[at : min(at + _BLOCK, n) + shingle - 1]
         joined = [" ".join(part)] if len(part) < shingle else map(" ".join, zip(*(part[i:] for i in range(shingle)), strict=False))
-        h = np.array([xxh64_intdigest(s, seed) for s in joined], dtype="<u8")
-        total += np.unpackbits(h.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(0, dtype=np.int64)
-    return int(np.packbits(2 * total > n, bitorder="little").view("<u8")[0])
+        total += bit_sums(np.array([xxh64_intdigest(s, seed) for s in joined], dtype="<u8"))
+    return majority(total, n)
 
 
 def fingerprints(docs: DataFrame, shingle: int = SHINGLE, seed: int = SEED) -> DataFrame:
@@ -61,26 +80,34 @@ def fingerprints(docs: DataFrame, shingle: int = SHINGLE, seed: int = SEED) -> D
 
 
 _EVEN = 0x5555555555555555
+_HALF = (1 << 32) - 1
 
 
 def half_of(fp: Column, half: int) -> Column:
-    return F.shiftrightunsigned(fp, 32 * half).bitwiseAND(F.lit(0xFFFFFFFF))
+    return F.shiftrightunsigned(fp, 32 * half).bitwiseAND(F.lit(_HALF))
+
 
+def counts(word: Column) -> Column:
+    """The cell of a half: the counts of its 16 segments of two bits, two bits each."""
+    even = F.lit(_EVEN & _HALF)
+    return word.bitwiseAND(even) + F.shiftright(word, 1).bitwiseAND(even)
 
-def counts(word: Column) -> tuple[Column, Column]:
-    """The counts of a half's segments, two bits each: of those that begin at even places, and at odd ones."""
-    even = F.lit(_EVEN & 0xFFFFFFFF)
-    turned = F.shiftright(word, 1).bitwiseOR(F.shiftleft(word.bitwiseAND(1), 31))
-    first, second = (w.bitwiseAND(even) + F.shiftright(w, 1).bitwiseAND(even) for w in (word, turned))
-    return first, second
 
+def coarse(word: Column, segment: int) -> Column:
+    """The count of one of a half's four segments of eight bits."""
+    return F.bit_count(word.bitwiseAND(F.lit(0xFF << 8 * segment)))
 
-def cell_at(first: Column, second: Column) -> Column:
-    return first.bitwiseOR(F.shiftleft(second, 32))
+
+def coarse_distance(a: Column, b: Column) -> Column:
+    """Manhattan distance of two halves' counts over segments of eight bits."""
+    first, *rest = [F.abs(coarse(a, s) - coarse(b, s)) for s in range(4)]
+    for d in rest:
+        first = first + d
+    return first
 
 
 def manhattan(a: Column, b: Column) -> Column:
-    """Manhattan distance of the segment counts: each count in unary (0, 01, 11), then the bits that differ."""
+    """Manhattan distance of the 32 segment counts: each count in unary (0, 01, 11), then the bits that differ."""
 
     def unary(x):
         y = F.shiftrightunsigned(x, 1)
@@ -89,25 +116,25 @@ def manhattan(a: Column, b: Column) -> Column:
     return F.bit_count(unary(a).bitwiseXOR(unary(b)))
 
 
-def near_pairs(points: DataFrame, distance: int = DISTANCE) -> DataFrame:
-    """All pairs (a, b) of distinct ``points.fp`` within the Hamming distance, which is at most 3; a pair may come twice."""
+def met_pairs(points: DataFrame, distance: int = DISTANCE) -> DataFrame:
+    """Pairs (a, b) of distinct ``points.fp`` that meet in the grid of either half, the other half's counts being near enough; a pair may come twice."""
     if not 0 <= distance <= 3:
         raise ValueError("one of two halves differs in one bit at most up to distance 3 only")
-    half = F.array(*[F.struct(F.lit(h).alias("half"), half_of(F.col("fp"), h).alias("word")) for h in (0, 1)])
-    words = points.select(F.col("fp").alias("a"), F.explode(half).alias("w")).select("a", "w.half", "w.word")
-    first, second = counts(F.col("word"))
-    grid = words.select("a", "half", "word", first.alias("first"), second.alias("second"))
-    # a bit more at a place is one step up in each of the two segments over it
-    up = [
-        F.when(F.shiftright("word", i).bitwiseAND(1) == 0, cell_at(F.col("first") + F.lit(1 << i // 2 * 2), F.col("second") + F.lit(1 << (i - 1) % 32 // 2 * 2)))
-        for i in range(32)
-    ]
-    own = cell_at(F.col("first"), F.col("second"))
-    cells = grid.select("a", "half", own.alias("cell"))
-    probes = grid.select(F.col("a").alias("b"), "half", F.posexplode(F.filter(F.array(own, *up), lambda c: c.isNotNull())).alias("step", "cell"))
-    met = cells.join(probes, ["half", "cell"]).where((F.col("step") > 0) | (F.col("a") < F.col("b")))
-    near = met.where(manhattan(F.col("a"), F.col("b")) <= distance)
-    return near.where(F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= distance).select("a", "b")
+    half = F.array(*[F.struct(F.lit(h).alias("half"), half_of(F.col("fp"), h).alias("near"), half_of(F.col("fp"), 1 - h).alias("far")) for h in (0, 1)])
+    grid = points.select("fp", F.explode(half).alias("w")).select("fp", "w.half", "w.far", counts(F.col("w.near")).alias("cell"))
+    # one bit more in a segment is one step up, where the segment isn't full
+    up = [F.when(F.shiftright("cell", 2 * s).bitwiseAND(3) < 2, F.col("cell") + F.lit(1 << 2 * s)) for s in range(16)]
+    cells = grid.select(F.col("fp").alias("a"), "half", "cell", F.col("far").alias("far_a"))
+    probes = grid.select(F.col("fp").alias("b"), "half", F.col("far").alias("far_b"), F.posexplode(F.filter(F.array(F.col("cell"), *up), lambda c: c.isNotNull())).alias("step", "cell"))
+    left = F.when(F.col("step") > 0, distance - 1).otherwise(distance)
+    once = (F.col("step") > 0) | (F.col("a") < F.col("b"))
+    return cells.join(probes, ["half", "cell"]).where(once & (coarse_distance(F.col("far_a"), F.col("far_b")) <= left)).select("a", "b")
+
+
+def near_pairs(points: DataFrame, distance: int = DISTANCE) -> DataFrame:
+    """All pairs (a, b) of distinct ``points.fp`` within the Hamming distance, which is at most 3; a pair may come twice."""
+    near = met_pairs(points, distance).where(manhattan(F.col("a"), F.col("b")) <= distance)
+    return near.where(F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= distance)
 
 
 def near_duplicates(docs: DataFrame, distance: int = DISTANCE, shingle: int = SHINGLE, seed: int = SEED) -> DataFrame:
@@ -119,21 +146,55 @@ def near_duplicates(docs: DataFrame, distance: int = DISTANCE, shingle: int = SH
     comp = materialise(components(links), "components")
     linked = points.join(comp, F.col("fp") == F.col("node"), "left").withColumn("component", F.coalesce("component", "fp"))
     least = linked.groupBy("component").agg(F.min("rep").alias("component_id"))
-    named = linked.join(least, "component").select(F.col("fp").alias("_fp"), "component_id")
+    named = materialise(linked.join(least, "component").select(F.col("fp").alias("_fp"), "component_id"), "named")
+    release(points, links, comp)
     return fps.join(named, F.col("fp") == F.col("_fp"), "left").drop("_fp")
 
 
-def deduplicate(docs: DataFrame, distance: int = DISTANCE) -> DataFrame:
-    """The documents of the smallest doc_id of each component, with all their columns.
+def near_copies(docs: DataFrame, similarity: float = minhash.SIMILARITY, shingle: int = minhash.SHINGLE, distance: int = DISTANCE, seed: int = SEED) -> DataFrame:
+    """(p, component) of each distinct text of ``docs``, p being its hash: texts linked by a Jaccard similarity of their shingles share a component.
+
+    Candidates are fingerprints within ``distance`` bits, and texts that share a MinHash band.
+    """
 
-    Rows with a null doc_id stay. Of rows that share the smallest doc_id one stays.
+    def signed(batches):
+        for b in batches:
+            sets = [minhash.shingles(t.as_py(), shingle, seed) for t in b.column(1)]
+            fp = np.array([majority(bit_sums(s), len(s)) for s in sets], dtype=np.uint64).view(np.int64)
+            bands = pa.array([minhash.bands_of(s) for s in sets], pa.list_(pa.int64()))
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([len(s) for s in sets], pa.int64()), pa.array(fp), bands], names=["p", "n", "fp", "bands"])
+
+    texts = docs.select(F.xxhash64("text").alias("p"), "text")
+    made = texts.mapInArrow(signed, "p long, n long, fp long, bands array<long>")
+    points = materialise(made.groupBy("p").agg(F.first("n").alias("n"), F.first("fp").alias("fp"), F.first("bands").alias("bands")), "points")
+    # texts of one fingerprint are held against the least of them, near fingerprints by theirs
+    of = materialise(points.groupBy("fp").agg(F.min(F.struct("p", "n")).alias("x"), F.count("*").alias("m")).select("fp", "x.p", "x.n", "m"), "fingerprints")
+    end = lambda x: of.select(F.col("fp").alias(x), F.col("p").alias(f"p{x}"), F.col("n").alias(f"n{x}"))
+    near = near_pairs(of, distance).join(end("a"), "a").join(end("b"), "b").select(F.col("pa").alias("a"), F.col("pb").alias("b"), F.col("na"), F.col("nb"))
+    same = points.join(of.where("m > 1").select(F.col("fp").alias("_fp"), F.col("p").alias("a"), F.col("n").alias("na")), F.col("fp") == F.col("_fp")).where("p <> a")
+    found = materialise(near.union(same.select("a", F.col("p").alias("b"), "na", F.col("n").alias("nb"))), "candidates")
+    linked = minhash.linked(texts, points, found, similarity, shingle, seed)
+    comp = materialise(components(linked), "components")
+    out = materialise(points.select("p").join(comp, F.col("p") == F.col("node"), "left").select("p", F.coalesce("component", "p").alias("component")), "copies")
+    release(points, of, found, linked, comp)
+    return out
+
+
+def deduplicate(docs: DataFrame, similarity: float = minhash.SIMILARITY, shingle: int = minhash.SHINGLE) -> DataFrame:
+    """One row of each component of ``near_copies``, with all its columns: that of the smallest doc_id, null ids last, then by the text's hash.
+
+    So a text goes only for a near copy, never for another text of the same doc_id.
     """
-    found = near_duplicates(docs, distance)
-    keep = materialise(found.where("doc_id = component_id").select(F.col("doc_id").alias("_keep")).distinct(), "kept")
-    first = Window.partitionBy("doc_id").orderBy(F.xxhash64("text"))
-    kept = docs.join(keep, F.col("doc_id") == F.col("_keep")).drop("_keep")
-    kept = kept.withColumn("_n", F.row_number().over(first)).where("_n = 1").drop("_n")
-    return kept.unionByName(docs.where("doc_id IS NULL"))
+    found = near_copies(docs, similarity, shingle)
+    p = F.xxhash64("text")
+    ids = docs.select(F.col("doc_id").alias("_id"), p.alias("p")).groupBy("p").agg(F.min("_id").alias("_id"))
+    # a text with an id goes before one without
+    best = F.min(F.struct(F.col("_id").isNull().alias("none"), F.col("_id"), F.col("p"))).alias("best")
+    keep = materialise(found.join(ids, "p").groupBy("component").agg(best).select(F.col("best.p").alias("_keep"), F.col("best._id").alias("_id")), "kept")
+    release(found)
+    same = docs.withColumn("_p", p).join(keep, F.col("_p") == F.col("_keep")).where(F.col("doc_id").eqNullSafe(F.col("_id")))
+    one = Window.partitionBy("_p").orderBy("doc_id")
+    return same.withColumn("_row", F.row_number().over(one)).where("_row = 1").select(*docs.columns)
 
 
 def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
