@@ -20,6 +20,8 @@ _scratch: list[list[str]] = []
 
 #: Words are runs of anything but space, tab, newline, vertical tab, form feed and carriage return.
 WORD = r"[^\x20\x09-\x0D]+"
+#: Matrices of sets are made for so many elements at a time.
+_COLUMNS = 1 << 14
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
@@ -128,6 +130,29 @@ def forest(linked: np.ndarray) -> np.ndarray:
         least = now
 
 
+def shared_counts(x: list[np.ndarray], y: list[np.ndarray]) -> np.ndarray:
+    """How many elements each sorted set of ``x`` shares with each of ``y``."""
+    out = np.zeros((len(x), len(y)), np.float32)
+    sizes = [np.array([len(s) for s in sets]) for sets in (x, y)]
+    flat = [np.concatenate(sets) if sets else np.zeros(0, np.int64) for sets in (x, y)]
+    both = np.intersect1d(*map(np.unique, flat))
+    placed = []
+    for values, size in zip(flat, sizes, strict=True):
+        at = np.searchsorted(both, values)
+        held = np.nonzero(both[np.minimum(at, len(both) - 1)] == values)[0] if len(both) else np.zeros(0, int)
+        placed.append((np.repeat(np.arange(len(size)), size)[held], at[held]))
+    for start in range(0, len(both), _COLUMNS):
+        wide = min(_COLUMNS, len(both) - start)
+        made = []
+        for (row, column), size in zip(placed, sizes, strict=True):
+            own = (column >= start) & (column < start + wide)
+            m = np.zeros((len(size), wide), np.float32)
+            m[row[own], column[own] - start] = 1
+            made.append(m)
+        out += made[0] @ made[1].T
+    return out
+
+
 def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     """Smallest id reachable from each linked node: (node, component), for nodes that have links.
 

@@ -14,9 +14,13 @@ those: 5 and 7 at 500,000 vectors, 1 and 14 at 10 million, 1 and 13 at 50 millio
 (95 % confidence) is all that is shown. Of 3000 random pairs of cosine 0.95 in 64 dimensions each shared 4 filters or more, 23 on average.
 Equal vectors are one point with a count.
 
+A dense group of n near but unequal vectors has links in the square of n, which its members' counts need. They are
+counted in tasks, block by block of the group's common filters; what leaves a task is a count and a link for each vector.
+
 Defined results: a vector that is null, empty or zero, or holds null or non-finite components, links with nothing, nor
 do vectors of different dimension. A null vec_id links with nothing and has a null component. Rows that repeat an id
-are vectors of their own when links are counted. An empty table gives no rows.
+are vectors of their own, whether equal or not: each has the links of its own vector, and may be in a component of its own
+(``kept`` says that a row's id is its component's). An empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -28,10 +32,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillstone.llm.common import components, materialise
+from quillstone.llm.common import components, forest, materialise, release, shared_counts
 
 THRESHOLD, PASSES, CODES, SEED = 0.95, 4, 8, 7
 FULL, MORE = 640, 2
+#: Filters of more points than HOT are compared by blocks of about HOT_BLOCK.
+HOT, HOT_BLOCK = 64, 512
 #: Vectors are decoded so many at a time, which bounds the scores held.
 _BLOCK = 256
 
@@ -132,24 +138,75 @@ def verified(pairs: DataFrame, threshold: float) -> DataFrame:
     return pairs.select("a", "b", "va", "vb").mapInArrow(rows, "a long, b long")
 
 
-def near_duplicates(vectors: DataFrame, threshold: float = THRESHOLD, passes: float | None = None, codes: int = CODES, seed: int = SEED) -> DataFrame:
+def near_links(points: DataFrame, met: DataFrame, threshold: float, hot: int, block: int) -> tuple[DataFrame, DataFrame]:
+    """(id, linked) and (a, b): how many vectors each point links with outside itself, and pairs that connect what all links connect.
+
+    ``points`` (id, n, vector), ``met`` (dim, filter, id). Points of a filter of up to ``hot`` of them meet as pairs, which are made distinct
+    and verified one by one. Those of a larger filter are compared by blocks of about ``block``, two blocks in a task: a product of
+    matrices whose links are counted and never become rows. A pair that shares several large filters counts in the first
+    of them only, and isn't among the pairs of small ones.
+    """
+    sizes = met.groupBy("dim", "filter").agg(F.count("*").alias("m")).where("m > 1")
+    sizes = materialise(sizes.select(F.col("dim").alias("_d"), F.col("filter").alias("_f"), "m"), "filter-sizes")
+    sized = met.join(sizes, (F.col("dim") == F.col("_d")) & (F.col("filter") == F.col("_f"))).select("dim", "filter", "id", "m")
+    large = materialise(sized.where(F.col("m") > hot), "hot-filters")
+    # a point passes a few dozen filters, so its list is short
+    hots = materialise(large.groupBy(F.col("id").alias("_id")).agg(F.sort_array(F.collect_list("filter")).alias("hots")), "hots")
+    none = F.array().cast("array<bigint>")
+    small = sized.where(F.col("m") <= hot).join(hots, F.col("id") == F.col("_id"), "left").select("dim", "filter", "id", F.coalesce("hots", none).alias("hots"))
+    a, b = (small.select("dim", "filter", F.col("id").alias(x), F.col("hots").alias(f"h{x}")) for x in "ab")
+    pairs = a.join(b, ["dim", "filter"]).where((F.col("a") < F.col("b")) & ~F.arrays_overlap("ha", "hb")).select("a", "b").distinct()
+    of = lambda c: points.select(F.col("id").alias(c), F.col("vector").alias(f"v{c}"))
+    links = materialise(verified(pairs.join(of("a"), "a").join(of("b"), "b"), threshold), "links")
+
+    blocks = F.ceil(F.col("m") / block).cast("int")
+    at = large.select("dim", "filter", "id", F.pmod(F.xxhash64("id", F.lit("block")), blocks).cast("int").alias("own"), F.explode(F.sequence(F.lit(0), blocks - 1)).alias("other"))
+    at = at.select("dim", "filter", "id", "own", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"))
+    at = at.join(points.select("id", "n", "vector"), "id").join(hots, F.col("id") == F.col("_id")).drop("_id")
+
+    def compare(t: pa.Table) -> pa.Table:
+        i, j, this = (t.column(c)[0].as_py() for c in ("i", "j", "filter"))
+        own, ids, n = (t.column(c).to_numpy() for c in ("own", "id", "n"))
+        v = t.column("vector").combine_chunks().flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(ids), -1)
+        v /= np.abs(v).max(axis=1, keepdims=True)  # no over- or underflow
+        lists = [h[h < this] for h in (x.values.to_numpy() for x in t.column("hots"))]
+        x, y = np.nonzero(own == i)[0], np.nonzero(own == j)[0]
+        square = (v * v).sum(1)
+        near = v[x] @ v[y].T / np.sqrt(square[x][:, None] * square[y][None]) >= threshold
+        near &= ids[x][:, None] != ids[y][None]
+        counted = near & (shared_counts([lists[k] for k in x], [lists[k] for k in y]) == 0)
+        least = ids[np.concatenate([x, y])][forest(near)]
+        out = [(x, counted @ n[y], least[: len(x)])] + ([(y, counted.T @ n[x], least[len(x) :])] if i != j else [])
+        cols = [np.concatenate(c) for c in zip(*((ids[k], m, to) for k, m, to in out), strict=True)]
+        return pa.table({"id": pa.array(cols[0], pa.int64()), "linked": pa.array(cols[1], pa.int64()), "to": pa.array(cols[2], pa.int64())})
+
+    found = materialise(at.groupBy("dim", "filter", "i", "j").applyInArrow(compare, "id long, linked long, to long"), "hot-links")
+    both = links.union(links.select("b", "a"))
+    counts = both.join(points.select(F.col("id").alias("b"), "n"), "b").select(F.col("a").alias("id"), F.col("n").alias("linked")).union(found.select("id", "linked"))
+    edges = links.union(found.where("id <> to").select("id", "to").distinct())
+    return materialise(counts.groupBy("id").agg(F.sum("linked").alias("linked")), "link-counts"), edges
+
+
+def near_duplicates(vectors: DataFrame, threshold: float = THRESHOLD, passes: float | None = None, codes: int = CODES, seed: int = SEED, hot: int = HOT, block: int = HOT_BLOCK) -> DataFrame:
     """(vec_id, n_links, component_id, kept) of each row (vec_id, embedding)."""
     v = F.col("embedding")
     good = v.isNotNull() & (F.size(v) > 0) & F.forall(v, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))) & F.exists(v, lambda x: x != 0)
     rows = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), F.coalesce(good, F.lit(False)).alias("good"), F.xxhash64(v).alias("h"), F.xxhash64(F.lit(1), v).alias("g"), v.alias("vector"))
     usable = rows.where("good AND vec_id IS NOT NULL")
-    points = materialise(usable.groupBy("h", "g").agg(F.min("vec_id").alias("id"), F.count("*").alias("n"), F.first("vector").alias("vector")), "points")
+    # a point has a number of its own, as a vec_id may come with several vectors
+    points = usable.groupBy("h", "g").agg(F.min("vec_id").alias("rep"), F.count("*").alias("n"), F.first("vector").alias("vector"))
+    points = materialise(points.withColumn("id", F.monotonically_increasing_id()), "points")
     size = max(64, math.ceil(math.sqrt(8 * max(1, points.count()))))
     passes = passes_for(size) if passes is None else passes
     met = materialise(filters(points, size, passes, codes, seed), "filters")
-    pairs = met.select("dim", "filter", F.col("id").alias("a")).join(met.select("dim", "filter", F.col("id").alias("b")), ["dim", "filter"]).where("a < b").select("a", "b").distinct()
-    of = lambda c: points.select(F.col("id").alias(c), F.col("vector").alias(f"v{c}"))
-    links = materialise(verified(pairs.join(of("a"), "a").join(of("b"), "b"), threshold), "links")
-    both = links.union(links.select("b", "a"))
-    partners = both.join(points.select(F.col("id").alias("b"), "n"), "b").groupBy(F.col("a").alias("id")).agg(F.sum("n").alias("linked"))
-    comp = components(links).withColumnRenamed("node", "id")
-    told = points.select("h", "g", "id", "n").join(partners, "id", "left").join(comp, "id", "left")
-    told = told.select(F.col("h").alias("_h"), F.col("g").alias("_g"), (F.col("n") - 1 + F.coalesce("linked", F.lit(0))).alias("_links"), F.coalesce("component", "id").alias("_component"))
+    partners, edges = near_links(points, met, threshold, hot, block)
+    comp = materialise(components(edges), "components")
+    release(met)
+    told = points.select("h", "g", "id", "n", "rep").join(partners, "id", "left").join(comp, F.col("id") == F.col("node"), "left").withColumn("component", F.coalesce("component", "id"))
+    least = told.groupBy("component").agg(F.min("rep").alias("_component"))
+    told = told.join(least, "component").select(F.col("h").alias("_h"), F.col("g").alias("_g"), (F.col("n") - 1 + F.coalesce("linked", F.lit(0))).alias("_links"), "_component")
+    told = materialise(told, "told")
+    release(points, partners, comp)
     on = F.col("good") & F.col("vec_id").isNotNull() & (F.col("h") == F.col("_h")) & (F.col("g") == F.col("_g"))
     out = rows.drop("vector").join(told, on, "left")
     component = F.when(F.col("vec_id").isNotNull(), F.coalesce("_component", "vec_id"))

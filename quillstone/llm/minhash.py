@@ -23,14 +23,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillstone.llm.common import LOWER, UPPER, WORD, components, forest, materialise, release
+from quillstone.llm.common import LOWER, UPPER, WORD, components, forest, materialise, release, shared_counts
 
 SHINGLE, SIMILARITY, ROWS, BANDS, SEED = 5, 0.8, 5, 32, 42
 _TABLE = str.maketrans(UPPER, LOWER)
 #: Minima are taken over so many shingles at a time, which bounds the memory of a very long text.
 _BLOCK = 2_000
 #: A block of a bucket holds about so many shingles; a matrix in a task so many rows and columns at most.
-BLOCK_SHINGLES, _ROWS, _COLUMNS = 1 << 18, 256, 1 << 14
+BLOCK_SHINGLES, _ROWS = 1 << 18, 256
 
 
 def shingles(text: str | None, shingle: int = SHINGLE, seed: int = SEED) -> np.ndarray:
@@ -57,29 +57,6 @@ def bands_of(hashes: np.ndarray, rows: int = ROWS, bands: int = BANDS, seed: int
     return np.array([xxh64_intdigest(m.tobytes(), k) for k, m in enumerate(least.reshape(bands, rows))], np.uint64).view(np.int64)
 
 
-def shared_counts(x: list[np.ndarray], y: list[np.ndarray]) -> np.ndarray:
-    """How many elements each sorted set of ``x`` shares with each of ``y``."""
-    out = np.zeros((len(x), len(y)), np.float32)
-    sizes = [np.array([len(s) for s in sets]) for sets in (x, y)]
-    flat = [np.concatenate(sets) if sets else np.zeros(0, np.int64) for sets in (x, y)]
-    both = np.intersect1d(*map(np.unique, flat))
-    placed = []
-    for values, size in zip(flat, sizes, strict=True):
-        at = np.searchsorted(both, values)
-        held = np.nonzero(both[np.minimum(at, len(both) - 1)] == values)[0] if len(both) else np.zeros(0, int)
-        placed.append((np.repeat(np.arange(len(size)), size)[held], at[held]))
-    for start in range(0, len(both), _COLUMNS):
-        wide = min(_COLUMNS, len(both) - start)
-        made = []
-        for (row, column), size in zip(placed, sizes, strict=True):
-            own = (column >= start) & (column < start + wide)
-            m = np.zeros((len(size), wide), np.float32)
-            m[row[own], column[own] - start] = 1
-            made.append(m)
-        out += made[0] @ made[1].T
-    return out
-
-
 def connected(x: list[tuple[int, int, np.ndarray]], y: list[tuple[int, int, np.ndarray]], similarity: float) -> list[tuple[int, int]]:
     """Pairs of ids that connect what the links between texts (id, component, set) of ``x`` and ``y`` connect."""
     out: set[tuple[int, int]] = set()
