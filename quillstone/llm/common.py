@@ -5,9 +5,11 @@ from __future__ import annotations
 import atexit
 import math
 import shutil
+import sys
 import tempfile
+import types
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from contextlib import contextmanager
 
 import numpy as np
@@ -74,13 +76,20 @@ def release(*tables: DataFrame) -> None:
 
 
 @contextmanager
-def scratch(spark: SparkSession) -> Iterator[None]:
-    """Deletes at its end all tables that ``materialise`` wrote inside, for results that are written out before it ends."""
-    _scratch.append([])
+def scratch(spark: SparkSession) -> Iterator[Callable[[DataFrame], DataFrame]]:
+    """Deletes at its end the tables that ``materialise`` wrote inside, but those given to the function that it yields."""
+    made: list[str] = []
+    _scratch.append(made)
+
+    def keep(df: DataFrame) -> DataFrame:
+        made.remove(df._stored_at)
+        return df
+
     try:
-        yield
+        yield keep
     finally:
-        for path in _scratch.pop():
+        _scratch.remove(made)
+        for path in made:
             delete(spark, path)
 
 
@@ -89,6 +98,14 @@ def sweep(spark: SparkSession) -> None:
     delete(spark, shared_dir(spark))
 
 
+def kept(name, make):
+    """What ``make`` gives, made once in a process: for tables that workers need again and again, outside what travels with a function."""
+    held = sys.modules.setdefault("_quillstone_kept", types.ModuleType("_quillstone_kept")).__dict__
+    if name not in held:
+        held[name] = make()
+    return held[name]
+
+
 def ascii_lower(c: Column) -> Column:
     """Lower-cases A-Z and nothing else."""
     return F.translate(c, UPPER, LOWER)
@@ -133,7 +150,7 @@ def forest(linked: np.ndarray) -> np.ndarray:
 def shared_counts(x: list[np.ndarray], y: list[np.ndarray]) -> np.ndarray:
     """How many elements each sorted set of ``x`` shares with each of ``y``."""
     out = np.zeros((len(x), len(y)), np.float32)
-    sizes = [np.array([len(s) for s in sets]) for sets in (x, y)]
+    sizes = [np.array([len(s) for s in sets], int) for sets in (x, y)]
     flat = [np.concatenate(sets) if sets else np.zeros(0, np.int64) for sets in (x, y)]
     both = np.intersect1d(*map(np.unique, flat))
     placed = []

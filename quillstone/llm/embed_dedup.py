@@ -173,9 +173,9 @@ def near_links(points: DataFrame, met: DataFrame, threshold: float, hot: int, bl
         x, y = np.nonzero(own == i)[0], np.nonzero(own == j)[0]
         square = (v * v).sum(1)
         near = v[x] @ v[y].T / np.sqrt(square[x][:, None] * square[y][None]) >= threshold
-        near &= ids[x][:, None] != ids[y][None]
-        counted = near & (shared_counts([lists[k] for k in x], [lists[k] for k in y]) == 0)
-        least = ids[np.concatenate([x, y])][forest(near)]
+        itself = ids[x][:, None] == ids[y][None]
+        counted = near & ~itself & (shared_counts([lists[k] for k in x], [lists[k] for k in y]) == 0)
+        least = ids[np.concatenate([x, y])][forest(near | itself)]  # a block against itself: a point's row and column are one
         out = [(x, counted @ n[y], least[: len(x)])] + ([(y, counted.T @ n[x], least[len(x) :])] if i != j else [])
         cols = [np.concatenate(c) for c in zip(*((ids[k], m, to) for k, m, to in out), strict=True)]
         return pa.table({"id": pa.array(cols[0], pa.int64()), "linked": pa.array(cols[1], pa.int64()), "to": pa.array(cols[2], pa.int64())})

@@ -1,12 +1,13 @@
 """Language identification: multinomial naive Bayes over hashed character n-grams.
 
-Texts are lower-cased, anything but letters becomes a space, and n-grams of two and three characters are hashed to
+Texts are lower-cased, anything but letters (as Unicode says) becomes a space, and n-grams of two and three characters are hashed to
 ``2 ** BITS`` buckets. Counts by language and bucket are summed on the executors; the driver gets at most languages
-times buckets of them, makes the log-probability matrix and broadcasts it (0.25 MB a language). Scoring adds the
-matrix's rows at a text's buckets, which are all it touches of it, in numpy, over the whole text.
+times buckets of them, makes the log-probability matrix and broadcasts it (0.25 MB a language). A batch of texts is one
+sparse matrix of buckets by text, in numpy: its rows' buckets one after another, which the log-probability matrix is looked up
+at and summed up by row, some _BLOCK characters at a time. Texts are read whole.
 
-Training reads at most about ``train_rows`` labelled rows of each language, chosen by a hash of doc_id; priors and the set
-of languages come from all labelled rows.
+Training reads at most about ``train_rows`` labelled rows of each language, chosen by a hash of doc_id and text; priors and the set
+of languages come from all labelled rows. More than MOST_LANGS languages are refused, as a language is then no language.
 
 Defined results: a text that is null or has no letter is ``und`` with score 0, as is any text where nothing was
 learned. Ties go to the language first in order. Null and repeated doc_ids are rows like others.
@@ -14,14 +15,35 @@ learned. Ties go to the language first in order. Null and repeated doc_ids are r
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-BITS, TRAIN_ROWS, SMOOTHING, UNKNOWN = 15, 2000, 0.5, "und"
-#: Characters of a text are taken in blocks of so many, which bounds the memory of a very long one.
-_BLOCK = 1 << 18
+from quillstone.llm.common import kept
+
+BITS, TRAIN_ROWS, SMOOTHING, UNKNOWN, MOST_LANGS = 15, 2000, 0.5, "und", 1000
+#: Characters are taken in blocks of so many, which bounds the memory of a batch and of a very long text.
+_BLOCK = 1 << 16
+
+
+def letters() -> np.ndarray:
+    """Whether each code point is a letter, made once in a process."""
+    return kept("letters", lambda: np.fromiter((chr(c).isalpha() for c in range(0x110000)), bool, 0x110000))
+
+
+def code_points(text: str) -> np.ndarray:
+    c = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), dtype="<u4")
+    return np.where(letters()[c], c, np.uint32(32))
+
+
+def hashed(c: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray]:
+    """Buckets of the n-grams of two and of three code points that start at each place but the last, and the last two."""
+    two = c[:-1] * np.uint32(0x9E3779B1) + c[1:] * np.uint32(0x85EBCA6B)
+    three = (two[:-1] ^ (two[:-1] >> np.uint32(15))) * np.uint32(0xC2B2AE35) + c[2:] * np.uint32(0x27D4EB2F)
+    return (two * np.uint32(0x165667B1)) >> np.uint32(32 - bits), (three * np.uint32(0x9E3779B1)) >> np.uint32(32 - bits)
 
 
 def buckets(text: str, bits: int = BITS):
@@ -31,15 +53,20 @@ def buckets(text: str, bits: int = BITS):
         part = text[max(0, at - 2) : at + _BLOCK] if at else " " + text[:_BLOCK]
         if at + _BLOCK >= len(text):
             part += " "
-        c = np.frombuffer(part.encode("utf-32-le", "surrogatepass"), dtype="<u4")
-        letter = ((c >= 97) & (c <= 122)) | (c >= 192) & (c != 215) & (c != 247)
-        c = np.where(letter, c, np.uint32(32))
-        two = c[:-1] * np.uint32(0x9E3779B1) + c[1:] * np.uint32(0x85EBCA6B)
-        three = (two[:-1] ^ (two[:-1] >> np.uint32(15))) * np.uint32(0xC2B2AE35) + c[2:] * np.uint32(0x27D4EB2F)
-        from_ = 1 if at else 0  # the bigram two before a block's start is the last block's
-        two = two[from_:]
-        for g in (two * np.uint32(0x165667B1), three * np.uint32(0x9E3779B1)):
-            yield g >> np.uint32(32 - bits)
+        two, three = hashed(code_points(part), bits)
+        yield two[1 if at else 0 :]  # the bigram two before a block's start is the last block's
+        yield three
+
+
+def together(texts: list[str], bits: int = BITS) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Of several texts that aren't empty: buckets, text by text, and where each text's begin; first of bigrams, then of trigrams."""
+    held = [f" {t.lower()} " for t in texts]
+    ends = np.cumsum([len(t) for t in held])
+    for short, found in enumerate(hashed(code_points("".join(held)), bits), 1):
+        inside = np.ones(len(found), bool)  # n-grams that reach into the next text are none
+        for k in range(1, short + 1):
+            inside[ends[:-1] - k] = False
+        yield found[inside], np.concatenate([[0], ends[:-1] - short * np.arange(1, len(held))])
 
 
 class Model:
@@ -50,23 +77,56 @@ class Model:
         self.prior = np.log(np.array([rows[x] for x in langs], dtype=float) / max(1, sum(rows.values())))
         self.matrix = np.log((counts + smoothing) / (counts.sum(0) + smoothing * len(counts))).astype(np.float32)
 
+    def scores(self, texts: list[str]) -> np.ndarray:
+        """Log prior and log likelihood of each text (rows) under each language (columns)."""
+        bits, out = int(np.log2(len(self.matrix))), np.tile(self.prior, (len(texts), 1))
+        block: list[int] = []
+
+        def add() -> None:
+            if block:
+                for at, starts in together([texts[i] for i in block], bits):
+                    out[block] += np.add.reduceat(self.matrix[at], starts, axis=0, dtype=np.float64)
+                block.clear()
+
+        size = 0
+        for i, text in enumerate(texts):
+            if len(text) > _BLOCK:
+                for b in buckets(text, bits):
+                    out[i] += self.matrix[b].sum(0, dtype=np.float64)
+                continue
+            if size + len(text) > _BLOCK:
+                add()
+                size = 0
+            if text:
+                block.append(i)
+                size += len(text)
+        add()
+        return out
+
+    def predict_all(self, texts: list[str | None]) -> list[tuple[str, float]]:
+        out = [(UNKNOWN, 0.0)] * len(texts)
+        own = [i for i, t in enumerate(texts) if self.langs and t and any(map(str.isalpha, t))]
+        if own:
+            score = self.scores([texts[i] for i in own])
+            best = score.argmax(1)
+            sure = 1 / np.exp(score - score[np.arange(len(own)), best][:, None]).sum(1)
+            for i, k, x in zip(own, best, sure, strict=True):
+                out[i] = self.langs[k], float(x)
+        return out
+
     def predict(self, text: str | None) -> tuple[str, float]:
-        if not self.langs or not text or not any(map(str.isalpha, text)):
-            return UNKNOWN, 0.0
-        score = self.prior.copy()
-        for b in buckets(text, int(np.log2(len(self.matrix)))):
-            score += self.matrix[b].sum(0, dtype=np.float64)
-        best = int(score.argmax())
-        return self.langs[best], float(1 / np.exp(score - score[best]).sum())
+        return self.predict_all([text])[0]
 
 
 def train(labelled: DataFrame, train_rows: int = TRAIN_ROWS, bits: int = BITS, smoothing: float = SMOOTHING) -> Model:
     """Fits on rows (doc_id, text, lang); those with a null text or language are left out."""
     labelled = labelled.where("text IS NOT NULL AND lang IS NOT NULL")
-    rows = {r["lang"]: r["n"] for r in labelled.groupBy("lang").agg(F.count("*").alias("n")).collect()}  # as many as languages
+    rows = {r["lang"]: r["n"] for r in labelled.groupBy("lang").agg(F.count("*").alias("n")).limit(MOST_LANGS + 1).collect()}
+    if len(rows) > MOST_LANGS:
+        raise ValueError(f"more than {MOST_LANGS} languages")
     langs = sorted(rows)
     share = F.create_map(*[x for k, n in rows.items() for x in (F.lit(k), F.lit(min(1.0, train_rows / n)))]) if rows else F.lit(None)
-    chosen = labelled.where(F.pmod(F.xxhash64("doc_id", F.lit("train")), F.lit(1 << 20)) < share[F.col("lang")] * (1 << 20)) if rows else labelled.limit(0)
+    chosen = labelled.where(F.pmod(F.xxhash64("doc_id", "text", F.lit("train")), F.lit(1 << 20)) < share[F.col("lang")] * (1 << 20)) if rows else labelled.limit(0)
 
     def count(batches):
         total: dict[str, np.ndarray] = {}
@@ -93,9 +153,9 @@ def predict(docs: DataFrame, model: Model) -> DataFrame:
     own = [c for c in docs.columns if c not in ("text", "lang_pred", "score")]
 
     def rows(batches):
-        of = held.value.predict
+        of = held.value.predict_all
         for b in batches:
-            found = [of(t.as_py()) for t in b.column("text")]
+            found = of(b.column("text").to_pylist())
             yield pa.RecordBatch.from_arrays([*[b.column(c) for c in own], pa.array([x for x, _ in found], pa.string()), pa.array([y for _, y in found], pa.float64())], names=[*own, "lang_pred", "score"])
 
     schema = ", ".join([f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in own] + ["lang_pred string", "score double"])

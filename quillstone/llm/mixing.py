@@ -12,8 +12,8 @@ until the source that is largest for its weight has come once to its end, so wei
 last epoch of a source may be part of one. Target weights are a parameter; without them a source weighs its number of
 documents to the power ``temperature``.
 
-Defined results: null is a source of its own. Null and repeated doc_ids are documents like others. Sources without a
-stated weight raise ValueError, stated ones without documents are left out and the rest scaled up. An empty table
+Defined results: null is a source of its own. Null and repeated doc_ids are documents like others. More than MOST_SOURCES sources and sources without a
+stated weight raise ValueError; stated ones without documents are left out and the rest scaled up. An empty table
 gives no rows.
 """
 
@@ -35,17 +35,8 @@ BLOCK_ROWS, TEMPERATURE, PERIOD = 16, 0.8, 4096
 #: PERIOD: the slots of a batch.
 #: Tables on sources and slots are broadcast up to so many rows, which is some megabytes; longer ones are joined by a shuffle.
 BROADCAST_ROWS = 100_000
-
-
-def whole_weights(weights: dict, period: int) -> dict:
-    """Weights as whole numbers of at least 1 that add up to the period, by largest remainder."""
-    total = sum(weights.values())
-    share = {s: w / total * (period - len(weights)) for s, w in weights.items()}
-    out = {s: 1 + int(x) for s, x in share.items()}
-    by_rest = sorted(share, key=lambda s: (int(share[s]) - share[s], str(s)))
-    for s in by_rest[: period - sum(out.values())]:
-        out[s] += 1
-    return out
+#: The driver holds a number for each source, and refuses more than so many.
+MOST_SOURCES = 100_000
 
 
 def exact_weights(weights: dict) -> dict:
@@ -101,7 +92,9 @@ def mix(docs: DataFrame, weights: dict | None = None, temperature: float = TEMPE
     """
     spark, order = docs.sparkSession, order or ["doc_id"]
     own = [c for c in docs.columns if c not in ("epoch", "block", "release", "deadline", "slot", "position")]
-    counts = {r["source"]: r["n"] for r in docs.groupBy("source").agg(F.count("*").alias("n")).collect()}
+    counts = {r["source"]: r["n"] for r in docs.groupBy("source").agg(F.count("*").alias("n")).limit(MOST_SOURCES + 1).collect()}
+    if len(counts) > MOST_SOURCES:
+        raise ValueError(f"more than {MOST_SOURCES} sources")
     if weights is not None and (missing := [s for s in counts if s not in weights]):
         raise ValueError(f"no target weight for sources {missing[:5]}")
     target = {s: weights[s] if weights is not None else n**temperature for s, n in counts.items()}

@@ -6,6 +6,9 @@ driver. There lengths are placed longest first, each into the open pattern with
 many sequences as share a pattern are one count, so the work depends on the number of lengths, not of documents. The
 pattern table goes back to the pieces by the rank of a piece among those of its length.
 
+Where documents come in an order that training should follow, ``window`` numbers stretches of that order: each is packed by itself, and
+its sequences follow those of the stretch before. At most WINDOWS stretches are told apart, so the driver holds WINDOWS histograms.
+
 What is left of a sequence is padding up to ``width``; a sequence whose tokens number a power of two needs none.
 
 Defined results: a null or empty text has one token, the end mark. Null and repeated doc_ids are packed like others:
@@ -19,37 +22,39 @@ from collections import defaultdict
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from quillstone.llm.common import materialise, ranked
 from quillstone.llm.tokens import tokenizer
 
-WIDTH, END, FILE = 4096, 2, "word_bpe_49k.json"
+WIDTH, END, FILE, WINDOWS = 4096, 2, "word_bpe_49k.json", 16
 PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long"
 
 
-def pieces(docs: DataFrame, width: int = WIDTH, end: int = END, file: str = FILE, folder: str | None = None) -> DataFrame:
-    """Pieces (PIECES) of each row's token sequence, the end mark included: full ones of ``width``, then the rest."""
+def pieces(docs: DataFrame, width: int = WIDTH, end: int = END, file: str = FILE, folder: str | None = None, window: Column | None = None) -> DataFrame:
+    """Pieces (PIECES, window long) of each row's token sequence, the end mark included: full ones of ``width``, then the rest."""
 
     def cut(batches):
         encode = tokenizer(file, folder).encode
-        schema = pa.schema([(c.split()[0], pa.int64()) for c in PIECES.split(", ")])
+        schema = pa.schema([(c.split()[0], pa.int64()) for c in PIECES.split(", ") + ["window long"]])
         for b in batches:
             rows = []
-            for doc_id, text in zip(b.column(0).to_pylist(), b.column(1), strict=True):
+            for doc_id, text, own in zip(b.column(0).to_pylist(), b.column(1), b.column(2).to_pylist(), strict=True):
                 ids = np.append(encode(text.as_py() or ""), end).astype("<u4")
-                rows += [(doc_id, s, len(ids[s : s + width]), zlib.crc32(ids[s : s + width].tobytes()), len(ids)) for s in range(0, len(ids), width)]
-            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*rows, strict=True)] if rows else [pa.array([], pa.int64())] * 5, schema=schema)
+                rows += [(doc_id, s, len(ids[s : s + width]), zlib.crc32(ids[s : s + width].tobytes()), len(ids), own) for s in range(0, len(ids), width)]
+            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*rows, strict=True)] if rows else [pa.array([], pa.int64())] * 6, schema=schema)
 
-    return docs.select("doc_id", "text").mapInArrow(cut, PIECES)
+    number = F.lit(0) if window is None else F.coalesce(window, F.lit(0))
+    return docs.select("doc_id", "text", number.cast("long").alias("window")).mapInArrow(cut, PIECES + ", window long")
 
 
 def pack_histogram(counts: dict[int, int], width: int = WIDTH) -> list[tuple[list[tuple[int, int]], int]]:
     """Patterns ([(length, times), ...], sequences) that hold each length as often as it counts.
 
-    Longest first into the shortest open pattern with room, until that is no longer the shortest. Where fewer pieces
-    are left than sequences share the pattern, it is split, so there are about as many steps as lengths and splits.
-    Where no pattern has room, no more sequences are opened than the pieces left of this length need.
+    Longest first into the shortest open pattern with room, until that is no longer the shortest: one piece into each sequence
+    that shares it, then the next. Where fewer pieces are left than sequences share the pattern, it is split, so there are
+    about as many steps as lengths and splits. Where no pattern has room, sequences are opened and filled one by one.
     """
     space: dict[int, list] = defaultdict(list)  # tokens in the pattern -> [(pattern, sequences)]
     for length in sorted(counts, reverse=True):
@@ -59,8 +64,8 @@ def pack_histogram(counts: dict[int, int], width: int = WIDTH) -> list[tuple[lis
             if open_:
                 used = open_[0]
                 pattern, n = space[used].pop()
-                level = open_[1] if len(open_) > 1 else width
-                times = min(left, (width - used) // length, (level - used) // length + 1)
+                level = used if space[used] else open_[1] if len(open_) > 1 else width
+                times = min(max(1, left // n), (width - used) // length, (level - used) // length + 1)
             else:
                 used, pattern, times = 0, [], min(left, width // length)
                 n = left // times
@@ -76,14 +81,13 @@ def pack_histogram(counts: dict[int, int], width: int = WIDTH) -> list[tuple[lis
     return [x for held in space.values() for x in held]
 
 
-def slots(patterns: list[tuple[list[tuple[int, int]], int]]) -> dict[int, tuple[np.ndarray, ...]]:
+def slots(patterns: list[tuple[list[tuple[int, int]], int]], sequence: int = 0) -> dict[int, tuple[np.ndarray, ...]]:
     """By length: arrays (first rank, first sequence, offset, times) of runs of pieces, in order of rank.
 
-    Ranks first_rank.. of a length go to the pattern's sequences one after another, ``times`` pieces to each.
+    Ranks first_rank.. of a length go to the pattern's sequences one after another, ``times`` pieces to each. ``sequence``: the first one's number.
     """
     runs: dict[int, list] = defaultdict(list)
     nxt: dict[int, int] = defaultdict(int)
-    sequence = 0
     for pattern, n in patterns:
         offset = 0
         for length, times in pattern:
@@ -94,27 +98,40 @@ def slots(patterns: list[tuple[list[tuple[int, int]], int]]) -> dict[int, tuple[
     return {k: tuple(np.array(c, dtype=np.int64) for c in zip(*v, strict=True)) for k, v in runs.items()}
 
 
-def pack(docs: DataFrame, width: int = WIDTH, end: int = END, file: str = FILE, folder: str | None = None) -> DataFrame:
-    """One row per piece: PIECES and (sequence_id, offset) long. Text columns of ``docs``: doc_id, text."""
-    cut = materialise(pieces(docs, width, end, file, folder), "pieces")
-    counts = {r["length"]: r["n"] for r in cut.groupBy("length").agg({"*": "count"}).withColumnRenamed("count(1)", "n").collect()}  # at most ``width`` rows
-    where = slots(pack_histogram(counts, width))
-    at = ranked(cut, ["length"], ["doc_id", "start", "ids_crc32"], sum(counts.values()))
+def pack(docs: DataFrame, width: int = WIDTH, end: int = END, file: str = FILE, folder: str | None = None, window: Column | None = None) -> DataFrame:
+    """One row per piece: PIECES and (sequence_id, offset) long. Text columns of ``docs``: doc_id, text; ``window``: whole numbers from 0."""
+    cut = materialise(pieces(docs, width, end, file, folder, window), "pieces")
+    if window is not None:
+        last = cut.agg(F.max("window")).first()[0] or 0
+        cut = cut.withColumn("window", F.expr(f"window * {min(WINDOWS, last + 1)} div {last + 1}"))
+    counts: dict[int, dict[int, int]] = defaultdict(dict)
+    for r in cut.groupBy("window", "length").agg(F.count("*").alias("n")).collect():  # at most WINDOWS times ``width`` rows
+        counts[r["window"]][r["length"]] = r["n"]
+    where, first = {}, 0
+    for own in sorted(counts):
+        patterns = pack_histogram(counts[own], width)
+        where[own] = slots(patterns, first)
+        first += sum(n for _, n in patterns)
+    at = ranked(cut, ["window", "length"], ["doc_id", "start", "ids_crc32"], sum(sum(c.values()) for c in counts.values()))
+    held = docs.sparkSession.sparkContext.broadcast(where)
 
     def place(batches):
         for b in batches:
-            length, rank = b.column("length").to_numpy(), b.column("rank").to_numpy()
+            length, rank, window = (b.column(c).to_numpy() for c in ("length", "rank", "window"))
             seq, off = np.zeros(len(length), np.int64), np.zeros(len(length), np.int64)
-            for n in np.unique(length):
-                own = length == n
-                first, first_seq, offset, times = where[int(n)]
+            groups, inverse = np.unique(window * (width + 1) + length, return_inverse=True)
+            order = np.argsort(inverse, kind="stable")
+            for g, own in zip(groups, np.split(order, np.cumsum(np.bincount(inverse))[:-1]) if len(groups) else [], strict=True):
+                n = int(g) % (width + 1)
+                first, first_seq, offset, times = held.value[int(g) // (width + 1)][n]
                 run = np.searchsorted(first, rank[own], "right") - 1
                 k = rank[own] - first[run]
                 seq[own] = first_seq[run] + k // times[run]
                 off[own] = offset[run] + k % times[run] * n
-            yield pa.RecordBatch.from_arrays([*b.columns[:-1], pa.array(seq), pa.array(off)], names=[*b.schema.names[:-1], "sequence_id", "offset"])
+            yield pa.RecordBatch.from_arrays([*(b.column(c) for c in names), pa.array(seq), pa.array(off)], names=[*names, "sequence_id", "offset"])
 
-    return at.mapInArrow(place, PIECES + ", sequence_id long, offset long")
+    names = [c.split()[0] for c in PIECES.split(", ")]
+    return at.select(*names, "window", "rank").mapInArrow(place, PIECES + ", sequence_id long, offset long")
 
 
 def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:

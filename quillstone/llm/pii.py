@@ -1,14 +1,19 @@
 r"""Personal data: fixed patterns, and secrets found by weak supervision.
 
 Base kinds (email, ip, card, phone) are the leftmost, non-overlapping matches of fixed patterns, each found in time linear
-in the text. The method adds ``secret``: candidates are runs of letters, digits and ``+ / _ -`` with a digit, of MIN_RUN
-characters or more, outside base spans. Three labelers vote on each: a pattern (how the run is made up), a gazetteer (is
-it named by a word such as ``password``), and a context rule (does an assignment or a quote lead up to it).
-Expectation-maximisation over the counts of vote patterns (Dawid and Skene, 1979) estimates how reliable each labeler is; the
-posteriors then train a logistic span classifier on the candidates' features, which decides alone.
+in the text. The method adds ``secret``. Candidates are runs of letters, digits and ``+ / _ -`` with a digit, of MIN_RUN
+characters or more, and whatever run of MIN_NAMED characters a secret's name and an assignment lead up to (``password=hunter2``), with or
+without a digit; none may meet a base span. Six labelers vote secret, not, or nothing on each: a pattern (which characters), a gazetteer of
+secrets' names, a context rule (does an assignment or a quote lead up to it), the entropy of its characters, a gazetteer and shapes of
+ordinary codes (articles, builds, dates, slugs, UUIDs), and how often it changes between kinds of characters.
 
-Votes and features are a small code, so the driver fits on how often each of at most 640 codes occurs in the whole corpus;
-candidates themselves stay on the executors. The text is scanned once.
+Expectation-maximisation over the counts of vote patterns (Dawid and Skene, 1979) estimates how often each labeler votes
+what where the truth is secret or not. Votes alone don't say which of two classes is the secrets, nor do labelled codes
+that aren't secrets agree less than secrets do; so ANCHORS, stated beliefs on each labeler, weigh in with the data, the gazetteers' as
+a multiple of it. The posteriors then train a logistic classifier on features of the span itself and its context, which decides alone.
+
+Votes and features are one number below CODES, so the driver fits on how often each occurs in the whole corpus, at most
+CODES rows; candidates themselves stay on the executors. The text is scanned once.
 
 Defined results: a null or empty text has no spans. Null and repeated doc_ids are rows like others. An empty
 corpus, or one without candidates, accepts none. Positions are code points, ends exclusive.
@@ -17,24 +22,28 @@ corpus, or one without candidates, accepts none. Positions are code points, ends
 from __future__ import annotations
 
 import hashlib
+import math
 import re
+from collections import Counter
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillstone.llm.common import materialise
+from quillstone.llm.common import materialise, release
 
 KINDS = ["email", "ip", "card", "phone", "secret"]
-MIN_RUN, CONTEXT = 8, 24
+MIN_RUN, MIN_NAMED, CONTEXT = 8, 6, 24
 #: Gazetteer of words that name a secret.
 NAMES = ["password", "passwd", "pwd", "passphrase", "secret", "token", "api_key", "apikey", "api-key", "access_key", "auth", "bearer", "credential"]
+#: Gazetteer of words that name a code which is no secret.
+ORDINARY = ["sku", "isbn", "issn", "doi", "build", "version", "release", "commit", "sha1", "sha256", "md5", "checksum", "digest", "hash", "etag", "uuid", "guid", "order", "invoice", "ticket", "serial", "model", "part", "item", "ref", "id", "date", "time", "page", "slug", "url", "file", "lot", "batch", "phone", "tel", "fax", "zip"]
 
 _DOMAIN = re.compile(r"[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
 _LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
 _ANY = re.compile(r"[0-9@]")
-_DOTTED = re.compile(r"[0-9]++(?:\.[0-9]++)++")
+_DOTTED = re.compile(r"(?<![0-9])[0-9]++(?:\.[0-9]++)++")
 _PART = re.compile(r"[0-9]+")
 _CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])++")
 _PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
@@ -43,7 +52,15 @@ _RUN = re.compile(r"[A-Za-z0-9+/_-]++")
 _RUN_CHARS = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_-")
 _HEX = re.compile(r"[0-9a-f]+\Z|[0-9A-F]+\Z")
 _NAMED = re.compile(rf"(?:{'|'.join(map(re.escape, NAMES))})[\x20\x22':=]{{0,6}}\Z", re.IGNORECASE)
-_LETTER = re.compile(r"[A-Za-z]")
+_PLAIN = re.compile(rf"(?<![A-Za-z])(?:{'|'.join(ORDINARY)})[\x20\x22':=#.]{{1,6}}\Z", re.IGNORECASE)
+#: An assignment with a secret's name before it, and the run after it.
+_ASSIGN = re.compile(r"[=:]")
+_TITLE = re.compile(rf"(?:{'|'.join(map(re.escape, NAMES))})[\x22']?\x20{{0,3}}\Z", re.IGNORECASE)
+_VALUE = re.compile(r"[=:>]?\x20{0,3}[\x22']?([A-Za-z0-9+/_.!@#$%^&*~?-]{6,})")
+_DATE = re.compile(r"(?:19|20)[0-9]{2}[-/_]?[01][0-9][-/_]?[0-3][0-9]")
+_UUID = re.compile(r"[0-9A-Fa-f]{8}(?:-[0-9A-Fa-f]{4}){3}-[0-9A-Fa-f]{12}\Z")
+_SLUG = re.compile(r"[A-Za-z]++(?:[-_/](?:[A-Za-z]++|[0-9]++))++\Z")
+_UPPER_CODE = re.compile(r"[A-Z]{1,6}[-_/]?[0-9]{2,}(?:[-_/]?[A-Z0-9]{1,6})?\Z")
 
 #: Emails, dotted numbers, digit groups and phones of one text: (start, end) each.
 Spans = list[tuple[int, int]]
@@ -107,49 +124,145 @@ def base_spans(text: str) -> list[Spans]:
     return [emails(text), ips(text), cards(text), phones(text)]
 
 
+#: How many values each part of a code has, the last varying fastest.
+PARTS = {"letters": 4, "digits": 4, "size": 6, "entropy": 4, "turns": 3, "shape": 6, "named": 3, "led": 4}
+CODES = math.prod(PARTS.values())
+_SIZES, _ENTROPIES = (8, 12, 16, 24, 40), (2.5, 3.0, 3.5)
+
+
+def kind_of(c: str) -> int:
+    return 0 if "0" <= c <= "9" else 1 if "a" <= c <= "z" else 2 if "A" <= c <= "Z" else 3
+
+
 def code_of(text: str, start: int, end: int) -> int:
-    """Votes and features of a candidate in one number: all digits, hex, length class, named, lead-up."""
+    """What the labelers and the classifier see of a candidate, in one number.
+
+    letters: none, lower, upper, both; digits: none, some, half or more, all; size and entropy by classes; turns between kinds of
+    characters: two at most, some, one in four or more; shape: none, date or number, words joined, upper-case code, hex, UUID; named:
+    no, as a secret, as an ordinary code; led: by nothing, an equals sign, a quote, a colon.
+    """
     run = text[start:end]
-    length = end - start
-    size = 0 if length < 12 else 1 if length < 16 else 2 if length < 24 else 3 if length < 40 else 4
+    n = end - start
+    kinds = [kind_of(c) for c in run]
+    digits, lower, upper = (kinds.count(k) for k in (0, 1, 2))
+    entropy = -sum(m / n * math.log2(m / n) for m in Counter(run).values())
+    turns = sum(x != y for x, y in zip(kinds, kinds[1:], strict=False))
+    if _UUID.match(run):
+        shape = 5
+    elif not lower and not upper or _DATE.match(run):
+        shape = 1
+    elif _SLUG.match(run):
+        shape = 2
+    elif _HEX.match(run) and n >= 16:
+        shape = 4
+    else:
+        shape = 3 if _UPPER_CODE.match(run) else 0
     before = text[max(0, start - CONTEXT) : start]
-    lead = before.rstrip(" ")[-1:]
-    led = 1 if lead == "=" else 2 if lead in ('"', "'") and lead else 3 if lead == ":" else 0
-    letters = _LETTER.search(run) is not None
-    return (((letters * 2 + (_HEX.match(run) is not None)) * 5 + size) * 2 + (_NAMED.search(before) is not None)) * 4 + led
+    last = before.rstrip(" ")[-1:]
+    values = {
+        "letters": (lower > 0) + 2 * (upper > 0),
+        "digits": 0 if not digits else 3 if digits == n else 2 if 2 * digits >= n else 1,
+        "size": sum(n >= x for x in _SIZES),
+        "entropy": sum(entropy >= x for x in _ENTROPIES),
+        "turns": 0 if turns <= 2 else 2 if 4 * turns >= n else 1,
+        "shape": shape,
+        "named": 1 if _NAMED.search(before) else 2 if _PLAIN.search(before) else 0,
+        "led": 1 if last == "=" else 2 if last in ("\"", "'") and last else 3 if last == ":" else 0,
+    }
+    code = 0
+    for part, of in PARTS.items():
+        code = code * of + values[part]
+    return code
+
+
+def parts_of(code: int) -> dict[str, int]:
+    out = {}
+    for part, of in reversed(PARTS.items()):
+        code, out[part] = divmod(code, of)
+    return out
 
 
-def parts_of(code: int) -> tuple[int, int, int, int, int]:
-    """(letters, hex, size, named, led) of a code."""
-    code, led = divmod(code, 4)
-    code, named = divmod(code, 2)
-    code, size = divmod(code, 5)
-    letters, hexed = divmod(code, 2)
-    return letters, hexed, size, named, led
+def named_values(text: str) -> Spans:
+    """Runs that a secret's name and an assignment lead up to; what ends a sentence isn't part of them."""
+    out: Spans = []
+    free = 0
+    for m in _ASSIGN.finditer(text):
+        if m.start() >= free and _TITLE.search(text, max(0, m.start() - CONTEXT), m.start()) and (v := _VALUE.match(text, m.end())):
+            run = v[1].rstrip(".!?")
+            if len(run) >= MIN_NAMED:
+                out.append((v.start(1), v.start(1) + len(run)))
+            free = v.end()
+    return out
 
 
 def candidates(text: str, base: list[Spans]) -> list[tuple[int, int, int]]:
-    """(start, end, code) of runs with a digit, of MIN_RUN characters or more, that meet no base span."""
-    out, at = [], 0
+    """(start, end, code) of runs with a digit, of MIN_RUN characters or more, and of named values; none meets a base span or another."""
     taken = sorted(s for spans in base for s in spans)
-    k = 0
+    found = named_values(text) if "=" in text or ":" in text else []
+    at, k = 0, 0
     while m := _DIGIT.search(text, at):
         start = m.start()
         while start > at and text[start - 1] in _RUN_CHARS:
             start -= 1
         at = end = _RUN.match(text, m.start()).end()
+        while k < len(found) and found[k][1] <= start:
+            k += 1
+        if end - start >= MIN_RUN and not (k < len(found) and found[k][0] < end):
+            found.insert(k, (start, end))
+            k += 1
+    out, k = [], 0
+    for start, end in found:
         while k < len(taken) and taken[k][1] <= start:
             k += 1
-        if end - start >= MIN_RUN and not any(s < end and e > start for s, e in taken[k : k + 8]):
+        if not any(s < end and e > start for s, e in taken[k : k + 8]):
             out.append((start, end, code_of(text, start, end)))
     return out
 
 
-def votes(code: int) -> tuple[int, int, int]:
-    """The labelers' votes on a candidate: pattern, gazetteer, context; 1 secret, 0 not, -1 no opinion."""
-    letters, hexed, size, named, led = parts_of(code)
-    pattern = 0 if not letters else 1 if size >= 2 or hexed and size >= 1 else -1
-    return pattern, int(named), int(led > 0)
+LABELERS = ["pattern", "gazetteer", "context", "entropy", "ordinary", "turns"]
+
+
+def votes(code: int) -> tuple[int, ...]:
+    """The LABELERS' votes on a candidate: 1 secret, 0 not, 2 no opinion."""
+    p = parts_of(code)
+    return (
+        0 if not p["letters"] or p["shape"] == 1 else 1 if p["digits"] in (1, 2) and p["size"] >= 2 and p["shape"] in (0, 4) else 2,
+        int(p["named"] == 1),
+        int(p["led"] > 0),
+        1 if p["entropy"] >= 2 else 0 if p["entropy"] == 0 else 2,
+        0 if p["named"] == 2 or p["shape"] in (1, 2, 3, 5) else 2,
+        1 if p["turns"] == 2 else 0 if p["turns"] == 0 else 2,
+    )
+
+
+#: Belief on how often each labeler votes (not, secret, nothing) on what is no secret, on a secret, and its weight: as a multiple of the data.
+ANCHORS = {
+    "pattern": ((0.4, 0.2, 0.4), (0.1, 0.6, 0.3), 0.1),
+    "gazetteer": ((0.998, 0.002, 0.0), (0.1, 0.9, 0.0), 9.0),
+    "context": ((0.8, 0.2, 0.0), (0.1, 0.9, 0.0), 0.1),
+    "entropy": ((0.3, 0.4, 0.3), (0.1, 0.6, 0.3), 0.1),
+    "ordinary": ((0.5, 0.0, 0.5), (0.02, 0.0, 0.98), 9.0),
+    "turns": ((0.4, 0.3, 0.3), (0.3, 0.4, 0.3), 0.1),
+}
+#: Belief on the share of secrets among candidates and its weight, as a multiple of the data; the classifier's ridge.
+PRIOR, PRIOR_WEIGHT, RIDGE = 0.1, 0.2, 0.01
+
+
+def posteriors(v: np.ndarray, n: np.ndarray, rounds: int = 50) -> tuple[np.ndarray, float, np.ndarray]:
+    """EM over vote patterns ``v`` (rows: patterns, columns: LABELERS) that occur ``n`` times: posteriors, prior, and rates[truth, labeler, vote]."""
+    belief = np.array([[ANCHORS[x][y] for x in LABELERS] for y in (0, 1)])
+    weight = np.array([ANCHORS[x][2] for x in LABELERS])[:, None]
+    rates, prior = np.clip(belief, 0.001, 0.999), PRIOR
+    said = v[:, :, None] == np.arange(3)
+    for _ in range(rounds + 1):
+        say = [np.where(said, np.log(rates[y]), 0).sum((1, 2)) for y in (0, 1)]
+        p = 1 / (1 + np.exp(-np.clip(say[1] - say[0] + np.log(prior / (1 - prior)), -30, 30)))
+        prior = float((n @ p / n.sum() + PRIOR_WEIGHT * PRIOR) / (1 + PRIOR_WEIGHT))
+        for y, own in enumerate((1 - p, p)):
+            held = (n * own) @ said.reshape(len(v), -1)
+            held, total = held.reshape(-1, 3), (n * own).sum() + 1
+            rates[y] = np.clip((held + weight * total * belief[y]) / (total - 1 + weight * total), 0.001, 0.999)
+    return p, prior, rates
 
 
 class Model:
@@ -157,34 +270,26 @@ class Model:
 
     def __init__(self, counts: dict[int, int], rounds: int = 50):
         self.accepted: frozenset[int] = frozenset()
-        self.prior, self.rates = 0.5, np.full((2, 3), 0.5)
+        self.prior, self.rates = PRIOR, np.zeros((2, len(LABELERS), 3))
         codes = sorted(counts)
         if not codes:
             return
         n = np.array([counts[c] for c in codes], dtype=float)
-        v = np.array([votes(c) for c in codes])
-        p = np.clip(((v == 1).sum(1) + 0.5) / ((v >= 0).sum(1) + 1), 0.05, 0.95)  # majority to begin with
-        for _ in range(rounds):
-            self.prior = float(np.clip((n * p).sum() / n.sum(), 0.001, 0.999))
-            for y, own in enumerate((1 - p, p)):  # rates[y][k]: how often labeler k votes 1 where the truth is y
-                w = (n * own)[:, None]
-                self.rates[y] = np.clip(((w * (v == 1)).sum(0) + 1) / ((w * (v >= 0)).sum(0) + 2), 0.01, 0.99)
-            say = [np.where(v == 1, np.log(self.rates[y]), np.where(v == 0, np.log(1 - self.rates[y]), 0)).sum(1) for y in (0, 1)]
-            odds = say[1] - say[0] + np.log(self.prior / (1 - self.prior))
-            p = 1 / (1 + np.exp(-np.clip(odds, -30, 30)))
+        p, self.prior, self.rates = posteriors(np.array([votes(c) for c in codes]), n, rounds)
         x = np.array([self.features(c) for c in codes])
         self.weights = np.zeros(x.shape[1])
         for _ in range(rounds):  # Newton's steps with a ridge
             q = 1 / (1 + np.exp(-np.clip(x @ self.weights, -30, 30)))
-            gradient = x.T @ (n * (p - q)) - self.weights
-            hessian = (x * (n * q * (1 - q))[:, None]).T @ x + np.eye(x.shape[1])
+            gradient = x.T @ (n * (p - q)) - RIDGE * self.weights
+            hessian = (x * (n * q * (1 - q))[:, None]).T @ x + RIDGE * np.eye(x.shape[1])
             self.weights += np.linalg.solve(hessian, gradient)
         self.accepted = frozenset(c for c, f in zip(codes, x, strict=True) if f @ self.weights >= 0)
 
     @staticmethod
     def features(code: int) -> list[float]:
-        letters, hexed, size, named, led = parts_of(code)
-        return [1, letters, hexed, *(size == i for i in range(1, 5)), named, *(led == i for i in range(1, 4)), named and led > 0]
+        """One column for each value of each part but the first, and a secret's name with an assignment or a quote."""
+        p = parts_of(code)
+        return [1, *(p[part] == k for part, of in PARTS.items() for k in range(1, of)), p["named"] == 1 and p["led"] > 0]
 
 
 SCANNED = "base array<struct<kind:int,start:int,end:int>>, more array<struct<start:int,end:int,code:int>>"
@@ -210,7 +315,7 @@ def scan(docs: DataFrame) -> DataFrame:
 
 
 def fit(scanned: DataFrame) -> Model:
-    """Fits on how often each code occurs among all candidates: at most 640 rows come to the driver."""
+    """Fits on how often each code occurs among all candidates: at most CODES rows come to the driver."""
     counts = scanned.select(F.explode("more").alias("m")).groupBy("m.code").agg(F.count("*").alias("n")).collect()
     return Model({r["code"]: r["n"] for r in counts})
 
@@ -254,7 +359,9 @@ def masked(text: str, accepted: frozenset[int]) -> str:
 
 def redact(docs: DataFrame) -> DataFrame:
     """``docs`` with personal data in text replaced by ``[EMAIL]`` and the like; all other columns stay."""
-    accepted = fit(materialise(scan(docs), "pii-scan")).accepted
+    scanned = materialise(scan(docs), "pii-scan")
+    accepted = fit(scanned).accepted
+    release(scanned)
 
     def rows(batches):
         for b in batches:

@@ -21,7 +21,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillstone.llm.common import LOWER, UPPER, materialise
+from quillstone.llm.common import LOWER, UPPER, materialise, scratch
 
 MIN_WORDS, MAX_REPEAT_PERCENT, WINDOW = 10, 20, 5
 LEAST_DOCS, SHARE, MIN_LEFT = 20, 0.01, 0.3
@@ -129,9 +129,10 @@ def clean(docs: DataFrame, **limits) -> DataFrame:
     Texts without such lines stay as they are, byte for byte. Verdicts depend on host and text alone, so they go back by
     these, and only those that change something do.
     """
-    told = verdicts(materialise(measure(docs.select("source", "text")), "measured"), **limits).where("NOT kept OR bad_lines IS NOT NULL")
-    told = told.groupBy(*[F.col(c).alias(f"_b{c}") for c in TEXT]).agg(F.first("kept").alias("_kept"), F.first("bad_lines").alias("_bad"))
-    told = materialise(told, "verdicts")
+    with scratch(docs.sparkSession) as keep:
+        told = verdicts(materialise(measure(docs.select("source", "text")), "measured"), **limits).where("NOT kept OR bad_lines IS NOT NULL")
+        told = told.groupBy(*[F.col(c).alias(f"_b{c}") for c in TEXT]).agg(F.first("kept").alias("_kept"), F.first("bad_lines").alias("_bad"))
+        told = keep(materialise(told, "verdicts"))
     df = docs.withColumns({"_t": F.xxhash64("text"), "_u": F.xxhash64(F.lit(1), "text")})
     df = df.join(told, same_text(df, told), "left").where(F.coalesce("_kept", F.lit(True)))
     left = F.filter(F.split("text", "\n"), lambda x: ~F.array_contains("_bad", F.xxhash64(trimmed(normalised(x)))))

@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillstone.llm.common import fs_of, materialise, new_path
+from quillstone.llm.common import delete, fs_of, materialise, new_path, release
 from quillstone.llm.tokens import tokenizer
 
 KEY = ["source", "lang", "tokenizer"]
@@ -61,11 +61,16 @@ class Rollup:
         fs, p = fs_of(self.spark, f"{self.path}/{folder}")
         return sorted(s.getPath().getName() for s in fs.listStatus(p)) if fs.exists(p) else []
 
-    def _snapshot(self) -> tuple[str | None, set[str]]:
-        if not (names := self._names("snapshots")):
-            return None, set()
-        at = f"{self.path}/snapshots/{names[-1]}"
-        return at, {r["batch"] for r in self.spark.read.schema("batch string").parquet(f"{at}/ledger").collect()}
+    def _snapshot(self) -> str | None:
+        names = self._names("snapshots")
+        return f"{self.path}/snapshots/{names[-1]}" if names else None
+
+    def _ledger(self, at: str) -> DataFrame:
+        return self.spark.read.schema("batch string").parquet(f"{at}/ledger")
+
+    def _folded(self, at: str | None, names: list[str]) -> set[str]:
+        """Those of the batches that the snapshot holds; its ledger, which grows with all batches ever committed, stays where it is."""
+        return {r["batch"] for r in self._ledger(at).where(F.col("batch").isin(names)).collect()} if at and names else set()
 
     def _publish(self, made: str, at: str) -> None:
         fs, p = fs_of(self.spark, f"{self.path}/{at}")
@@ -77,7 +82,7 @@ class Rollup:
         """Adds a batch of deltas (columns of SUMS); false, and no change, if the id has been committed before."""
         if not re.fullmatch(r"[A-Za-z0-9._-]+", batch):
             raise ValueError(f"no good batch id: {batch!r}")
-        if batch in self._names("batches") or batch in self._snapshot()[1]:
+        if batch in self._names("batches") or self._folded(self._snapshot(), [batch]):
             return False
         made = f"{self.path}/making-{batch}"
         zero = F.lit(0).cast("long")
@@ -87,23 +92,27 @@ class Rollup:
         return True
 
     def totals(self) -> DataFrame:
-        at, ledger = self._snapshot()
-        paths = [f"{self.path}/batches/{b}" for b in self._names("batches") if b not in ledger] + ([f"{at}/sums"] if at else [])
+        at, names = self._snapshot(), self._names("batches")
+        folded = self._folded(at, names)
+        paths = [f"{self.path}/batches/{b}" for b in names if b not in folded] + ([f"{at}/sums"] if at else [])
         read = self.spark.read.schema(SUMS)
         rows = read.parquet(*paths) if paths else self.spark.createDataFrame([], SUMS)
         return rows.groupBy(*KEY).agg(F.sum("docs").alias("docs"), F.sum("tokens").alias("tokens")).where("docs <> 0 OR tokens <> 0")
 
-    def compact(self) -> None:
-        """Folds all batches into a new snapshot. If this ends half way, totals are as before or as after."""
-        names, (at, ledger) = self._names("batches"), self._snapshot()
+    def compact(self, keep: int = 2) -> None:
+        """Folds all batches into a new snapshot and deletes all but the last ``keep``. If this ends half way, totals are as before or as after."""
+        names, at = self._names("batches"), self._snapshot()
+        folded = self._folded(at, names)
         number = int(at.rsplit("/", 1)[1]) + 1 if at else 0
         made = f"{self.path}/making-snapshot"
         self.totals().write.mode("overwrite").parquet(f"{made}/sums")
-        self.spark.createDataFrame([(b,) for b in sorted(ledger | set(names))], "batch string").write.mode("overwrite").parquet(f"{made}/ledger")
+        new = self.spark.createDataFrame([(b,) for b in names if b not in folded], "batch string")
+        (self._ledger(at).union(new) if at else new).write.mode("overwrite").parquet(f"{made}/ledger")
         self._publish(made, f"snapshots/{number:012d}")
-        fs, p = fs_of(self.spark, f"{self.path}/batches")
         for b in names:
-            fs.delete(fs_of(self.spark, f"{self.path}/batches/{b}")[1], True)
+            delete(self.spark, f"{self.path}/batches/{b}")
+        for old in self._names("snapshots")[:-keep]:
+            delete(self.spark, f"{self.path}/snapshots/{old}")
 
 
 #: The production query's versions: all documents are counted with the first, then those not in English move to the second.
@@ -126,4 +135,5 @@ def op4_token_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
     rollup.commit("delete", delta(gone.where(~moved), -1, old, "n_0").union(delta(gone.where(moved), -1, new, "n_1")))
     rollup.compact()
     rollup.commit("load", load)
+    release(counts)
     return rollup.totals().select(*KEY, F.col("docs").alias("n_docs"), F.col("tokens").alias("n_tokens"))

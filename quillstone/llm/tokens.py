@@ -4,11 +4,11 @@ from __future__ import annotations
 
 import json
 import re
-import sys
-import types
 
 import numpy as np
 
+from quillstone.llm.common import kept
+
 #: Texts of these characters alone take the fast way: ASCII without rare controls, and Latin-1's letters.
 _PLAIN = re.compile(r"[\t-\r\x20-\x7e\xc0-\xd6\xd8-\xf6\xf8-\xff]*\Z")
 #: Pre-tokens of lower-cased plain text, as the tokenizer file's own pattern splits it.
@@ -35,9 +35,8 @@ class WordBpe:
 
     def __init__(self, path: str):
         import tiktoken
-        from tokenizers import Tokenizer
 
-        self.library = Tokenizer.from_file(path)
+        self.path, self._library = path, None
         symbols, end, ranks = _byte_symbols(), "</w>", {}
         with open(path, encoding="utf-8") as f:
             vocab = json.load(f)["model"]["vocab"]
@@ -48,6 +47,15 @@ class WordBpe:
             ranks[bytes(symbols[c] for c in (token[: -len(end)] if last else token)) + b" " * last] = i
         self.fast = tiktoken.Encoding("word_bpe", pat_str="[^ ]+ ", mergeable_ranks=ranks, special_tokens={})
 
+    @property
+    def library(self):
+        """The library's tokenizer, loaded when the first text needs it: it takes as much memory again."""
+        if self._library is None:
+            from tokenizers import Tokenizer
+
+            self._library = Tokenizer.from_file(self.path)
+        return self._library
+
     def encode(self, text: str) -> np.ndarray:
         if "<|" in text or not _PLAIN.match(text):
             return np.array(self.library.encode(text, add_special_tokens=False).ids, dtype=np.uint32)
@@ -70,13 +78,14 @@ class Pieces:
 
 def tokenizer(name: str, folder: str | None = None):
     """The tokenizer of a vocabulary file, loaded once in a process. ``folder``: where the files are; else the installed package's."""
-    kept = sys.modules.setdefault("_quillstone_tokenizers", types.ModuleType("_quillstone_tokenizers")).__dict__
-    if (name, folder) not in kept:
+
+    def load():
         if folder is None:
             import public_tokenizers
 
             path = public_tokenizers.path(name)
         else:
             path = f"{folder}/{name}"
-        kept[name, folder] = (Pieces if name.endswith(".model") else WordBpe)(str(path))
-    return kept[name, folder]
+        return (Pieces if name.endswith(".model") else WordBpe)(str(path))
+
+    return kept(f"tokenizer {name} {folder}", load)

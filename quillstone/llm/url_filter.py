@@ -94,7 +94,7 @@ def build_cascade(universe: DataFrame, hashes: int = 6, most_bytes: int = 64 <<
     Levels get ``hashes`` hash functions and the bits that make a false positive one in 2 ** hashes (8.7 bits a key for
     six), so what is left shrinks by that factor at every second level. ``most_bytes`` bounds the filters, which the
     driver holds and sends with each task: more listed keys than fit (60 million in 64 MB) raise ValueError; split
-    the keys by a hash then, one cascade each, and judge block by block (``build_sharded``).
+    the keys by a hash then, one cascade each (``with_listed``).
     """
     keys = materialise(universe.groupBy("key").agg(F.max("listed").alias("listed")), "url-keys")
     cascade, depth = Cascade(), 0
@@ -105,7 +105,7 @@ def build_cascade(universe: DataFrame, hashes: int = 6, most_bytes: int = 64 <<
         depth += 1
         bits = max(64, math.ceil(n * hashes / math.log(2)))
         if cascade.size_bytes() + bits // 8 > most_bytes:
-            raise ValueError(f"the cascade needs more than {most_bytes} bytes; use build_sharded with more shards")
+            raise ValueError(f"the cascade needs more than {most_bytes} bytes; use with_listed with more shards")
         word = fill(encode, depth, bits, hashes)
         cascade.levels.append((bits, hashes))
         cascade.words.append(word)
@@ -117,35 +117,40 @@ def build_cascade(universe: DataFrame, hashes: int = 6, most_bytes: int = 64 <<
     return cascade
 
 
-def build_sharded(universe: DataFrame, shards: int, hashes: int = 6, most_bytes: int = 64 << 20) -> list[Cascade]:
-    """One cascade for each of ``shards`` hash shards of the keys: more keys than one filter may hold."""
-    shard = F.pmod(F.xxhash64("key"), F.lit(shards))
-    return [build_cascade(universe.where(shard == s), hashes, most_bytes) for s in range(shards)]
+def shards_for(listed: int, hashes: int = 6, most_bytes: int = 64 << 20) -> int:
+    """How many cascades so many listed keys need; a quarter more than the first level takes is left for the others."""
+    return max(1, math.ceil(1.25 * listed * hashes / math.log(2) / 8 / most_bytes))
 
 
-def with_listed(df: DataFrame, key: Column, cascades: list[Cascade], name: str = "listed") -> DataFrame:
-    """Adds whether the key is listed. Several shards go block by block: each pass sends out one shard's filter."""
-    if len(cascades) == 1:
-        return df.withColumn(name, cascades[0].listed(key))
-    shard, out = F.pmod(F.xxhash64(key), F.lit(len(cascades))), None
-    for s, c in enumerate(cascades):
-        part = materialise(df.where(shard == s).withColumn(name, c.listed(key)), "url-judged")
+def with_listed(df: DataFrame, key: Column, universe: DataFrame, shards: int | None = None, hashes: int = 6, most_bytes: int = 64 << 20, name: str = "listed") -> DataFrame:
+    """Adds whether the key is listed, by the cascade of ``universe``, rows (key, listed), which holds all keys of ``df``.
+
+    Keys that one cascade can't hold are dealt to hash shards: a shard's cascade is built, judges its rows, which go
+    to a table, and is dropped before the next one, so the driver holds one at a time.
+    """
+    if shards is None:
+        shards = shards_for(universe.where("listed").select("key").distinct().count(), hashes, most_bytes)
+    if shards == 1:
+        return df.withColumn(name, build_cascade(universe, hashes, most_bytes).listed(key))
+    own, out = F.pmod(F.xxhash64(key), F.lit(shards)), None
+    for s in range(shards):
+        cascade = build_cascade(universe.where(F.pmod(F.xxhash64("key"), F.lit(shards)) == s), hashes, most_bytes)
+        part = materialise(df.where(own == s).withColumn(name, cascade.listed(key)), "url-judged")
         out = part if out is None else out.union(part)
     return out
 
 
-def judge(pages: DataFrame, listed_url: Column, rules=RULES, shards: int = 1, hashes: int = 6) -> DataFrame:
+def judge(pages: DataFrame, listed_url: Column, rules=RULES, shards: int | None = None, hashes: int = 6) -> DataFrame:
     """Adds host, path, rule, listed and verdict to ``pages``.
 
     ``listed_url`` says which rows put their key (host and path) on the block list. The verdict is that of the longest
-    rule that fits, else block for listed keys and allow for the rest.
+    rule that fits, else block for listed keys and allow for the rest. ``shards``: by the number of listed keys if not given.
     """
     own = [c for c in pages.columns if c not in ("host", "path", "rule", "listed", "verdict")]
     at = pages.select(*own, host_of(F.col("url")).alias("host"), path_of(F.col("url")).alias("path"), F.coalesce(listed_url, F.lit(False)).alias("_lists"))
     key = F.concat("host", "path")
     universe = at.select(key.alias("key"), F.col("_lists").alias("listed"))
-    cascades = [build_cascade(universe, hashes)] if shards == 1 else build_sharded(universe, shards, hashes)
-    out = with_listed(at.drop("_lists").withColumn("_rule", rule_of(F.col("host"), F.col("path"), rules)), key, cascades)
+    out = with_listed(at.drop("_lists").withColumn("_rule", rule_of(F.col("host"), F.col("path"), rules)), key, universe, shards, hashes)
     verdict = F.coalesce(F.col("_rule.verdict"), F.when(F.col("listed"), "block").otherwise("allow"))
     return out.select(*own, "host", "path", F.col("_rule.rule").alias("rule"), "listed", verdict.alias("verdict"))
 

@@ -26,9 +26,11 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillstone.llm.common import materialise, new_path
+from quillstone.llm.common import delete, materialise, new_path, release, scratch
 
 CRLF = "\r\n"
+#: Digests that occur again are broadcast up to so many, a few megabytes; beyond, a digest's rows are dealt to SALTS tasks.
+BROADCAST_ROWS, SALTS = 100_000, 16
 RECORDS = "rid string, kind string, page_id long, origin string, segment int, total long, digest string, refers_to long, block binary"
 PAYLOADS = "page_id long, payload binary, payload_digest string, record_type string, refers_to long"
 
@@ -87,17 +89,25 @@ def records(pages: DataFrame, segment_bytes: int, chunk_bytes: int) -> DataFrame
 def write_warc(pages: DataFrame, path: str, segment_bytes: int = 16 << 10, chunk_bytes: int = 4 << 10, file_rows: int = 20_000) -> None:
     """Writes one record a row of ``pages`` (page_id, url, html), and more for the segments of long ones.
 
-    Of rows with equal payloads that with the largest page_id is the response and the others revisit it. Only
-    digests and ids are grouped and joined; payloads that occur once, which are most, need no partner.
+    Of rows with equal payloads that with the largest page_id is the response and the others revisit it. Digests and
+    ids alone are grouped. The digests that occur again are sent to all tasks if they are few; else rows meet them by a
+    shuffle, rows of one digest in SALTS tasks.
     """
     df = pages.select("page_id", "url", F.coalesce("html", F.lit("")).cast("binary").alias("payload"))
     df = df.withColumn("digest", base32_sha1(F.col("payload")))
     digests = pages.select("page_id", base32_sha1(F.coalesce("html", F.lit("")).cast("binary")).alias("digest"))
     shared = materialise(digests.groupBy("digest").agg(F.max("page_id").alias("newest"), F.count("*").alias("n")).where("n > 1").drop("n"), "warc-shared")
-    out = records(df.join(shared, "digest", "left"), segment_bytes, chunk_bytes)
+    if shared.count() <= BROADCAST_ROWS:
+        df = df.join(F.broadcast(shared), "digest", "left")
+    else:
+        salted = shared.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+        own = F.pmod(F.xxhash64("page_id", "url"), F.lit(SALTS)).cast("int")
+        df = df.withColumn("_salt", own).join(salted, ["digest", "_salt"], "left").drop("_salt")
+    out = records(df, segment_bytes, chunk_bytes)
     # bytes go through unchanged: a Spark string may hold any, and the text writer writes them as they are
     text = out.select(F.col("record").cast("string").alias("value"))
     text.write.option("lineSep", CRLF + CRLF).option("compression", "gzip").option("maxRecordsPerFile", file_rows).text(path)
+    release(shared)
 
 
 def gunzip(data: bytes, step: int = 1 << 16) -> bytes:
@@ -241,8 +251,10 @@ def with_lengths(read: DataFrame) -> DataFrame:
 def op2_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = spark.read.parquet(f"{sf_dir}/pages.parquet").select("page_id", "url", "html")
     path = new_path(spark, "archive")
-    write_warc(pages, path)
-    read = materialise(read_warc(spark, path, keep_payload=False).drop("payload"), "warc-read")
+    with scratch(spark) as keep:
+        write_warc(pages, path)
+        read = keep(materialise(read_warc(spark, path, keep_payload=False).drop("payload"), "warc-read"))
+    delete(spark, path)
     return with_lengths(read).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
