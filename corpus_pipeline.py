@@ -1,7 +1,10 @@
 """From raw documents to packed training sequences: each stage works on all that the one before it kept.
 
 ``STAGES`` are (name, function); a function takes (spark, docs, sf_dir) and returns a DataFrame, which is written as
-Parquet and read again as the next one's docs. All but the last return the columns of documents.
+Parquet and read again as the next one's docs. All but the last return the columns of documents; other columns are left out.
+
+A null text counts as empty, so the quality rules reject it. Rows with a null doc_id, and rows that share a doc_id, are documents of
+their own in all stages: a row goes only for what its own text is. An empty table gives empty tables.
 """
 
 from __future__ import annotations
@@ -10,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quillstone.llm import mixing, packing, pii, quality, simhash
-from quillstone.llm.common import materialise
+from quillstone.llm.common import materialise, release, scratch
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
@@ -21,29 +24,38 @@ def counted(docs: DataFrame) -> DataFrame:
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drops documents that the rules reject and takes boilerplate lines out of the others."""
+    """Drops documents that the rules reject and takes boilerplate lines out of the others; a null source is a host of its own."""
     return counted(quality.clean(docs, **quality.CLEANING))
 
 
 def simhash_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies (five-word shingles, Jaccard 0.8): that with the smallest doc_id."""
+    """One row of each group of near copies (five-word shingles, Jaccard 0.8): that with the smallest doc_id, null ids last.
+
+    Rows that share that doc_id but not the group are kept; of equal texts with equal ids one row is kept.
+    """
     return simhash.deduplicate(docs).select(*COLUMNS)
 
 
 def pii_redaction(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Personal data and secrets in texts replaced by their kind."""
+    """Personal data and secrets in texts replaced by their kind; all rows stay."""
     return counted(pii.redact(docs))
 
 
 def source_mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents in the order of the schedule, those of sources too small for their weight again in later epochs."""
+    """Documents in the order of the schedule, those of sources too small for their weight again in later epochs.
+
+    A document that comes again is a row like any other. Files follow the schedule, and so do rows within a file.
+    """
     mixed = mixing.mix(docs.select(*COLUMNS), order=["doc_id", "text"])
     return mixed.repartitionByRange("position").sortWithinPartitions("position").select(*COLUMNS)
 
 
 def packed_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pieces of all documents with their places in sequences."""
-    return packing.pack(docs)
+    """Pieces of all documents with their places in sequences, which follow the schedule by stretches of its files.
+
+    What comes without files, or in files without numbers, is one stretch.
+    """
+    return packing.pack(docs, window=F.regexp_extract(F.input_file_name(), r"part-(\d{1,9})", 1).try_cast("long"))
 
 
 STAGES = [
@@ -54,12 +66,16 @@ STAGES = [
     ("packing", packed_sequences),
 ]
 
-#: SQL can't express fingerprints, the span classifier or token ids; tests hold the stages against brute force.
+#: SQL can't express near copies by shingles, the span classifier or token ids; tests hold the stages against brute force.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages; a stage's tables go when the next one's is written."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for name, stage in STAGES:
-        docs = materialise(stage(spark, docs, sf_dir), name.replace(" ", "-"))
+        with scratch(spark) as keep:
+            after = keep(materialise(stage(spark, docs, sf_dir), name.replace(" ", "-")))
+        release(docs)
+        docs = after
     return docs
