@@ -117,8 +117,8 @@ def linked(texts: DataFrame, points: DataFrame, candidates: DataFrame, similarit
         for b in batches:
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array([shingles(t.as_py(), shingle, seed).view(np.int64) for t in b.column(1)], pa.list_(pa.int64()))], names=["p", "shingles"])
 
-    sets = texts.join(own, "p", "left_semi").mapInArrow(whole, "p long, shingles array<long>").groupBy("p").agg(F.first("shingles").alias("shingles"))
-    sets = materialise(sets, "sets")
+    # copies of a text become one row before they are dealt out
+    sets = materialise(texts.groupBy("p").agg(F.first("text").alias("text")).join(own, "p", "left_semi").mapInArrow(whole, "p long, shingles array<long>"), "sets")
     of = lambda c: sets.select(F.col("p").alias(c), F.col("shingles").alias(f"s{c}"))
     both = F.size(F.array_intersect("sa", "sb"))
     alike = F.when(F.col("na") + F.col("nb") == 0, True).otherwise(both / (F.col("na") + F.col("nb") - both) >= similarity)
