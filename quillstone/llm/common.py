@@ -20,6 +20,8 @@ _own: dict[str, str] = {}
 #: Tables written inside ``scratch`` blocks, innermost last.
 _scratch: list[list[str]] = []
 
+#: Rows that a task writes of a table whose number of rows is known.
+FILE_ROWS = 100_000
 #: Words are runs of anything but space, tab, newline, vertical tab, form feed and carriage return.
 WORD = r"[^\x20\x09-\x0D]+"
 #: Matrices of sets are made for so many elements at a time.
@@ -56,10 +58,15 @@ def delete(spark: SparkSession, path: str) -> None:
     fs.delete(p, True)
 
 
-def materialise(df: DataFrame, name: str) -> DataFrame:
-    """Cuts lineage by a table in the shared folder; a lost executor costs no more than what it was reading."""
+def materialise(df: DataFrame, name: str, rows: int | None = None) -> DataFrame:
+    """Cuts lineage by a table in the shared folder; a lost executor costs no more than what it was reading.
+
+    ``rows``: a bound on its rows where one is known; few rows are then written by few tasks, FILE_ROWS each.
+    """
     spark = df.sparkSession
     path = new_path(spark, name)
+    if rows is not None:
+        df = df.coalesce(rows // FILE_ROWS + 1)
     df.write.parquet(path)
     if _scratch:
         _scratch[-1].append(path)
@@ -190,7 +197,7 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
         large = both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
         least = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(least, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        nxt = materialise(small.union(least.select("u", F.col("m").alias("v"))).distinct(), "edges")
+        nxt = materialise(small.union(least.select("u", F.col("m").alias("v"))).distinct(), "edges", mark[0])
         release(e)
         e = nxt
     return e.select(F.col("u").alias("node"), F.col("v").alias("component"))

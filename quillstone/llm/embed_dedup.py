@@ -138,20 +138,20 @@ def verified(pairs: DataFrame, threshold: float) -> DataFrame:
     return pairs.select("a", "b", "va", "vb").mapInArrow(rows, "a long, b long")
 
 
-def near_links(points: DataFrame, met: DataFrame, threshold: float, hot: int, block: int) -> tuple[DataFrame, DataFrame]:
+def near_links(points: DataFrame, number: int, met: DataFrame, threshold: float, hot: int, block: int) -> tuple[DataFrame, DataFrame]:
     """(id, linked) and (a, b): how many vectors each point links with outside itself, and pairs that connect what all links connect.
 
-    ``points`` (id, n, vector), ``met`` (dim, filter, id). Points of a filter of up to ``hot`` of them meet as pairs, which are made distinct
+    ``points`` (id, n, vector), ``number`` of them, ``met`` (dim, filter, id). Points of a filter of up to ``hot`` of them meet as pairs, which are made distinct
     and verified one by one. Those of a larger filter are compared by blocks of about ``block``, two blocks in a task: a product of
     matrices whose links are counted and never become rows. A pair that shares several large filters counts in the first
     of them only, and isn't among the pairs of small ones.
     """
     sizes = met.groupBy("dim", "filter").agg(F.count("*").alias("m")).where("m > 1")
-    sizes = materialise(sizes.select(F.col("dim").alias("_d"), F.col("filter").alias("_f"), "m"), "filter-sizes")
+    sizes = sizes.select(F.col("dim").alias("_d"), F.col("filter").alias("_f"), "m")
     sized = met.join(sizes, (F.col("dim") == F.col("_d")) & (F.col("filter") == F.col("_f"))).select("dim", "filter", "id", "m")
     large = materialise(sized.where(F.col("m") > hot), "hot-filters")
     # a point passes a few dozen filters, so its list is short
-    hots = materialise(large.groupBy(F.col("id").alias("_id")).agg(F.sort_array(F.collect_list("filter")).alias("hots")), "hots")
+    hots = materialise(large.groupBy(F.col("id").alias("_id")).agg(F.sort_array(F.collect_list("filter")).alias("hots")), "hots", number)
     none = F.array().cast("array<bigint>")
     small = sized.where(F.col("m") <= hot).join(hots, F.col("id") == F.col("_id"), "left").select("dim", "filter", "id", F.coalesce("hots", none).alias("hots"))
     a, b = (small.select("dim", "filter", F.col("id").alias(x), F.col("hots").alias(f"h{x}")) for x in "ab")
@@ -184,7 +184,7 @@ def near_links(points: DataFrame, met: DataFrame, threshold: float, hot: int, bl
     both = links.union(links.select("b", "a"))
     counts = both.join(points.select(F.col("id").alias("b"), "n"), "b").select(F.col("a").alias("id"), F.col("n").alias("linked")).union(found.select("id", "linked"))
     edges = links.union(found.where("id <> to").select("id", "to").distinct())
-    return materialise(counts.groupBy("id").agg(F.sum("linked").alias("linked")), "link-counts"), edges
+    return materialise(counts.groupBy("id").agg(F.sum("linked").alias("linked")), "link-counts", number), edges
 
 
 def near_duplicates(vectors: DataFrame, threshold: float = THRESHOLD, passes: float | None = None, codes: int = CODES, seed: int = SEED, hot: int = HOT, block: int = HOT_BLOCK) -> DataFrame:
@@ -196,16 +196,17 @@ def near_duplicates(vectors: DataFrame, threshold: float = THRESHOLD, passes: fl
     # a point has a number of its own, as a vec_id may come with several vectors
     points = usable.groupBy("h", "g").agg(F.min("vec_id").alias("rep"), F.count("*").alias("n"), F.first("vector").alias("vector"))
     points = materialise(points.withColumn("id", F.monotonically_increasing_id()), "points")
-    size = max(64, math.ceil(math.sqrt(8 * max(1, points.count()))))
+    number = points.count()
+    size = max(64, math.ceil(math.sqrt(8 * max(1, number))))
     passes = passes_for(size) if passes is None else passes
     met = materialise(filters(points, size, passes, codes, seed), "filters")
-    partners, edges = near_links(points, met, threshold, hot, block)
+    partners, edges = near_links(points, number, met, threshold, hot, block)
     comp = materialise(components(edges), "components")
     release(met)
     told = points.select("h", "g", "id", "n", "rep").join(partners, "id", "left").join(comp, F.col("id") == F.col("node"), "left").withColumn("component", F.coalesce("component", "id"))
     least = told.groupBy("component").agg(F.min("rep").alias("_component"))
     told = told.join(least, "component").select(F.col("h").alias("_h"), F.col("g").alias("_g"), (F.col("n") - 1 + F.coalesce("linked", F.lit(0))).alias("_links"), "_component")
-    told = materialise(told, "told")
+    told = materialise(told, "told", number)
     release(points, partners, comp)
     on = F.col("good") & F.col("vec_id").isNotNull() & (F.col("h") == F.col("_h")) & (F.col("g") == F.col("_g"))
     out = rows.drop("vector").join(told, on, "left")

@@ -146,7 +146,7 @@ def near_duplicates(docs: DataFrame, distance: int = DISTANCE, shingle: int = SH
     comp = materialise(components(links), "components")
     linked = points.join(comp, F.col("fp") == F.col("node"), "left").withColumn("component", F.coalesce("component", "fp"))
     least = linked.groupBy("component").agg(F.min("rep").alias("component_id"))
-    named = materialise(linked.join(least, "component").select(F.col("fp").alias("_fp"), "component_id"), "named")
+    named = materialise(linked.join(least, "component").select(F.col("fp").alias("_fp"), "component_id"), "named", points.count())
     release(points, links, comp)
     return fps.join(named, F.col("fp") == F.col("_fp"), "left").drop("_fp")
 
