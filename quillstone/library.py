@@ -1,18 +1,22 @@
 """A library: papers, rows, postings, claims, projects and searches under one root, and what is done with them.
 
-Chunks, claims and figures are rows of one table; BM25 postings and statistics are tables made once per change, so a
-question reads only its own terms. Every mutation writes new versions, rows before what is derived from them.
+Chunks, claims and figures are rows of one table, dealt to hash parts by paper; BM25 postings and counts are derived part
+by part, so a change costs the parts that it touches, and a question reads only its own terms. A manifest names the
+folders that count; a change that is cut short changes nothing.
 """
 
 from __future__ import annotations
 
 import json
 import os
+import uuid
+import warnings
+from collections.abc import Callable
 from dataclasses import dataclass
 from datetime import datetime, timezone
 from pathlib import Path
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quillstone.functions import text as X
@@ -20,7 +24,7 @@ from quillstone.operators import claims as C
 from quillstone.operators import library as L
 from quillstone.operators import retrieval as R
 from quillstone.operators.where import both, build, compile_where
-from quillstone.sources.versions import Versions
+from quillstone.sources.versions import Files, Parts, Versions
 
 ROWS = "id string, doc_key string, pmid string, title string, type string, text string, section string, page int, tags array<string>, source_chunk_ids array<string>, source_level string, evidence_span string, direction string, seq long"
 MEMBERS = "project string, doc_key string, via array<string>, added_at string"
@@ -28,6 +32,12 @@ SEARCHES = "retrieved_at string, label string, query string, total_count long, r
 #: Words put before a question for some models (fixed values).
 QUESTION_PREFIX = {m: "Represent this sentence for searching relevant passages: " for m in ("BAAI/bge-small-en-v1.5", "BAAI/bge-base-en-v1.5", "BAAI/bge-large-en-v1.5")}
 DEFAULT_MODEL = "BAAI/bge-small-en-v1.5"
+POSTINGS, TERMS, SIZES = "id string, term string, tf long, dl long, doc_key string", "doc_key string, term string, df long", "doc_key string, n long, tokens long"
+
+
+def prefixed(question: str, model: str) -> str:
+    """The question as the model wants it embedded."""
+    return QUESTION_PREFIX.get(model, "") + question
 
 
 class LibraryError(Exception):
@@ -91,44 +101,95 @@ class Settings:
 
 
 class Library:
-    def __init__(self, spark: SparkSession, root: str, model: str = DEFAULT_MODEL):
-        self.spark, self.root, self.model = spark, root.rstrip("/"), model
-        self.tables = Versions(spark, f"{self.root}/{model.replace('/', '_')}")
+    """Rows, postings and term counts in hash parts of doc_key: a change writes the parts of the papers that it touches.
 
-    def rows(self) -> DataFrame:
-        return self.tables.read("rows", ROWS)
+    ``embed``: gives the vector of a text, for questions that come without one.
+    """
 
-    def _save_rows(self, rows: DataFrame) -> None:
-        self.tables.write("rows", rows.select(*[c.split()[0] for c in ROWS.split(", ")]))
-        self.reindex()
+    def __init__(self, spark: SparkSession, root: str, model: str = DEFAULT_MODEL, parts: int = 32, embed: Callable[[str], list[float]] | None = None):
+        self.spark, self.root, self.model, self.embed = spark, root.rstrip("/"), model, embed
+        self.tables = Versions(spark, f"{self.root}/{model.replace('/', '_')}")
+        self.store = Parts(spark, f"{self.root}/{model.replace('/', '_')}", "doc_key", parts)
+
+    def rows(self, only: list[int] | None = None) -> DataFrame:
+        return self.store.read("rows", ROWS, only)
+
+    def exists(self) -> bool:
+        return bool(self.store.numbers())
+
+    def models(self) -> list[str]:
+        """Models that rows are stored under."""
+        files = Files(self.spark)
+        return [m for m in files.names(self.root) if files.exists(f"{self.root}/{m}/manifests")]
+
+    def _save(self, touched: list[int], rows: DataFrame, texts: bool = True) -> None:
+        """The rows of the touched parts are now these. ``texts``: whether texts have changed, and with them postings."""
+        change = uuid.uuid4().hex
+        have = self.store.put("rows", rows.select(*[c.split()[0] for c in ROWS.split(", ")]), change)
+        written = {"rows": (touched, have)}
+        if texts:
+            written |= self._indexed(change, touched, self.store.spark.read.schema(ROWS).parquet(f"{self.store.root}/data/{change}/rows") if have else self.rows([]))
+        self.store.publish(change, written, {"lexical": texts or self.has_index()})
+        if texts:
+            self._measure()
+
+    def _indexed(self, change: str, touched: list[int], rows: DataFrame) -> dict:
+        post = R.postings(rows.select("id", "text")).join(rows.select("id", "doc_key"), "id")
+        have = self.store.put("postings", post, change, "term")
+        stored = self.spark.read.schema(POSTINGS).parquet(f"{self.store.root}/data/{change}/postings") if have else self.spark.createDataFrame([], POSTINGS)
+        terms = self.store.put("terms", stored.groupBy("doc_key", "term").agg(F.count("*").alias("df")), change, "term")
+        sizes = self.store.put("sizes", rows.groupBy("doc_key").agg(F.count("*").alias("n"), F.sum(F.size(X.tokenize(F.col("text")))).alias("tokens")), change)
+        return {"postings": (touched, have), "terms": (touched, terms), "sizes": (touched, sizes)}
+
+    def _measure(self) -> None:
+        """The corpus's numbers, summed up from those of papers and terms: no text is read."""
+        total = self.store.read("sizes", SIZES).agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n"), F.coalesce(F.sum("tokens"), F.lit(0)).alias("t")).first()
+        terms = self.store.read("terms", TERMS).groupBy("term").agg(F.sum("df").alias("df"))
+        corpus = {"n": total["n"], "avgdl": total["t"] / total["n"] if total["n"] else 0.0, "floor": R.floor_of(terms, total["n"])}
+        self.store.publish("", {}, {"corpus": corpus})
 
     def reindex(self) -> None:
-        """Postings, term and corpus statistics of all rows; postings first, the corpus's last."""
-        rows = self.rows()
-        post = self.tables.write("postings", R.postings(rows))
-        stats = R.corpus_stats(rows)
-        self.tables.write("terms", R.term_stats(post, stats))
-        self.tables.write("corpus", stats)
+        """Postings and statistics of all rows."""
+        change = uuid.uuid4().hex
+        self.store.publish(change, self._indexed(change, list(range(self.store.parts)), self.rows()), {"lexical": True})
+        self._measure()
+
+    def drop_index(self) -> None:
+        """Leaves rows and vectors alone: questions then have the dense leg only."""
+        gone = (list(range(self.store.parts)), set())
+        self.store.publish("", {"postings": gone, "terms": gone, "sizes": gone}, {"lexical": False})
+
+    def has_index(self) -> bool:
+        return bool(self.store.manifest().get("lexical"))
+
+    def index(self) -> R.Index:
+        corpus = self.store.manifest().get("corpus", {"n": 0, "avgdl": 0.0, "floor": 0.0})
+        return R.Index(self.store.read("postings", POSTINGS), self.store.read("terms", TERMS).select("term", "df"), self.rows().drop("text"), **corpus)
 
     # ingestion and mutation
 
     def ingest(self, rows: DataFrame, force: bool = False) -> dict:
         """Adds rows of papers; those whose paper is there already are left out, or with ``force`` replace all its rows."""
-        have = self.rows()
         rows = _shaped(rows)
-        if force:
-            out = L.replace(have, rows, "doc_key")
-        else:
-            rows = rows.join(have.select("doc_key").distinct(), "doc_key", "left_anti").select(*rows.columns)
-            out = L.upsert(have, rows, "id")
+        if not force:
+            known = self.rows(self.store.parts_with(rows)).select("doc_key").distinct()
+            rows = rows.join(known, "doc_key", "left_anti").select(*rows.columns)
+        touched = self.store.parts_with(rows)
         added = rows.agg(F.count("*").alias("rows"), F.count_distinct("doc_key").alias("papers")).first().asDict()
-        self._save_rows(out)
+        if touched or not self.exists():
+            have = self.rows(touched)
+            self._save(touched, L.replace(have, rows, "doc_key") if force else L.upsert(have, rows, "id"))
         return added
 
+    def _parts_of(self, keys: list[str]) -> list[int]:
+        return self.store.parts_with(self.spark.createDataFrame([(k,) for k in keys], "doc_key string"))
+
     def remove(self, keys: list[str]) -> dict:
-        have = {r["doc_key"] for r in self.rows().where(F.col("doc_key").isin(keys)).select("doc_key").distinct().collect()}
+        touched = self._parts_of(keys)
+        have = {r["doc_key"] for r in self.rows(touched).where(F.col("doc_key").isin(keys)).select("doc_key").distinct().collect()}
         if have:
-            self._save_rows(self.rows().where(~F.col("doc_key").isin(sorted(have))))
+            touched = self._parts_of(sorted(have))
+            self._save(touched, self.rows(touched).where(~F.col("doc_key").isin(sorted(have))))
         return {"removed": [k for k in keys if k in have], "not_found": [k for k in keys if k not in have]}
 
     def tag(self, keys: list[str] | None, set_: list[str] | None = None, add: list[str] | None = None, remove: list[str] | None = None) -> None:
@@ -141,11 +202,13 @@ class Library:
         if remove:
             new = L.tag_remove(new, lit(remove))
         hit = F.lit(True) if keys is None else F.col("doc_key").isin(keys)
-        self.tables.write("rows", self.rows().withColumn("tags", F.when(hit, new).otherwise(F.col("tags"))))
+        touched = list(range(self.store.parts)) if keys is None else self._parts_of(keys)
+        self._save(touched, self.rows(touched).withColumn("tags", F.when(hit, new).otherwise(F.col("tags"))), texts=False)
 
     def add_claims(self, doc_key: str, claims: list[dict], check_span: bool = True, check_numbers: bool = True) -> int:
         """Replaces the paper's claims after all checks: known sources, span, numbers, direction. One bad claim rejects all."""
-        own = self.rows().where(F.col("doc_key") == doc_key)
+        touched = self._parts_of([doc_key])
+        own = self.rows(touched).where(F.col("doc_key") == doc_key)
         source = own.where(F.col("type").isin("text", "abstract"))
         texts = {r["id"]: r for r in source.collect()}  # one paper's rows
         if not texts:
@@ -164,28 +227,16 @@ class Library:
             out.append((f"{doc_key}::claim::{i}", doc_key, first["pmid"], first["title"], "claim", c["text"], c.get("section") or first["section"], None, first["tags"], c["source_chunk_ids"],
                         "mixed" if len(kinds) > 1 else kinds.pop(), c.get("evidence_span"), c.get("direction"), (first["seq"] or 0) + 1_000_000 + i))
         new = self.spark.createDataFrame(out, ROWS).withColumn("direction", X.structured(F.col("direction")))
-        self._save_rows(self.rows().where(~((F.col("doc_key") == doc_key) & F.equal_null("type", F.lit("claim")))).unionByName(new))
+        self._save(touched, self.rows(touched).where(~((F.col("doc_key") == doc_key) & F.equal_null("type", F.lit("claim")))).unionByName(new))
         return len(out)
 
     # retrieval
 
     def lexical(self, question: str, k: int, where: dict | None = None) -> DataFrame:
-        """(id, score, lex_rank) from the stored postings: only the question's terms are read."""
-        rows = self.rows()
+        """(id, score, lex_rank) from the stored postings, which are in order of the term: only the question's terms are read."""
+        index = self.index()
         terms = self.spark.createDataFrame([(question,)], "q string").select(X.tokenize(F.col("q"))).first()[0]
-        post = self.tables.read("postings").where(F.col("term").isin(sorted(set(terms))))
-        times = F.create_map(*[F.lit(x) for t in sorted(set(terms)) for x in (t, terms.count(t))]) if terms else None
-        kept = rows.where(compile_where(where, rows.columns)).select("id", "seq")
-        if not terms:
-            scored = kept.withColumn("score", F.lit(0.0))
-        else:
-            stats, idf = self.tables.read("corpus"), self.tables.read("terms").where(F.col("term").isin(sorted(set(terms))))
-            tf = F.col("tf")
-            part = times[F.col("term")] * F.col("idf") * tf * (R.K1 + 1) / (tf + R.K1 * (1 - R.B + R.B * F.col("dl") / F.col("avgdl")))
-            hit = post.join(F.broadcast(idf), "term").crossJoin(F.broadcast(stats)).groupBy("id").agg(F.sum(part).alias("score"))  # as many rows as terms; one row
-            scored = kept.join(hit, "id", "left").withColumn("score", F.round(F.coalesce("score", F.lit(0.0)), 9))
-        top = scored.orderBy(F.desc("score"), "seq").limit(k)
-        return top.withColumn("lex_rank", F.row_number().over(Window.orderBy(F.desc("score"), "seq")).cast("long")).select("id", "score", "lex_rank")
+        return index.top(terms, k, compile_where(where, index.rows.columns)).select("id", "score", "lex_rank")
 
     def dense(self, vector: list[float], k: int, where: dict | None = None) -> DataFrame:
         rows = self.rows()
@@ -194,9 +245,15 @@ class Library:
         return R.dense(vecs, self.spark.createDataFrame([(vector,)], "q array<double>"), k)
 
     def retrieve(self, question: str, k: int = 5, where: dict | None = None, vector: list[float] | None = None, rrf_k: int = R.RRF_K) -> DataFrame:
-        """Both legs' best 4k fused; without a vector or stored vectors, the lexical leg alone."""
+        """Both legs' best 4k fused. Without a vector or stored vectors the lexical leg alone, without a lexical index the dense one, with a warning."""
         pool = k * R.POOL
-        lex = self.lexical(question, pool, where)
+        if vector is None and self.embed is not None and self.tables.exists("vectors"):
+            vector = self.embed(prefixed(question, self.model))
+        if self.has_index():
+            lex = self.lexical(question, pool, where)
+        else:
+            warnings.warn("no lexical index: dense hits only", stacklevel=2)
+            lex = self.spark.createDataFrame([], "id string, lex_rank long")
         den = self.dense(vector, pool, where) if vector is not None and self.tables.exists("vectors") else self.spark.createDataFrame([], "id string, dense_rank long")
         return R.fuse(den, lex, k, rrf_k).join(self.rows(), "id").orderBy(F.desc("score"), "id")
 
@@ -204,7 +261,8 @@ class Library:
         """Hits of a strategy: merged, chunks, claims or mixed. A type asked for goes before the strategy."""
         if strategy not in ("merged", "chunks", "claims", "mixed"):
             raise LibraryError("unknown_strategy", strategy=strategy)
-        if not self.tables.exists("rows"):
+        if not self.exists():
+            warnings.warn(f"no rows for {self.model}; there are some for: {', '.join(self.models()) or 'no model'}", stacklevel=2)
             return self.spark.createDataFrame([], ROWS).withColumn("part", F.lit(0).cast("long"))
         asked = build(type_, pmid, where)
         only_claims, no_claims = {"type": "claim"}, {"type": {"$ne": "claim"}}
@@ -219,6 +277,16 @@ class Library:
             chunks = chunks.join(claims.select(F.explode("source_chunk_ids").alias("id")).distinct(), "id", "left_anti").select(*claims.columns)
         return part(claims, 0).unionByName(part(chunks, 1)).orderBy("part", F.desc("score"), "id")
 
+    def evaluate(self, questions: DataFrame, k: int = 5, claims_k: int = 3, strategies: list[str] | None = None) -> DataFrame:
+        """(strategy, n, hit, recall, mrr) of questions (question, relevant_pmids): means, rounded to three digits. Lexical legs, all questions at once."""
+        asked = questions.select(F.xxhash64("question").alias("qid"), F.col("question").alias("text"), "relevant_pmids")
+        ranked = R.evaluate(self.index(), asked.select("qid", "text"), k, claims_k)
+        if strategies is not None:
+            ranked = ranked.where(F.col("strategy").isin(strategies))
+        relevant = asked.select("qid", F.explode(F.array_distinct("relevant_pmids")).alias("pmid"))
+        means = [F.round(F.avg(c), 3).alias(c) for c in ("hit", "recall", "mrr")]
+        return R.scores_of(ranked, relevant).groupBy("strategy").agg(F.count("*").alias("n"), *means)
+
     # projects and searches
 
     def members(self) -> DataFrame:

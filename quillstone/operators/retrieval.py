@@ -1,13 +1,16 @@
 """Ranking: BM25, exact cosine, reciprocal-rank fusion, and the query strategies over them.
 
 BM25 is Okapi's with k1 1.5 and b 0.75; idf is ln(N - df + .5) - ln(df + .5), and negative ones become a quarter of the mean
-idf over all terms. Postings are a table, so a query reads only its own terms. Order is by rounded score, then by
-insertion order or id, so that equal scores keep their place in every run.
+idf over all terms. Postings are a stored table in order of the term, so a query reads only its own terms. Order is by rounded
+score, then by insertion order or id, so that equal scores keep their place in every run.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+import json
+from dataclasses import dataclass
+
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from quillstone.functions.text import tokenize
@@ -33,47 +36,98 @@ def term_stats(post: DataFrame, stats: DataFrame) -> DataFrame:
     return raw.crossJoin(F.broadcast(mean)).select("term", "df", F.when(F.col("raw") < 0, F.col("floor")).otherwise(F.col("raw")).alias("idf"))
 
 
-def frequencies(docs: DataFrame) -> DataFrame:
-    """(term, df, w): a row's terms are made distinct before they leave it, so only counts by term are shuffled.
-
-    The empty term, which no text has, stands for the corpus: df is its rows and w its length in tokens.
-    """
-    toks = docs.select(tokenize(F.col("text")).alias("t"))
-    one = F.array(F.struct(F.lit("").alias("term"), F.size("t").cast("long").alias("w")))
-    each = F.transform(F.array_distinct("t"), lambda x: F.struct(x.alias("term"), F.lit(0).cast("long").alias("w")))
-    return toks.select(F.explode(F.concat(one, each)).alias("x")).groupBy("x.term").agg(F.count("*").alias("df"), F.sum("x.w").alias("w"))
-
-
-def bm25_scores(docs: DataFrame, query: list[str]) -> DataFrame:
-    """(id, score) of rows that hold a query term; a term asked for twice counts twice.
-
-    Statistics come down to one row: the mean idf, and the idf of the query's own terms. Scoring is then a projection
-    over the rows, without a shuffle.
-    """
-    terms = list(dict.fromkeys(query))
-    if not terms:
-        return docs.select("id", F.lit(0.0).alias("score")).where(F.lit(False))
-    freq = frequencies(docs)
-    stats = freq.where("term = ''").select(F.col("df").alias("n"), (F.col("w") / F.col("df")).alias("avgdl"))
-    raw = F.log(F.col("n") - F.col("df") + 0.5) - F.log(F.col("df") + 0.5)
-    of = [F.max(F.when(F.col("term") == t, raw)).alias(f"r{i}") for i, t in enumerate(terms)]
-    one = freq.where("term <> ''").crossJoin(F.broadcast(stats)).agg((EPSILON * F.avg(raw)).alias("floor"), F.first("avgdl").alias("avgdl"), *of)  # one row each
-    own = docs.select("id", tokenize(F.col("text")).alias("t")).select("id", F.size("t").alias("dl"), F.filter("t", lambda x: x.isin(terms)).alias("hit")).where(F.size("hit") > 0)
-    both = own.crossJoin(F.broadcast(one))
-    long = K1 * (1 - B + B * F.col("dl") / F.col("avgdl"))
-    score = F.lit(0.0)
-    for i, t in enumerate(terms):
-        tf = (F.size("hit") - F.size(F.array_remove("hit", t))).cast("double")
-        idf = F.when(F.col(f"r{i}") < 0, F.col("floor")).otherwise(F.col(f"r{i}"))
-        score = score + F.when(tf > 0, query.count(t) * idf * tf * (K1 + 1) / (tf + long)).otherwise(0.0)
-    return both.select("id", score.alias("score"))
-
-
-def lexical(docs: DataFrame, query: list[str], k: int, where: Column | None = None, order: str = "id") -> DataFrame:
-    """(id, score, lex_rank): the top k. Statistics are of all rows; rows without a query term score 0 and are ranked too."""
-    kept = docs if where is None else docs.where(where)
-    scored = kept.select("id", *([order] if order != "id" else [])).join(bm25_scores(docs, query), "id", "left").withColumn("score", F.round(F.coalesce("score", F.lit(0.0)), 9))
-    return number(scored.orderBy(F.desc("score"), order).limit(k), [F.desc("score"), F.col(order)], "lex_rank").select("id", "score", "lex_rank")
+def ordered(post: DataFrame, parts: int) -> DataFrame:
+    """Postings in order of the term over ``parts`` files, so that a reader skips all but those of its terms."""
+    return post.repartitionByRange(parts, "term").sortWithinPartitions("term")
+
+
+def floor_of(terms: DataFrame, n: int) -> float:
+    """What negative idfs become, from the counts (term, df) of all terms among ``n`` rows."""
+    raw = F.log(F.lit(n) - F.col("df") + 0.5) - F.log(F.col("df") + 0.5)
+    return (terms.agg(F.avg(raw)).first()[0] or 0.0) * EPSILON
+
+
+@dataclass(frozen=True)
+class Index:
+    """What a question reads: postings (id, term, tf, dl) and terms (term, df), both in order of the term, rows (id, seq and all but the text), and the corpus's numbers."""
+
+    postings: DataFrame
+    terms: DataFrame
+    rows: DataFrame
+    n: int
+    avgdl: float
+    floor: float
+
+    def idf(self, wanted: list[str] | None = None) -> DataFrame:
+        """(term, idf) of the terms wanted, or of all."""
+        of = self.terms if wanted is None else self.terms.where(F.col("term").isin(wanted))
+        of = of.groupBy("term").agg(F.sum("df").alias("df"))
+        raw = F.log(F.lit(self.n) - F.col("df") + 0.5) - F.log(F.col("df") + 0.5)
+        return of.select("term", F.when(raw < 0, F.lit(self.floor)).otherwise(raw).alias("idf"))
+
+    def _part(self, times: Column) -> Column:
+        tf, avg = F.col("tf"), self.avgdl or 1.0
+        return times * F.col("idf") * tf * (K1 + 1) / (tf + K1 * (1 - B + B * F.col("dl") / F.lit(avg)))
+
+    def scores(self, query: list[str]) -> DataFrame:
+        """(id, score) of rows that hold a query term; a term asked for twice counts twice."""
+        wanted = sorted(set(query))
+        if not wanted:
+            return self.rows.select("id", F.lit(0.0).alias("score")).where(F.lit(False))
+        times = F.create_map(*[F.lit(x) for t in wanted for x in (t, query.count(t))])
+        own = self.postings.where(F.col("term").isin(wanted)).join(F.broadcast(self.idf(wanted)), "term")  # as many rows as terms asked for
+        return own.groupBy("id").agg(F.sum(self._part(times[F.col("term")])).alias("score"))
+
+    def top(self, query: list[str], k: int, where: Column | None = None) -> DataFrame:
+        """The best ``k`` of the rows that meet ``where``: all their columns, score and lex_rank. Rows without a query term score 0 and are ranked too.
+
+        Where no score is negative, fewer than k hits leave a place to rows without any, of which the first 2k rows hold
+        enough; so but for these rows nothing is joined with the hits.
+        """
+        kept = self.rows if where is None else self.rows.where(where)
+        order = [F.desc("score"), F.col("seq")]
+        hits = kept.join(self.scores(query).withColumn("score", F.round("score", 9)), "id")
+        if self.floor < 0:
+            top = kept.join(hits.select("id", "score"), "id", "left").withColumn("score", F.coalesce("score", F.lit(0.0))).orderBy(*order).limit(k)
+        else:
+            first = kept.orderBy("seq").limit(2 * k)
+            found = hits.join(F.broadcast(first.select("id")), "id", "left_semi")  # 2k rows
+            rest = first.join(found.select("id"), "id", "left_anti").withColumn("score", F.lit(0.0))
+            top = hits.orderBy(*order).limit(k).unionByName(rest).orderBy(*order).limit(k)
+        return number(top, order, "lex_rank")
+
+    def batch(self, questions: DataFrame, strategies: dict[str, Column | None], k: int) -> DataFrame:
+        """(strategy, qid, id, score, place): the best ``k`` rows of each strategy, a filter on rows, for all questions (qid, text) at once.
+
+        Hits only; rows without a term of the question aren't ranked.
+        """
+        asked = questions.select("qid", F.explode(tokenize(F.col("text"))).alias("term")).groupBy("qid", "term").agg(F.count("*").alias("times"))
+        own = self.postings.join(asked.join(self.idf(), "term"), "term")
+        hits = own.groupBy("qid", "id").agg(F.round(F.sum(self._part(F.col("times"))), 9).alias("score")).join(self.rows, "id")
+        place = F.row_number().over(Window.partitionBy("strategy", "qid").orderBy(F.desc("score"), "seq"))
+        of = [F.when(F.lit(True) if c is None else c, F.lit(s)) for s, c in strategies.items()]
+        each = hits.withColumn("strategy", F.explode(F.filter(F.array(*of), lambda x: x.isNotNull())))
+        return each.withColumn("place", place).where(F.col("place") <= k).select("strategy", "qid", "id", "score", "place")
+
+
+def write_index(rows: DataFrame, path: str, parts: int | None = None) -> Index:
+    """Writes the index of rows (id, seq, text and more) into a new folder; the corpus's numbers come last, so a folder with them is whole."""
+    spark = rows.sparkSession
+    n = parts or max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    rows.drop("text").write.mode("overwrite").parquet(f"{path}/rows")
+    ordered(postings(rows), n).write.mode("overwrite").parquet(f"{path}/postings")
+    post = spark.read.parquet(f"{path}/postings")
+    ordered(post.groupBy("term").agg(F.count("*").alias("df")), n).write.mode("overwrite").parquet(f"{path}/terms")
+    total = corpus_stats(rows).first()
+    floor = floor_of(spark.read.parquet(f"{path}/terms"), total["n"])
+    numbers = json.dumps({"n": total["n"], "avgdl": total["avgdl"] or 0.0, "floor": floor})
+    spark.createDataFrame([(numbers,)], "value string").coalesce(1).write.mode("overwrite").text(f"{path}/numbers")
+    return read_index(spark, path)
+
+
+def read_index(spark: SparkSession, path: str) -> Index:
+    numbers = json.loads(spark.read.text(f"{path}/numbers").first()[0])
+    return Index(*(spark.read.parquet(f"{path}/{t}") for t in ("postings", "terms", "rows")), **numbers)
 
 
 def number(top: DataFrame, order: list[Column], name: str) -> DataFrame:
@@ -81,15 +135,16 @@ def number(top: DataFrame, order: list[Column], name: str) -> DataFrame:
     return top.withColumn(name, F.row_number().over(Window.orderBy(*order)).cast("long"))
 
 
-def cosine(a: Column, b: Column) -> Column:
-    dot = lambda x, y: F.aggregate(F.zip_with(x, y, lambda p, q: p.cast("double") * q.cast("double")), F.lit(0.0), lambda s, v: s + v)
-    return dot(a, b) / F.sqrt(dot(a, a) * dot(b, b))
+def dot(a: Column, b: Column) -> Column:
+    return F.aggregate(F.zip_with(a, b, lambda p, q: p.cast("double") * q.cast("double")), F.lit(0.0), lambda s, v: s + v)
 
 
 def dense(vectors: DataFrame, query: DataFrame, k: int, where: Column | None = None) -> DataFrame:
     """(id, dist, dense_rank): the k nearest of rows (id, v) to the one row of ``query`` (q), by cosine distance."""
     kept = vectors if where is None else vectors.where(where)
-    dist = kept.crossJoin(F.broadcast(query.limit(1))).select("id", F.round(1 - cosine(F.col("v"), F.col("q")), 9).alias("dist"))
+    asked = query.limit(1).select("q", dot(F.col("q"), F.col("q")).alias("qq"))
+    v, q = F.col("v"), F.col("q")
+    dist = kept.crossJoin(F.broadcast(asked)).select("id", F.round(1 - dot(v, q) / F.sqrt(dot(v, v) * F.col("qq")), 9).alias("dist"))
     return number(dist.orderBy("dist", "id").limit(k), [F.col("dist"), F.col("id")], "dense_rank")
 
 
@@ -114,6 +169,30 @@ def merge(claim_hits: DataFrame, chunk_hits: DataFrame, claims: DataFrame, skip_
     return claim_hits.withColumn("section", F.lit(0).cast("long")).unionByName(chunk_hits.withColumn("section", F.lit(1).cast("long")))
 
 
+def merged_batch(claims: DataFrame, chunks: DataFrame, rows: DataFrame) -> DataFrame:
+    """(qid, id, part, place) of hits (qid, id, place): claims, then the chunks that no claim hit of the question cites."""
+    cited = claims.join(rows.select("id", "source_chunk_ids"), "id").select("qid", F.explode("source_chunk_ids").alias("id"))
+    left = chunks.join(cited, ["qid", "id"], "left_anti")
+    part = lambda df, n: df.select("qid", "id", F.lit(n).alias("part"), "place")
+    return part(claims, 0).unionByName(part(left, 1))
+
+
+def evaluate(index: Index, questions: DataFrame, k: int, claims_k: int) -> DataFrame:
+    """(strategy, qid, pmid, rank): papers that each strategy returns for each question (qid, text), all questions at once.
+
+    ``index.rows`` holds type, pmid and source_chunk_ids. Strategies: chunks, claims, mixed, and merged, which asks for
+    ``claims_k`` claims. A paper may come several times.
+    """
+    claim = F.col("type") == "claim"
+    hits = index.batch(questions, {"claims": claim, "chunks": ~claim, "mixed": None}, max(k, claims_k))
+    single = hits.where(F.col("place") <= k).select("strategy", "qid", "id", F.lit(0).alias("part"), "place")
+    of = lambda s, n: hits.where((F.col("strategy") == s) & (F.col("place") <= n)).select("qid", "id", "place")
+    merged = merged_batch(of("claims", claims_k), of("chunks", k), index.rows).withColumn("strategy", F.lit("merged"))
+    both = single.unionByName(merged.select(*single.columns)).join(index.rows.select("id", "pmid"), "id")
+    rank = F.row_number().over(Window.partitionBy("strategy", "qid").orderBy("part", "place"))
+    return both.select("strategy", "qid", "pmid", rank.cast("long").alias("rank"))
+
+
 def scores_of(ranked: DataFrame, relevant: DataFrame) -> DataFrame:
     """(strategy, qid, hit, recall, mrr) of rows (strategy, qid, pmid, rank), first place of a pmid counting."""
     first = ranked.where("pmid IS NOT NULL").groupBy("strategy", "qid", "pmid").agg(F.min("rank").alias("rank"))
@@ -125,5 +204,3 @@ def scores_of(ranked: DataFrame, relevant: DataFrame) -> DataFrame:
     out = asked.join(per, ["strategy", "qid"], "left")
     got = F.coalesce("got", F.lit(0))
     return out.select("strategy", "qid", (got > 0).cast("long").alias("hit"), F.round(got / F.col("n"), 6).alias("recall"), F.round(F.coalesce(F.lit(1.0) / F.col("best"), F.lit(0.0)), 6).alias("mrr"))
-
-

@@ -6,21 +6,24 @@ from pyspark.sql import functions as F
 
 from quillstone.functions.text import squash, tokenize
 from quillstone.operators import retrieval as R
+from quillstone.operators.passages import holding
 from quillstone.operators.where import build, compile_where
+from quillstone.plans.indexes import index_of
 from quillstone.plans.registry import query
 from quillstone.sources import tables as T
 
 ASKED = ["the", "ouwhea", "rend", "threlyes", "rend"]
 QUERY_VEC = 7
 
-#: BM25 over ``c`` (id, text, seq) for DuckDB; scores of all rows come out as ``sc`` (id, seq, type, section, score).
-BM25 = """, tok AS (SELECT id, unnest(regexp_extract_all(lower(text), '[a-z0-9]+')) AS term FROM c),
+#: Statistics of BM25 over ``c`` (id, text) for DuckDB, and the scores of all rows for the terms asked as ``sc``.
+STATS = """, tok AS (SELECT id, unnest(regexp_extract_all(lower(text), '[a-z0-9]+')) AS term FROM c),
 post AS (SELECT id, term, count(*) AS tf FROM tok GROUP BY ALL),
 dl AS (SELECT c.id, count(term) AS dl FROM c LEFT JOIN tok USING (id) GROUP BY ALL),
 st AS (SELECT count(*) AS n, avg(dl) AS avgdl FROM dl),
 raw AS (SELECT term, count(*) AS df, ln(n - count(*) + 0.5) - ln(count(*) + 0.5) AS r FROM post, st GROUP BY term, n),
-ts AS (SELECT term, df, CASE WHEN r < 0 THEN 0.25 * (SELECT avg(r) FROM raw) ELSE r END AS idf FROM raw),
-q AS (SELECT unnest(['the', 'ouwhea', 'rend', 'threlyes', 'rend']) AS term),
+ts AS (SELECT term, df, CASE WHEN r < 0 THEN 0.25 * (SELECT avg(r) FROM raw) ELSE r END AS idf FROM raw)
+"""
+BM25 = STATS + """, q AS (SELECT unnest(['the', 'ouwhea', 'rend', 'threlyes', 'rend']) AS term),
 hit AS (SELECT post.id, sum(idf * tf * 2.5 / (tf + 1.5 * (0.25 + 0.75 * dl / avgdl))) AS s FROM q JOIN post USING (term) JOIN ts USING (term) JOIN dl USING (id), st GROUP BY 1),
 sc AS (SELECT c.*, round(coalesce(s, 0), 9) AS score FROM c LEFT JOIN hit USING (id))
 """
@@ -77,22 +80,22 @@ def _(spark, d):
 
 @query("bm25_scores", DOCS + "SELECT id, round(s, 6) AS score FROM hit")
 def _(spark, d):
-    return R.bm25_scores(docs(spark, d), ASKED).withColumn("score", F.round("score", 6))
+    return index_of(spark, d, "documents").scores(ASKED).withColumn("score", F.round("score", 6))
 
 
 @query("bm25_topk", DOCS + "SELECT id, round(score, 6) AS score, row_number() OVER (ORDER BY score DESC, id) AS lex_rank FROM sc ORDER BY score DESC, id LIMIT 20")
 def _(spark, d):
-    return R.lexical(docs(spark, d), ASKED, 20).withColumn("score", F.round("score", 6))
+    return index_of(spark, d, "documents").top(ASKED, 20).select("id", F.round("score", 6).alias("score"), "lex_rank")
 
 
 @query("bm25_topk_filtered", DOCS + "SELECT id, round(score, 6) AS score, row_number() OVER (ORDER BY score DESC, id) AS lex_rank FROM sc WHERE lang = 'fr' ORDER BY score DESC, id LIMIT 20")
 def _(spark, d):
-    return R.lexical(docs(spark, d), ASKED, 20, compile_where({"lang": "fr"}, ["lang"])).withColumn("score", F.round("score", 6))
+    return index_of(spark, d, "documents").top(ASKED, 20, compile_where({"lang": "fr"}, ["lang"])).select("id", F.round("score", 6).alias("score"), "lex_rank")
 
 
 @query("lexical_only", DOCS + "SELECT id, row_number() OVER (ORDER BY score DESC, id) AS lex_rank, round(1.0 / (60 + row_number() OVER (ORDER BY score DESC, id)), 6) AS score FROM sc ORDER BY lex_rank LIMIT 5")
 def _(spark, d):
-    return R.lexical(docs(spark, d), ASKED, 20).select("id", "lex_rank", F.round(F.lit(1.0) / (R.RRF_K + F.col("lex_rank")), 6).alias("score")).orderBy("lex_rank").limit(5)
+    return index_of(spark, d, "documents").top(ASKED, 20).select("id", "lex_rank", F.round(F.lit(1.0) / (R.RRF_K + F.col("lex_rank")), 6).alias("score")).orderBy("lex_rank").limit(5)
 
 
 @query("dense_topk", DENSE + "SELECT id, round(dist, 6) AS dist, row_number() OVER (ORDER BY dist, id) AS dense_rank FROM dist ORDER BY dist, id LIMIT 20")
@@ -118,7 +121,7 @@ FUSED = DOCS + DENSE + _LEGS
 
 
 def fused(spark, d, k, pool):
-    return R.fuse(R.dense(vecs(spark, d), asked_vec(spark, d), pool), R.lexical(docs(spark, d), ASKED, pool), k)
+    return R.fuse(R.dense(vecs(spark, d), asked_vec(spark, d), pool), index_of(spark, d, "documents").top(ASKED, pool), k)
 
 
 @query("rrf_fusion", FUSED.format(pool=20) + "SELECT id, dense_rank, lex_rank, round(score, 6) AS score FROM fu ORDER BY fu.score DESC, id LIMIT 40")
@@ -134,8 +137,8 @@ def _(spark, d):
 
 
 def row_hits(spark, d, k, where):
-    rows = T.rows(spark, d)
-    return R.lexical(rows, ASKED, k, compile_where(where, rows.columns), order="seq").join(rows.select("id", "type", "doc_key"), "id")
+    index = index_of(spark, d, "rows")
+    return index.top(ASKED, k, compile_where(where, index.rows.columns))
 
 
 for _name, _where, _cond in (("strategy_chunks", {"type": {"$ne": "claim"}}, "type <> 'claim'"), ("strategy_claims", {"type": "claim"}, "type = 'claim'"), ("mixed_strategy", None, "true"), ("type_shorthand", build("abstract"), "type = 'abstract'")):
@@ -153,18 +156,22 @@ ch AS (SELECT id, score FROM sc WHERE type <> 'claim' ORDER BY score DESC, seq L
 SELECT id, round(score, 6) AS score, CAST(0 AS BIGINT) AS section FROM cl UNION ALL
 SELECT id, round(score, 6), 1 FROM ch WHERE id NOT IN (SELECT unnest(source_chunk_ids) FROM claims WHERE id IN (SELECT id FROM cl))""", "rows_v")
 def _(spark, d):
-    rows, claims = T.rows(spark, d), T.claims(spark, d)
-    cl = R.lexical(rows, ASKED, 8, F.col("type") == "claim", order="seq").select("id", F.round("score", 6).alias("score"))
-    ch = R.lexical(rows, ASKED, 30, F.col("type") != "claim", order="seq").select("id", F.round("score", 6).alias("score"))
-    return R.merge(cl, ch, claims)
-
-
-#: For evaluation: items found in documents are questions; a strategy ranks documents of a length class.
-EVAL = """, rel AS (SELECT item_id AS qid, CAST(doc_id AS VARCHAR) AS pmid FROM benchmark b JOIN documents d ON contains(d.text, b.text)),
-rk AS (SELECT s AS strategy, qid, CAST(doc_id AS VARCHAR) AS pmid, row_number() OVER (PARTITION BY s, qid ORDER BY abs(doc_id - qid * 20), doc_id) AS rank
-  FROM (SELECT DISTINCT qid FROM rel), documents, (VALUES ('even', 0), ('odd', 1)) t(s, m) WHERE doc_id % 2 = m AND abs(doc_id - qid * 20) <= 200),
-pl AS (SELECT *, row_number() OVER (PARTITION BY strategy, qid ORDER BY rank) AS place FROM rk),
-per AS (SELECT strategy, qid, sum(CASE WHEN rel.pmid IS NOT NULL THEN 1 ELSE 0 END) AS got, min(CASE WHEN rel.pmid IS NOT NULL THEN place END) AS best FROM pl LEFT JOIN rel USING (qid, pmid) GROUP BY ALL),
+    index, claim = index_of(spark, d, "rows"), F.col("type") == "claim"
+    cl, ch = index.top(ASKED, 8, claim), index.top(ASKED, 30, ~claim)
+    part = lambda df: df.select("id", F.round("score", 6).alias("score"))
+    return R.merge(part(cl), part(ch), cl.select("id", "source_chunk_ids"))
+
+
+#: For evaluation: the first sentences of items found in documents are questions, the papers that hold the item are relevant.
+EVAL = ROWS.replace(BM25, STATS) + r""", rel AS (SELECT item_id AS qid, CAST(doc_id AS VARCHAR) AS pmid FROM benchmark b JOIN documents d ON contains(d.text, b.text)),
+qt AS (SELECT qid, term, count(*) AS times FROM (SELECT item_id AS qid, unnest(regexp_extract_all(lower(regexp_extract(text, '^[^.]*[.]?')), '[a-z0-9]+')) AS term FROM benchmark WHERE item_id IN (SELECT qid FROM rel)) GROUP BY ALL),
+hit AS (SELECT qid, id, round(sum(times * idf * tf * 2.5 / (tf + 1.5 * (0.25 + 0.75 * dl / avgdl))), 9) AS score FROM qt JOIN post USING (term) JOIN ts USING (term) JOIN dl USING (id), st GROUP BY 1, 2),
+pl AS (SELECT s, qid, id, pmid, row_number() OVER (PARTITION BY s, qid ORDER BY score DESC, seq) AS place FROM hit JOIN rows_v USING (id), (VALUES ('claims'), ('chunks'), ('mixed')) t(s) WHERE s = 'mixed' OR (s = 'claims') = (type = 'claim')),
+cited AS (SELECT qid, unnest(source_chunk_ids) AS id FROM pl JOIN claims USING (id) WHERE s = 'claims' AND place <= 3),
+mg AS (SELECT qid, pmid, 0 AS part, place FROM pl WHERE s = 'claims' AND place <= 3 UNION ALL SELECT qid, pmid, 1, place FROM pl ANTI JOIN cited USING (qid, id) WHERE s = 'chunks' AND place <= 5),
+rk AS (SELECT s AS strategy, qid, pmid, place AS rank FROM pl WHERE place <= 5 UNION ALL SELECT 'merged', qid, pmid, row_number() OVER (PARTITION BY qid ORDER BY part, place) FROM mg),
+fs AS (SELECT strategy, qid, pmid, row_number() OVER (PARTITION BY strategy, qid ORDER BY min(rank)) AS place FROM rk GROUP BY strategy, qid, pmid),
+per AS (SELECT strategy, qid, sum(CASE WHEN rel.pmid IS NOT NULL THEN 1 ELSE 0 END) AS got, min(CASE WHEN rel.pmid IS NOT NULL THEN place END) AS best FROM fs LEFT JOIN rel USING (qid, pmid) GROUP BY ALL),
 ev AS (SELECT strategy, qid, CAST(coalesce(got, 0) > 0 AS BIGINT) AS hit, round(coalesce(got, 0) / n, 6) AS recall, round(coalesce(1.0::DOUBLE / best, 0), 6) AS mrr
   FROM (SELECT qid, count(*) AS n FROM rel GROUP BY 1) CROSS JOIN (SELECT DISTINCT strategy FROM rk) LEFT JOIN per USING (strategy, qid))
 """
@@ -172,23 +179,18 @@ ev AS (SELECT strategy, qid, CAST(coalesce(got, 0) > 0 AS BIGINT) AS hit, round(
 
 def evaluated(spark, d):
     items = T.table(spark, d, "benchmark").select(F.col("item_id").alias("qid"), F.col("text").alias("asked"))
-    docs = T.table(spark, d, "documents")
-    rel = docs.join(F.broadcast(items), F.contains("text", "asked")).select("qid", F.col("doc_id").cast("string").alias("pmid"))  # the benchmark's items
-    qids = rel.select("qid").distinct()
-    near = docs.select("doc_id").join(F.broadcast(qids), F.abs(F.col("doc_id") - F.col("qid") * 20) <= 200)
-    far = F.abs(F.col("doc_id") - F.col("qid") * 20)
-    from pyspark.sql import Window
-    w = Window.partitionBy("strategy", "qid").orderBy(far, "doc_id")
-    ranked = near.withColumn("strategy", F.when(F.col("doc_id") % 2 == 0, "even").otherwise("odd")).select("strategy", "qid", F.col("doc_id").cast("string").alias("pmid"), F.row_number().over(w).alias("rank"))
-    return R.scores_of(ranked, rel)
+    docs = T.table(spark, d, "documents").select("doc_id", "text")
+    rel = holding(docs, items).select("qid", F.col("doc_id").cast("string").alias("pmid"))
+    questions = items.join(rel.select("qid").distinct(), "qid", "left_semi").select("qid", F.regexp_extract("asked", r"^[^.]*[.]?", 0).alias("text"))
+    return R.scores_of(R.evaluate(index_of(spark, d, "rows"), questions, 5, 3), rel)
 
 
-@query("eval_metrics", EVAL + "SELECT * FROM ev")
+@query("eval_metrics", EVAL + "SELECT * FROM ev", "rows_v")
 def _(spark, d):
     return evaluated(spark, d)
 
 
-@query("eval_summary", EVAL + "SELECT strategy, count(*) AS n, round(avg(hit), 3) AS hit, round(avg(recall), 3) AS recall, round(avg(mrr), 3) AS mrr FROM ev GROUP BY 1")
+@query("eval_summary", EVAL + "SELECT strategy, count(*) AS n, round(avg(hit), 3) AS hit, round(avg(recall), 3) AS recall, round(avg(mrr), 3) AS mrr FROM ev GROUP BY 1", "rows_v")
 def _(spark, d):
     return evaluated(spark, d).groupBy("strategy").agg(F.count("*").alias("n"), *[F.round(F.avg(c), 3).alias(c) for c in ("hit", "recall", "mrr")])
 

@@ -82,8 +82,8 @@ query("embedded_counts", "SELECT doc_key, count(*) FILTER (type <> 'claim') AS n
 STATUS = "SELECT doc_key, count(*) FILTER (type = 'claim') AS n_claims, count(*) FILTER (type IN ('text', 'abstract')) AS n_source_chunks, min_by(pmid, seq) AS pmid FROM rows_v GROUP BY 1 HAVING count(*) FILTER (type IN ('text', 'abstract')) > 0"
 query("claims_status", STATUS, "rows_v")(lambda spark, d: L.claims_status(T.rows(spark, d)))
 query("claims_status_missing", STATUS + " AND count(*) FILTER (type = 'claim') = 0", "rows_v")(lambda spark, d: L.claims_status(T.rows(spark, d), missing=True))
-query("claims_by_doc", "SELECT doc_key, count(*) AS n, string_agg(id, ' ' ORDER BY CAST(split_part(id, '::', 3) AS BIGINT)) AS ids FROM (SELECT doc_key, id FROM claims UNION ALL SELECT doc_key, doc_key || '::claim::' || (page + 1) FROM chunks WHERE page < 12) GROUP BY 1", "claims", "chunks")(
-    lambda spark, d: L.claims_by_doc(T.claims(spark, d).select("doc_key", "id").unionByName(T.chunks(spark, d).where("page < 12").select("doc_key", F.concat("doc_key", F.lit("::claim::"), (F.col("page") + 1).cast("string")).alias("id")))))
+query("claims_by_doc", "SELECT doc_key, count(*) AS n, string_agg(id, ' ' ORDER BY CAST(split_part(id, '::', 3) AS BIGINT)) AS ids FROM (SELECT doc_key, id FROM claims UNION ALL SELECT doc_key, doc_key || '::claim::' || (page + 1) FROM chunks) GROUP BY 1", "claims", "chunks")(
+    lambda spark, d: L.claims_by_doc(T.claims(spark, d).select("doc_key", "id").unionByName(T.chunks(spark, d).select("doc_key", F.concat("doc_key", F.lit("::claim::"), (F.col("page") + 1).cast("string")).alias("id")))))
 query("claim_source_level", "SELECT id, CASE WHEN count(DISTINCT s.type) > 1 THEN 'mixed' WHEN max(s.type) = 'abstract' THEN 'abstract' ELSE 'fulltext' END AS level FROM (SELECT id, unnest(source_chunk_ids) AS sid FROM claims) c JOIN (SELECT id AS sid, type FROM chunks) s USING (sid) GROUP BY 1", "claims", "chunks")(
     lambda spark, d: L.source_level(T.claims(spark, d), T.chunks(spark, d)))
 query("unknown_sources", "SELECT id, sid FROM (SELECT id, unnest(list_concat(source_chunk_ids, [doc_key || '::text::90'])) AS sid FROM claims) WHERE sid NOT IN (SELECT id FROM chunks)", "claims", "chunks")(

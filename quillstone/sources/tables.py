@@ -5,7 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from quillstone.sources.versions import Files
 
+#: Rows of a document are numbered from doc_id * SEQ on; a text of 2 GB has fewer paragraphs.
+SEQ = 1_000_000_000
 #: Tables whose rows are texts: work on them is worth spreading.
 TEXTS = {"documents", "pages", "conversations"}
 
@@ -13,8 +16,11 @@ TEXTS = {"documents", "pages", "conversations"}
 def table(spark: SparkSession, d: str, name: str) -> DataFrame:
     """A stored table. Texts in fewer splits than half the cores, such as one small file, are dealt out to all cores."""
     df = spark.read.parquet(f"{d}/{name}.parquet")
-    cores = spark.sparkContext.defaultParallelism
-    return df.repartition(cores) if name in TEXTS and 2 * df.rdd.getNumPartitions() <= cores else df
+    if name not in TEXTS:
+        return df
+    cores, files = spark.sparkContext.defaultParallelism, Files(spark).stamp(f"{d}/{name}.parquet")
+    split = int(spark._jsparkSession.sessionState().conf().filesMaxPartitionBytes())
+    return df.repartition(cores) if 2 * max(1, sum(size for _, size, _ in files) // split) <= cores and len(files) < cores else df
 
 
 def paras(spark: SparkSession, d: str) -> DataFrame:
@@ -31,7 +37,7 @@ def chunks(spark: SparkSession, d: str) -> DataFrame:
         F.when(first, F.concat(key, F.lit("::abstract::0"))).otherwise(F.concat(key, F.lit("::text::"), (F.col("pos") - 1).cast("string"))).alias("id"),
         key.alias("doc_key"), key.alias("pmid"), F.when(first, "abstract").otherwise("text").alias("type"), "text",
         F.col("lang").alias("section"), F.col("pos").cast("long").alias("page"), F.col("source").alias("tags"),
-        (F.col("doc_id") * 100000 + F.col("pos")).alias("seq"),
+        (F.col("doc_id") * SEQ + F.col("pos")).alias("seq"),
     )
 
 
@@ -46,7 +52,7 @@ def claims(spark: SparkSession, d: str) -> DataFrame:
     both = F.array(F.concat(key, F.lit("::abstract::0")), F.concat(key, F.lit("::text::0")))
     return p.join(good, "doc_id").select(
         F.concat(key, F.lit("::claim::0")).alias("id"), key.alias("doc_key"), key.alias("pmid"), F.lit("claim").alias("type"), span.alias("text"), span.alias("evidence_span"),
-        F.col("lang").alias("section"), F.lit(0).cast("long").alias("page"), F.col("source").alias("tags"), (F.col("doc_id") * 100000 + 99999).alias("seq"),
+        F.col("lang").alias("section"), F.lit(0).cast("long").alias("page"), F.col("source").alias("tags"), (F.col("doc_id") * SEQ + (SEQ - 1)).alias("seq"),
         F.when((F.col("doc_id") % 2 == 0) & F.col("second").isNotNull(), both).otherwise(ids).alias("source_chunk_ids"), "abstract", "second",
     )
 
@@ -102,9 +108,9 @@ def first_seen(df: DataFrame, key: str, pos: str) -> DataFrame:
 #: The same views for DuckDB.
 VIEWS = {
     "paras": "SELECT doc_id, lang, source, CAST(generate_subscripts(k, 1) - 1 AS BIGINT) AS pos, unnest(k) AS text FROM (SELECT doc_id, lang, source, list_filter(list_transform(string_split(text, chr(10)), lambda x: trim(x)), lambda x: x <> '') AS k FROM documents)",
-    "chunks": "SELECT CASE WHEN pos = 0 THEN doc_id || '::abstract::0' ELSE doc_id || '::text::' || (pos - 1) END AS id, CAST(doc_id AS VARCHAR) AS doc_key, CAST(doc_id AS VARCHAR) AS pmid, CASE WHEN pos = 0 THEN 'abstract' ELSE 'text' END AS type, text, lang AS section, pos AS page, source AS tags, doc_id * 100000 + pos AS seq FROM paras",
+    "chunks": "SELECT CASE WHEN pos = 0 THEN doc_id || '::abstract::0' ELSE doc_id || '::text::' || (pos - 1) END AS id, CAST(doc_id AS VARCHAR) AS doc_key, CAST(doc_id AS VARCHAR) AS pmid, CASE WHEN pos = 0 THEN 'abstract' ELSE 'text' END AS type, text, lang AS section, pos AS page, source AS tags, doc_id * 1000000000 + pos AS seq FROM paras",
     "two": "SELECT doc_id, lang, source, max(CASE WHEN pos = 0 THEN text END) AS abstract, max(CASE WHEN pos = 1 THEN text END) AS second FROM paras WHERE pos < 2 GROUP BY ALL",
-    "claims": "SELECT doc_id || '::claim::0' AS id, CAST(doc_id AS VARCHAR) AS doc_key, CAST(doc_id AS VARCHAR) AS pmid, 'claim' AS type, CASE WHEN instr(abstract, '.') > 0 THEN substr(abstract, 1, instr(abstract, '.')) ELSE abstract END AS text, lang AS section, CAST(0 AS BIGINT) AS page, source AS tags, doc_id * 100000 + 99999 AS seq, CASE WHEN doc_id % 2 = 0 AND second IS NOT NULL THEN [doc_id || '::abstract::0', doc_id || '::text::0'] ELSE [doc_id || '::abstract::0'] END AS source_chunk_ids, abstract, second FROM two JOIN (SELECT DISTINCT doc_id FROM labels WHERE quality = 1) USING (doc_id)",
+    "claims": "SELECT doc_id || '::claim::0' AS id, CAST(doc_id AS VARCHAR) AS doc_key, CAST(doc_id AS VARCHAR) AS pmid, 'claim' AS type, CASE WHEN instr(abstract, '.') > 0 THEN substr(abstract, 1, instr(abstract, '.')) ELSE abstract END AS text, lang AS section, CAST(0 AS BIGINT) AS page, source AS tags, doc_id * 1000000000 + 999999999 AS seq, CASE WHEN doc_id % 2 = 0 AND second IS NOT NULL THEN [doc_id || '::abstract::0', doc_id || '::text::0'] ELSE [doc_id || '::abstract::0'] END AS source_chunk_ids, abstract, second FROM two JOIN (SELECT DISTINCT doc_id FROM labels WHERE quality = 1) USING (doc_id)",
     "rows_v": "SELECT id, doc_key, pmid, type, text, section, page, tags, seq FROM chunks UNION ALL SELECT id, doc_key, pmid, type, text, section, page, tags, seq FROM claims",
     "lines": "SELECT l_orderkey, list({'family': s_name, 'given': n_name} ORDER BY l_linenumber, l_suppkey, l_partkey) AS authors, list_sort(list_distinct(list(p_type))) AS keywords, first(p_name ORDER BY l_linenumber, l_suppkey, l_partkey) AS title FROM lineitem JOIN supplier ON l_suppkey = s_suppkey JOIN part ON l_partkey = p_partkey JOIN nation ON s_nationkey = n_nationkey GROUP BY 1",
     "papers": "SELECT CAST(o_orderkey AS VARCHAR) AS doc_key, o_orderkey AS n, coalesce(authors, []) AS authors, c_mktsegment AS journal, CAST(year(o_orderdate) AS VARCHAR) AS year, coalesce(keywords, []) AS keywords, [o_orderpriority] AS pub_types, title, o_orderstatus AS volume FROM orders JOIN customer ON o_custkey = c_custkey LEFT JOIN lines ON o_orderkey = l_orderkey",

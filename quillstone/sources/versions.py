@@ -5,7 +5,76 @@ So a table that is being read is never overwritten, and a write that is cut shor
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+import atexit
+import json
+import shutil
+import tempfile
+import uuid
+
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+_own: dict[str, str] = {}
+
+
+def workspace(spark: SparkSession) -> str:
+    """The folder for tables that the application makes for itself: in ``spark.checkpoint.dir``, or where that is unset, on one machine, a temporary one."""
+    base, app = spark.conf.get("spark.checkpoint.dir", "") or "", spark.sparkContext.applicationId
+    if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        if app not in _own:
+            _own[app] = tempfile.mkdtemp(prefix="quillstone-")
+            atexit.register(shutil.rmtree, _own[app], ignore_errors=True)
+        base = "file://" + _own[app]
+    return f"{base.rstrip('/')}/{app}-library"
+
+
+class Files:
+    """Small files and folders of any store that Spark reads."""
+
+    def __init__(self, spark: SparkSession):
+        self.spark = spark
+
+    def _fs(self, path: str):
+        p = self.spark._jvm.org.apache.hadoop.fs.Path(path)
+        return p.getFileSystem(self.spark._jsc.hadoopConfiguration()), p
+
+    def exists(self, path: str) -> bool:
+        fs, p = self._fs(path)
+        return fs.exists(p)
+
+    def names(self, path: str) -> list[str]:
+        fs, p = self._fs(path)
+        return sorted(x.getPath().getName() for x in fs.listStatus(p)) if fs.exists(p) else []
+
+    def stamp(self, path: str) -> list[tuple[str, int, int]]:
+        """Name, length and time of the files of a path: another content gives another stamp."""
+        fs, p = self._fs(path)
+        return sorted((x.getPath().getName(), x.getLen(), x.getModificationTime()) for x in fs.listStatus(p))
+
+    def read(self, path: str) -> str:
+        fs, p = self._fs(path)
+        stream = fs.open(p)
+        try:
+            return self.spark._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8")
+        finally:
+            stream.close()
+
+    def write(self, path: str, text: str) -> None:
+        """Whole or not at all: written beside, then renamed."""
+        fs, made = self._fs(f"{path}.{uuid.uuid4().hex[:8]}.part")
+        stream = fs.create(made, True)
+        stream.write(bytearray(text.encode()))
+        stream.close()
+        at = self._fs(path)[1]
+        fs.delete(at, False)
+        if not fs.rename(made, at):
+            raise OSError(f"can't write {path}")
+
+    def delete(self, path: str) -> None:
+        fs, p = self._fs(path)
+        fs.delete(p, True)
 
 
 class Versions:
@@ -43,3 +112,64 @@ class Versions:
         for n in self.numbers(table)[:-keep]:
             fs, p = self._fs(f"{self.root}/{table}/{n:09d}")
             fs.delete(p, True)
+
+
+class Parts:
+    """Tables dealt to hash parts by a key: a change writes the parts that it touches, and a manifest says which folders make the tables now.
+
+    A part of a table is ``data/<change>/<table>/_part=<number>``. Manifests are numbered; the newest counts, and those before
+    the last ``keep`` go with the folders that only they name. One writer at a time; a change that is cut short changes nothing.
+    """
+
+    def __init__(self, spark: SparkSession, root: str, key: str, parts: int = 32):
+        self.spark, self.root, self.key, self.files = spark, root.rstrip("/"), key, Files(spark)
+        self.parts = self.manifest().get("parts_number", parts)
+
+    def numbers(self) -> list[int]:
+        return sorted(int(n[:-5]) for n in self.files.names(f"{self.root}/manifests") if n.endswith(".json"))
+
+    def manifest(self, number: int | None = None) -> dict:
+        found = self.numbers()
+        return json.loads(self.files.read(f"{self.root}/manifests/{number or found[-1]:09d}.json")) if found else {}
+
+    def part_of(self, key: Column) -> Column:
+        return F.pmod(F.xxhash64(key), F.lit(self.parts)).cast("int")
+
+    def parts_with(self, keys: DataFrame) -> list[int]:
+        """The parts that rows with these keys are in: no more numbers than parts."""
+        return sorted(r[0] for r in keys.select(self.part_of(F.col(self.key))).distinct().collect())
+
+    def read(self, table: str, schema: str, only: list[int] | None = None) -> DataFrame:
+        held = self.manifest().get("tables", {}).get(table, {})
+        paths = [f"{self.root}/data/{change}/{table}/_part={p}" for p, change in held.items() if only is None or int(p) in only]
+        return self.spark.read.schema(schema).parquet(*paths) if paths else self.spark.createDataFrame([], schema)
+
+    def put(self, table: str, df: DataFrame, change: str, sort: str | None = None) -> set[int]:
+        """Writes rows into folders of the change, a part's rows in order of ``sort``; the parts that have any. Nothing reads them before ``publish``."""
+        at = f"{self.root}/data/{change}/{table}"
+        dealt = df.withColumn("_part", self.part_of(F.col(self.key)))
+        dealt = dealt.repartition(min(self.parts, 200), "_part").sortWithinPartitions("_part", *([sort] if sort else []))
+        dealt.write.mode("overwrite").partitionBy("_part").parquet(at)
+        return {int(n[6:]) for n in self.files.names(at) if n.startswith("_part=")}
+
+    def publish(self, change: str, written: dict[str, tuple[list[int], set[int]]], more: dict, keep: int = 2) -> None:
+        """A new manifest: of each table the touched parts are now those written, or none. ``more``: other entries."""
+        old = self.manifest()
+        tables = {t: dict(x) for t, x in old.get("tables", {}).items()}
+        for table, (touched, have) in written.items():
+            held = tables.setdefault(table, {})
+            for p in touched:
+                held.pop(str(p), None)
+            held.update({str(p): change for p in have})
+        number = max(self.numbers(), default=0) + 1
+        self.files.write(f"{self.root}/manifests/{number:09d}.json", json.dumps({**old, **more, "tables": tables, "parts_number": self.parts}))
+        self.vacuum(keep)
+
+    def vacuum(self, keep: int) -> None:
+        numbers = self.numbers()
+        named = {c for n in numbers[-keep:] for x in self.manifest(n)["tables"].values() for c in x.values()}
+        for n in numbers[:-keep]:
+            self.files.delete(f"{self.root}/manifests/{n:09d}.json")
+        for c in self.files.names(f"{self.root}/data"):
+            if c not in named:
+                self.files.delete(f"{self.root}/data/{c}")

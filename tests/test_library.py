@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from quillstone.library import ROWS, SEARCHES, Library, LibraryError, Settings, attach_pdf
 from quillstone.operators import render
+from quillstone.operators import retrieval as R
 from quillstone.sources.remote import Client, RemoteError, SearchSource, full_text
 from quillstone.streaming.ingest import ingest_files, searches_by_hour
 
@@ -20,7 +21,8 @@ def rows_of(spark, key, texts, first=0):
 @pytest.fixture
 def library(spark, tmp_path):
     lib = Library(spark, f"file://{tmp_path}/home")
-    assert lib.ask("anything").count() == 0
+    with pytest.warns(UserWarning):
+        assert lib.ask("anything").count() == 0
     assert lib.ingest(rows_of(spark, "1", ["zinc heals wounds by 42.5 percent", "copper wires", "iron gates"]).unionByName(rows_of(spark, "2", ["zinc mines", "silver spoon", "gold ring"], 10))) == {"rows": 6, "papers": 2}
     return lib
 
@@ -52,6 +54,62 @@ def test_questions_and_mutations(spark, library):
         library.add_members("p", ["77"], "x")
 
 
+def test_a_change_writes_the_parts_that_it_touches(spark, library):
+    before = library.store.manifest()["tables"]["rows"]
+    assert library.add_claims("1", [{"text": "Zinc heals wounds", "source_chunk_ids": ["1::abstract::0"], "evidence_span": "zinc heals"}]) == 1
+    tables = library.store.manifest()["tables"]
+    changed = [p for p, change in tables["rows"].items() if before.get(p) != change]
+    assert len(changed) == 1 and library.rows([int(changed[0])]).select("doc_key").distinct().collect()[0][0] == "1"
+    library.tag(["2"], add=["t"])
+    assert library.store.manifest()["tables"]["postings"] == tables["postings"]
+    assert len(library.store.numbers()) == 2 and set(library.store.files.names(f"{library.store.root}/data")) == {c for n in library.store.numbers() for t in library.store.manifest(n)["tables"].values() for c in t.values()}
+    # the parts' postings and numbers are those of the whole
+    index, rows = library.index(), library.rows()
+    assert sorted(index.postings.select("id", "term", "tf", "dl").collect()) == sorted(R.postings(rows).collect())
+    stats = R.corpus_stats(rows).first()
+    assert (index.n, index.avgdl) == (stats["n"], stats["avgdl"])
+    want = {r["term"]: round(r["idf"], 9) for r in R.term_stats(R.postings(rows), R.corpus_stats(rows)).collect()}
+    assert {r["term"]: round(r["idf"], 9) for r in index.idf().collect()} == want
+
+
+def test_missing_indexes_and_models(spark, tmp_path):
+    vectors = {"zinc": [1.0, 0.0], "gold": [0.0, 1.0]}
+    asked = []
+    lib = Library(spark, f"file://{tmp_path}/h", embed=lambda q: asked.append(q) or vectors["gold"])
+    with pytest.warns(UserWarning, match="no model"):
+        assert lib.ask("gold").count() == 0
+    lib.ingest(rows_of(spark, "1", ["zinc", "gold", "iron"]))
+    lib.tables.write("vectors", spark.createDataFrame([("1::abstract::0", vectors["zinc"]), ("1::text::0", vectors["gold"])], "id string, v array<float>"))
+    assert lib.ask("gold", strategy="chunks", k=1).first()["id"] == "1::text::0" and asked[-1].startswith("Represent this sentence")
+    lib.drop_index()
+    with pytest.warns(UserWarning, match="dense hits only"):
+        assert [r["id"] for r in lib.ask("zinc", strategy="chunks", k=1).collect()] == ["1::text::0"]
+    lib.reindex()
+    assert lib.lexical("zinc", 1).first()["id"] == "1::abstract::0"
+    other = Library(spark, f"file://{tmp_path}/h", model="other/model")
+    with pytest.warns(UserWarning, match="bge-small"):
+        assert other.ask("gold").count() == 0
+
+
+def test_evaluation_of_real_strategies(spark, library):
+    library.add_claims("1", [{"text": "Zinc heals, 42.5 percent", "source_chunk_ids": ["1::abstract::0"], "evidence_span": "zinc heals"}])
+    q = spark.createDataFrame([("does zinc heal wounds", ["1"]), ("silver spoon", ["2", "9"]), ("silver ring", ["1"])], "question string, relevant_pmids array<string>")
+    got = {r["strategy"]: tuple(r)[1:] for r in library.evaluate(q, k=1, claims_k=1).collect()}
+    assert got["chunks"] == got["mixed"] or got["chunks"][:2] == (3, 0.667)
+    by_hand = {}
+    for s in ("chunks", "claims", "merged", "mixed"):
+        hits, recalls, mrrs = [], [], []
+        for r in q.collect():
+            found = library.ask(r["question"], k=1, claims_k=1, strategy=s).join(library.index().scores(r["question"].split()).select("id"), "id", "left_semi")
+            pmids = list(dict.fromkeys(x["pmid"] for x in found.orderBy("part", F.desc("score")).collect()))
+            places = [i for i, p in enumerate(pmids, 1) if p in r["relevant_pmids"]]
+            hits.append(bool(places))
+            recalls.append(len(places) / len(r["relevant_pmids"]))
+            mrrs.append(1 / places[0] if places else 0)
+        by_hand[s] = tuple(round(sum(x) / 3, 3) for x in (hits, recalls, mrrs))
+    assert {s: v[1:] for s, v in got.items()} == by_hand
+
+
 def test_settings(tmp_path, monkeypatch):
     monkeypatch.delenv("QUILLSTONE_HOME", raising=False)
     s = Settings(tmp_path / "s")
