@@ -45,9 +45,13 @@ def span_in(span: Column, sources: Column) -> Column:
     return F.coalesce((needle != "") & F.exists(sources, lambda s: F.contains(squash(s), needle)), F.lit(False))
 
 
+#: What counts as a number in a claim (fixed pattern).
+NUMBER = r"[0-9]+(?:\.[0-9]+)?"
+
+
 def missing_numbers(text: Column, source: Column) -> Column:
     """Numbers of two characters or more that don't occur as whole numbers in the source, in order."""
-    numbers = F.filter(F.regexp_extract_all(text, F.lit(r"[0-9]+(?:\.[0-9]+)?"), F.lit(0)), lambda n: F.length(n) >= 2)
+    numbers = F.filter(F.regexp_extract_all(text, F.lit(NUMBER), F.lit(0)), lambda n: F.length(n) >= 2)
     found = lambda n: F.regexp_like(source, F.concat(F.lit("(^|[^0-9.])"), F.replace(n, F.lit("."), F.lit("[.]")), F.lit("([^0-9]|$)")))
     return F.filter(numbers, lambda n: ~found(n))
 
@@ -57,8 +61,12 @@ def year_of(c: Column) -> Column:
     return F.coalesce(nullif_empty(F.regexp_extract(c, r"^([0-9]{4})", 1)), c)
 
 
+#: What a DOI looks like (fixed pattern).
+DOI = r"(10\.[0-9]{4,9}/[^\s\"'<>)]+)"
+
+
 def doi_of(c: Column) -> Column:
-    return nullif_empty(F.rtrim(F.regexp_extract(c, r"(10\.[0-9]{4,9}/[^\s\"'<>)]+)", 1), F.lit(".,;")))
+    return nullif_empty(F.rtrim(F.regexp_extract(c, DOI, 1), F.lit(".,;")))
 
 
 def html_escape(c: Column) -> Column:
@@ -67,6 +75,11 @@ def html_escape(c: Column) -> Column:
     return c
 
 
+def unquoted(text: str) -> str:
+    """A quotation mark would end a phrase of a query."""
+    return text.replace('"', "'")
+
+
 def escape_term(c: Column) -> Column:
     return F.replace(F.trim(F.regexp_replace(c, r"(?U)\s+", " ")), F.lit('"'), F.lit("'"))
 
@@ -76,10 +89,13 @@ def field_tag(c: Column, tag: str) -> Column:
     return F.concat(F.when(F.contains(t, F.lit(" ")), F.concat(F.lit('"'), t, F.lit('"'))).otherwise(t), F.lit(f"[{tag}]"))
 
 
+#: Headings of sections that aren't chunked (fixed pattern).
+SKIPPED = r"(?i)^(references?|bibliography|reference list|abstract)$"
+
+
 def skipped_section(c: Column) -> Column:
     """Whether a part of the heading path is a reference list or an abstract."""
-    names = r"(?i)^(references?|bibliography|reference list|abstract)$"
-    return F.coalesce(F.exists(F.split(c, " > "), lambda p: F.trim(p).rlike(names)), F.lit(False))
+    return F.coalesce(F.exists(F.split(c, " > "), lambda p: F.trim(p).rlike(SKIPPED)), F.lit(False))
 
 
 def human_mb(c: Column) -> Column:

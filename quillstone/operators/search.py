@@ -1,17 +1,23 @@
-"""Boolean concept queries: compiled to a query string and to a column over the corpus, with a funnel of hit counts."""
+"""Boolean concept queries: made of terms and clauses, which are rendered as a query string or as a column over the corpus, with a funnel of hit counts; searches at a service."""
 
 from __future__ import annotations
 
+import re
 from dataclasses import dataclass, field
 from functools import reduce
+from itertools import accumulate
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quillstone.functions import text as X
+from quillstone.sources.remote import PAGE, Client
 
-SENSITIVITIES = ("broad", "balanced", "precise")
+#: Of each sensitivity: whether optional concepts count, and whether short single words do.
+SENSITIVITIES = {"broad": (False, True), "balanced": (True, True), "precise": (True, False)}
+SHORT = 4
 MOST_RESULTS = 10_000
+_BREAK = re.compile(r"\r\n?|\n")
 
 
 @dataclass(frozen=True)
@@ -26,47 +32,107 @@ class Concept:
             raise ValueError("a concept needs a name and a term")
 
 
-def direct(text: str) -> str:
+@dataclass(frozen=True)
+class Term:
+    """What is looked for, and in which field of a record."""
+
+    words: tuple[str, ...]
+    where: str
+
+    @classmethod
+    def of(cls, text: str, where: str) -> Term:
+        return cls(tuple(X.unquoted(text).split()), where)
+
+    def __str__(self) -> str:
+        mark = '"' * (len(self.words) > 1)
+        return f"{mark}{' '.join(self.words)}{mark}[{self.where}]"
+
+
+@dataclass(frozen=True)
+class Clause:
+    """Terms of a concept, any of which will do."""
+
+    concept: str
+    terms: tuple[Term, ...]
+    required: bool = True
+
+    def __str__(self) -> str:
+        either = " OR ".join(map(str, self.terms))
+        return f"({either})" if len(self.terms) > 1 else either
+
+
+def direct(text: str | None) -> str:
     """A query as it is, on one line."""
-    if not text or not text.strip():
-        raise ValueError("the query is empty")
-    return " ".join(text.strip().replace("\r\n", "\n").replace("\r", "\n").split("\n"))
+    if line := _BREAK.sub(" ", (text or "").strip()):
+        return line
+    raise ValueError("the query is empty")
 
 
 def select(concepts: list[Concept], sensitivity: str = "balanced") -> list[Concept]:
-    """Broad searches keep the required concepts, or all if none is."""
+    """The concepts that count: without optional ones where the sensitivity leaves them out, unless there are no others."""
     if sensitivity not in SENSITIVITIES:
-        raise ValueError(f"sensitivity is one of {SENSITIVITIES}")
-    required = [c for c in concepts if c.required]
-    return required if sensitivity == "broad" and required else list(concepts)
+        raise ValueError(f"sensitivity is one of {list(SENSITIVITIES)}")
+    with_optional, _ = SENSITIVITIES[sensitivity]
+    return [c for c in concepts if with_optional or c.required] or list(concepts)
 
 
 def terms_of(concept: Concept, sensitivity: str = "balanced") -> list[str]:
-    """Terms, the first of those equal but for case; precise searches drop short single words unless none is left."""
+    """Terms, the first of those equal but for case; short single words only where the sensitivity takes them or nothing else is left."""
     first = {t.lower(): t for t in reversed(concept.terms)}
     terms = sorted(first.values(), key=str.lower)
-    if sensitivity == "precise":
-        terms = [t for t in terms if " " in t or len(t) > 4] or terms
-    return terms
-
+    _, with_short = SENSITIVITIES[sensitivity]
+    return [t for t in terms if with_short or " " in t or len(t) > SHORT] or terms
 
-def tagged(term: str, tag: str) -> str:
-    t = " ".join(term.split()).replace('"', "'")
-    return f'"{t}"[{tag}]' if " " in t else f"{t}[{tag}]"
 
-
-def compile_clauses(concepts: list[Concept], sensitivity: str = "balanced", headings: dict[str, str] | None = None) -> list[tuple[str, str]]:
-    """(name, clause) of each concept selected: headings of its terms in order, then its terms."""
+def clauses(concepts: list[Concept], sensitivity: str = "balanced", headings: dict[str, str] | None = None) -> list[Clause]:
+    """Of each concept that counts: the headings of its terms in order, then its terms."""
     out = []
     for c in select(concepts, sensitivity):
-        found = sorted({headings[t.lower()] for t in c.terms if t.lower() in headings}) if headings and c.expand else []
-        parts = [tagged(h, "MeSH Terms") for h in found] + [tagged(t, "Title/Abstract") for t in terms_of(c, sensitivity)]
-        out.append((c.name, f"({' OR '.join(parts)})" if len(parts) > 1 else parts[0]))
+        found = {headings[t.lower()] for t in c.terms if t.lower() in headings} if headings and c.expand else set()
+        terms = [Term.of(h, "MeSH Terms") for h in sorted(found)] + [Term.of(t, "Title/Abstract") for t in terms_of(c, sensitivity)]
+        out.append(Clause(c.name, tuple(terms), c.required))
     return out
 
 
+def compile_clauses(concepts: list[Concept], sensitivity: str = "balanced", headings: dict[str, str] | None = None) -> list[tuple[str, str]]:
+    """(name, clause) of each concept that counts."""
+    return [(c.concept, str(c)) for c in clauses(concepts, sensitivity, headings)]
+
+
+def within(query: str, language: str) -> str:
+    return f"({query}) AND {language}[Language]"
+
+
 def compile_query(concepts: list[Concept], sensitivity: str = "balanced", headings: dict[str, str] | None = None, language: str = "English") -> str:
-    return f"({' AND '.join(clause for _, clause in compile_clauses(concepts, sensitivity, headings))}) AND {language}[Language]"
+    return within(" AND ".join(map(str, clauses(concepts, sensitivity, headings))), language)
+
+
+def ask_service(
+    client: Client, url: str, query: str | None = None, concepts: list[Concept] | None = None, sensitivity: str = "balanced", headings: dict[str, str] | None = None,
+    most: int = 1000, page: int = PAGE, steps: bool = False, language: str = "English",
+) -> dict:
+    """A search from the request to its ids: compiled, paged through, and with ``steps`` counted concept by concept.
+
+    Ids come once each in the order of the pages, at most ``most`` and MOST_RESULTS. Steps are the hits of the first concepts
+    together, one request each but for the last, which is the search itself.
+    """
+    if (query is None) == (not concepts):
+        raise ValueError("give either a query or concepts")
+    parts = clauses(concepts, sensitivity, headings) if concepts else []
+    so_far = [within(q, language) for q in (accumulate(map(str, parts), "{} AND {}".format) if parts else [direct(query)])]
+    total, ids = 0, {}
+    for total, found in client.pages(url, so_far[-1], most, page):
+        ids |= dict.fromkeys(found)
+    pmids = list(ids)[: min(most, MOST_RESULTS)]
+    warnings = ["short single words are left out, which may cost hits"] if parts and sensitivity == "precise" else []
+    warnings += ["without headings all terms are looked for in titles and abstracts"] if parts and headings is None else []
+    warnings += [f"{len(pmids)} of {total} hits are returned"] if len(pmids) < total else []
+    totals = [next(client.pages(url, q, 1, 1), (0, []))[0] for q in so_far[:-1]] if steps else []
+    return {
+        "query": so_far[-1], "pmids": pmids, "total_count": total, "returned_count": len(pmids), "truncated": len(pmids) < total, "warnings": warnings,
+        "clauses": [{"concept": c.concept, "clause": str(c), "required": c.required} for c in parts],
+        "funnel": [{"concept": c.concept, "query": q, "total_count": n} for c, q, n in zip(parts, so_far, [*totals, total], strict=True)] if steps and parts else [],
+    }
 
 
 def predicate(concept: Concept, text: Column, sensitivity: str = "balanced") -> Column:
