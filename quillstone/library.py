@@ -15,20 +15,28 @@ from collections.abc import Callable
 from dataclasses import dataclass
 from datetime import datetime, timezone
 from pathlib import Path
+from urllib.parse import quote
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quillstone.functions import text as X
+from quillstone.operators import articles as A
 from quillstone.operators import claims as C
 from quillstone.operators import library as L
 from quillstone.operators import retrieval as R
+from quillstone.operators import search as S
 from quillstone.operators.where import both, build, compile_where
-from quillstone.sources.versions import Files, Parts, Versions
+from quillstone.sources.remote import Client, RemoteError, full_text
+from quillstone.sources.versions import Files, Parts, Versions, workspace
 
 ROWS = "id string, doc_key string, pmid string, title string, type string, text string, section string, page int, tags array<string>, source_chunk_ids array<string>, source_level string, evidence_span string, direction string, seq long"
 MEMBERS = "project string, doc_key string, via array<string>, added_at string"
 SEARCHES = "retrieved_at string, label string, query string, total_count long, returned_count long, truncated boolean, pmids array<string>"
+PAPERS = "doc_key string, pmid string, pmcid string, title string, authors array<struct<family:string,given:string>>, journal string, year string, volume string, issue string, pages string, doi string, abstract string, keywords array<string>, pub_types array<string>, has_fulltext boolean, tags array<string>"
+PROJECTS = "project string, model string, created_at string, last_synced_at string"
+#: Papers that are fetched before their rows are written.
+FETCHED = 100
 #: Words put before a question for some models (fixed values).
 QUESTION_PREFIX = {m: "Represent this sentence for searching relevant passages: " for m in ("BAAI/bge-small-en-v1.5", "BAAI/bge-base-en-v1.5", "BAAI/bge-large-en-v1.5")}
 DEFAULT_MODEL = "BAAI/bge-small-en-v1.5"
@@ -162,12 +170,85 @@ class Library:
     def has_index(self) -> bool:
         return bool(self.store.manifest().get("lexical"))
 
-    def index(self) -> R.Index:
+    def index(self, project: str | None = None) -> R.Index:
+        """The whole library's index, or a project's: its members' postings, and statistics of these alone."""
+        if project is not None:
+            return self._index_of(self.members().where(F.col("project") == project).select("doc_key").distinct())
         corpus = self.store.manifest().get("corpus", {"n": 0, "avgdl": 0.0, "floor": 0.0})
         return R.Index(self.store.read("postings", POSTINGS), self.store.read("terms", TERMS).select("term", "df"), self.rows().drop("text"), **corpus)
 
+    def _index_of(self, keys: DataFrame) -> R.Index:
+        parts = self.store.parts_with(keys)
+        own = lambda table, schema: self.store.read(table, schema, parts).join(keys, "doc_key", "left_semi")
+        total = own("sizes", SIZES).agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n"), F.coalesce(F.sum("tokens"), F.lit(0)).alias("t")).first()
+        terms = own("terms", TERMS).groupBy("term").agg(F.sum("df").alias("df"))
+        return R.Index(own("postings", POSTINGS), terms, own("rows", ROWS).drop("text"), total["n"], total["t"] / total["n"] if total["n"] else 0.0, R.floor_of(terms, total["n"]))
+
     # ingestion and mutation
 
+    def papers(self, only: list[int] | None = None) -> DataFrame:
+        return self.store.read("papers", PAPERS, only)
+
+    def _put_papers(self, touched: list[int], papers: DataFrame) -> None:
+        change = uuid.uuid4().hex
+        have = self.store.put("papers", papers.select(*[c.split()[0] for c in PAPERS.split(", ")]), change)
+        self.store.publish(change, {"papers": (touched, have)}, {})
+
+    def ingest_articles(self, articles: DataFrame, force: bool = False) -> dict:
+        """Articles (doc_key, xml, record, tags): the papers' records first, then their rows, so a conversion that fails leaves the records.
+
+        A paper that is there already is left out, or with ``force`` replaced.
+        """
+        articles = A.shaped(articles)
+        if not force:
+            known = self.rows(self.store.parts_with(articles)).select("doc_key").distinct()
+            articles = articles.join(known, "doc_key", "left_anti").select(*articles.columns)
+        at = f"{workspace(self.spark)}/articles-{uuid.uuid4().hex}"
+        try:
+            A.sound(articles).write.parquet(f"{at}/articles")
+            own = self.spark.read.schema(A.ARTICLE).parquet(f"{at}/articles")
+            A.records(own).write.parquet(f"{at}/papers")
+            papers = self.spark.read.schema(PAPERS).parquet(f"{at}/papers")
+            touched = self.store.parts_with(papers)
+            if touched:
+                self._put_papers(touched, L.replace(self.papers(touched), papers, "doc_key"))
+            A.blocks(own).write.parquet(f"{at}/blocks")
+            blocks = self.spark.read.schema(A.BLOCKS).parquet(f"{at}/blocks")
+            return self.ingest(A.library_rows(blocks, papers, self.model), force)
+        finally:
+            self.store.files.delete(at)
+
+    def ingest_papers(self, keys: list[str], sources: list[tuple[str, Callable[[str], bytes | None]]], record: Callable[[str], bytes | None] | None = None, tags: list[str] | None = None, required: bool = False, force: bool = False) -> list[dict]:
+        """Papers from the first source that has them, with the service's record: what came of each, FETCHED papers at a time.
+
+        The service allows a few requests a second, so papers are fetched one after another. Outcomes: ``source``, or an
+        ``error``: already_ingested, no_open_access_fulltext (where the text is required), or what the record's source says.
+        """
+        there = set() if force else {r[0] for r in self.rows(self._parts_of(keys)).where(F.col("doc_key").isin(keys)).select("doc_key").distinct().collect()}
+        out: dict[str, dict] = {}
+        wanted = []
+        for key in dict.fromkeys(keys):
+            out[key] = {"doc_key": key, "error": "already_ingested"} if key in there else {"doc_key": key}
+            wanted += [key] if key not in there else []
+        for start in range(0, len(wanted), FETCHED):
+            got = []
+            for key in wanted[start : start + FETCHED]:
+                try:
+                    about = record(key) if record else None
+                except (RemoteError, OSError) as e:
+                    out[key]["error"] = str(e)
+                    continue
+                try:
+                    name, data = full_text(sources, key, required)
+                except RemoteError:
+                    out[key]["error"] = "no_open_access_fulltext"
+                    continue
+                out[key]["source"] = name
+                got.append((key, data and data.decode("utf-8", "replace"), about and about.decode("utf-8", "replace"), tags))
+            if got:
+                self.ingest_articles(self.spark.createDataFrame(got, A.ARTICLE), force)
+        return list(out.values())
+
     def ingest(self, rows: DataFrame, force: bool = False) -> dict:
         """Adds rows of papers; those whose paper is there already are left out, or with ``force`` replace all its rows."""
         rows = _shaped(rows)
@@ -190,6 +271,7 @@ class Library:
         if have:
             touched = self._parts_of(sorted(have))
             self._save(touched, self.rows(touched).where(~F.col("doc_key").isin(sorted(have))))
+            self._put_papers(touched, self.papers(touched).where(~F.col("doc_key").isin(sorted(have))))
         return {"removed": [k for k in keys if k in have], "not_found": [k for k in keys if k not in have]}
 
     def tag(self, keys: list[str] | None, set_: list[str] | None = None, add: list[str] | None = None, remove: list[str] | None = None) -> None:
@@ -232,33 +314,33 @@ class Library:
 
     # retrieval
 
-    def lexical(self, question: str, k: int, where: dict | None = None) -> DataFrame:
+    def lexical(self, question: str, k: int, where: dict | None = None, project: str | None = None) -> DataFrame:
         """(id, score, lex_rank) from the stored postings, which are in order of the term: only the question's terms are read."""
-        index = self.index()
+        index = self.index(project)
         terms = self.spark.createDataFrame([(question,)], "q string").select(X.tokenize(F.col("q"))).first()[0]
         return index.top(terms, k, compile_where(where, index.rows.columns)).select("id", "score", "lex_rank")
 
-    def dense(self, vector: list[float], k: int, where: dict | None = None) -> DataFrame:
-        rows = self.rows()
+    def dense(self, vector: list[float], k: int, where: dict | None = None, project: str | None = None) -> DataFrame:
+        rows = self.rows() if project is None else self.project_rows(project)
         ids = rows.where(compile_where(where, rows.columns)).select("id")
         vecs = self.tables.read("vectors", "id string, v array<float>").join(ids, "id", "left_semi")
         return R.dense(vecs, self.spark.createDataFrame([(vector,)], "q array<double>"), k)
 
-    def retrieve(self, question: str, k: int = 5, where: dict | None = None, vector: list[float] | None = None, rrf_k: int = R.RRF_K) -> DataFrame:
+    def retrieve(self, question: str, k: int = 5, where: dict | None = None, vector: list[float] | None = None, rrf_k: int = R.RRF_K, project: str | None = None) -> DataFrame:
         """Both legs' best 4k fused. Without a vector or stored vectors the lexical leg alone, without a lexical index the dense one, with a warning."""
         pool = k * R.POOL
         if vector is None and self.embed is not None and self.tables.exists("vectors"):
             vector = self.embed(prefixed(question, self.model))
         if self.has_index():
-            lex = self.lexical(question, pool, where)
+            lex = self.lexical(question, pool, where, project)
         else:
             warnings.warn("no lexical index: dense hits only", stacklevel=2)
             lex = self.spark.createDataFrame([], "id string, lex_rank long")
-        den = self.dense(vector, pool, where) if vector is not None and self.tables.exists("vectors") else self.spark.createDataFrame([], "id string, dense_rank long")
+        den = self.dense(vector, pool, where, project) if vector is not None and self.tables.exists("vectors") else self.spark.createDataFrame([], "id string, dense_rank long")
         return R.fuse(den, lex, k, rrf_k).join(self.rows(), "id").orderBy(F.desc("score"), "id")
 
-    def ask(self, question: str, k: int = 5, claims_k: int = 3, strategy: str = "merged", type_: str | None = None, pmid: str | None = None, where: dict | None = None, vector: list[float] | None = None, expand: bool = True) -> DataFrame:
-        """Hits of a strategy: merged, chunks, claims or mixed. A type asked for goes before the strategy."""
+    def ask(self, question: str, k: int = 5, claims_k: int = 3, strategy: str = "merged", type_: str | None = None, pmid: str | None = None, where: dict | None = None, vector: list[float] | None = None, expand: bool = True, project: str | None = None) -> DataFrame:
+        """Hits of a strategy: merged, chunks, claims or mixed, in the library or in a project. A type asked for goes before the strategy."""
         if strategy not in ("merged", "chunks", "claims", "mixed"):
             raise LibraryError("unknown_strategy", strategy=strategy)
         if not self.exists():
@@ -267,12 +349,12 @@ class Library:
         asked = build(type_, pmid, where)
         only_claims, no_claims = {"type": "claim"}, {"type": {"$ne": "claim"}}
         part = lambda df, n: df.withColumn("part", F.lit(n).cast("long"))
+        find = lambda n, cond: self.retrieve(question, n, cond, vector, project=project)
         if type_ or strategy == "mixed":
-            return part(self.retrieve(question, k, asked, vector), 0)
+            return part(find(k, asked), 0)
         if strategy in ("chunks", "claims"):
-            return part(self.retrieve(question, k, both(asked, no_claims if strategy == "chunks" else only_claims), vector), 0)
-        claims = self.retrieve(question, claims_k, both(asked, only_claims), vector)
-        chunks = self.retrieve(question, k, both(asked, no_claims), vector)
+            return part(find(k, both(asked, no_claims if strategy == "chunks" else only_claims)), 0)
+        claims, chunks = find(claims_k, both(asked, only_claims)), find(k, both(asked, no_claims))
         if expand:
             chunks = chunks.join(claims.select(F.explode("source_chunk_ids").alias("id")).distinct(), "id", "left_anti").select(*claims.columns)
         return part(claims, 0).unionByName(part(chunks, 1)).orderBy("part", F.desc("score"), "id")
@@ -289,6 +371,75 @@ class Library:
 
     # projects and searches
 
+    def _projects(self) -> DataFrame:
+        return Versions(self.spark, self.root).read("projects", PROJECTS)
+
+    def create_project(self, project: str, force: bool = False) -> dict:
+        """A project of this library and its model. One that is there already is made anew only by force; its members stay."""
+        if not project.strip():
+            raise LibraryError("invalid_name", name=project)
+        all_ = self._projects()
+        if not force and all_.where(F.col("project") == project).limit(1).count():
+            raise LibraryError("project_exists", project=project)
+        new = self.spark.createDataFrame([(project, self.model, _now(), None)], PROJECTS)
+        Versions(self.spark, self.root).write("projects", all_.where(F.col("project") != project).unionByName(new))
+        return {"project": project, "embedding_model": self.model}
+
+    def projects(self) -> DataFrame:
+        """(project, model, created_at, last_synced_at, n_members, n_searches) of all projects."""
+        n = self.members().groupBy("project").agg(F.count("*").alias("n_members"))
+        searched = self.searches().where("project IS NOT NULL").groupBy("project").agg(F.count("*").alias("n_searches"))
+        zero = lambda c: F.coalesce(c, F.lit(0)).alias(c)
+        return self._projects().join(n, "project", "left").join(searched, "project", "left").select("project", "model", "created_at", "last_synced_at", zero("n_members"), zero("n_searches"))
+
+    def project_info(self, project: str) -> dict:
+        """What is known of a project: members in order, and its searches."""
+        own = self.projects().where(F.col("project") == project).first()
+        if own is None:
+            raise LibraryError("unknown_project", project=project)
+        members = [r.asDict() for r in self.members().where(F.col("project") == project).drop("project").orderBy("doc_key").collect()]
+        searches = self.searches().where(F.col("project") == project).orderBy("retrieved_at", "label").select("label", "query", F.size("pmids").alias("n_pmids"))
+        return own.asDict() | {"members": members, "searches": [r.asDict() for r in searches.collect()]}
+
+    def remove_members(self, project: str, keys: list[str]) -> dict:
+        """Papers leave the project; the library stays as it is. An error if none of them is a member."""
+        all_ = self.members()
+        own = (F.col("project") == project) & F.col("doc_key").isin(keys)
+        had = {r["doc_key"] for r in all_.where(own).collect()}
+        if not had:
+            raise LibraryError("not_members", not_members=keys)
+        Versions(self.spark, self.root).write("members", all_.where(~own))
+        return {"removed": [k for k in keys if k in had], "not_members": [k for k in keys if k not in had]}
+
+    def search(self, client: Client, url: str, label: str, project: str | None = None, **request) -> dict:
+        """A search at a service (see ``S.ask_service``), logged with its ids, for a project if one is given."""
+        found = S.ask_service(client, url, **request)
+        self.log_search(label, found["query"], found["pmids"], found["total_count"], project)
+        return found
+
+    def ingest_included(self, project: str, label: str, decisions: DataFrame, sources: list, record=None, tags: list[str] | None = None, force: bool = False) -> dict:
+        """Papers that a triage (pmid, included) keeps join the project; those that the library hasn't got are fetched before."""
+        wanted = [r[0] for r in decisions.where("included").select("pmid").distinct().orderBy("pmid").collect()]  # a search has 10,000 ids at most
+        if not wanted:
+            raise LibraryError("nothing_included")
+        asked = self.spark.createDataFrame([(w,) for w in wanted], "ref string")
+        found = {r["ref"]: r["doc_key"] for r in L.resolve(asked, self.rows().select("doc_key", "pmid").distinct()).dropDuplicates(["ref"]).collect()}
+        there = [found[w] for w in wanted if found[w]]
+        results = self.ingest_papers([w for w in wanted if not found[w]], sources, record, tags, force=force)
+        came = [r["doc_key"] for r in results if r.get("error") in (None, "already_ingested")]
+        have = {r[0] for r in self.rows(self._parts_of(came)).where(F.col("doc_key").isin(came)).select("doc_key").distinct().collect()} if came else set()
+        failed = [r for r in results if r["doc_key"] not in have]
+        new = self.add_members(project, [*there, *[c for c in came if c in have]], label) if there or have else []
+        return {"project": project, "n_included": len(wanted), "n_already_in_library": len(there), "n_newly_ingested": len(have), "n_members_added": len(new), "n_failed": len(failed), "failed": failed, "sync": self.sync(project)}
+
+    def dashboard(self, project: str | None = None, files: DataFrame | None = None) -> DataFrame:
+        """A row of each paper; ``files`` (doc_key, name, length): what lies in the papers' folders."""
+        papers, rows = self.papers(), self.rows()
+        if project is not None:
+            keys = self.members().where(F.col("project") == project).select("doc_key")
+            papers, rows = (x.join(keys, "doc_key", "left_semi") for x in (papers, rows))
+        return L.paper_rows(papers, rows, files if files is not None else self.spark.createDataFrame([], "doc_key string, name string, length long"))
+
     def members(self) -> DataFrame:
         return Versions(self.spark, self.root).read("members", MEMBERS)
 
@@ -302,8 +453,7 @@ class Library:
         had = {r["doc_key"] for r in own.where(F.col("doc_key").isin(keys)).collect()}
         new = self.spark.createDataFrame([(k,) for k in dict.fromkeys(keys)], "doc_key string")
         merged = L.add_members(own.select("doc_key", "via"), new, via).select(F.lit(project).alias("project"), "doc_key", "via").join(own.select("doc_key", "added_at"), "doc_key", "left")
-        now = datetime.now(timezone.utc).isoformat(timespec="seconds")
-        merged = merged.select("project", "doc_key", "via", F.coalesce("added_at", F.lit(now)).alias("added_at"))
+        merged = merged.select("project", "doc_key", "via", F.coalesce("added_at", F.lit(_now())).alias("added_at"))
         Versions(self.spark, self.root).write("members", all_.where(F.col("project") != project).unionByName(merged))
         return [k for k in dict.fromkeys(keys) if k not in had]
 
@@ -319,12 +469,28 @@ class Library:
         lost = sorted(r["doc_key"] for r in gone.collect())
         if lost:
             Versions(self.spark, self.root).write("members", all_.join(gone, ["project", "doc_key"], "left_anti"))
+        known = self._projects()
+        if known.where(F.col("project") == project).limit(1).count():
+            Versions(self.spark, self.root).write("projects", known.withColumn("last_synced_at", F.when(F.col("project") == project, F.lit(_now())).otherwise(F.col("last_synced_at"))))
         bare = self.members().where(F.col("project") == project).join(self.rows().where("type = 'text'"), "doc_key", "left_anti")
         return {"pruned": lost, "no_chunks": sorted(r["doc_key"] for r in bare.collect())}
 
-    def log_search(self, label: str, query: str, pmids: list[str], total: int) -> None:
-        row = (datetime.now(timezone.utc).isoformat(timespec="seconds"), label, query, total, len(pmids), total > len(pmids), pmids)
-        self.spark.createDataFrame([row], SEARCHES).write.mode("append").parquet(f"{self.root}/searches")
+    def log_search(self, label: str, query: str, pmids: list[str], total: int, project: str | None = None) -> None:
+        row = (_now(), label, query, total, len(pmids), total > len(pmids), pmids)
+        self.spark.createDataFrame([row], SEARCHES).write.mode("append").parquet(f"{self.root}/searches" + (f"-of/project={quote(project, safe='')}" if project else ""))
+
+    def searches(self) -> DataFrame:
+        """(SEARCHES, project) of all searches; the project is null for those of the library."""
+        files, out = Files(self.spark), self.spark.createDataFrame([], f"{SEARCHES}, project string")
+        if files.exists(f"{self.root}/searches"):
+            out = out.unionByName(self.spark.read.schema(SEARCHES).parquet(f"{self.root}/searches").withColumn("project", F.lit(None).cast("string")))
+        if files.exists(f"{self.root}/searches-of"):
+            out = out.unionByName(self.spark.read.schema(f"{SEARCHES}, project string").parquet(f"{self.root}/searches-of"))
+        return out
+
+
+def _now() -> str:
+    return datetime.now(timezone.utc).isoformat(timespec="seconds")
 
 
 def _shaped(rows: DataFrame) -> DataFrame:

@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quillstone.functions.text import human_mb  # noqa: F401  part of this module's functions
+from quillstone.operators.biblio import authors_summary, last_author
 
 
 def lookup(rows: DataFrame, ids: list[str]) -> DataFrame:
@@ -92,6 +93,43 @@ def dashboard(papers: DataFrame, counts: DataFrame) -> DataFrame:
     return papers.join(counts, "doc_key", "left").select("doc_key", "title", "journal", "year", zero("n_chunks").alias("n_chunks"), zero("n_claims").alias("n_claims"), (zero("n_chunks") > 0).alias("has_embedding"))
 
 
+PAGED = "source.pdf", "source.xml", "source.html"
+
+
+def paper_rows(papers: DataFrame, rows: DataFrame, files: DataFrame) -> DataFrame:
+    """A dashboard's row of each paper: its record, what lies in its folder (doc_key, name, length), its figures and claims.
+
+    Figures and claims are lists in order of the number at the id's end; a claim has the page of its first source. The
+    pages of a PDF aren't counted, and columns that papers or rows don't have count as null.
+    """
+    def of(df, name, kind="string"):
+        return F.col(name) if name in df.columns else F.lit(None).cast(kind)
+
+    number = F.try_to_number(F.substring_index("id", "::", -1), F.lit("999999999")).cast("int").alias("n")
+    pdf, xml, html = (F.col("name") == n for n in PAGED)
+    held = files.groupBy("doc_key").agg(F.max(F.when(pdf, F.col("length"))).alias("_pdf"), F.max(xml).alias("_xml"), F.max(html).alias("_html"))
+    figures = rows.where("type = 'figure'").groupBy("doc_key").agg(F.sort_array(F.collect_list(F.struct(number, "text"))).alias("_figures"))
+    source = rows.select(F.col("id").alias("_source"), F.col("page").alias("_page"))
+    claim = rows.where("type = 'claim'").withColumn("_first", F.get(of(rows, "source_chunk_ids", "array<string>"), F.lit(0))).join(source, F.col("_first") == F.col("_source"), "left")
+    fields = [number, F.col("id"), F.col("text"), F.col("_page").alias("page"), *[of(rows, c).alias(c) for c in ("section", "direction", "evidence_span", "source_level")]]
+    claims = claim.groupBy("doc_key").agg(F.sort_array(F.collect_list(F.struct(*fields))).alias("_claims"))
+    all_ = papers.join(embedded_counts(rows), "doc_key", "left").join(held, "doc_key", "left").join(figures, "doc_key", "left").join(claims, "doc_key", "left")
+    zero, flag = lambda c: F.coalesce(c, F.lit(0)), lambda c: F.coalesce(c, F.lit(False))
+    n = F.coalesce(F.size("_figures"), F.lit(0))
+    some = F.when(n > 0, F.sequence(F.lit(0), n - 1)).otherwise(F.array().cast("array<int>"))
+    authors = F.coalesce(of(papers, "authors", "array<struct<family:string,given:string>>"), F.array().cast("array<struct<family:string,given:string>>"))
+    listed = lambda c: F.coalesce(of(papers, c, "array<string>"), F.array().cast("array<string>")).alias(c)
+    return all_.select(
+        "doc_key", *[of(papers, c).alias(c) for c in ("pmid", "pmcid", "title")], authors_summary(authors).alias("authors"), authors.alias("authors_full"), last_author(authors).alias("last_author"),
+        *[of(papers, c).alias(c) for c in ("journal", "year", "volume", "issue", "pages", "doi", "abstract")], listed("keywords"), listed("pub_types"), flag(of(papers, "has_fulltext", "boolean")).alias("has_fulltext"),
+        F.col("_pdf").isNotNull().alias("has_pdf"), F.when(F.col("_pdf").isNotNull(), human_mb(F.col("_pdf"))).alias("pdf_size"), F.lit(None).cast("long").alias("pdf_pages"), flag(F.col("_xml")).alias("has_xml"), flag(F.col("_html")).alias("has_html"),
+        n.cast("long").alias("n_figures"), F.when(n > 0, F.concat(F.lit("figs/"), "doc_key", F.lit(".png"))).alias("cover"),
+        F.transform(some, lambda i: F.concat(F.lit("figs/"), F.col("doc_key"), F.lit("_"), i.cast("string"), F.lit(".png"))).alias("figures"), F.transform(F.coalesce("_figures", F.array().cast("array<struct<n:int,text:string>>")), lambda f: f["text"]).alias("figure_captions"),
+        zero(F.col("n_chunks")).alias("n_chunks"), (zero(F.col("n_chunks")) > 0).alias("has_embedding"), zero(F.col("n_claims")).alias("n_claims"),
+        F.coalesce(F.transform("_claims", lambda c: c.dropFields("n")), F.array()).alias("claims"),
+    )
+
+
 def project_list(members: DataFrame, searches: DataFrame) -> DataFrame:
     n = members.groupBy("project").agg(F.count("*").alias("n_members"))
     return n.join(searches.groupBy("project").agg(F.count("*").alias("n")), "project", "left").select("project", "n_members", F.coalesce("n", F.lit(0)).alias("n_searches"))

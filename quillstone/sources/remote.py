@@ -125,3 +125,13 @@ def full_text(sources: list[tuple[str, Callable[[str], bytes | None]]], key: str
     if required:
         raise RemoteError(f"no full text of {key}")
     return "metadata", None
+
+
+def efetch(client: Client, url: str, db: str = "pmc") -> Callable[[str], bytes | None]:
+    """A source for ``full_text``: the article's XML from the service, None where it has no body (for records: whatever comes)."""
+
+    def fetch(key: str) -> bytes | None:
+        data = client.get(url, {"db": db, "id": key, "retmode": "xml"})
+        return data if db != "pmc" or b"<body" in data else None
+
+    return fetch

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from quillstone.library import ROWS, SEARCHES, Library, LibraryError, Settings, attach_pdf
 from quillstone.operators import render
 from quillstone.operators import retrieval as R
+from quillstone.operators import search as S
 from quillstone.sources.remote import Client, RemoteError, SearchSource, full_text
 from quillstone.streaming.ingest import ingest_files, searches_by_hour
 
@@ -195,3 +196,80 @@ def test_pages_and_attachments(spark, tmp_path):
     with pytest.raises(LibraryError):
         attach_pdf(tmp_path, "1", b"y")
     assert attach_pdf(tmp_path, "1", b"y", force=True).read_bytes() == b"y"
+
+
+JATS = """<?xml version="1.0" encoding="UTF-8"?><!DOCTYPE article PUBLIC "-//X//DTD" "x.dtd"><article><front><journal-meta><journal-title>J</journal-title></journal-meta><article-meta><article-id pub-id-type="pmid">{key}</article-id>
+<title-group><article-title>On <italic>zinc</italic></article-title></title-group><contrib-group><contrib contrib-type="author"><name><surname>Roe</surname><given-names>Jo</given-names></name></contrib></contrib-group>
+<pub-date><year>2020</year></pub-date><abstract><p>Zinc heals.</p></abstract></article-meta></front><body><p>Before any heading.</p><sec><title>Results</title><p>Zinc works <fig><label>Figure 1</label><caption><p>Wounds</p></caption></fig> well.</p>
+<sec><title>Mice</title><p>{words}</p><p>Short end.</p><fig/></sec></sec><sec><title>References</title><p>Nobody 1999.</p></sec></body></article>"""
+
+
+def test_articles(spark, tmp_path):
+    lib = Library(spark, f"file://{tmp_path}/a", parts=4)
+    words = " ".join(f"w{i}" for i in range(500))
+    given = [("1", JATS.format(key="1", words=words), None, ["t"]), ("2", "<article><broken", None, None), ("3", None, "<PubmedArticle><MedlineCitation><PMID>3</PMID><Article><ArticleTitle>Bare</ArticleTitle><Abstract><AbstractText>Only this.</AbstractText></Abstract></Article></MedlineCitation></PubmedArticle>", None)]
+    assert lib.ingest_articles(spark.createDataFrame(given, "doc_key string, xml string, record string, tags array<string>")) == {"rows": 9, "papers": 2}
+    rows = {r["id"]: r for r in lib.rows().collect()}
+    assert rows["1::text::0"]["text"] == "Before any heading." and rows["1::text::0"]["section"] is None
+    assert rows["1::text::1"]["text"] == "Results\nZinc works well." and rows["1::text::2"]["section"] == "Results > Mice"
+    body = [rows[f"1::text::{i}"]["text"].removeprefix("Results\nMice\n") for i in (2, 3, 4)]
+    assert " ".join(body).split() == [*words.split(), "Short", "end."] and all(len(t.split()) <= 384 for t in body)
+    assert rows["1::fig::0"]["text"] == "Figure 1 Wounds" and rows["1::fig::1"]["text"] == "(uncaptioned figure)"
+    assert rows["1::abstract::0"]["text"] == "Zinc heals." and rows["1::text::0"]["tags"] == ["t"] and rows["3::abstract::0"]["title"] == "Bare"
+    papers = {r["doc_key"]: r for r in lib.papers().collect()}
+    assert papers["1"]["title"] == "On zinc" and papers["1"]["authors"][0]["family"] == "Roe" and papers["1"]["has_fulltext"] and not papers["3"]["has_fulltext"] and not papers["2"]["has_fulltext"]
+    assert lib.ingest_articles(spark.createDataFrame(given[:1], "doc_key string, xml string, record string, tags array<string>")) == {"rows": 0, "papers": 0}
+    lib.ingest_articles(spark.createDataFrame([("1", JATS.format(key="1", words="few"))], "doc_key string, xml string"), force=True)
+    assert sorted(r["id"] for r in lib.rows().where("doc_key = '1' AND type = 'text'").collect()) == ["1::text::0", "1::text::1", "1::text::2"]
+    files = spark.createDataFrame([("1", "source.pdf", 2_000_000), ("1", "source.xml", 5)], "doc_key string, name string, length long")
+    first, bare = (r for r in lib.dashboard(files=files).where("doc_key IN ('1', '3')").orderBy("doc_key").collect())
+    assert (first["authors"], first["pdf_size"], first["has_xml"], first["n_figures"], first["cover"], first["figures"]) == ("Roe", "1.9 MB", True, 2, "figs/1.png", ["figs/1_0.png", "figs/1_1.png"])
+    assert (bare["has_pdf"], bare["pdf_size"], bare["n_chunks"], bare["claims"], bare["figures"]) == (False, None, 1, [], []) and len(lib.dashboard().columns) == 30
+    lib.remove(["1"])
+    assert {r["doc_key"] for r in lib.papers().collect()} == {"2", "3"}
+
+
+def hits(url, params):
+    """A service whose every clause halves the hits of 40."""
+    n = 40 >> params["term"].count(" AND ") - 1
+    ids = [str(i) for i in range(n)][params["retstart"] : params["retstart"] + params["retmax"]]
+    return 200, {}, json.dumps({"esearchresult": {"count": str(n), "idlist": ids}}).encode()
+
+
+def test_a_search_from_concepts_to_ids(spark, tmp_path):
+    lib, client = Library(spark, f"file://{tmp_path}/s"), Client(hits, per_second=1e9)
+    concepts = [S.Concept("metal", ["zinc", "zn"]), S.Concept("effect", ["wound healing"]), S.Concept("extra", ["mice"], required=False)]
+    found = lib.search(client, "u", "first", concepts=concepts, most=7, page=3, steps=True)
+    assert found["pmids"] == [str(i) for i in range(7)] and (found["total_count"], found["truncated"]) == (10, True)
+    assert [(s["concept"], s["total_count"]) for s in found["funnel"]] == [("metal", 40), ("effect", 20), ("extra", 10)] and found["funnel"][-1]["query"] == found["query"]
+    assert found["query"] == '((zinc[Title/Abstract] OR zn[Title/Abstract]) AND "wound healing"[Title/Abstract] AND mice[Title/Abstract]) AND English[Language]' and len(found["warnings"]) == 2
+    broad = lib.search(client, "u", "second", project="p/q", concepts=concepts, sensitivity="broad", headings={"zinc": "Zinc"})
+    assert broad["total_count"] == 20 and not broad["truncated"] and "Zinc[MeSH Terms]" in broad["query"] and broad["funnel"] == [] and not broad["warnings"]
+    assert lib.search(client, "u", "third", query=" a\nb ")["query"] == "(a b) AND English[Language]"
+    assert sorted((r["project"] or "", r["label"], r["returned_count"]) for r in lib.searches().collect()) == [("", "first", 7), ("", "third", 40), ("p/q", "second", 20)]
+    for bad in ({}, {"query": "a", "concepts": concepts}, {"query": "a", "most": 0}, {"concepts": concepts, "sensitivity": "loose"}):
+        with pytest.raises(ValueError):
+            lib.search(client, "u", "bad", **bad)
+
+
+def test_projects(spark, library):
+    assert library.create_project("p")["project"] == "p"
+    with pytest.raises(LibraryError):
+        library.create_project("p")
+    library.add_members("p", ["2"], "manual")
+    assert {r["doc_key"] for r in library.ask("zinc", project="p").collect()} == {"2"}
+    # scores in a project are those of a library of its papers alone
+    own = library.index("p")
+    alone = R.term_stats(R.postings(library.project_rows("p")), R.corpus_stats(library.project_rows("p")))
+    assert {r["term"]: round(r["idf"], 9) for r in own.idf().collect()} == {r["term"]: round(r["idf"], 9) for r in alone.collect()} and own.n == 3
+    text = {"5": JATS.format(key="5", words="zinc again").encode()}
+    decisions = spark.createDataFrame([("1", True), ("5", True), ("6", True), ("7", False)], "pmid string, included boolean")
+    done = library.ingest_included("p", "first", decisions, [("web", text.get)])
+    assert (done["n_included"], done["n_already_in_library"], done["n_newly_ingested"], done["n_members_added"]) == (3, 1, 1, 2) and [f["doc_key"] for f in done["failed"]] == ["6"]
+    info = library.project_info("p")
+    assert [m["doc_key"] for m in info["members"]] == ["1", "2", "5"] and info["n_members"] == 3 and info["last_synced_at"] and info["searches"] == []
+    assert library.remove_members("p", ["1", "9"]) == {"removed": ["1"], "not_members": ["9"]} and library.dashboard("p").select("doc_key").collect()[0][0] == "5"
+    with pytest.raises(LibraryError):
+        library.remove_members("p", ["9"])
+    got = library.ingest_papers(["5", "8"], [("web", text.get)], required=True)
+    assert [r.get("error") for r in got] == ["already_ingested", "no_open_access_fulltext"]

@@ -41,11 +41,11 @@ def test_where_builder():
         compile_where({"year": {"$gt": 1}}, ["year"])
 
 
-def test_bm25_ranks_rows_without_terms_too(spark):
-    df = spark.createDataFrame([(1, "alpha beta"), (2, "beta beta gamma"), (3, ""), (4, "delta epsilon"), (5, "zeta eta")], "id long, text string")
-    got = R.lexical(df, ["alpha", "none"], 5).orderBy("lex_rank").collect()
+def test_bm25_ranks_rows_without_terms_too(spark, tmp_path):
+    df = spark.createDataFrame([(1, "alpha beta"), (2, "beta beta gamma"), (3, ""), (4, "delta epsilon"), (5, "zeta eta")], "id long, text string").withColumn("seq", F.col("id"))
+    got = R.write_index(df, str(tmp_path / "some")).top(["alpha", "none"], 5).orderBy("lex_rank").collect()
     assert [r["id"] for r in got] == [1, 2, 3, 4, 5] and got[0]["score"] > 0 and got[1]["score"] == 0
-    assert R.lexical(df.limit(0), ["alpha"], 5).count() == 0
+    assert R.write_index(df.limit(0), str(tmp_path / "none")).top(["alpha"], 5).count() == 0
 
 
 def test_fusion_and_merge(spark):
