@@ -56,6 +56,17 @@ class LibraryError(Exception):
         self.payload = {"error": code, **details}
 
 
+def stated(raw: str, what: str) -> list[dict]:
+    """Claims, questions or concepts as a JSON list of objects; anything else is an error."""
+    try:
+        data = json.loads(raw)
+    except ValueError as e:
+        raise LibraryError("invalid_input", detail=str(e)) from e
+    if not isinstance(data, list) or not all(isinstance(x, dict) for x in data):
+        raise LibraryError("invalid_input", detail=f"expected a JSON list of {what}")
+    return data
+
+
 # homes and settings: small JSON files, on the driver
 
 
@@ -104,6 +115,10 @@ class Settings:
                 return found
         return known.get(homes.get("current")) or str(self.folder / "default")
 
+    def author(self, flag: str | None = None) -> str | None:
+        """Whose papers to look for where none is named: the settings' author."""
+        return self.read("config.json").get("author_name") if flag is None else flag
+
     def model(self, flag: str | None = None) -> str:
         return flag or os.environ.get("QUILLSTONE_MODEL") or self.read("config.json").get("embedding_model") or DEFAULT_MODEL
 

@@ -5,10 +5,11 @@ import json
 import pytest
 from pyspark.sql import functions as F
 
-from quillstone.library import ROWS, SEARCHES, Library, LibraryError, Settings, attach_pdf
+from quillstone.library import PAPERS, ROWS, SEARCHES, Library, LibraryError, Settings, attach_pdf, stated
 from quillstone.operators import render
 from quillstone.operators import retrieval as R
 from quillstone.operators import search as S
+from quillstone.sources import files
 from quillstone.sources.remote import Client, RemoteError, SearchSource, full_text
 from quillstone.streaming.ingest import ingest_files, searches_by_hour
 
@@ -129,6 +130,67 @@ def test_settings(tmp_path, monkeypatch):
         s.home(name="a")
 
 
+def test_stated_lists_and_author(tmp_path):
+    assert stated('[{"text": "a"}]', "claims") == [{"text": "a"}] and stated("[]", "claims") == []
+    for bad in ("{broken", '{"text": "a"}', '["a"]', "null", ""):
+        with pytest.raises(LibraryError) as e:
+            stated(bad, "claims")
+        assert e.value.payload["error"] == "invalid_input"
+    s = Settings(tmp_path)
+    assert s.author() is None and s.author("Roe") == "Roe"
+    s.write("config.json", {"author_name": "Doe"})
+    assert s.author() == "Doe" and s.author("Roe") == "Roe" and s.author("") == ""
+
+
+def test_files_of_a_home(spark, tmp_path):
+    home = f"file://{tmp_path}"
+    schema = PAPERS.removeprefix("doc_key string, ")
+    assert files.scan_records(spark, home, schema).columns == ["doc_key", *[f.split()[0] for f in schema.replace("array<struct<family:string,given:string>>", "x").split(", ")]]
+    assert files.scan_records(spark, home, schema).count() == files.listed(spark, f"{home}/none").count() == 0
+    for key, text in {"b+1 c": '{"title": "T", "year": 2019, "tags": ["x"], "doc_key": "other"}', "a": '{"title": "U",\n "more": 1}', "broken": '{"title": "T"', "list": "[1]", "empty": "", "word": '"x"'}.items():
+        (tmp_path / "papers" / key).mkdir(parents=True)
+        (tmp_path / "papers" / key / "metadata.json").write_text(text)
+    (tmp_path / "papers" / "none").mkdir()
+    (tmp_path / "papers" / "bytes").mkdir()
+    (tmp_path / "papers" / "bytes" / "metadata.json").write_bytes(b"\xff\xfe{")
+    got = files.scan_records(spark, home, schema).collect()
+    assert [(r["doc_key"], r["title"], r["year"], r["tags"]) for r in got] == [("a", "U", None, None), ("b+1 c", "T", "2019", ["x"])]
+    (tmp_path / "papers" / "a" / "more").mkdir()
+    (tmp_path / "papers" / "a" / "more" / "x.bin").write_bytes(b"12345")
+    sizes = {r["folder"].rsplit("/", 1)[1]: (r["n_files"], r["length"]) for r in files.folder_sizes(files.listed(spark, home)).collect()}
+    assert sizes["more"] == (1, 5) and sizes["list"] == (1, 3)
+
+
+def test_figures_are_listed_by_number(spark):
+    rows = [("p", f"x/{n}") for n in ("fig_10.png", "fig_2.png", "fig_2.jpg", "my_fig_1.png", "fig_x.png", "fig_1.png")] + [("q", "fig_0.png"), ("r", "none.png"), (None, "fig_3.png"), ("s", None)]
+    got = {r["doc_key"]: r["figures"] for r in files.figure_files(spark.createDataFrame(rows, "doc_key string, path string")).collect()}
+    assert got == {"p": ["x/fig_1.png", "x/fig_2.png", "x/fig_10.png"], "q": ["fig_0.png"], None: ["fig_3.png"]}
+
+
+def test_id_lists(spark):
+    got = files.id_lists(spark.createDataFrame([("f", " 3 \r\n\n1\n3\n\t"), ("g", None), ("h", "")], "name string, text string")).collect()
+    assert [tuple(r) for r in got] == [("f", 0, "3"), ("f", 1, "1")]
+
+
+def test_descriptors_and_kept_downloads(spark, tmp_path):
+    record = "<DescriptorRecord><DescriptorUI>{0}</DescriptorUI><DescriptorName><String>{1}</String></DescriptorName><ConceptList>{2}</ConceptList></DescriptorRecord>"
+    concept = lambda *terms: "<Concept><TermList>" + "".join(f"<Term><String>{t}</String></Term>" for t in terms) + "</TermList></Concept>"
+    body = "<DescriptorRecordSet>" + record.format("D1", "Zinc", concept("Zinc", "Zn") + concept("Zincum")) + record.format("D2", "Iron", concept("Iron")) + record.format("D3", "Bare", "") + "</DescriptorRecordSet>"
+    asked = []
+
+    def transport(url, params):
+        asked.append(url)
+        return (200, {}, body.encode()) if len(asked) != 2 else (404, {}, b"")
+
+    client, at = Client(transport, sleep=lambda s: None), tmp_path / "sets" / "desc.xml"
+    assert files.downloaded(client, "u", at) == at == files.downloaded(client, "u", at) and len(asked) == 1
+    with pytest.raises(RemoteError):
+        files.downloaded(client, "u", at, force=True)
+    assert at.read_text() == body and [p.name for p in at.parent.iterdir()] == ["desc.xml"]
+    got = sorted(tuple(r) for r in files.descriptors(spark, f"file://{at}").select("ui", "heading", F.coalesce("term", F.lit("-"))).collect())
+    assert got == [("D1", "Zinc", "Zinc"), ("D1", "Zinc", "Zincum"), ("D1", "Zinc", "Zn"), ("D2", "Iron", "Iron"), ("D3", "Bare", "-")]
+
+
 PAGES = {0: ["1", "2"], 2: ["2", "3"], 4: ["4", "5"]}
 
 
