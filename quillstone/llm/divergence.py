@@ -101,7 +101,8 @@ def pair_sums(p: np.ndarray, q: np.ndarray) -> np.ndarray:
 def tiles(rows: DataFrame, top: int) -> DataFrame:
     """(lang, source, part, item, value): partial sums of pairs, and the best terms of a block, from rows dealt to (lang, block, i, j).
 
-    Rows with a term are counts (source, term, n, all_n), those without are the groups themselves (source, total, all_total); both hold ``v``, and ``own``, i or j.
+    Rows with a term are counts (source, term, n, all_n), those without are the groups themselves (source, total, all_total, terms: the block's number of kept
+    terms); both hold ``v``, and ``own``, i or j. Terms of the block that neither set of sources holds have no row, but count.
     """
     schema = pa.schema([("lang", pa.string()), ("source", pa.string()), ("part", pa.string()), ("item", pa.string()), ("value", pa.int64())])
 
@@ -118,16 +119,19 @@ def tiles(rows: DataFrame, top: int) -> DataFrame:
         n, all_n = np.zeros(shape, np.int64), np.zeros(len(terms), np.int64)
         n[row, column] = counts.column("n").to_numpy()
         all_n[column] = counts.column("all_n").to_numpy()
-        if len(terms):
+        rest = groups.column("terms")[0].as_py() - len(terms)  # terms of the block that only other sets' sources hold
+        none = np.ones((len(names), min(rest, 1)), np.int64)
+        if groups.column("terms")[0].as_py():
             v = groups.column("v")[0].as_py()
             p = share(n, (groups.column("total").to_numpy() + v)[:, None])
             q = share(all_n, groups.column("all_total")[0].as_py() + v)
+            none = share(none - 1, (groups.column("total").to_numpy() + v)[:, None])
         else:
             p, q = np.ones(shape, np.int64), np.ones(0, np.int64)
         x, y = np.nonzero(own == i)[0], np.nonzero(own == j)[0]
         sources, items, values, parts = [], [], [], []
         for a, b in [(x, y)] if i == j else [(x, y), (y, x)]:
-            found = pair_sums(p[a], p[b])
+            found = pair_sums(p[a], p[b]) + rest * pair_sums(none[a], none[b])
             r, c = np.nonzero(a[:, None] != b[None])
             sources += [names[k] for k in a[r]]
             items += [names[k] for k in b[c]]
@@ -160,17 +164,20 @@ def audit(docs: DataFrame, least_docs: int = LEAST_DOCS, top: int = TOP, block:
     parts = lambda c, size: F.greatest(F.lit(1), F.ceil(F.col(c) / size)).cast("int")
     lang = materialise(lang.select("lang", "v", "all_total", parts("v", block).alias("blocks"), parts("sources", groups).alias("sets")), "languages")
     none = F.lit(None)
-    every = named.drop("v").join(lang, "lang").select("lang", "source", none.cast("string").alias("term"), none.cast("long").alias("n"), none.cast("long").alias("all_n"), "total", "all_total", "v", "sets", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"))
-    at = kept.join(lang, "lang").select("lang", "source", "term", "n", "all_n", none.cast("long").alias("total"), none.cast("long").alias("all_total"), "v", "sets", F.pmod(F.xxhash64("term"), F.col("blocks")).cast("int").alias("block"))
+    dealt = kept.join(lang, "lang").withColumn("block", F.pmod(F.xxhash64("term"), F.col("blocks")).cast("int"))
+    terms = dealt.where("first = 1").groupBy("lang", "block").agg(F.count("*").alias("terms"))
+    every = named.drop("v").join(lang, "lang").withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).join(terms, ["lang", "block"], "left")
+    every = every.select("lang", "source", none.cast("string").alias("term"), none.cast("long").alias("n"), none.cast("long").alias("all_n"), "total", "all_total", "v", F.coalesce("terms", F.lit(0)).alias("terms"), "sets", "block")
+    at = dealt.select("lang", "source", "term", "n", "all_n", none.cast("long").alias("total"), none.cast("long").alias("all_total"), "v", none.cast("long").alias("terms"), "sets", "block")
     rows = every.union(at).withColumn("own", F.pmod(F.xxhash64("source"), F.col("sets")).cast("int"))
     rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("sets") - 1)))
     rows = rows.withColumns({"i": F.least("own", "other"), "j": F.greatest("own", "other")}).drop("other", "sets")
     found = materialise(tiles(rows, top), "tiles")
     ranked = F.row_number().over(Window.partitionBy("lang", "source").orderBy(F.desc("value"), "item"))
     pairs = found.where("part = 'pair'").groupBy("lang", "source", "part", "item").agg(F.sum("value").alias("value")).withColumn("rank", ranked)
-    terms = found.where("part = 'term'").withColumn("rank", ranked).where(F.col("rank") <= top)
+    best = found.where("part = 'term'").withColumn("rank", ranked).where(F.col("rank") <= top)
     release(counts, kept, named)
-    return pairs.union(terms).select("lang", "source", "part", "item", "value", "rank")
+    return pairs.union(best).select("lang", "source", "part", "item", "value", "rank")
 
 
 def op13_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
