@@ -2,7 +2,8 @@
 
 Chunks, claims and figures are rows of one table, dealt to hash parts by paper; BM25 postings and counts are derived part
 by part, so a change costs the parts that it touches, and a question reads only its own terms. A manifest names the
-folders that count; a change that is cut short changes nothing.
+folders that count, and the corpus's numbers with them: a change writes one, at its end, so one that is cut short changes nothing. Frames taken before a
+change stay readable until ``vacuum``.
 """
 
 from __future__ import annotations
@@ -40,7 +41,8 @@ FETCHED = 100
 #: Words put before a question for some models (fixed values).
 QUESTION_PREFIX = {m: "Represent this sentence for searching relevant passages: " for m in ("BAAI/bge-small-en-v1.5", "BAAI/bge-base-en-v1.5", "BAAI/bge-large-en-v1.5")}
 DEFAULT_MODEL = "BAAI/bge-small-en-v1.5"
-POSTINGS, TERMS, SIZES = "id string, term string, tf long, dl long, doc_key string", "doc_key string, term string, df long", "doc_key string, n long, tokens long"
+BLOCKS, FORWARD = R.BLOCKS.format(id="string"), "id string, doc_key string, kind int, seq long, dl long, tfs map<string,int>"
+TERMS, SIZES = "doc_key string, term string, df long", "doc_key string, n long, tokens long"
 
 
 def prefixed(question: str, model: str) -> str:
@@ -145,42 +147,49 @@ class Library:
         files = Files(self.spark)
         return [m for m in files.names(self.root) if files.exists(f"{self.root}/{m}/manifests")]
 
-    def _save(self, touched: list[int], rows: DataFrame, texts: bool = True) -> None:
-        """The rows of the touched parts are now these. ``texts``: whether texts have changed, and with them postings."""
+    def _save(self, touched: list[int], rows: DataFrame, texts: bool = True, papers: DataFrame | None = None) -> None:
+        """The rows of the touched parts are now these, and their papers if given. ``texts``: whether texts have changed, and with them postings."""
         change = uuid.uuid4().hex
         have = self.store.put("rows", rows.select(*[c.split()[0] for c in ROWS.split(", ")]), change)
-        written = {"rows": (touched, have)}
+        written, more = {"rows": (touched, have)}, {}
+        if papers is not None:
+            written["papers"] = (touched, self.store.put("papers", papers.select(*[c.split()[0] for c in PAPERS.split(", ")]), change))
         if texts:
-            written |= self._indexed(change, touched, self.store.spark.read.schema(ROWS).parquet(f"{self.store.root}/data/{change}/rows") if have else self.rows([]))
-        self.store.publish(change, written, {"lexical": texts or self.has_index()})
-        if texts:
-            self._measure()
-
-    def _indexed(self, change: str, touched: list[int], rows: DataFrame) -> dict:
-        post = R.postings(rows.select("id", "text")).join(rows.select("id", "doc_key"), "id")
-        have = self.store.put("postings", post, change, "term")
-        stored = self.spark.read.schema(POSTINGS).parquet(f"{self.store.root}/data/{change}/postings") if have else self.spark.createDataFrame([], POSTINGS)
-        terms = self.store.put("terms", stored.groupBy("doc_key", "term").agg(F.count("*").alias("df")), change, "term")
-        sizes = self.store.put("sizes", rows.groupBy("doc_key").agg(F.count("*").alias("n"), F.sum(F.size(X.tokenize(F.col("text")))).alias("tokens")), change)
-        return {"postings": (touched, have), "terms": (touched, terms), "sizes": (touched, sizes)}
-
-    def _measure(self) -> None:
-        """The corpus's numbers, summed up from those of papers and terms: no text is read."""
-        total = self.store.read("sizes", SIZES).agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n"), F.coalesce(F.sum("tokens"), F.lit(0)).alias("t")).first()
-        terms = self.store.read("terms", TERMS).groupBy("term").agg(F.sum("df").alias("df"))
-        corpus = {"n": total["n"], "avgdl": total["t"] / total["n"] if total["n"] else 0.0, "floor": R.floor_of(terms, total["n"])}
-        self.store.publish("", {}, {"corpus": corpus})
+            more = self._indexed(change, touched, self.spark.read.schema(ROWS).parquet(f"{self.store.root}/data/{change}/rows") if have else self.rows([]), written)
+        self.store.publish(self.store.staged(change, written), more)
+
+    def _indexed(self, change: str, touched: list[int], rows: DataFrame, written: dict) -> dict:
+        """Writes what questions read of the rows, adds it to ``written``, and gives the manifest's entries: the corpus's numbers, summed up from those of papers and terms."""
+        store = self.store
+
+        def put(table: str, df: DataFrame, schema: str, *sort: str) -> DataFrame:
+            have = store.put(table, df, change, *sort)
+            written[table] = (touched, have)
+            return self.spark.read.schema(schema).parquet(f"{store.root}/data/{change}/{table}") if have else self.spark.createDataFrame([], schema)
+
+        own = put("forward", R.counted(rows.select("id", "doc_key", R.kind_of(F.col("type")).alias("kind"), "seq", "text")), FORWARD, "id")
+        put("terms", own.select("doc_key", F.explode(F.map_keys("tfs")).alias("term")).groupBy("doc_key", "term").agg(F.count("*").alias("df")), TERMS, "term")
+        put("sizes", own.groupBy("doc_key").agg(F.count("*").alias("n"), F.sum("dl").alias("tokens")), SIZES)
+        tables = store.staged(change, written)
+        n, avgdl = _total(store.read("sizes", SIZES, tables=tables))
+        put("blocks", R.blocked(own, avgdl, store.part_of(F.col("doc_key"))), BLOCKS, "term", "kind", "block")
+        terms = store.read("terms", TERMS, tables=tables).groupBy("term").agg(F.sum("df").alias("df"))
+        return {"lexical": True, "corpus": {"n": n, "avgdl": avgdl, "floor": R.floor_of(terms, n)}}
 
     def reindex(self) -> None:
         """Postings and statistics of all rows."""
-        change = uuid.uuid4().hex
-        self.store.publish(change, self._indexed(change, list(range(self.store.parts)), self.rows()), {"lexical": True})
-        self._measure()
+        change, written = uuid.uuid4().hex, {}
+        more = self._indexed(change, list(range(self.store.parts)), self.rows(), written)
+        self.store.publish(self.store.staged(change, written), more)
 
     def drop_index(self) -> None:
         """Leaves rows and vectors alone: questions then have the dense leg only."""
         gone = (list(range(self.store.parts)), set())
-        self.store.publish("", {"postings": gone, "terms": gone, "sizes": gone}, {"lexical": False})
+        self.store.publish(self.store.staged("", {t: gone for t in ("forward", "blocks", "terms", "sizes")}), {"lexical": False})
+
+    def vacuum(self, older_than: float = 7 * 86_400) -> int:
+        """Deletes what no state of the last seconds (a week) needs: see ``Parts.vacuum``."""
+        return self.store.vacuum(older_than)
 
     def has_index(self) -> bool:
         return bool(self.store.manifest().get("lexical"))
@@ -189,15 +198,20 @@ class Library:
         """The whole library's index, or a project's: its members' postings, and statistics of these alone."""
         if project is not None:
             return self._index_of(self.members().where(F.col("project") == project).select("doc_key").distinct())
-        corpus = self.store.manifest().get("corpus", {"n": 0, "avgdl": 0.0, "floor": 0.0})
-        return R.Index(self.store.read("postings", POSTINGS), self.store.read("terms", TERMS).select("term", "df"), self.rows().drop("text"), **corpus)
+        held = self.store.manifest()  # one state for all that is read
+        corpus, read = held.get("corpus", {"n": 0, "avgdl": 0.0, "floor": 0.0}), lambda t, schema: self.store.read(t, schema, tables=held.get("tables", {}))
+        return R.Index(read("blocks", BLOCKS), read("terms", TERMS).select("term", "df"), read("forward", FORWARD), read("rows", ROWS).drop("text"), **corpus)
 
     def _index_of(self, keys: DataFrame) -> R.Index:
-        parts = self.store.parts_with(keys)
-        own = lambda table, schema: self.store.read(table, schema, parts).join(keys, "doc_key", "left_semi")
-        total = own("sizes", SIZES).agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n"), F.coalesce(F.sum("tokens"), F.lit(0)).alias("t")).first()
-        terms = own("terms", TERMS).groupBy("term").agg(F.sum("df").alias("df"))
-        return R.Index(own("postings", POSTINGS), terms, own("rows", ROWS).drop("text"), total["n"], total["t"] / total["n"] if total["n"] else 0.0, R.floor_of(terms, total["n"]))
+        """Of some papers: their postings taken out of the blocks, whose bounds stay true."""
+        parts, tables = self.store.parts_with(keys), self.store.manifest().get("tables", {})
+        own = lambda table, schema: self.store.read(table, schema, parts, tables).join(keys, "doc_key", "left_semi")
+        n, avgdl = _total(own("sizes", SIZES))
+        terms, forward = own("terms", TERMS).groupBy("term").agg(F.sum("df").alias("df")), own("forward", FORWARD)
+        blocks = self.store.read("blocks", BLOCKS, parts, tables)
+        posts = blocks.select(*[c for c in blocks.columns if c != "posts"], F.explode("posts").alias("p")).join(forward.select(F.col("id").alias("_id")), F.col("p.id") == F.col("_id"), "left_semi")
+        blocks = posts.groupBy(*[c for c in posts.columns if c != "p"]).agg(F.collect_list("p").alias("posts"))
+        return R.Index(blocks, terms, forward, own("rows", ROWS).drop("text"), n, avgdl, R.floor_of(terms, n))
 
     # ingestion and mutation
 
@@ -207,7 +221,7 @@ class Library:
     def _put_papers(self, touched: list[int], papers: DataFrame) -> None:
         change = uuid.uuid4().hex
         have = self.store.put("papers", papers.select(*[c.split()[0] for c in PAPERS.split(", ")]), change)
-        self.store.publish(change, {"papers": (touched, have)}, {})
+        self.store.publish(self.store.staged(change, {"papers": (touched, have)}), {})
 
     def ingest_articles(self, articles: DataFrame, force: bool = False) -> dict:
         """Articles (doc_key, xml, record, tags): the papers' records first, then their rows, so a conversion that fails leaves the records.
@@ -285,8 +299,8 @@ class Library:
         have = {r["doc_key"] for r in self.rows(touched).where(F.col("doc_key").isin(keys)).select("doc_key").distinct().collect()}
         if have:
             touched = self._parts_of(sorted(have))
-            self._save(touched, self.rows(touched).where(~F.col("doc_key").isin(sorted(have))))
-            self._put_papers(touched, self.papers(touched).where(~F.col("doc_key").isin(sorted(have))))
+            left = lambda df: df.where(~F.col("doc_key").isin(sorted(have)))
+            self._save(touched, left(self.rows(touched)), papers=left(self.papers(touched)))
         return {"removed": [k for k in keys if k in have], "not_found": [k for k in keys if k not in have]}
 
     def tag(self, keys: list[str] | None, set_: list[str] | None = None, add: list[str] | None = None, remove: list[str] | None = None) -> None:
@@ -333,7 +347,8 @@ class Library:
         """(id, score, lex_rank) from the stored postings, which are in order of the term: only the question's terms are read."""
         index = self.index(project)
         terms = self.spark.createDataFrame([(question,)], "q string").select(X.tokenize(F.col("q"))).first()[0]
-        return index.top(terms, k, compile_where(where, index.rows.columns)).select("id", "score", "lex_rank")
+        kinds, where = R.kinds_of(where)
+        return index.top(terms, k, compile_where(where, index.rows.columns) if where else None, kinds).select("id", "score", "lex_rank")
 
     def dense(self, vector: list[float], k: int, where: dict | None = None, project: str | None = None) -> DataFrame:
         rows = self.rows() if project is None else self.project_rows(project)
@@ -375,9 +390,17 @@ class Library:
         return part(claims, 0).unionByName(part(chunks, 1)).orderBy("part", F.desc("score"), "id")
 
     def evaluate(self, questions: DataFrame, k: int = 5, claims_k: int = 3, strategies: list[str] | None = None) -> DataFrame:
-        """(strategy, n, hit, recall, mrr) of questions (question, relevant_pmids): means, rounded to three digits. Lexical legs, all questions at once."""
-        asked = questions.select(F.xxhash64("question").alias("qid"), F.col("question").alias("text"), "relevant_pmids")
-        ranked = R.evaluate(self.index(), asked.select("qid", "text"), k, claims_k)
+        """(strategy, n, hit, recall, mrr) of questions (question, relevant_pmids and, if they have one, vector): means, rounded to three digits.
+
+        What each strategy of ``ask`` gives, for all questions at once: both legs where there are vectors of questions (their own, or by ``embed``) and rows,
+        the lexical leg alone otherwise.
+        """
+        asked = questions.select(F.xxhash64("question").alias("qid"), F.col("question").alias("text"), "relevant_pmids", *(["vector"] if "vector" in questions.columns else []))
+        if "vector" not in asked.columns and self.embed is not None and self.tables.exists("vectors"):
+            made = [(r["qid"], self.embed(prefixed(r["text"], self.model))) for r in asked.select("qid", "text").distinct().collect()]  # the questions asked
+            asked = asked.join(self.spark.createDataFrame(made, "qid long, vector array<double>"), "qid")
+        vectors = self.tables.read("vectors", "id string, v array<float>") if "vector" in asked.columns and self.tables.exists("vectors") else None
+        ranked = R.evaluate(self.index(), asked, k, claims_k, vectors)
         if strategies is not None:
             ranked = ranked.where(F.col("strategy").isin(strategies))
         relevant = asked.select("qid", F.explode(F.array_distinct("relevant_pmids")).alias("pmid"))
@@ -390,16 +413,29 @@ class Library:
         return Versions(self.spark, self.root).read("projects", PROJECTS)
 
     def create_project(self, project: str, force: bool = False) -> dict:
-        """A project of this library and its model. One that is there already is made anew only by force; its members stay."""
+        """A project of this library and its model. One that is there already is made anew only by force; its members and its time stay."""
         if not project.strip():
             raise LibraryError("invalid_name", name=project)
         all_ = self._projects()
         if not force and all_.where(F.col("project") == project).limit(1).count():
             raise LibraryError("project_exists", project=project)
-        new = self.spark.createDataFrame([(project, self.model, _now(), None)], PROJECTS)
+        was = all_.where(F.col("project") == project).first()
+        new = self.spark.createDataFrame([(project, self.model, was["created_at"] if was else _now(), was["last_synced_at"] if was else None)], PROJECTS)
         Versions(self.spark, self.root).write("projects", all_.where(F.col("project") != project).unionByName(new))
         return {"project": project, "embedding_model": self.model}
 
+    def pinned(self, project: str, full: bool = False) -> None:
+        """A project keeps the model that it was made under: an error where the library's is another one, unless ``full``, which pins the library's and wants rows of it."""
+        all_ = self._projects()
+        own = all_.where(F.col("project") == project).first()
+        if own is None or own["model"] == self.model:
+            return
+        if not full:
+            raise LibraryError("embedding_model_mismatch", pinned=own["model"], main_home_model=self.model)
+        Versions(self.spark, self.root).write("projects", all_.withColumn("model", F.when(F.col("project") == project, F.lit(self.model)).otherwise(F.col("model"))))
+        if not self.exists():
+            raise LibraryError("main_collection_missing", model=self.model)
+
     def projects(self) -> DataFrame:
         """(project, model, created_at, last_synced_at, n_members, n_searches) of all projects."""
         n = self.members().groupBy("project").agg(F.count("*").alias("n_members"))
@@ -476,8 +512,9 @@ class Library:
         """A project is a view of the library: rows, vectors and all, without copies."""
         return self.rows().join(self.members().where(F.col("project") == project), "doc_key", "left_semi")
 
-    def sync(self, project: str) -> dict:
-        """Prunes members whose paper is gone; reports them and the members without rows of text."""
+    def sync(self, project: str, full: bool = False) -> dict:
+        """Prunes members whose paper is gone; reports them and the members without rows of text. ``full``: see ``pinned``."""
+        self.pinned(project, full)
         all_ = self.members()
         own = all_.where(F.col("project") == project)
         gone = own.join(self.rows().select("doc_key"), "doc_key", "left_anti").select("project", "doc_key")
@@ -504,6 +541,12 @@ class Library:
         return out
 
 
+def _total(sizes: DataFrame) -> tuple[int, float]:
+    """The number of rows and their mean length."""
+    total = sizes.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n"), F.coalesce(F.sum("tokens"), F.lit(0)).alias("t")).first()
+    return total["n"], total["t"] / total["n"] if total["n"] else 0.0
+
+
 def _now() -> str:
     return datetime.now(timezone.utc).isoformat(timespec="seconds")
 

@@ -1,8 +1,13 @@
 """Ranking: BM25, exact cosine, reciprocal-rank fusion, and the query strategies over them.
 
 BM25 is Okapi's with k1 1.5 and b 0.75; idf is ln(N - df + .5) - ln(df + .5), and negative ones become a quarter of the mean
-idf over all terms. Postings are a stored table in order of the term, so a query reads only its own terms. Order is by rounded
-score, then by insertion order or id, so that equal scores keep their place in every run.
+idf over all terms. Order is by rounded score, then by insertion order, then by id, so that equal scores keep their place in every run.
+
+Postings are stored in blocks of at most BLOCK, a row each, in order of the term and within it of impact (what a posting adds to a score but for
+the idf), with the block's largest impact. Top-k questions are pruned by these bounds, after MaxScore (Turtle and Flood, 1995) and block-max
+indexes (Ding and Suel, 2011), for any number of questions at once: the best blocks of a question's terms give a score that k rows reach; terms
+that together can't reach it bring no candidates, nor do blocks that can't with all other terms at their best; candidates whose score so far can't
+reach it with what is left go before any row is looked up. Scores of those left come from their own rows' term counts, so they are exact.
 """
 
 from __future__ import annotations
@@ -10,10 +15,13 @@ from __future__ import annotations
 import json
 from dataclasses import dataclass
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from quillstone.functions.text import tokenize
+from quillstone.sources.versions import stored
 
 K1, B, EPSILON, RRF_K, POOL = 1.5, 0.75, 0.25, 60, 4
 
@@ -36,9 +44,43 @@ def term_stats(post: DataFrame, stats: DataFrame) -> DataFrame:
     return raw.crossJoin(F.broadcast(mean)).select("term", "df", F.when(F.col("raw") < 0, F.col("floor")).otherwise(F.col("raw")).alias("idf"))
 
 
-def ordered(post: DataFrame, parts: int) -> DataFrame:
-    """Postings in order of the term over ``parts`` files, so that a reader skips all but those of its terms."""
-    return post.repartitionByRange(parts, "term").sortWithinPartitions("term")
+def impact(tf: Column, dl: Column, avg: Column) -> Column:
+    """What a term adds to a row's score but for the idf. At another mean length ``m`` it is at most ``m / avg`` times that, if that is more than 1."""
+    return tf * (K1 + 1) / (tf + K1 * (1 - B + B * dl / avg))
+
+
+def counted(docs: DataFrame) -> DataFrame:
+    """The columns of ``docs`` but text, its length dl and counts of its terms tfs (map), of a row each."""
+    t = F.array_sort(tokenize(F.coalesce("text", F.lit(""))))
+    own = [c for c in docs.columns if c not in ("text", "dl", "tfs")]
+    df = docs.select(*own, t.alias("_t"))
+    # in order, so that a term's occurrences lie side by side: it ends where the next one differs
+    ends = F.filter(F.transform("_t", lambda x, i: F.when(F.coalesce(F.get("_t", i + 1) != x, F.lit(True)), F.struct(x.alias("t"), (i + 1).alias("e")))), lambda x: x.isNotNull())
+    df = df.select(*own, F.size("_t").cast("long").alias("dl"), ends.alias("_e"))
+    times = F.transform("_e", lambda x, i: x["e"] - F.coalesce(F.get("_e", i - 1)["e"], F.lit(0)))
+    return df.select(*own, "dl", F.map_from_arrays(F.transform("_e", lambda x: x["t"]), times).alias("tfs"))
+
+
+BLOCKS = "kind int, term string, block int, bound double, avg double, posts array<struct<id:{id},tf:int,dl:long>>"
+#: Postings of a block, and rows that a part of the index holds: a term's postings in a part are put in order by one task.
+BLOCK, PART_ROWS = 128, 100_000
+
+
+def blocked(forward: DataFrame, avg: float, part: Column) -> DataFrame:
+    """(_part, kind, term, block, bound, avg, posts) of rows (id, kind, dl, tfs): blocks of postings from the largest impact down, ``part`` dealing rows out."""
+    avg = avg or 1.0
+    post = forward.select(part.alias("_part"), "kind", "id", "dl", F.explode("tfs").alias("term", "tf"))
+    one = F.struct((-impact(F.col("tf"), F.col("dl"), F.lit(avg))).alias("x"), "id", F.col("tf").cast("int").alias("tf"), "dl")
+    lists = post.groupBy("_part", "kind", "term").agg(F.sort_array(F.collect_list(one)).alias("p"))
+    cut = F.transform(F.sequence(F.lit(0), F.expr(f"CAST((size(p) - 1) div {BLOCK} AS INT)")), lambda k: F.slice("p", k * BLOCK + 1, F.lit(BLOCK)))
+    lists = lists.select("_part", "kind", "term", F.posexplode(cut).alias("block", "p"))
+    posts = F.transform("p", lambda x: F.struct(x["id"].alias("id"), x["tf"].alias("tf"), x["dl"].alias("dl")))
+    return lists.select("_part", "kind", "term", F.col("block").cast("int"), (-F.get("p", F.lit(0))["x"]).alias("bound"), F.lit(avg).alias("avg"), posts.alias("posts"))
+
+
+def ordered(df: DataFrame, parts: int, *by: str) -> DataFrame:
+    """Rows in order over ``parts`` files, so that a reader skips all but those of its terms, or ids."""
+    return df.repartitionByRange(parts, by[0]).sortWithinPartitions(*by)
 
 
 def floor_of(terms: DataFrame, n: int) -> float:
@@ -47,17 +89,37 @@ def floor_of(terms: DataFrame, n: int) -> float:
     return (terms.agg(F.avg(raw)).first()[0] or 0.0) * EPSILON
 
 
+#: Scores are compared rounded to nine digits, so what bounds them is taken a little wider.
+MARGIN = 1e-8
+#: Terms go without blocks while all of them together can add less than this part of a question's pruning score; the rest of it sorts candidates out.
+SPARED = 1.0
+#: Rows that are scored whole for the pruning score of a question, for each of the k asked for.
+TRIED = 4
+#: Ids of found rows are looked up by value up to so many, which lets the reader skip files and pages.
+LOOKUP = 1000
+
+
 @dataclass(frozen=True)
 class Index:
-    """What a question reads: postings (id, term, tf, dl) and terms (term, df), both in order of the term, rows (id, seq and all but the text), and the corpus's numbers."""
+    """What questions read, all without the text.
+
+    blocks (BLOCKS), in order of the term; terms (term, df); forward (id, kind, seq, dl, tfs), in order of the id; rows (id, seq and more); the corpus's
+    numbers. Rows of a ``kind`` have blocks of their own.
+    """
 
-    postings: DataFrame
+    blocks: DataFrame
     terms: DataFrame
+    forward: DataFrame
     rows: DataFrame
     n: int
     avgdl: float
     floor: float
 
+    @property
+    def postings(self) -> DataFrame:
+        """(id, term, tf, dl)."""
+        return self.blocks.select("term", F.explode("posts").alias("p")).select("p.id", "term", F.col("p.tf").alias("tf"), F.col("p.dl").alias("dl"))
+
     def idf(self, wanted: list[str] | None = None) -> DataFrame:
         """(term, idf) of the terms wanted, or of all."""
         of = self.terms if wanted is None else self.terms.where(F.col("term").isin(wanted))
@@ -65,60 +127,136 @@ class Index:
         raw = F.log(F.lit(self.n) - F.col("df") + 0.5) - F.log(F.col("df") + 0.5)
         return of.select("term", F.when(raw < 0, F.lit(self.floor)).otherwise(raw).alias("idf"))
 
-    def _part(self, times: Column) -> Column:
-        tf, avg = F.col("tf"), self.avgdl or 1.0
-        return times * F.col("idf") * tf * (K1 + 1) / (tf + K1 * (1 - B + B * F.col("dl") / F.lit(avg)))
+    def _impact(self, tf: Column, dl: Column) -> Column:
+        return impact(tf, dl, F.lit(self.avgdl or 1.0))
 
-    def scores(self, query: list[str]) -> DataFrame:
-        """(id, score) of rows that hold a query term; a term asked for twice counts twice."""
+    def asked(self, query: list[str]) -> DataFrame:
+        """(qid, term, w) of one question; a term asked for twice counts twice."""
         wanted = sorted(set(query))
-        if not wanted:
-            return self.rows.select("id", F.lit(0.0).alias("score")).where(F.lit(False))
         times = F.create_map(*[F.lit(x) for t in wanted for x in (t, query.count(t))])
-        own = self.postings.where(F.col("term").isin(wanted)).join(F.broadcast(self.idf(wanted)), "term")  # as many rows as terms asked for
-        return own.groupBy("id").agg(F.sum(self._part(times[F.col("term")])).alias("score"))
+        return F.broadcast(self.idf(wanted).select(F.lit(0).alias("qid"), "term", (times[F.col("term")] * F.col("idf")).alias("w")))  # as many rows as terms asked for
 
-    def top(self, query: list[str], k: int, where: Column | None = None) -> DataFrame:
-        """The best ``k`` of the rows that meet ``where``: all their columns, score and lex_rank. Rows without a query term score 0 and are ranked too.
+    def scores(self, query: list[str]) -> DataFrame:
+        """(id, score) of all rows that hold a query term."""
+        if not query:
+            return self.rows.select("id", F.lit(0.0).alias("score")).where(F.lit(False))
+        own = self.postings.where(F.col("term").isin(sorted(set(query)))).join(self.asked(query), "term")
+        return own.groupBy("id").agg(F.sum(F.col("w") * self._impact(F.col("tf"), F.col("dl"))).alias("score"))
+
+    def bounds(self, asked: DataFrame, k: int, where: Column | None = None, kinds: list[int] | None = None) -> tuple[DataFrame, DataFrame]:
+        """What prunes questions (qid, term, w), w being positive: the blocks that could matter to them, and a row for each term of a question and kind.
 
-        Where no score is negative, fewer than k hits leave a place to rows without any, of which the first 2k rows hold
-        enough; so but for these rows nothing is joined with the hits.
+        That row is (qid, kind, term, w, ub, u, theta, essential, rest, whole): ub the most that the term can add, u the sum of these, theta a score that ``k`` rows
+        which meet ``where`` reach (0 if that isn't known), rest the most that a candidate's score can lack of what essential terms' kept blocks gave it,
+        whole whether none of an essential term's blocks is left out.
         """
-        kept = self.rows if where is None else self.rows.where(where)
-        order = [F.desc("score"), F.col("seq")]
+        blocks = self.blocks if kinds is None else self.blocks.where(F.col("kind").isin(kinds))
+        own = blocks.withColumn("bound", F.col("bound") * F.greatest(F.lit(1.0), F.lit(self.avgdl or 1.0) / F.col("avg"))).join(asked, "term")
+        best = own.groupBy("qid", "kind", "term").agg(F.first("w").alias("w"), (F.first("w") * F.max("bound")).alias("ub"))
+        head = self._partial(own.where(F.col("block") * BLOCK < k).withColumn("whole", F.lit(False)))
+        if where is not None:
+            head = head.join(self.rows.where(where).select("id"), "id", "left_semi")
+        # of those that the best blocks speak for most, some more than k are scored whole: theta is then near what it can be at best
+        place = lambda c: F.row_number().over(Window.partitionBy("qid", "kind").orderBy(F.desc(c)))
+        whole = self._scored(head.withColumn("place", place("partial")).where(F.col("place") <= TRIED * k).select("qid", "kind", "id", "known"), asked, ["qid"])
+        theta = whole.withColumn("place", place("score")).where(F.col("place") <= k).groupBy("qid", "kind").agg(F.when(F.count("*") == k, F.min("score")).alias("theta"))
+        question = Window.partitionBy("qid", "kind")
+        out = best.join(theta, ["qid", "kind"], "left").withColumns({"theta": F.coalesce("theta", F.lit(0.0)) - MARGIN, "u": F.sum("ub").over(question)})
+        out = out.withColumn("essential", F.sum("ub").over(question.orderBy("ub", "term")) >= SPARED * F.col("theta"))
+        lacks = F.when(F.col("essential"), F.greatest(F.lit(0.0), F.col("theta") - (F.col("u") - F.col("ub")))).otherwise(F.col("ub"))
+        return blocks, out.withColumns({"rest": F.sum(lacks).over(question), "whole": F.col("essential") & (lacks <= 0)})
+
+    def _partial(self, own: DataFrame, *more: str) -> DataFrame:
+        """(qid, kind, id, partial, known and more) of blocks (BLOCKS, qid, w, whole): what they add to scores, and what those of whole terms add."""
+        of = own.select("qid", "kind", "w", "whole", *more, F.explode("posts").alias("p"))
+        adds = F.col("w") * self._impact(F.col("p.tf"), F.col("p.dl"))
+        sums = [F.sum(adds).alias("partial"), F.sum(F.when(F.col("whole"), adds).otherwise(0.0)).alias("known")]
+        return of.groupBy("qid", "kind", F.col("p.id").alias("id")).agg(*sums, *[F.first(c).alias(c) for c in more])
+
+    def _scored(self, found: DataFrame, words: DataFrame, on: list[str]) -> DataFrame:
+        """(qid, kind, id, seq, score) of rows (qid, kind, id, known): what is known of the score, and what ``words`` (on, term, w) add by the rows' own counts of terms."""
+        words = words.groupBy(*on).agg(F.collect_list(F.struct("term", "w")).alias("words"))
+        found = found.join(words, on, "left").join(self.forward.select("id", "seq", "dl", "tfs"), "id")
+        each = F.transform("words", lambda x: x["w"] * F.coalesce(self._impact(F.try_element_at("tfs", x["term"]), F.col("dl")), F.lit(0.0)))
+        added = F.coalesce(F.aggregate(each, F.lit(0.0), lambda a, x: a + x), F.lit(0.0))
+        return found.select("qid", "kind", "id", "seq", F.round(F.col("known") + added, 9).alias("score"))
+
+    def best(self, asked: DataFrame, k: int, where: Column | None = None, kinds: list[int] | None = None, keep=None) -> DataFrame:
+        """(qid, kind, id, seq, score): of each question and kind the best ``k`` rows that meet ``where``, and some more. ``keep``: stores what is read twice."""
+        blocks, bounds = self.bounds(asked, k, where, kinds)
+        bounds = bounds if keep is None else keep(bounds, "bounds")
+        part = self._partial(self.sources(blocks, bounds), "theta", "rest")
+        left = part.where(F.col("partial") + F.col("rest") >= F.col("theta")).select("qid", "kind", "id", "known")
+        out = self._scored(left, bounds.where("NOT whole"), ["qid", "kind"])
+        return out if where is None else out.join(self.rows.where(where).select("id"), "id", "left_semi").select(*out.columns)
+
+    def sources(self, blocks: DataFrame, bounds: DataFrame) -> DataFrame:
+        """The blocks that bring candidates, with (qid, w, whole, theta, rest)."""
+        wide = F.col("bound") * F.greatest(F.lit(1.0), F.lit(self.avgdl or 1.0) / F.col("avg"))
+        return blocks.join(bounds.where("essential"), ["kind", "term"]).where(wide * F.col("w") + F.col("u") - F.col("ub") >= F.col("theta"))
+
+    def top(self, query: list[str], k: int, where: Column | None = None, kinds: list[int] | None = None) -> DataFrame:
+        """The best ``k`` of the rows that meet ``where`` and are of the kinds: all their columns, score and lex_rank. Rows without a query term score 0 and are ranked too.
+
+        Where ``k`` rows with a query term are found, which is asked at once, nothing else of the rows is read but these.
+        """
+        order = [F.desc("score"), F.col("seq"), F.col("id")]
+        if query and self.floor >= 0:
+            hits = [r for r in self.best(self.asked(query), k, where, kinds).orderBy(*order).limit(k).select("id", "score").collect() if r["score"] > 0]
+            if len(hits) == k:
+                found = self.rows.sparkSession.createDataFrame(hits, self.rows.select("id", F.lit(0.0).alias("score")).schema)
+                own = self.rows.where(F.col("id").isin([r["id"] for r in hits])) if k <= LOOKUP else self.rows
+                return number(own.join(F.broadcast(found), "id"), order, "lex_rank")  # k rows
+        kept = self.rows if kinds is None else self.rows.join(self.forward.where(F.col("kind").isin(kinds)).select("id"), "id", "left_semi")
+        kept = kept if where is None else kept.where(where)
         hits = kept.join(self.scores(query).withColumn("score", F.round("score", 9)), "id")
         if self.floor < 0:
             top = kept.join(hits.select("id", "score"), "id", "left").withColumn("score", F.coalesce("score", F.lit(0.0))).orderBy(*order).limit(k)
         else:
-            first = kept.orderBy("seq").limit(2 * k)
+            # fewer than k hits leave a place to rows without any, of which the first 2k rows hold enough
+            first = kept.orderBy("seq", "id").limit(2 * k)
             found = hits.join(F.broadcast(first.select("id")), "id", "left_semi")  # 2k rows
             rest = first.join(found.select("id"), "id", "left_anti").withColumn("score", F.lit(0.0))
             top = hits.orderBy(*order).limit(k).unionByName(rest).orderBy(*order).limit(k)
         return number(top, order, "lex_rank")
 
-    def batch(self, questions: DataFrame, strategies: dict[str, Column | None], k: int) -> DataFrame:
-        """(strategy, qid, id, score, place): the best ``k`` rows of each strategy, a filter on rows, for all questions (qid, text) at once.
+    def batch(self, questions: DataFrame, strategies: dict[str, list[int] | None], k: int, padded: bool = False) -> DataFrame:
+        """(strategy, qid, id, score, place): the best ``k`` rows of each strategy, which are kinds of rows (None: all), for all questions (qid, text) at once.
 
-        Hits only; rows without a term of the question aren't ranked.
+        Hits only, unless ``padded``: then rows without a term of the question score 0 and are ranked too, as in ``top``. With negative idfs nothing is pruned.
         """
         asked = questions.select("qid", F.explode(tokenize(F.col("text"))).alias("term")).groupBy("qid", "term").agg(F.count("*").alias("times"))
-        own = self.postings.join(asked.join(self.idf(), "term"), "term")
-        hits = own.groupBy("qid", "id").agg(F.round(F.sum(self._part(F.col("times"))), 9).alias("score")).join(self.rows, "id")
-        place = F.row_number().over(Window.partitionBy("strategy", "qid").orderBy(F.desc("score"), "seq"))
-        of = [F.when(F.lit(True) if c is None else c, F.lit(s)) for s, c in strategies.items()]
+        asked = asked.join(self.idf(), "term").select("qid", "term", (F.col("times") * F.col("idf")).alias("w"))
+        asked = stored(asked, "asked")
+        if self.floor < 0:
+            hits = self._partial(self.blocks.join(asked, "term").withColumn("whole", F.lit(True))).join(self.forward.select("id", "seq"), "id").withColumn("score", F.round("partial", 9))
+        else:
+            hits = self.best(asked, k, keep=stored)
+        of = [F.when(F.lit(True) if c is None else F.col("kind").isin(c), F.lit(s)) for s, c in strategies.items()]
+        if padded:
+            hits = hits.select("qid", "kind", "id", "seq", "score")
+            first = F.row_number().over(Window.partitionBy("kind").orderBy("seq", "id"))
+            # 2k rows of each kind are enough for a question with fewer than k hits
+            few = F.broadcast(self.forward.select("kind", "id", "seq").withColumn("first", first).where(F.col("first") <= 2 * k).drop("first"))
+            none = questions.select("qid").distinct().join(few, F.lit(True)).join(hits.select("qid", "id"), ["qid", "id"], "left_anti")
+            hits = hits.unionByName(none.withColumn("score", F.lit(0.0)).select(*hits.columns))
         each = hits.withColumn("strategy", F.explode(F.filter(F.array(*of), lambda x: x.isNotNull())))
+        place = F.row_number().over(Window.partitionBy("strategy", "qid").orderBy(F.desc("score"), "seq", "id"))
         return each.withColumn("place", place).where(F.col("place") <= k).select("strategy", "qid", "id", "score", "place")
 
 
-def write_index(rows: DataFrame, path: str, parts: int | None = None) -> Index:
+def write_index(rows: DataFrame, path: str, parts: int | None = None, kind: Column | None = None) -> Index:
     """Writes the index of rows (id, seq, text and more) into a new folder; the corpus's numbers come last, so a folder with them is whole."""
     spark = rows.sparkSession
     n = parts or max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
-    rows.drop("text").write.mode("overwrite").parquet(f"{path}/rows")
-    ordered(postings(rows), n).write.mode("overwrite").parquet(f"{path}/postings")
-    post = spark.read.parquet(f"{path}/postings")
-    ordered(post.groupBy("term").agg(F.count("*").alias("df")), n).write.mode("overwrite").parquet(f"{path}/terms")
-    total = corpus_stats(rows).first()
+    ordered(rows.drop("text"), n, "id").write.mode("overwrite").parquet(f"{path}/rows")
+    own = (F.lit(0) if kind is None else kind).cast("int").alias("kind")
+    ordered(counted(rows.select("id", own, "seq", "text")), n, "id").write.mode("overwrite").parquet(f"{path}/forward")
+    forward = spark.read.parquet(f"{path}/forward")
+    total = forward.agg(F.count("*").alias("n"), F.avg("dl").alias("avgdl")).first()
+    ordered(forward.select(F.explode(F.map_keys("tfs")).alias("term")).groupBy("term").agg(F.count("*").alias("df")), n, "term").write.mode("overwrite").parquet(f"{path}/terms")
+    part = F.pmod(F.xxhash64("id"), F.lit(total["n"] // PART_ROWS + 1))
+    ordered(blocked(forward, total["avgdl"] or 0.0, part).drop("_part"), n, "term", "kind", "block").write.mode("overwrite").parquet(f"{path}/blocks")
     floor = floor_of(spark.read.parquet(f"{path}/terms"), total["n"])
     numbers = json.dumps({"n": total["n"], "avgdl": total["avgdl"] or 0.0, "floor": floor})
     spark.createDataFrame([(numbers,)], "value string").coalesce(1).write.mode("overwrite").text(f"{path}/numbers")
@@ -127,7 +265,7 @@ def write_index(rows: DataFrame, path: str, parts: int | None = None) -> Index:
 
 def read_index(spark: SparkSession, path: str) -> Index:
     numbers = json.loads(spark.read.text(f"{path}/numbers").first()[0])
-    return Index(*(spark.read.parquet(f"{path}/{t}") for t in ("postings", "terms", "rows")), **numbers)
+    return Index(*(spark.read.parquet(f"{path}/{t}") for t in ("blocks", "terms", "forward", "rows")), **numbers)
 
 
 def number(top: DataFrame, order: list[Column], name: str) -> DataFrame:
@@ -177,17 +315,94 @@ def merged_batch(claims: DataFrame, chunks: DataFrame, rows: DataFrame) -> DataF
     return part(claims, 0).unionByName(part(left, 1))
 
 
-def evaluate(index: Index, questions: DataFrame, k: int, claims_k: int) -> DataFrame:
+#: Kind of a claim's row; all others are 0.
+CLAIM = 1
+
+
+def kind_of(type_: Column) -> Column:
+    return F.equal_null(type_, F.lit("claim")).cast("int")
+
+
+def kinds_of(where: dict | None) -> tuple[list[int] | None, dict | None]:
+    """The kinds that a filter on claims alone means, and what is left of the filter."""
+    if where == {"type": "claim"}:
+        return [CLAIM], None
+    return ([0], None) if where == {"type": {"$ne": "claim"}} else (None, where)
+
+
+#: Vectors are compared with so many questions at a time: a product of so many columns.
+ASKED_AT_ONCE = 512
+
+
+def dense_batch(vectors: DataFrame, questions: list[tuple[int, list[float]]], k: int) -> DataFrame:
+    """(qid, kind, id, place): for each question (qid, vector) the k nearest of rows (id, kind, v) of each kind, by cosine distance to nine digits, then id.
+
+    Each batch of rows is held against the questions, a stated set, as a product of matrices; what leaves a task is k rows a question and kind.
+    """
+    schema = "qid long, kind int, id string, dist double"
+    if questions:
+        q = np.array([v for _, v in questions], float)
+        q /= np.maximum(np.linalg.norm(q, axis=1, keepdims=True), 1e-300)
+        qids = np.array([n for n, _ in questions])
+
+    def near(batches):
+        for b in batches:
+            ids, kind = np.array(b.column(0).to_pylist(), object), b.column(1).to_numpy()
+            v = b.column(2).flatten().to_numpy(zero_copy_only=False).astype(float).reshape(len(ids), -1) if len(ids) else np.zeros((0, q.shape[1]))
+            norm = np.sqrt((v * v).sum(1))
+            for c in np.unique(kind):
+                own = np.nonzero((kind == c) & (norm > 0))[0]
+                own = own[np.argsort(ids[own], kind="stable")]
+                for at in range(0, len(q), ASKED_AT_ONCE):
+                    dist = np.round(1 - (v[own] @ q[at : at + ASKED_AT_ONCE].T) / norm[own, None], 9)
+                    best = np.argsort(dist, axis=0, kind="stable")[:k]
+                    n, m = best.shape
+                    cols = np.repeat(qids[at : at + ASKED_AT_ONCE], n), np.full(n * m, c, np.int32), ids[own][best.T.ravel()], dist.T[np.repeat(np.arange(m), n), best.T.ravel()]
+                    yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(cols, (pa.int64(), pa.int32(), pa.string(), pa.float64()), strict=True)], names=["qid", "kind", "id", "dist"])
+
+    spark = vectors.sparkSession
+    found = vectors.select("id", "kind", "v").mapInArrow(near, schema) if questions else spark.createDataFrame([], schema)
+    place = F.row_number().over(Window.partitionBy("qid", "kind").orderBy("dist", "id"))
+    return found.withColumn("place", place).where(F.col("place") <= k)
+
+
+def fused_batch(index: Index, questions: DataFrame, vectors: DataFrame, strategies: dict[str, list[int] | None], k: int) -> DataFrame:
+    """(strategy, qid, id, score, place): the best ``k`` of both legs fused, as for one question, for all questions (qid, text, vector) at once."""
+    pool = k * POOL
+    lex = index.batch(questions, strategies, pool, padded=True).select("strategy", "qid", "id", F.col("place").alias("lex_rank"))
+    asked = [(r["qid"], r["vector"]) for r in questions.select("qid", "vector").where("vector IS NOT NULL").dropDuplicates(["qid"]).collect()]  # the questions asked
+    den = dense_batch(vectors.join(index.forward.select("id", "kind"), "id"), asked, pool)
+    den = stored(den, "near")
+    of = [F.when(F.lit(True) if c is None else F.col("kind").isin(c), F.lit(s)) for s, c in strategies.items()]
+    den = den.withColumn("strategy", F.explode(F.filter(F.array(*of), lambda x: x.isNotNull())))
+    place = lambda *by: F.row_number().over(Window.partitionBy("strategy", "qid").orderBy(*by))
+    den = den.withColumn("dense_rank", place("dist", "id")).where(F.col("dense_rank") <= pool).select("strategy", "qid", "id", "dense_rank")
+    part = lambda c: F.coalesce(F.lit(1.0) / (RRF_K + F.col(c)), F.lit(0.0))
+    both = den.join(lex, ["strategy", "qid", "id"], "full_outer").withColumn("score", F.round(part("dense_rank") + part("lex_rank"), 9))
+    return both.withColumn("place", place(F.desc("score"), "id")).where(F.col("place") <= k).select("strategy", "qid", "id", "score", "place")
+
+
+def evaluate(index: Index, questions: DataFrame, k: int, claims_k: int, vectors: DataFrame | None = None) -> DataFrame:
     """(strategy, qid, pmid, rank): papers that each strategy returns for each question (qid, text), all questions at once.
 
-    ``index.rows`` holds type, pmid and source_chunk_ids. Strategies: chunks, claims, mixed, and merged, which asks for
+    With vectors (id, v) of rows and a vector of each question both legs are fused; the pool of a leg is then as for one question.
+
+    ``index.rows`` holds pmid and source_chunk_ids; claims are rows of the kind CLAIM. Strategies: chunks, claims, mixed, and merged, which asks for
     ``claims_k`` claims. A paper may come several times.
     """
-    claim = F.col("type") == "claim"
-    hits = index.batch(questions, {"claims": claim, "chunks": ~claim, "mixed": None}, max(k, claims_k))
-    single = hits.where(F.col("place") <= k).select("strategy", "qid", "id", F.lit(0).alias("part"), "place")
+    kinds = {"claims": [CLAIM], "chunks": [0], "mixed": None}
+    if vectors is None:
+        hits = index.batch(questions, kinds, max(k, claims_k))
+    else:
+        hits = fused_batch(index, questions, vectors, kinds, k)
+        if claims_k != k:  # a pool of its own
+            own = fused_batch(index, questions, vectors, {"cited": [CLAIM]}, claims_k)
+            hits = hits.unionByName(own)
+    hits = stored(hits, "hits")  # k rows a question and strategy, read five times
+    cited = "claims" if vectors is None or claims_k == k else "cited"
+    single = hits.where((F.col("place") <= k) & (F.col("strategy") != "cited")).select("strategy", "qid", "id", F.lit(0).alias("part"), "place")
     of = lambda s, n: hits.where((F.col("strategy") == s) & (F.col("place") <= n)).select("qid", "id", "place")
-    merged = merged_batch(of("claims", claims_k), of("chunks", k), index.rows).withColumn("strategy", F.lit("merged"))
+    merged = merged_batch(of(cited, claims_k), of("chunks", k), index.rows).withColumn("strategy", F.lit("merged"))
     both = single.unionByName(merged.select(*single.columns)).join(index.rows.select("id", "pmid"), "id")
     rank = F.row_number().over(Window.partitionBy("strategy", "qid").orderBy("part", "place"))
     return both.select("strategy", "qid", "pmid", rank.cast("long").alias("rank"))

@@ -28,5 +28,5 @@ def index_of(spark: SparkSession, d: str, name: str) -> R.Index:
     stamp = json.dumps([d, *(files.stamp(f"{d}/{t}.parquet") for t in NEEDS[name])])
     path = f"{workspace(spark)}/index-{name}-{hashlib.md5(stamp.encode()).hexdigest()}"
     if not files.exists(f"{path}/numbers/_SUCCESS"):
-        return R.write_index(indexed(spark, d, name), path)
+        return R.write_index(indexed(spark, d, name), path, kind=R.kind_of(F.col("type")) if name == "rows" else None)
     return R.read_index(spark, path)

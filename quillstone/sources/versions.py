@@ -9,6 +9,7 @@ import atexit
 import json
 import shutil
 import tempfile
+import time
 import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -30,6 +31,13 @@ def workspace(spark: SparkSession) -> str:
     return f"{base.rstrip('/')}/{app}-library"
 
 
+def stored(df: DataFrame, name: str) -> DataFrame:
+    """The rows as a table of the workspace: what several readers need is made once, and lineage ends there."""
+    path = f"{workspace(df.sparkSession)}/{name}-{uuid.uuid4().hex[:12]}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 class Files:
     """Small files and folders of any store that Spark reads."""
 
@@ -117,8 +125,9 @@ class Versions:
 class Parts:
     """Tables dealt to hash parts by a key: a change writes the parts that it touches, and a manifest says which folders make the tables now.
 
-    A part of a table is ``data/<change>/<table>/_part=<number>``. Manifests are numbered; the newest counts, and those before
-    the last ``keep`` go with the folders that only they name. One writer at a time; a change that is cut short changes nothing.
+    A part of a table is ``data/<change>/<table>/_part=<number>``. Manifests are numbered and never written again; the newest counts. A change
+    writes folders of its own and then one manifest, so one that is cut short changes nothing, and what was read before stays
+    readable until ``vacuum`` is called. One writer at a time.
     """
 
     def __init__(self, spark: SparkSession, root: str, key: str, parts: int = 32):
@@ -139,37 +148,47 @@ class Parts:
         """The parts that rows with these keys are in: no more numbers than parts."""
         return sorted(r[0] for r in keys.select(self.part_of(F.col(self.key))).distinct().collect())
 
-    def read(self, table: str, schema: str, only: list[int] | None = None) -> DataFrame:
-        held = self.manifest().get("tables", {}).get(table, {})
+    def read(self, table: str, schema: str, only: list[int] | None = None, tables: dict | None = None) -> DataFrame:
+        """The table, or the parts of it asked for; of the newest manifest if it isn't said which ``tables`` (see ``staged``)."""
+        held = (self.manifest().get("tables", {}) if tables is None else tables).get(table, {})
         paths = [f"{self.root}/data/{change}/{table}/_part={p}" for p, change in held.items() if only is None or int(p) in only]
         return self.spark.read.schema(schema).parquet(*paths) if paths else self.spark.createDataFrame([], schema)
 
-    def put(self, table: str, df: DataFrame, change: str, sort: str | None = None) -> set[int]:
-        """Writes rows into folders of the change, a part's rows in order of ``sort``; the parts that have any. Nothing reads them before ``publish``."""
+    def put(self, table: str, df: DataFrame, change: str, *sort: str) -> set[int]:
+        """Writes rows into folders of the change, a part's rows in order of ``sort``; the parts that have any. Rows with a ``_part`` go there. Nothing reads them before ``publish``."""
         at = f"{self.root}/data/{change}/{table}"
-        dealt = df.withColumn("_part", self.part_of(F.col(self.key)))
-        dealt = dealt.repartition(min(self.parts, 200), "_part").sortWithinPartitions("_part", *([sort] if sort else []))
+        dealt = df if "_part" in df.columns else df.withColumn("_part", self.part_of(F.col(self.key)))
+        dealt = dealt.repartition(min(self.parts, 200), "_part").sortWithinPartitions("_part", *sort)
         dealt.write.mode("overwrite").partitionBy("_part").parquet(at)
         return {int(n[6:]) for n in self.files.names(at) if n.startswith("_part=")}
 
-    def publish(self, change: str, written: dict[str, tuple[list[int], set[int]]], more: dict, keep: int = 2) -> None:
-        """A new manifest: of each table the touched parts are now those written, or none. ``more``: other entries."""
-        old = self.manifest()
-        tables = {t: dict(x) for t, x in old.get("tables", {}).items()}
+    def staged(self, change: str, written: dict[str, tuple[list[int], set[int]]]) -> dict:
+        """The folders of all tables as they are with the change: of each table the touched parts are those written, or none."""
+        tables = {t: dict(x) for t, x in self.manifest().get("tables", {}).items()}
         for table, (touched, have) in written.items():
             held = tables.setdefault(table, {})
             for p in touched:
                 held.pop(str(p), None)
             held.update({str(p): change for p in have})
-        number = max(self.numbers(), default=0) + 1
-        self.files.write(f"{self.root}/manifests/{number:09d}.json", json.dumps({**old, **more, "tables": tables, "parts_number": self.parts}))
-        self.vacuum(keep)
+        return tables
 
-    def vacuum(self, keep: int) -> None:
-        numbers = self.numbers()
-        named = {c for n in numbers[-keep:] for x in self.manifest(n)["tables"].values() for c in x.values()}
-        for n in numbers[:-keep]:
+    def publish(self, tables: dict, more: dict) -> None:
+        """The tables are now these. ``more``: other entries of the manifest."""
+        number = max(self.numbers(), default=0) + 1
+        self.files.write(f"{self.root}/manifests/{number:09d}.json", json.dumps({**self.manifest(), **more, "tables": tables, "parts_number": self.parts}))
+
+    def vacuum(self, older_than: float) -> int:
+        """Deletes manifests that were replaced more than so many seconds ago, and older folders that no manifest left names; how many folders went.
+
+        Frames made before then lose their files; choose a time that no reader and no change takes.
+        """
+        numbers, before = self.numbers(), time.time() - older_than
+        made = {name: t / 1000 for name, _, t in self.files.stamp(f"{self.root}/manifests")} if numbers else {}
+        gone = [n for n, after in zip(numbers, numbers[1:], strict=False) if made[f"{after:09d}.json"] < before]
+        named = {c for n in numbers if n not in gone for x in self.manifest(n)["tables"].values() for c in x.values()}
+        for n in gone:
             self.files.delete(f"{self.root}/manifests/{n:09d}.json")
-        for c in self.files.names(f"{self.root}/data"):
-            if c not in named:
-                self.files.delete(f"{self.root}/data/{c}")
+        dead = [name for name, _, t in (self.files.stamp(f"{self.root}/data") if numbers else []) if name not in named and t / 1000 < before]
+        for c in dead:
+            self.files.delete(f"{self.root}/data/{c}")
+        return len(dead)

@@ -63,8 +63,7 @@ def test_a_change_writes_the_parts_that_it_touches(spark, library):
     changed = [p for p, change in tables["rows"].items() if before.get(p) != change]
     assert len(changed) == 1 and library.rows([int(changed[0])]).select("doc_key").distinct().collect()[0][0] == "1"
     library.tag(["2"], add=["t"])
-    assert library.store.manifest()["tables"]["postings"] == tables["postings"]
-    assert len(library.store.numbers()) == 2 and set(library.store.files.names(f"{library.store.root}/data")) == {c for n in library.store.numbers() for t in library.store.manifest(n)["tables"].values() for c in t.values()}
+    assert library.store.manifest()["tables"]["blocks"] == tables["blocks"]
     # the parts' postings and numbers are those of the whole
     index, rows = library.index(), library.rows()
     assert sorted(index.postings.select("id", "term", "tf", "dl").collect()) == sorted(R.postings(rows).collect())
@@ -335,3 +334,119 @@ def test_projects(spark, library):
         library.remove_members("p", ["9"])
     got = library.ingest_papers(["5", "8"], [("web", text.get)], required=True)
     assert [r.get("error") for r in got] == ["already_ingested", "no_open_access_fulltext"]
+
+
+def test_readers_keep_their_rows_and_vacuum_takes_old_states(spark, library):
+    rows, asked, top = library.rows(), library.ask("does zinc heal wounds"), library.lexical("silver", 2)
+    index = library.index()
+    want = [sorted(map(str, df.collect())) for df in (rows, asked, top, index.postings)]
+    library.ingest(rows_of(spark, "7", ["zinc again", "and silver"]))
+    library.remove(["1"])
+    library.ingest(rows_of(spark, "2", ["another text", "of two rows"]), force=True)
+    assert [sorted(map(str, df.collect())) for df in (rows, asked, top, index.postings)] == want
+    held = set(library.store.files.names(f"{library.store.root}/data"))
+    assert library.vacuum() == 0 and len(library.store.numbers()) == 4
+    assert library.vacuum(-1) > 0 and len(library.store.numbers()) == 1
+    left = set(library.store.files.names(f"{library.store.root}/data"))
+    assert left < held and left == {c for t in library.store.manifest()["tables"].values() for c in t.values()}
+    assert sorted(r["doc_key"] for r in library.rows().select("doc_key").distinct().collect()) == ["2", "7"]
+
+
+def test_a_change_that_is_cut_short_anywhere_changes_nothing(spark, library, monkeypatch):
+    """Stops at each write of a change in turn: what a library reads then is as before, and the change made again is as made once."""
+    from quillstone.sources import versions
+
+    state = lambda: (sorted(map(str, library.rows().collect())), library.store.manifest(), sorted(map(str, library.lexical("zinc", 3).collect())))
+    before, put, publish = state(), versions.Parts.put, versions.Parts.publish
+    steps = 0
+    while True:
+        left = [steps]
+
+        def stop(f, left=left):
+            def run(self, *args):
+                if left[0] == 0:
+                    raise InterruptedError
+                left[0] -= 1
+                return f(self, *args)
+
+            return run
+
+        monkeypatch.setattr(versions.Parts, "put", stop(put))
+        monkeypatch.setattr(versions.Parts, "publish", stop(publish))
+        try:
+            library.ingest(rows_of(spark, "9", ["zinc zinc zinc", "copper"]))
+            break
+        except InterruptedError:
+            steps += 1
+            assert state() == before
+        finally:
+            monkeypatch.setattr(versions.Parts, "put", put)
+            monkeypatch.setattr(versions.Parts, "publish", publish)
+    assert steps == 6  # rows, forward, terms, sizes, blocks, manifest
+    rows = library.rows()
+    stats = R.corpus_stats(rows).first()
+    index = library.index()
+    assert (index.n, index.avgdl) == (stats["n"], stats["avgdl"]) and library.lexical("zinc", 1).first()["id"] == "9::abstract::0"
+    assert sorted(index.postings.select("id", "term", "tf", "dl").collect()) == sorted(R.postings(rows).collect())
+
+
+def test_projects_keep_their_time_and_model(spark, library, tmp_path):
+    library.create_project("p")
+    library.add_members("p", ["1"], "manual")
+    made = library.projects().where("project = 'p'").first()
+    library.create_project("p", force=True)
+    again = library.projects().where("project = 'p'").first()
+    assert again["created_at"] == made["created_at"] and again["n_members"] == 1
+    other = Library(spark, library.root, model="BAAI/bge-m3")
+    with pytest.raises(LibraryError) as e:
+        other.sync("p")
+    assert e.value.payload == {"error": "embedding_model_mismatch", "pinned": "BAAI/bge-small-en-v1.5", "main_home_model": "BAAI/bge-m3"}
+    with pytest.raises(LibraryError, match="main_collection_missing"):
+        other.sync("p", full=True)
+    assert other.projects().where("project = 'p'").first()["model"] == "BAAI/bge-m3"
+    other.ingest(rows_of(spark, "1", ["zinc", "gold"]))
+    assert other.sync("p") == {"pruned": [], "no_chunks": []}
+
+
+def test_pruned_top_is_the_whole_top(spark, tmp_path, monkeypatch):
+    """Questions of any length over blocks of two postings, with filters, kinds and a mean length that has moved since: as with every posting scored."""
+    import random
+
+    rng = random.Random(4)
+    words = [f"w{k}" for k in range(60)]
+    rows = [(f"{k:03d}", k % 7 == 0, k % 5, " ".join(rng.choices(words, [1 / (n + 1) for n in range(60)], k=rng.choice([1, 4, 12, 60])))) for k in range(400)]
+    df = spark.createDataFrame(rows, "id string, claim boolean, page int, text string").withColumn("seq", F.abs(F.xxhash64("id")) % 50)
+    monkeypatch.setattr(R, "BLOCK", 2)
+    index = R.write_index(df, f"file://{tmp_path}/i", 3, F.col("claim").cast("int"))
+    assert index.blocks.agg(F.max(F.size("posts"))).first()[0] == 2
+    assert index.floor >= 0
+    for avgdl in (index.avgdl, index.avgdl * 3, index.avgdl / 4):
+        moved = R.Index(index.blocks, index.terms, index.forward, index.rows, index.n, avgdl, index.floor)
+        for query, k, where, kinds in (["w0"], 3, None, None), (["w59", "w1", "w1"], 5, None, [1]), (rng.choices(words, k=12), 4, F.col("page") == 2, None), (["w3", "none"], 9, F.col("page") < 2, [0]), (words, 20, None, None):
+            got = [(r["id"], r["score"]) for r in moved.top(query, k, where, kinds).orderBy("lex_rank").collect()]
+            every = index.rows.join(moved.scores(query), "id").withColumn("score", F.round("score", 9)).where(F.lit(True) if where is None else where)
+            every = every.where(F.lit(True) if kinds is None else F.col("claim").cast("int").isin(kinds))
+            assert got == [(r["id"], r["score"]) for r in every.orderBy(F.desc("score"), "seq", "id").limit(k).collect()]
+    blocks, bounds = index.bounds(index.asked(["w0"]), 3)
+    assert index.sources(blocks, bounds).count() < index.blocks.where("term = 'w0'").count() / 4
+
+
+def test_evaluation_has_both_legs(spark, tmp_path):
+    vectors = {"zinc": [1.0, 0.0, 0.1], "gold": [0.0, 1.0, 0.1], "iron": [0.3, 0.3, 0.9], "lead": [0.7, 0.7, 0.0]}
+    lib = Library(spark, f"file://{tmp_path}/h")
+    for key, texts in (("1", ["zinc heals wounds", "gold coins shine"]), ("2", ["iron rusts", "lead is heavy", "zinc and lead"]), ("3", ["silver spoon", "gold"])):
+        lib.ingest(rows_of(spark, key, texts))
+    lib.add_claims("1", [{"text": "Zinc heals", "source_chunk_ids": ["1::abstract::0"], "evidence_span": "zinc heals"}])
+    lib.add_claims("2", [{"text": "Iron rusts", "source_chunk_ids": ["2::abstract::0"], "evidence_span": "iron rusts"}, {"text": "Lead is heavy", "source_chunk_ids": ["2::text::0"], "evidence_span": "lead is heavy"}])
+    of = [(r["id"], next((v for w, v in vectors.items() if w in r["text"].lower()), [0.5, 0.1, 0.5])) for r in lib.rows().collect()]
+    lib.tables.write("vectors", spark.createDataFrame(of, "id string, v array<float>"))
+    questions = [("zinc", ["1"], vectors["gold"]), ("heavy lead coins", ["2", "3"], vectors["iron"]), ("nothing of it", ["9"], vectors["lead"])]
+    ranked = R.evaluate(lib.index(), spark.createDataFrame([(k, q, v) for k, (q, _, v) in enumerate(questions)], "qid long, text string, vector array<double>"), 2, 1, lib.tables.read("vectors"))
+    got = {(s, q): [r["pmid"] for r in ranked.where((F.col("strategy") == s) & (F.col("qid") == q)).orderBy("rank").collect()] for s in ("merged", "chunks", "claims", "mixed") for q in range(3)}
+    assert got == {(s, q): [r["pmid"] for r in lib.ask(text, 2, 1, s, vector=v).collect()] for s in ("merged", "chunks", "claims", "mixed") for q, (text, _, v) in enumerate(questions)}
+    df = spark.createDataFrame([(q, p, v) for q, p, v in questions], "question string, relevant_pmids array<string>, vector array<double>")
+    given = sorted(map(tuple, lib.evaluate(df, 2, 1).collect()))
+    assert {r[0] for r in given} == {"merged", "chunks", "claims", "mixed"} and {r[1] for r in given} == {3}
+    by_text = {q: v for q, _, v in questions}
+    lib.embed = lambda q: by_text[q.split(": ", 1)[1]]
+    assert sorted(map(tuple, lib.evaluate(df.drop("vector"), 2, 1).collect())) == given
