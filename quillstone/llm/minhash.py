@@ -11,7 +11,7 @@ shingles that two blocks share as a product of matrices and returns what its lin
 costs about a comparison a text, no pair that could change a component is left out, and no pair is a row of its own.
 
 Defined results: a null or empty text has no shingles, and such texts are copies of each other. A text of fewer than five
-words is one shingle. A text is known by its 64-bit hash. An empty table gives no rows.
+words is one shingle. A text is known by two 64-bit hashes. An empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -95,7 +95,7 @@ def across(members: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
 def linked(texts: DataFrame, points: DataFrame, candidates: DataFrame, similarity: float, shingle: int, seed: int) -> DataFrame:
     """(a, b): links that make the components of all texts of the similarity; a table.
 
-    ``texts`` (p, text), ``points`` (p, n, bands), ``candidates`` (a, b, na, nb) besides those of the bands; n: the size of a text's set.
+    ``texts`` (h, g, text), ``points`` (p, h, g, n, bands), ``candidates`` (a, b, na, nb) besides those of the bands; n: the size of a text's set.
     """
     at = points.select("p", "n", F.explode("bands").alias("k"))
     shared = at.groupBy("k").agg(F.count("*").alias("met")).where("met > 1").select(F.col("k").alias("_k"), "met")
@@ -118,7 +118,9 @@ def linked(texts: DataFrame, points: DataFrame, candidates: DataFrame, similarit
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array([shingles(t.as_py(), shingle, seed).view(np.int64) for t in b.column(1)], pa.list_(pa.int64()))], names=["p", "shingles"])
 
     # copies of a text become one row before they are dealt out
-    sets = materialise(texts.groupBy("p").agg(F.first("text").alias("text")).join(own, "p", "left_semi").mapInArrow(whole, "p long, shingles array<long>"), "sets")
+    wanted = points.select("p", "h", "g").join(own, "p", "left_semi")
+    sets = texts.groupBy("h", "g").agg(F.first("text").alias("text")).join(wanted, ["h", "g"]).select("p", "text")
+    sets = materialise(sets.mapInArrow(whole, "p long, shingles array<long>"), "sets")
     of = lambda c: sets.select(F.col("p").alias(c), F.col("shingles").alias(f"s{c}"))
     both = F.size(F.array_intersect("sa", "sb"))
     alike = F.when(F.col("na") + F.col("nb") == 0, True).otherwise(both / (F.col("na") + F.col("nb") - both) >= similarity)

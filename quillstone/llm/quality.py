@@ -11,7 +11,7 @@ Everything is DataFrame functions. Counts are pre-aggregated before they are shu
 share is a few rows; the lines above the limit, at most all lines / least_docs, go back by a join that Spark
 broadcasts only while they are small.
 
-Defined results: a null text has no words and fails the base rules. A null source is a host of its own. Null and
+Defined results: a null text has no words, fails the base rules, and is the same text as an empty one where a host's texts are counted. A null source is a host of its own. Null and
 repeated doc_ids are rows like others. An empty table gives no rows. Columns of the input whose names clash with
 results are replaced.
 """
@@ -81,10 +81,16 @@ def line_structs(c: Column) -> Column:
 TEXT = ["source", "_t", "_u"]
 
 
+def text_hashes() -> list[Column]:
+    """A null text is the same text as an empty one."""
+    text = F.coalesce("text", F.lit(""))
+    return [F.xxhash64(text), F.xxhash64(F.lit(1), text)]
+
+
 def measure(docs: DataFrame) -> DataFrame:
     """The columns of ``docs`` but text, base statistics, the text's hashes and its lines: what the rules need, from one pass."""
     own = [F.col(c) for c in docs.columns if c not in (*RESULTS, "bad_lines", "text")]
-    hashes = [F.xxhash64("text").alias("_t"), F.xxhash64(F.lit(1), "text").alias("_u"), line_structs(F.col("text")).alias("_x")]
+    hashes = [*(h.alias(c) for h, c in zip(text_hashes(), TEXT[1:], strict=True)), line_structs(F.col("text")).alias("_x")]
     return base_stats(docs, own + hashes)
 
 
@@ -133,7 +139,7 @@ def clean(docs: DataFrame, **limits) -> DataFrame:
         told = verdicts(materialise(measure(docs.select("source", "text")), "measured"), **limits).where("NOT kept OR bad_lines IS NOT NULL")
         told = told.groupBy(*[F.col(c).alias(f"_b{c}") for c in TEXT]).agg(F.first("kept").alias("_kept"), F.first("bad_lines").alias("_bad"))
         told = keep(materialise(told, "verdicts"))
-    df = docs.withColumns({"_t": F.xxhash64("text"), "_u": F.xxhash64(F.lit(1), "text")})
+    df = docs.withColumns(dict(zip(TEXT[1:], text_hashes(), strict=True)))
     df = df.join(told, same_text(df, told), "left").where(F.coalesce("_kept", F.lit(True)))
     left = F.filter(F.split("text", "\n"), lambda x: ~F.array_contains("_bad", F.xxhash64(trimmed(normalised(x)))))
     text = F.when(F.col("_bad").isNull(), F.col("text")).otherwise(F.array_join(left, "\n"))

@@ -151,8 +151,13 @@ def near_duplicates(docs: DataFrame, distance: int = DISTANCE, shingle: int = SH
     return fps.join(named, F.col("fp") == F.col("_fp"), "left").drop("_fp")
 
 
+def text_hashes() -> list[Column]:
+    """Two hashes that a text is known by: of 10 billion texts some three pairs share one of them, and a pair both with a chance of one in 10 ** 18."""
+    return [F.xxhash64("text").alias("h"), F.xxhash64(F.lit(1), "text").alias("g")]
+
+
 def near_copies(docs: DataFrame, similarity: float = minhash.SIMILARITY, shingle: int = minhash.SHINGLE, distance: int = DISTANCE, seed: int = SEED) -> DataFrame:
-    """(p, component) of each distinct text of ``docs``, p being its hash: texts linked by a Jaccard similarity of their shingles share a component.
+    """(h, g, component) of each distinct text of ``docs``, known by two hashes: texts linked by a Jaccard similarity of their shingles share a component.
 
     Candidates are fingerprints within ``distance`` bits, and texts that share a MinHash band.
     """
@@ -162,11 +167,12 @@ def near_copies(docs: DataFrame, similarity: float = minhash.SIMILARITY, shingle
             sets = [minhash.shingles(t.as_py(), shingle, seed) for t in b.column(1)]
             fp = np.array([majority(bit_sums(s), len(s)) for s in sets], dtype=np.uint64).view(np.int64)
             bands = pa.array([minhash.bands_of(s) for s in sets], pa.list_(pa.int64()))
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([len(s) for s in sets], pa.int64()), pa.array(fp), bands], names=["p", "n", "fp", "bands"])
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), pa.array([len(s) for s in sets], pa.int64()), pa.array(fp), bands], names=["h", "g", "n", "fp", "bands"])
 
-    texts = docs.select(F.xxhash64("text").alias("p"), "text")
-    made = texts.mapInArrow(signed, "p long, n long, fp long, bands array<long>")
-    points = materialise(made.groupBy("p").agg(F.first("n").alias("n"), F.first("fp").alias("fp"), F.first("bands").alias("bands")), "points")
+    texts = docs.select(*text_hashes(), "text")
+    made = texts.select("h", "text", "g").mapInArrow(signed, "h long, g long, n long, fp long, bands array<long>")
+    points = made.groupBy("h", "g").agg(F.first("n").alias("n"), F.first("fp").alias("fp"), F.first("bands").alias("bands"))
+    points = materialise(points.withColumn("p", F.monotonically_increasing_id()), "points")  # a number of its own
     # texts of one fingerprint are held against the least of them, near fingerprints by theirs
     of = materialise(points.groupBy("fp").agg(F.min(F.struct("p", "n")).alias("x"), F.count("*").alias("m")).select("fp", "x.p", "x.n", "m"), "fingerprints")
     end = lambda x: of.select(F.col("fp").alias(x), F.col("p").alias(f"p{x}"), F.col("n").alias(f"n{x}"))
@@ -175,7 +181,7 @@ def near_copies(docs: DataFrame, similarity: float = minhash.SIMILARITY, shingle
     found = materialise(near.union(same.select("a", F.col("p").alias("b"), "na", F.col("n").alias("nb"))), "candidates")
     linked = minhash.linked(texts, points, found, similarity, shingle, seed)
     comp = materialise(components(linked), "components")
-    out = materialise(points.select("p").join(comp, F.col("p") == F.col("node"), "left").select("p", F.coalesce("component", "p").alias("component")), "copies")
+    out = materialise(points.select("p", "h", "g").join(comp, F.col("p") == F.col("node"), "left").select("h", "g", F.coalesce("component", "p").alias("component")), "copies")
     release(points, of, found, linked, comp)
     return out
 
@@ -186,14 +192,15 @@ def deduplicate(docs: DataFrame, similarity: float = minhash.SIMILARITY, shingle
     So a text goes only for a near copy, never for another text of the same doc_id.
     """
     found = near_copies(docs, similarity, shingle)
-    p = F.xxhash64("text")
-    ids = docs.select(F.col("doc_id").alias("_id"), p.alias("p")).groupBy("p").agg(F.min("_id").alias("_id"))
+    ids = docs.select(F.col("doc_id").alias("_id"), *text_hashes()).groupBy("h", "g").agg(F.min("_id").alias("_id"))
     # a text with an id goes before one without
-    best = F.min(F.struct(F.col("_id").isNull().alias("none"), F.col("_id"), F.col("p"))).alias("best")
-    keep = materialise(found.join(ids, "p").groupBy("component").agg(best).select(F.col("best.p").alias("_keep"), F.col("best._id").alias("_id")), "kept")
+    best = F.min(F.struct(F.col("_id").isNull().alias("none"), F.col("_id"), F.col("h"), F.col("g"))).alias("best")
+    keep = found.join(ids, ["h", "g"]).groupBy("component").agg(best).select(F.col("best.h").alias("_kh"), F.col("best.g").alias("_kg"), F.col("best._id").alias("_id"))
+    keep = materialise(keep, "kept")
     release(found)
-    same = docs.withColumn("_p", p).join(keep, F.col("_p") == F.col("_keep")).where(F.col("doc_id").eqNullSafe(F.col("_id")))
-    one = Window.partitionBy("_p").orderBy("doc_id")
+    h, g = text_hashes()
+    same = docs.withColumns({"_h": h, "_g": g}).join(keep, (F.col("_h") == F.col("_kh")) & (F.col("_g") == F.col("_kg"))).where(F.col("doc_id").eqNullSafe(F.col("_id")))
+    one = Window.partitionBy("_h", "_g").orderBy("doc_id")
     return same.withColumn("_row", F.row_number().over(one)).where("_row = 1").select(*docs.columns)
 
 

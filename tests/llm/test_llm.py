@@ -8,6 +8,7 @@ import zlib
 from collections import Counter, defaultdict
 from fractions import Fraction
 
+import duckdb
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -16,6 +17,7 @@ import corpus_pipeline
 from quillstone.llm import common, embed_dedup, langid, minhash, mixing, packing, pii, quality, queries, simhash, token_rollup, url_filter, warc
 from quillstone.llm.tokens import WordBpe, tokenizer
 from tests.oracle import compare, connect
+from tests.oracle import rows as rows_of
 
 D = "/root/testdata/sf0.001"
 DOCS = "doc_id long, text string, lang string, source string, n_chars long"
@@ -42,6 +44,18 @@ def test_sql(spark, name):
     compare(queries.queries()[name], queries.oracle_sql()[name], spark, D)
 
 
+def test_quality_counts_null_and_empty_as_one_text(spark, tmp_path):
+    """A host where a line is in just over a hundredth of the texts, but not if null and empty were two."""
+    rows = [(k, f"own words number {k} of this text and some more so that it is long enough\n" + ("the line that comes again" if k < 21 else f"line {k}"), "en", "a", 0) for k in range(2098)]
+    rows += [(2098, "", "en", "a", 0), (2099, None, "en", "a", 0)]
+    spark.createDataFrame(rows, DOCS).coalesce(1).write.parquet(f"{tmp_path}/documents.parquet")
+    sql = duckdb.connect()
+    sql.execute(f"CREATE VIEW documents AS SELECT * FROM read_parquet('{tmp_path}/documents.parquet/*.parquet')")
+    got = rows_of(quality.op8_quality(spark, f"file://{tmp_path}").toArrow())
+    assert got == rows_of(sql.execute(quality.ORACLE).to_arrow_table())
+    assert sum(r[got[0].index("removed_words")] > 0 for r in got[1]) == 21
+
+
 # 1 url filters
 
 
@@ -423,7 +437,7 @@ def test_large_groups_are_compared_by_blocks(spark, monkeypatch):
     for p, t in df.select(F.xxhash64("text"), "text").collect():
         text[p] = [r[1] for r in rows].index(t)
     for r in simhash.near_copies(df).collect():
-        got[r["component"]].add(text[r["p"]])
+        got[r["component"]].add(text[r["h"]])
     want = jaccard_components([(r[0], r[1]) for r in rows])
     assert sorted(map(sorted, got.values())) == want and 1 < len(want) < len(rows)
 
