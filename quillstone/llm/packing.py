@@ -6,8 +6,9 @@ driver. There lengths are placed longest first, each into the open pattern with
 many sequences as share a pattern are one count, so the work depends on the number of lengths, not of documents. The
 pattern table goes back to the pieces by the rank of a piece among those of its length.
 
-Where documents come in an order that training should follow, ``window`` numbers stretches of that order: each is packed by itself, and
-its sequences follow those of the stretch before. At most WINDOWS stretches are told apart, so the driver holds WINDOWS histograms.
+Where documents come in an order that training should follow, ``pack_in_order`` packs windows of that order, of a bounded number of documents
+each, by the same method, a window in a task. Inside a window pieces of a length take their places in order, and sequences are numbered by
+the median place of their pieces; windows follow each other. There are as many windows as the rows need, and the driver holds none of them.
 
 What is left of a sequence is padding up to ``width``; a sequence whose tokens number a power of two needs none.
 
@@ -22,31 +23,33 @@ from collections import defaultdict
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from quillstone.llm.common import materialise, ranked
 from quillstone.llm.tokens import tokenizer
 
-WIDTH, END, FILE, WINDOWS = 4096, 2, "word_bpe_49k.json", 16
+WIDTH, END, FILE = 4096, 2, "word_bpe_49k.json"
+#: Documents of a window of ``pack_in_order``.
+WINDOW_ROWS = 10_000
 PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long"
 
 
-def pieces(docs: DataFrame, width: int = WIDTH, end: int = END, file: str = FILE, folder: str | None = None, window: Column | None = None) -> DataFrame:
-    """Pieces (PIECES, window long) of each row's token sequence, the end mark included: full ones of ``width``, then the rest."""
+def pieces(docs: DataFrame, width: int = WIDTH, end: int = END, file: str = FILE, folder: str | None = None, more: tuple[str, ...] = ()) -> DataFrame:
+    """Pieces (PIECES and the long columns ``more``) of each row's token sequence, the end mark included: full ones of ``width``, then the rest."""
+    kinds = PIECES + "".join(f", {c} long" for c in more)
+    schema = pa.schema([(c.split()[0], pa.int64()) for c in kinds.split(", ")])
 
     def cut(batches):
         encode = tokenizer(file, folder).encode
-        schema = pa.schema([(c.split()[0], pa.int64()) for c in PIECES.split(", ") + ["window long"]])
         for b in batches:
             rows = []
-            for doc_id, text, own in zip(b.column(0).to_pylist(), b.column(1), b.column(2).to_pylist(), strict=True):
+            for doc_id, text, *own in zip(b.column(0).to_pylist(), b.column(1), *(c.to_pylist() for c in b.columns[2:]), strict=True):
                 ids = np.append(encode(text.as_py() or ""), end).astype("<u4")
-                rows += [(doc_id, s, len(ids[s : s + width]), zlib.crc32(ids[s : s + width].tobytes()), len(ids), own) for s in range(0, len(ids), width)]
-            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*rows, strict=True)] if rows else [pa.array([], pa.int64())] * 6, schema=schema)
+                rows += [(doc_id, s, len(ids[s : s + width]), zlib.crc32(ids[s : s + width].tobytes()), len(ids), *own) for s in range(0, len(ids), width)]
+            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*rows, strict=True)] if rows else [pa.array([], pa.int64())] * len(schema), schema=schema)
 
-    number = F.lit(0) if window is None else F.coalesce(window, F.lit(0))
-    return docs.select("doc_id", "text", number.cast("long").alias("window")).mapInArrow(cut, PIECES + ", window long")
+    return docs.select("doc_id", "text", *[F.col(c).cast("long").alias(c) for c in more]).mapInArrow(cut, kinds)
 
 
 def pack_histogram(counts: dict[int, int], width: int = WIDTH) -> list[tuple[list[tuple[int, int]], int]]:
@@ -98,40 +101,58 @@ def slots(patterns: list[tuple[list[tuple[int, int]], int]], sequence: int = 0)
     return {k: tuple(np.array(c, dtype=np.int64) for c in zip(*v, strict=True)) for k, v in runs.items()}
 
 
-def pack(docs: DataFrame, width: int = WIDTH, end: int = END, file: str = FILE, folder: str | None = None, window: Column | None = None) -> DataFrame:
-    """One row per piece: PIECES and (sequence_id, offset) long. Text columns of ``docs``: doc_id, text; ``window``: whole numbers from 0."""
-    cut = materialise(pieces(docs, width, end, file, folder, window), "pieces")
-    if window is not None:
-        last = cut.agg(F.max("window")).first()[0] or 0
-        cut = cut.withColumn("window", F.expr(f"window * {min(WINDOWS, last + 1)} div {last + 1}"))
-    counts: dict[int, dict[int, int]] = defaultdict(dict)
-    for r in cut.groupBy("window", "length").agg(F.count("*").alias("n")).collect():  # at most WINDOWS times ``width`` rows
-        counts[r["window"]][r["length"]] = r["n"]
-    where, first = {}, 0
-    for own in sorted(counts):
-        patterns = pack_histogram(counts[own], width)
-        where[own] = slots(patterns, first)
-        first += sum(n for _, n in patterns)
-    at = ranked(cut, ["window", "length"], ["doc_id", "start", "ids_crc32"], sum(sum(c.values()) for c in counts.values()))
-    held = docs.sparkSession.sparkContext.broadcast(where)
+def placed(length: np.ndarray, rank: np.ndarray, where: dict[int, tuple[np.ndarray, ...]]) -> tuple[np.ndarray, np.ndarray]:
+    """(sequence, offset) of pieces, from their ranks among those of their length and the runs of ``slots``."""
+    seq, off = np.zeros(len(length), np.int64), np.zeros(len(length), np.int64)
+    for n in np.unique(length):
+        own = np.nonzero(length == n)[0]
+        first, first_seq, offset, times = where[int(n)]
+        run = np.searchsorted(first, rank[own], "right") - 1
+        k = rank[own] - first[run]
+        seq[own] = first_seq[run] + k // times[run]
+        off[own] = offset[run] + k % times[run] * n
+    return seq, off
+
+
+def pack(docs: DataFrame, width: int = WIDTH, end: int = END, file: str = FILE, folder: str | None = None) -> DataFrame:
+    """One row per piece: PIECES and (sequence_id, offset) long. Text columns of ``docs``: doc_id, text."""
+    cut = materialise(pieces(docs, width, end, file, folder), "pieces")
+    counts = {r["length"]: r["n"] for r in cut.groupBy("length").agg(F.count("*").alias("n")).collect()}  # at most ``width`` rows
+    at = ranked(cut, ["length"], ["doc_id", "start", "ids_crc32"], sum(counts.values()))
+    held = docs.sparkSession.sparkContext.broadcast(slots(pack_histogram(counts, width)))  # runs of a histogram of ``width`` lengths
 
     def place(batches):
         for b in batches:
-            length, rank, window = (b.column(c).to_numpy() for c in ("length", "rank", "window"))
-            seq, off = np.zeros(len(length), np.int64), np.zeros(len(length), np.int64)
-            groups, inverse = np.unique(window * (width + 1) + length, return_inverse=True)
-            order = np.argsort(inverse, kind="stable")
-            for g, own in zip(groups, np.split(order, np.cumsum(np.bincount(inverse))[:-1]) if len(groups) else [], strict=True):
-                n = int(g) % (width + 1)
-                first, first_seq, offset, times = held.value[int(g) // (width + 1)][n]
-                run = np.searchsorted(first, rank[own], "right") - 1
-                k = rank[own] - first[run]
-                seq[own] = first_seq[run] + k // times[run]
-                off[own] = offset[run] + k % times[run] * n
+            seq, off = placed(b.column("length").to_numpy(), b.column("rank").to_numpy(), held.value)
             yield pa.RecordBatch.from_arrays([*(b.column(c) for c in names), pa.array(seq), pa.array(off)], names=[*names, "sequence_id", "offset"])
 
     names = [c.split()[0] for c in PIECES.split(", ")]
-    return at.select(*names, "window", "rank").mapInArrow(place, PIECES + ", sequence_id long, offset long")
+    return at.select(*names, "rank").mapInArrow(place, PIECES + ", sequence_id long, offset long")
+
+
+def pack_in_order(docs: DataFrame, window: str, place: str, width: int = WIDTH, end: int = END, file: str = FILE, folder: str | None = None) -> DataFrame:
+    """As ``pack``, in order of the whole numbers ``window``, whose rows one task holds, and ``place`` within it."""
+    names = [c.split()[0] for c in PIECES.split(", ")]
+
+    def one(t: pa.Table) -> pa.Table:
+        t = t.sort_by([("place", "ascending"), ("start", "ascending")])
+        length, at = t.column("length").to_numpy(), t.column("place").to_numpy()
+        by = np.argsort(length, kind="stable")
+        n, first = np.unique(length[by], return_index=True)
+        rank = np.zeros(len(length), np.int64)
+        rank[by] = np.arange(len(by)) - np.repeat(first, np.diff([*first, len(by)]))
+        seq, off = placed(length, rank, slots(pack_histogram(dict(zip(n.tolist(), np.diff([*first, len(by)]).tolist(), strict=True)), width)))
+        by = np.lexsort((at, seq))
+        _, first, size = np.unique(seq[by], return_index=True, return_counts=True)
+        number = np.zeros(len(first), np.int64)
+        number[np.argsort(at[by][first + size // 2], kind="stable")] = np.arange(len(first))
+        return pa.table([*(t.column(c) for c in names), t.column("window"), pa.array(number[seq]), pa.array(off)], names=[*names, "window", "sequence_id", "offset"])
+
+    cut = pieces(docs.withColumns({"window": F.coalesce(window, F.lit(0)), "place": F.coalesce(place, F.lit(0))}), width, end, file, folder, ("window", "place"))
+    own = materialise(cut.groupBy("window").applyInArrow(one, PIECES + ", window long, sequence_id long, offset long"), "packed")
+    sizes = own.groupBy(F.col("window").alias("_w")).agg((F.max("sequence_id") + 1).alias("n"))
+    before = sizes.select("_w", (F.sum("n").over(Window.orderBy("_w")) - F.col("n")).alias("before"))  # a row for each WINDOW_ROWS documents
+    return own.join(before, F.col("window") == F.col("_w")).select(*names, (F.col("sequence_id") + F.col("before")).alias("sequence_id"), "offset")
 
 
 def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -534,12 +534,32 @@ def test_patterns_are_shortest_pack_first():
             assert got == Counter(packs), counts
 
 
-def test_windows_are_packed_one_after_another(spark):
-    df = spark.createDataFrame([(i, "word " * (i % 50 + 1), i // 100) for i in range(400)], "doc_id long, text string, w int")
-    got = packing.pack(df, width=64, window=F.col("w")).collect()
-    check_packing(got, [(i, "word " * (i % 50 + 1)) for i in range(400)], tokenizer(packing.FILE).library)
+def test_windows_are_packed_in_order(spark):
+    rows = [(i, "word " * (i % 50 + 1), i // 100) for i in range(400)]
+    df = spark.createDataFrame(random.Random(1).sample(rows, 400), "doc_id long, text string, w int").withColumns({"rank": F.lit(1), "p": 3 * F.col("doc_id")})
+    got = packing.pack_in_order(df, "w", "p", width=64).collect()
+    check_packing(got, [r[:2] for r in rows], tokenizer(packing.FILE).library)
     spans = [(min(s), max(s)) for k in range(4) for s in [[r["sequence_id"] for r in got if r["doc_id"] // 100 == k]]]
-    assert all(a[1] < b[0] for a, b in zip(spans, spans[1:], strict=False))
+    assert spans[0][0] == 0 and all(a[1] + 1 == b[0] for a, b in zip(spans, spans[1:], strict=False))
+    held = defaultdict(list)
+    for r in got:
+        held[r["sequence_id"]].append((r["doc_id"], r["start"]))
+    middle = [sorted(held[k])[len(held[k]) // 2][0] for k in sorted(held)]
+    assert middle == sorted(middle)  # inside a window too
+    assert packing.pack_in_order(df.limit(0), "w", "p").count() == 0
+
+
+def test_the_pipelines_order_reaches_packing(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(packing, "WINDOW_ROWS", 50)
+    rows = [(i, "word " * (i % 50 + 100), "en", "a", 0) for i in range(400)]
+    spark.createDataFrame(rows, DOCS).repartitionByRange(3, "doc_id").sortWithinPartitions("doc_id").write.parquet(f"{tmp_path}/d")
+    stage = dict(corpus_pipeline.STAGES)["packing"]
+    got = stage(spark, spark.read.parquet(f"{tmp_path}/d"), D).collect()
+    check_packing(got, [r[:2] for r in rows], tokenizer(packing.FILE).library)
+    place = sorted((r["sequence_id"], r["doc_id"]) for r in got)
+    far = max(abs(d - sorted(r["doc_id"] for r in got)[k]) for k, (_, d) in enumerate(place))
+    assert far <= 50  # nothing leaves its window
+    assert stage(spark, spark.createDataFrame(rows[:5], DOCS), D).count() == 5
 
 
 # 7 language id
