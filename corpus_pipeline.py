@@ -9,6 +9,7 @@ their own in all stages: a row goes only for what its own text is. An empty tabl
 
 from __future__ import annotations
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -51,11 +52,15 @@ def source_mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def packed_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pieces of all documents with their places in sequences, which follow the schedule by stretches of its files.
+    """Pieces of all documents with their places in sequences, which follow the schedule: the order of its files' numbers, and of rows within a file.
 
-    What comes without files, or in files without numbers, is one stretch.
+    What doesn't come from files has no order, and is packed as a whole.
     """
-    return packing.pack(docs, window=F.regexp_extract(F.input_file_name(), r"part-(\d{1,9})", 1).try_cast("long"))
+    try:
+        rows = docs.select("doc_id", "text", F.coalesce(F.regexp_extract(F.col("_metadata.file_name"), r"part-(\d{1,9})", 1).try_cast("long"), F.lit(0)).alias("file"), F.col("_metadata.row_index").alias("place"))
+    except AnalysisException:  # rows made on the way have no files
+        return packing.pack(docs)
+    return packing.pack_in_order(rows.withColumn("window", F.expr(f"file * 4294967296 + place div {packing.WINDOW_ROWS}")), "window", "place")
 
 
 STAGES = [
