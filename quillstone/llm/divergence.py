@@ -35,7 +35,7 @@ UNIT_STEPS, LEAST_DOCS, TOP = 3, 3, 200
 UNIT = 1000**UNIT_STEPS
 BLOCK, GROUPS = 4096, 256
 #: Entries that a task counts before it hands them on, and elements of a product that is broadcast.
-_HELD, _CELLS = 200_000, 1 << 21
+_HELD, _CELLS = 600_000, 1 << 21
 TERM = r"[^\x00-\x40\x5B-\x60\x7B-\x7F]+"
 _TABLE = str.maketrans(UPPER, LOWER)
 
@@ -51,8 +51,9 @@ def counted(docs: DataFrame) -> DataFrame:
         def flush():
             for (lang, source), (n, d, rows) in held.items():
                 terms = list(n)
-                cols = [[lang] * (len(terms) + 1), [source] * (len(terms) + 1), [None, *terms], [0, *n.values()], [rows, *(d[t] for t in terms)]]
-                yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(cols, schema, strict=True)], schema=schema)
+                same = [pa.repeat(pa.scalar(x, pa.string()), len(terms) + 1) for x in (lang, source)]
+                cols = [[None, *terms], [0, *n.values()], [rows, *map(d.__getitem__, terms)]]
+                yield pa.RecordBatch.from_arrays([*same, *(pa.array(c, f.type) for c, f in zip(cols, list(schema)[2:], strict=True))], schema=schema)
 
         for b in batches:
             for text, lang, source in zip(b.column(0), *(b.column(k).to_pylist() for k in (1, 2)), strict=True):
