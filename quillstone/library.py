@@ -27,6 +27,7 @@ from quillstone.operators import claims as C
 from quillstone.operators import library as L
 from quillstone.operators import retrieval as R
 from quillstone.operators import search as S
+from quillstone.operators.vectors import VectorIndex
 from quillstone.operators.where import both, build, compile_where
 from quillstone.sources.remote import Client, RemoteError, full_text
 from quillstone.sources.versions import Files, Parts, Versions, workspace
@@ -350,6 +351,16 @@ class Library:
         kinds, where = R.kinds_of(where)
         return index.top(terms, k, compile_where(where, index.rows.columns) if where else None, kinds).select("id", "score", "lex_rank")
 
+    def index_vectors(self, lists: int | None = None) -> VectorIndex:
+        """An inverted file of the vectors that are stored now, with the columns of their rows that filters ask for; see ``near``."""
+        vecs, rows = self.tables.read("vectors", "id string, v array<float>"), self.rows().drop("text", "seq", "source_chunk_ids", "evidence_span")
+        return VectorIndex.build(vecs.join(rows, "id"), f"{self.tables.root}/near/{self.tables.numbers('vectors')[-1]:09d}", lists)
+
+    def near(self, vector: list[float], k: int, where: dict | None = None, probes: int | None = 0) -> DataFrame:
+        """As ``dense``, by the index of the vectors stored now: approximate, or exact with ``probes`` None. Filters see rows as they were when it was made."""
+        index = VectorIndex.read(self.spark, f"{self.tables.root}/near/{self.tables.numbers('vectors')[-1]:09d}")
+        return index.search(vector, k, probes, compile_where(where, index.rows().columns) if where else None)
+
     def dense(self, vector: list[float], k: int, where: dict | None = None, project: str | None = None) -> DataFrame:
         rows = self.rows() if project is None else self.project_rows(project)
         ids = rows.where(compile_where(where, rows.columns)).select("id")

@@ -99,6 +99,22 @@ def compile_clauses(concepts: list[Concept], sensitivity: str = "balanced", head
     return [(c.concept, str(c)) for c in clauses(concepts, sensitivity, headings)]
 
 
+def clause_rows(concepts: DataFrame, heads: DataFrame, sensitivity: str = "balanced") -> DataFrame:
+    """(concept, clause) of rows (concept, terms, expand): ``clauses`` for any number of concepts, ``heads`` (term, heading) being joined where a concept expands."""
+    _, with_short = SENSITIVITIES[sensitivity]
+    term = F.trim(F.regexp_replace(F.regexp_replace(F.col("t"), '"', "'"), r"\s+", " "))
+    each = concepts.select("concept", "expand", F.posexplode("terms").alias("pos", "t"))
+    first = each.groupBy("concept", F.lower("t").alias("low")).agg(F.min_by("t", "pos").alias("t"), F.first("expand").alias("expand"))
+    found = first.where("expand").join(heads.select(F.col("term").alias("low"), "heading"), "low").groupBy("concept").agg(F.array_sort(F.collect_set("heading")).alias("found"))
+    own = first.groupBy("concept").agg(F.array_sort(F.collect_list(F.struct("low", term.alias("t")))).alias("own")).join(found, "concept", "left")
+    long = F.filter("own", lambda x: F.lit(with_short) | F.contains(x["t"], F.lit(" ")) | (F.length(x["t"]) > SHORT))
+    kept = F.transform(F.when(F.size(long) > 0, long).otherwise(F.col("own")), lambda x: x["t"])
+    tagged = lambda c, field: F.transform(c, lambda t: F.concat(F.when(F.contains(t, F.lit(" ")), F.concat(F.lit('"'), t, F.lit('"'))).otherwise(t), F.lit(f"[{field}]")))
+    terms = F.concat(tagged(F.coalesce("found", F.array().cast("array<string>")), "MeSH Terms"), tagged(kept, "Title/Abstract"))
+    either = F.array_join(terms, " OR ")
+    return own.select("concept", F.when(F.size(terms) > 1, F.concat(F.lit("("), either, F.lit(")"))).otherwise(either).alias("clause"))
+
+
 def within(query: str, language: str) -> str:
     return f"({query}) AND {language}[Language]"
 

@@ -2,15 +2,20 @@
 
 from __future__ import annotations
 
+import hashlib
+import json
+
 from pyspark.sql import functions as F
 
 from quillstone.functions.text import squash, tokenize
 from quillstone.operators import retrieval as R
 from quillstone.operators.passages import holding
+from quillstone.operators.vectors import VectorIndex
 from quillstone.operators.where import build, compile_where
 from quillstone.plans.indexes import index_of
 from quillstone.plans.registry import query
 from quillstone.sources import tables as T
+from quillstone.sources.versions import Files, workspace
 
 ASKED = ["the", "ouwhea", "rend", "threlyes", "rend"]
 QUERY_VEC = 7
@@ -203,3 +208,22 @@ for _i, (_tree, _cond) in enumerate([
 ]):
     query(f"where_filter_{_i}", f"SELECT id, type, section FROM rows_v WHERE {_cond}", "rows_v")(lambda spark, d, t=_tree: (r := T.rows(spark, d)).where(compile_where(t, r.columns)).select("id", "type", "section"))
 query("where_builder", "SELECT id FROM rows_v WHERE type = 'text' AND pmid = '5'", "rows_v")(lambda spark, d: (r := T.rows(spark, d)).where(compile_where(build("text", "5"), r.columns)).select("id"))
+
+
+def vector_index(spark, d):
+    """The index of the stored vectors as they are; other files at the path make another."""
+    files = Files(spark)
+    path = f"{workspace(spark)}/vectors-{hashlib.md5(json.dumps([d, files.stamp(f'{d}/embeddings.parquet')]).encode()).hexdigest()}"
+    return VectorIndex.read(spark, path) if files.exists(f"{path}/codes") else VectorIndex.build(vecs(spark, d), path)
+
+
+@query("dense_index_exact", DENSE + "SELECT id, round(dist, 6) AS dist, row_number() OVER (ORDER BY dist, id) AS dense_rank FROM dist WHERE label IN (1, 3) ORDER BY dist, id LIMIT 20")
+def _(spark, d):
+    q = asked_vec(spark, d).first()["q"]
+    return vector_index(spark, d).search(q, 20, None, compile_where({"label": {"$in": [1, 3]}}, ["label"])).withColumn("dist", F.round("dist", 6))
+
+
+@query("dense_index_topk")
+def _(spark, d):
+    """Approximate, so no SQL gives its rows; tests measure recall against the exact answer."""
+    return vector_index(spark, d).search(asked_vec(spark, d).first()["q"], 20).withColumn("dist", F.round("dist", 6))

@@ -27,8 +27,6 @@ FUNNEL = f""", f AS (SELECT unnest([1, 2, 3])::BIGINT AS step, unnest(['article'
 """
 query("search_funnel", FUNNEL + "SELECT * FROM f")(lambda spark, d: S.funnel(docs(spark, d), CONCEPTS))
 query("funnel_excluded", FUNNEL + "SELECT *, total_count - lead(total_count) OVER (ORDER BY step) AS excluded FROM f")(lambda spark, d: S.excluded(S.funnel(docs(spark, d), CONCEPTS)))
-query("compile_clauses", "SELECT unnest(['article', 'stem', 'extra']) AS concept, unnest(['(\"The Heading\"[MeSH Terms] OR \"the\"[Title/Abstract] OR With[Title/Abstract])', '(errent[Title/Abstract] OR ha[Title/Abstract] OR \"of the\"[Title/Abstract])', '(pathetic[Title/Abstract] OR \"stupid loser\"[Title/Abstract])']) AS clause".replace('\\"the\\"', "the").replace('"the"', "the"))(
-    lambda spark, d: spark.createDataFrame(S.compile_clauses(CONCEPTS, headings={"with": "The Heading"}), "concept string, clause string"))
 query("field_tag", "SELECT conv_id, turn, CASE WHEN contains(t, ' ') THEN '\"' || t || '\"[Title/Abstract]' ELSE t || '[Title/Abstract]' END AS tagged FROM (SELECT conv_id, turn, replace(trim(regexp_replace(text, '\\s+', ' ', 'g')), '\"', '''') AS t FROM conversations)")(
     lambda spark, d: T.table(spark, d, "conversations").select("conv_id", "turn", X.field_tag(F.col("text"), "Title/Abstract").alias("tagged")))
 query("direct_query", "SELECT conv_id, turn, md5(replace(replace(replace(trim(text), chr(13) || chr(10), chr(10)), chr(13), chr(10)), chr(10), ' ')) AS digest FROM conversations")(
@@ -46,6 +44,19 @@ def headings(spark, d):
     return S.heading_table(T.table(spark, d, "part").select(F.col("p_name").alias("term"), F.col("p_type").alias("heading"), F.col("p_partkey").alias("record")))
 
 
+def brands(spark, d):
+    """A concept of each brand: its parts' names and their first words."""
+    terms = F.array_sort(F.array_distinct(F.concat(F.collect_list("p_name"), F.collect_list(F.substring_index("p_name", " ", 1)))))
+    return T.table(spark, d, "part").groupBy(F.col("p_brand").alias("concept")).agg((F.max("p_size") % 2 == 0).alias("expand"), terms.alias("terms"))
+
+
+query("compile_clauses", """, c AS (SELECT p_brand AS concept, max(p_size) % 2 = 0 AS expand, list_sort(list_distinct(list(p_name) || list(split_part(p_name, ' ', 1)))) AS terms FROM part GROUP BY 1),
+h AS (SELECT lower(trim(regexp_replace(p_name, '\\s+', ' ', 'g'))) AS term, min_by(p_type, p_partkey) AS heading FROM part GROUP BY 1),
+f AS (SELECT concept, list_sort(list_distinct(list(heading))) AS heads FROM (SELECT concept, unnest(terms) AS t FROM c WHERE expand) JOIN h ON h.term = lower(t) GROUP BY 1),
+t AS (SELECT concept, list_transform(list_filter(terms, lambda x: contains(x, ' ') OR length(x) > 4), lambda x: CASE WHEN contains(x, ' ') THEN '"' || x || '"' ELSE x END || '[Title/Abstract]')
+  AS terms FROM c)
+SELECT concept, '(' || array_to_string(coalesce(list_transform(heads, lambda x: CASE WHEN contains(x, ' ') THEN '"' || x || '"' ELSE x END || '[MeSH Terms]'), []) || terms, ' OR ') || ')' AS clause FROM t LEFT JOIN f USING (concept)""")(
+    lambda spark, d: S.clause_rows(brands(spark, d), headings(spark, d), "precise"))
 query("mesh_first_wins", HEAD + "SELECT * FROM h")(lambda spark, d: headings(spark, d))
 query("mesh_lookup", HEAD + "SELECT p_partkey, heading FROM part LEFT JOIN h ON lower(p_name) = h.term AND p_partkey % 3 > 0")(
     lambda spark, d: S.look_up(T.table(spark, d, "part").select("p_partkey", F.when(F.col("p_partkey") % 3 > 0, F.concat(F.upper("p_name"), F.lit("  "))).otherwise("?").alias("term")), headings(spark, d)).select("p_partkey", "heading"))

@@ -37,22 +37,29 @@ def _(spark, d):
 
 
 # mutations: a second version of some rows arrives
-NEW = "SELECT id, translate(substr(text, 1, 20), 'abcdefghijklmnopqrstuvwxyz', 'ABCDEFGHIJKLMNOPQRSTUVWXYZ') AS text FROM rows_v WHERE page = 1 UNION ALL SELECT 'new::text::' || doc_id, lang FROM documents WHERE doc_id % 10 = 0"
+NEW = "SELECT id, translate(text, 'abcdefghijklmnopqrstuvwxyz', 'ABCDEFGHIJKLMNOPQRSTUVWXYZ') AS text FROM rows_v WHERE type = 'abstract' UNION ALL SELECT 'new::text::' || doc_id, lang FROM documents"
+
+
+def labelled(spark, d, rows, cond):
+    """Rows of the documents whose label meets the condition."""
+    return rows.join(T.table(spark, d, "labels").where(cond).select(F.col("doc_id").cast("string").alias("doc_key")), "doc_key", "left_semi")
 
 
 def incoming(spark, d):
-    fresh = T.table(spark, d, "documents").where("doc_id % 10 = 0").select(F.concat(F.lit("new::text::"), F.col("doc_id").cast("string")).alias("id"), F.col("lang").alias("text"))
-    return T.rows(spark, d).where("page = 1").select("id", F.translate(F.substring("text", 1, 20), "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ").alias("text")).unionByName(fresh)
+    fresh = T.table(spark, d, "documents").select(F.concat(F.lit("new::text::"), F.col("doc_id").cast("string")).alias("id"), F.col("lang").alias("text"))
+    return T.rows(spark, d).where("type = 'abstract'").select("id", F.translate("text", "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ").alias("text")).unionByName(fresh)
 
 
 query("upsert_rows", f", nw AS ({NEW}) SELECT id, md5(text) AS digest FROM nw UNION ALL SELECT id, md5(text) FROM rows_v WHERE id NOT IN (SELECT id FROM nw)", "rows_v")(
     lambda spark, d: L.upsert(T.rows(spark, d).select("id", "text"), incoming(spark, d), "id").select("id", F.md5("text").alias("digest")))
 query("delete_rows", "SELECT id FROM rows_v WHERE doc_key NOT IN (SELECT CAST(doc_id AS VARCHAR) FROM labels WHERE toxic = 1)", "rows_v")(
     lambda spark, d: L.delete(T.rows(spark, d), T.table(spark, d, "labels").where("toxic = 1").select(F.col("doc_id").cast("string").alias("doc_key")), "doc_key").select("id"))
-query("replace_claims", "SELECT id, type FROM rows_v WHERE NOT (type = 'claim' AND CAST(doc_key AS BIGINT) % 2 = 0) UNION ALL SELECT doc_key || '::claim::1', 'claim' FROM claims WHERE CAST(doc_key AS BIGINT) % 2 = 0", "rows_v")(
-    lambda spark, d: L.replace(T.rows(spark, d).select("id", "doc_key", "type"), T.claims(spark, d).where("doc_key % 2 = 0").select(F.concat("doc_key", F.lit("::claim::1")).alias("id"), "doc_key", F.lit("claim").alias("type")), "doc_key", F.col("type") == "claim").select("id", "type"))
-query("force_reingest", "SELECT id FROM rows_v WHERE CAST(doc_key AS BIGINT) % 5 <> 0 UNION ALL SELECT id FROM chunks WHERE CAST(doc_key AS BIGINT) % 5 = 0 AND page < 2", "rows_v")(
-    lambda spark, d: L.replace(T.rows(spark, d).select("id", "doc_key"), T.chunks(spark, d).where("doc_key % 5 = 0 AND page < 2").select("id", "doc_key"), "doc_key").select("id"))
+query("replace_claims", """, x AS (SELECT * FROM claims WHERE doc_key IN (SELECT CAST(doc_id AS VARCHAR) FROM labels WHERE toxic = 0))
+SELECT id, type FROM rows_v WHERE NOT (type = 'claim' AND doc_key IN (SELECT doc_key FROM x)) UNION ALL SELECT doc_key || '::claim::1', 'claim' FROM x""", "rows_v")(
+    lambda spark, d: L.replace(T.rows(spark, d).select("id", "doc_key", "type"), labelled(spark, d, T.claims(spark, d), "toxic = 0").select(F.concat("doc_key", F.lit("::claim::1")).alias("id"), "doc_key", F.lit("claim").alias("type")), "doc_key", F.col("type") == "claim").select("id", "type"))
+query("force_reingest", """, x AS (SELECT CAST(doc_id AS VARCHAR) AS doc_key FROM labels WHERE toxic = 1)
+SELECT id FROM rows_v WHERE doc_key NOT IN (SELECT doc_key FROM x) UNION ALL SELECT id FROM chunks WHERE doc_key IN (SELECT doc_key FROM x)""", "rows_v")(
+    lambda spark, d: L.replace(T.rows(spark, d).select("id", "doc_key"), labelled(spark, d, T.chunks(spark, d), "toxic = 1").select("id", "doc_key"), "doc_key").select("id"))
 query("dedup_new", "SELECT doc_id FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels)")(lambda spark, d: T.table(spark, d, "documents").join(T.table(spark, d, "labels"), "doc_id", "left_anti").select("doc_id"))
 
 
