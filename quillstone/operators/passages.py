@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-#: Words that a passage is looked up by; passages of fewer than three words are held against all texts, so many of them at most.
-GRAM, MOST_SHORT = 5, 1000
+#: Words that a passage is looked up by, and characters where it has fewer than three words. So many of those, with so many characters in all, are
+#: held against all texts instead, which is cheaper.
+GRAM, CHARS, FEW, FEW_CHARS = 5, 8, 1000, 100_000
 
 
 def words(c: Column) -> Column:
@@ -23,21 +24,37 @@ def grams(w: Column, n: int) -> Column:
     return F.when(F.size(w) >= n, F.slice(each, F.lit(1), F.size(w) - (n - 1))).otherwise(F.array().cast("array<bigint>"))
 
 
+def by_characters(docs: DataFrame, items: DataFrame) -> DataFrame:
+    """As ``holding``, for any number of passages: they meet texts by their first CHARS characters, or all where there are fewer."""
+    cut = items.select("qid", "asked", F.split("asked", "").alias("c")).withColumn("n", F.when(F.col("asked") == "", 0).otherwise(F.least(F.lit(CHARS), F.size("c"))))
+    letters = docs.select("doc_id", F.split("text", "").alias("c"))
+    out = docs.select("doc_id").join(cut.where("n = 0").select("qid"), F.lit(True))  # its result is each text with each
+    for n in range(1, CHARS + 1):
+        key = cut.where(F.col("n") == n).select("qid", "asked", gram([F.get("c", F.lit(k)) for k in range(n)]).alias("g"))
+        met = letters.select("doc_id", F.explode(F.array_distinct(grams(F.col("c"), n))).alias("g")).join(key, "g").select("doc_id", "qid", "asked")
+        out = out.unionByName(docs.join(met, "doc_id").where(F.contains("text", "asked")).select("doc_id", "qid").distinct())
+    return out
+
+
 def holding(docs: DataFrame, items: DataFrame) -> DataFrame:
     """(doc_id, qid) of texts (doc_id, text) that hold a passage (qid, asked), character by character.
 
     The words inside a passage are whole words of a text that holds it. So texts and passages meet by the hash of the
-    passage's second to sixth word, or of fewer where it is shorter, and what meets is verified.
+    passage's second to sixth word, or of fewer where it is shorter, and what meets is verified. Passages of one or two words meet texts by their
+    first characters, unless they are few. A passage without characters is in every text.
     """
+    docs = docs.where("text IS NOT NULL")
     inside = items.where("asked IS NOT NULL").withColumn("w", words(F.col("asked"))).withColumn("n", F.least(F.lit(GRAM), F.size("w") - 2))
     sizes = sorted(r[0] for r in inside.select("n").distinct().collect())  # at most GRAM + 3 numbers
     out = None
     for n in sizes:
         own = inside.where(F.col("n") == n)
         if n < 1:
-            if own.limit(MOST_SHORT + 1).count() > MOST_SHORT:
-                raise ValueError(f"more than {MOST_SHORT} passages of fewer than three words")
-            part = docs.join(F.broadcast(own.select("qid", "asked")), F.contains("text", "asked")).select("doc_id", "qid")
+            size = own.agg(F.count("*").alias("n"), F.sum(F.length("asked")).alias("chars")).first()
+            if size["n"] <= FEW and size["chars"] <= FEW_CHARS:
+                part = docs.join(F.broadcast(own.select("qid", "asked")), F.contains("text", "asked")).select("doc_id", "qid")
+            else:
+                part = by_characters(docs, own)
         else:
             key = own.select("qid", "asked", gram([F.get("w", F.lit(k)) for k in range(1, n + 1)]).alias("g"))
             met = docs.select("doc_id", words(F.col("text")).alias("w")).select("doc_id", F.explode(F.array_distinct(grams(F.col("w"), n))).alias("g")).join(key, "g").select("doc_id", "qid", "asked")

@@ -132,3 +132,16 @@ def test_captions_in_page_text(spark):
     got = one(spark, P.caption_scan(F.lit(text)))
     assert got[0] == "Fig. 2 | Two lines" and got[1].startswith("FIGURE 3: three") and len(got[1]) == 500 and len(got) == 2
     assert one(spark, X.doi_of(F.lit("(doi 10.1000/ab.c).,"))) == "10.1000/ab.c"
+
+
+def test_any_number_of_short_passages(spark, monkeypatch):
+    from quillstone.operators import passages
+
+    texts = ["alpha beta gamma", "ab", "a", "", "one two three four five six seven", "\U0001f600 x\ty", "alphabeta", None]
+    asked = ["a", "ab", "alpha", "alpha beta", "beta gamm", "", "\U0001f600 x", "x\ty", "phabet", "none", "two three four five", "alphabeta ", "alpha  beta", None]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    items = spark.createDataFrame(list(enumerate(asked)), "qid long, asked string")
+    want = sorted((d, q) for d, t in enumerate(texts) for q, a in enumerate(asked) if t is not None and a is not None and a in t)
+    assert sorted(map(tuple, passages.holding(docs, items).collect())) == want
+    monkeypatch.setattr(passages, "FEW", 2)
+    assert sorted(map(tuple, passages.holding(docs, items).collect())) == want
