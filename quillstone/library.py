@@ -24,13 +24,14 @@ from pyspark.sql import functions as F
 from quillstone.functions import text as X
 from quillstone.operators import articles as A
 from quillstone.operators import claims as C
+from quillstone.operators import html as H
 from quillstone.operators import library as L
 from quillstone.operators import retrieval as R
 from quillstone.operators import search as S
 from quillstone.operators.vectors import VectorIndex
 from quillstone.operators.where import both, build, compile_where
 from quillstone.sources.remote import Client, RemoteError, full_text
-from quillstone.sources.versions import Files, Parts, Versions, workspace
+from quillstone.sources.versions import Files, Parts, Versions, stored, workspace
 
 ROWS = "id string, doc_key string, pmid string, title string, type string, text string, section string, page int, tags array<string>, source_chunk_ids array<string>, source_level string, evidence_span string, direction string, seq long"
 MEMBERS = "project string, doc_key string, via array<string>, added_at string"
@@ -248,6 +249,20 @@ class Library:
         finally:
             self.store.files.delete(at)
 
+    def ingest_pages(self, pages: DataFrame, force: bool = False) -> dict:
+        """HTML pages (doc_key, html, tags): records with their titles, then chunks under headings and figures. A page that is there already is left out, or with ``force`` replaced."""
+        pages = pages.select("doc_key", "html", (F.col("tags") if "tags" in pages.columns else F.lit(None).cast("array<string>")).alias("tags")).dropDuplicates(["doc_key"])
+        if not force:
+            pages = pages.join(self.rows(self.store.parts_with(pages)).select("doc_key").distinct(), "doc_key", "left_anti")
+        own = stored(H.blocks(pages), "page-blocks")
+        of = H.papers(pages, own)
+        none = [F.lit(None).cast(t).alias(n) for n, t in (c.split(" ", 1) for c in PAPERS.split(", ")) if n not in of.columns]
+        papers = stored(of.select("*", *none), "pages")
+        touched = self.store.parts_with(papers)
+        if touched:
+            self._put_papers(touched, L.replace(self.papers(touched), papers.select(*self.papers([]).columns), "doc_key"))
+        return self.ingest(A.library_rows(own.where("kind <> 'title'"), papers, self.model), force)
+
     def ingest_papers(self, keys: list[str], sources: list[tuple[str, Callable[[str], bytes | None]]], record: Callable[[str], bytes | None] | None = None, tags: list[str] | None = None, required: bool = False, force: bool = False) -> list[dict]:
         """Papers from the first source that has them, with the service's record: what came of each, FETCHED papers at a time.
 

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from quillstone.library import DEFAULT_MODEL
 from quillstone.operators import articles as A
+from quillstone.operators import html as H
 from quillstone.operators import library as L
 from quillstone.plans.indexes import indexed
 from quillstone.plans.registry import query
@@ -55,6 +56,13 @@ def _(spark, d):
     return A.library_rows(A.blocks(own), A.records(own), DEFAULT_MODEL).select("id", "doc_key", "pmid", "title", "type", "section", F.md5("text").alias("digest"))
 
 
+@query("page_chunks")
+def _(spark, d):
+    """Chunks of all pages; SQL can't keep a stack of elements, so tests hold blocks of pages against those written down."""
+    pages = T.table(spark, d, "pages").select(F.col("page_id").cast("string").alias("doc_key"), "html")
+    return A.section_chunks(H.blocks(pages), 120).select("doc_key", "chunk", "heading", F.md5("text").alias("digest"))
+
+
 @query("dashboard_full", """, f AS (SELECT CAST(conv_id AS VARCHAR) AS doc_key, count(*) AS n, string_agg(text, '|' ORDER BY turn, text) AS captions FROM conversations WHERE role = 'assistant' GROUP BY 1),
 e AS (SELECT doc_key, count(*) FILTER (type <> 'claim') AS n, count(*) FILTER (type = 'claim') AS m, string_agg(id, '|' ORDER BY id) FILTER (type = 'claim') AS ids FROM rows_v GROUP BY 1),
 a AS (SELECT doc_key, list_filter(list_transform(authors, lambda x: x.family), lambda x: x <> '') AS names FROM papers),
