@@ -60,14 +60,23 @@ class LibraryError(Exception):
         self.payload = {"error": code, **details}
 
 
-def stated(raw: str, what: str) -> list[dict]:
-    """Claims, questions or concepts as a JSON list of objects; anything else is an error."""
+#: Fields that entries of stated lists have to have, and the kind of each.
+CLAIM_FIELDS = {"text": str, "source_chunk_ids": list}
+QUESTION_FIELDS = {"question": str, "relevant_pmids": list}
+
+
+def stated(raw: str, what: str, fields: dict[str, type] | None = None) -> list[dict]:
+    """Claims, questions or concepts as a JSON list of objects that have the fields; anything else is an error that names the entry."""
     try:
         data = json.loads(raw)
     except ValueError as e:
         raise LibraryError("invalid_input", detail=str(e)) from e
     if not isinstance(data, list) or not all(isinstance(x, dict) for x in data):
         raise LibraryError("invalid_input", detail=f"expected a JSON list of {what}")
+    for i, entry in enumerate(data):
+        for name, kind in (fields or {}).items():
+            if not isinstance(entry.get(name), kind) or (kind is list and not all(isinstance(x, str) for x in entry[name])):
+                raise LibraryError("invalid_input", detail=f"entry {i} of {what}: {name} is missing or of another kind")
     return data
 
 
@@ -332,8 +341,9 @@ class Library:
         touched = list(range(self.store.parts)) if keys is None else self._parts_of(keys)
         self._save(touched, self.rows(touched).withColumn("tags", F.when(hit, new).otherwise(F.col("tags"))), texts=False)
 
-    def add_claims(self, doc_key: str, claims: list[dict], check_span: bool = True, check_numbers: bool = True) -> int:
-        """Replaces the paper's claims after all checks: known sources, span, numbers, direction. One bad claim rejects all."""
+    def add_claims(self, doc_key: str, claims: list[dict] | str, check_span: bool = True, check_numbers: bool = True) -> int:
+        """Replaces the paper's claims (a list, or one in JSON) after all checks: known sources, span, numbers, direction. One bad claim rejects all."""
+        claims = stated(claims, "claims", CLAIM_FIELDS) if isinstance(claims, str) else claims
         touched = self._parts_of([doc_key])
         own = self.rows(touched).where(F.col("doc_key") == doc_key)
         source = own.where(F.col("type").isin("text", "abstract"))
@@ -415,12 +425,15 @@ class Library:
             chunks = chunks.join(claims.select(F.explode("source_chunk_ids").alias("id")).distinct(), "id", "left_anti").select(*claims.columns)
         return part(claims, 0).unionByName(part(chunks, 1)).orderBy("part", F.desc("score"), "id")
 
-    def evaluate(self, questions: DataFrame, k: int = 5, claims_k: int = 3, strategies: list[str] | None = None) -> DataFrame:
-        """(strategy, n, hit, recall, mrr) of questions (question, relevant_pmids and, if they have one, vector): means, rounded to three digits.
+    def evaluate(self, questions: DataFrame | str, k: int = 5, claims_k: int = 3, strategies: list[str] | None = None) -> DataFrame:
+        """(strategy, n, hit, recall, mrr) of questions (question, relevant_pmids and, if they have one, vector; or a list of them in JSON): means, rounded to three digits.
 
         What each strategy of ``ask`` gives, for all questions at once: both legs where there are vectors of questions (their own, or by ``embed``) and rows,
         the lexical leg alone otherwise.
         """
+        if isinstance(questions, str):
+            given = [(q["question"], q["relevant_pmids"]) for q in stated(questions, "questions", QUESTION_FIELDS)]
+            questions = self.spark.createDataFrame(given, "question string, relevant_pmids array<string>")
         asked = questions.select(F.xxhash64("question").alias("qid"), F.col("question").alias("text"), "relevant_pmids", *(["vector"] if "vector" in questions.columns else []))
         if "vector" not in asked.columns and self.embed is not None and self.tables.exists("vectors"):
             made = [(r["qid"], self.embed(prefixed(r["text"], self.model))) for r in asked.select("qid", "text").distinct().collect()]  # the questions asked

@@ -450,3 +450,17 @@ def test_evaluation_has_both_legs(spark, tmp_path):
     by_text = {q: v for q, _, v in questions}
     lib.embed = lambda q: by_text[q.split(": ", 1)[1]]
     assert sorted(map(tuple, lib.evaluate(df.drop("vector"), 2, 1).collect())) == given
+
+
+def test_stated_lists_are_checked_entry_by_entry(spark, library):
+    assert library.add_claims("1", '[{"text": "Zinc heals wounds", "source_chunk_ids": ["1::abstract::0"], "evidence_span": "zinc heals"}]') == 1
+    before = library.store.numbers()
+    for raw in ('[{"text": "x"}]', '[{"text": 1, "source_chunk_ids": []}]', '[{"text": "x", "source_chunk_ids": [3]}]', '{"text": "x"}', "no"):
+        with pytest.raises(LibraryError) as e:
+            library.add_claims("1", raw)
+        assert e.value.payload["error"] == "invalid_input"
+    assert "entry 0 of claims: source_chunk_ids" in str(pytest.raises(LibraryError, library.add_claims, "1", '[{"text": "x"}]').value.payload) and library.store.numbers() == before
+    got = library.evaluate('[{"question": "does zinc heal wounds", "relevant_pmids": ["1"]}]', k=1, claims_k=1, strategies=["claims"]).collect()
+    assert [(r["strategy"], r["n"], r["hit"]) for r in got] == [("claims", 1, 1.0)]
+    with pytest.raises(LibraryError, match="invalid_input"):
+        library.evaluate('[{"question": "q"}]')
