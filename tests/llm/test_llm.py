@@ -821,6 +821,45 @@ def test_labelled_codes_are_no_secrets(secrets):
     assert right >= 0.98 * secrets and sum(said) - right <= 0.01 * max(secrets, 1)
 
 
+def test_frames_of_many_values_number_things(spark):
+    """Ordinary words after a secret's name, all but the digits alike, are no secrets; those that are stay ones, in the same texts' corpus."""
+    rows = [f"the next token: word{i:05d} and so on" for i in range(5000)] + [f"his password={x}, keep it" for x in ("hunter2", "correcthorsebattery", "k9Qx7Lw2Zp4T", "9f86d081884c7d65")] * 5
+    rows += [t for t, *_ in planted(50)] + [None, ""]
+    docs = spark.createDataFrame([(i, t) for i, t in enumerate(rows)], "doc_id long, text string").repartition(7)
+    got = {r["doc_id"]: r["spans"] for r in pii.spans(docs).collect()}
+    assert len(got) == len(rows) and sum("secret" in got[i] for i in range(5000)) == 0
+    assert all("secret:13:" in got[i] for i in range(5000, 5020))
+    truth = [x[3] for x in planted(50)]
+    said = ["secret" in got[5020 + i] for i in range(len(truth))]
+    assert sum(a and b for a, b in zip(said, truth, strict=True)) >= 49 and sum(a and not b for a, b in zip(said, truth, strict=True)) == 0
+    out = {r["doc_id"]: r["text"] for r in pii.redact(docs).collect()}
+    assert out[17] == rows[17] and out[5000] == "his password=[SECRET], keep it" and out[len(rows) - 2] is None
+
+
+def test_frames():
+    at = lambda t, run: pii.frame_of(t, t.index(run), t.index(run) + len(run))
+    one, two = at("The NEXT token: word01234", "word01234"), at("the next token: word98765", "word98765")
+    assert one[0] == two[0] and one[1] != two[1] and at("the next token: word123", "word123")[0] != one[0] and at("a new token: word01234", "word01234")[0] != one[0]
+    assert at("token = 9f86d081884c7d65", "9f86d081884c7d65") is None and at("x 12345678", "12345678") is None and at("x=correcthorse", "correcthorse") is None
+    assert pii.frame_of("a" * 200_000 + "1" * 200_000, 0, 400_000) is not None and pii.frame_of("a1" * 200_000, 0, 400_000) is None
+
+
+def test_classifier_is_the_ridge_solution():
+    """The gradient of the penalised likelihood, summed up one code at a time, is zero at the weights; what they accept is where the score is positive."""
+    counts = Counter(pii.candidates(t, [[], [], [], []])[0][2] for t, *_ in planted(60, 3))
+    model = pii.Model(dict(counts))
+    codes = sorted(counts)
+    p, _, _ = pii.posteriors(np.array([pii.votes(c) for c in codes]), np.array([counts[c] for c in codes], float))
+    gradient = [-pii.RIDGE * w for w in model.weights]
+    for c, own in zip(codes, p, strict=True):
+        x = pii.Model.features(c)
+        score = sum(w * v for w, v in zip(model.weights, x, strict=True))
+        for k, v in enumerate(x):
+            gradient[k] += counts[c] * (own - 1 / (1 + math.exp(-score))) * v
+        assert (c in model.accepted) == (score >= 0)
+    assert max(map(abs, gradient)) < 1e-3
+
+
 def test_posteriors_are_those_of_em():
     """One labeler and one vote at a time, in plain Python."""
     counts = Counter(pii.candidates(t, [[], [], [], []])[0][2] for t, *_ in planted(60, 2))
