@@ -8,6 +8,7 @@ import json
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from quillstone.operators import positions as P
 from quillstone.operators import retrieval as R
 from quillstone.sources import tables as T
 from quillstone.sources.versions import Files, workspace
@@ -30,3 +31,13 @@ def index_of(spark: SparkSession, d: str, name: str) -> R.Index:
     if not files.exists(f"{path}/numbers/_SUCCESS"):
         return R.write_index(indexed(spark, d, name), path, kind=R.kind_of(F.col("type")) if name == "rows" else None)
     return R.read_index(spark, path)
+
+
+def positions_of(spark: SparkSession, d: str) -> P.Positions:
+    """Positional postings of documents, likewise."""
+    files = Files(spark)
+    stamp = json.dumps([d, files.stamp(f"{d}/documents.parquet")])
+    path = f"{workspace(spark)}/positions-{hashlib.md5(stamp.encode()).hexdigest()}"
+    if not files.exists(f"{path}/terms/_SUCCESS"):
+        return P.write_positions(T.table(spark, d, "documents").select(F.col("doc_id").alias("id"), "lang", "text"), path)
+    return P.read_positions(spark, path)
