@@ -21,6 +21,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from quillstone.functions.text import tokenize
+from quillstone.operators import bitmaps
 from quillstone.sources.versions import stored
 
 K1, B, EPSILON, RRF_K, POOL = 1.5, 0.75, 0.25, 60, 4
@@ -143,7 +144,14 @@ class Index:
         own = self.postings.where(F.col("term").isin(sorted(set(query)))).join(self.asked(query), "term")
         return own.groupBy("id").agg(F.sum(F.col("w") * self._impact(F.col("tf"), F.col("dl"))).alias("score"))
 
-    def bounds(self, asked: DataFrame, k: int, where: Column | None = None, kinds: list[int] | None = None) -> tuple[DataFrame, DataFrame]:
+    def _meeting(self, found: DataFrame, where: Column | DataFrame) -> DataFrame:
+        """The found rows that meet the filter: a condition on the columns of ``rows``, or words of a bitmap index (word, bits) keyed by seq, with which ``rows`` isn't read."""
+        if isinstance(where, Column):
+            return found.join(self.rows.where(where).select("id"), "id", "left_semi")
+        of = found if "seq" in found.columns else found.join(self.forward.select("id", "seq"), "id")
+        return bitmaps.among(of, where, "seq").select(*found.columns)
+
+    def bounds(self, asked: DataFrame, k: int, where: Column | DataFrame | None = None, kinds: list[int] | None = None) -> tuple[DataFrame, DataFrame]:
         """What prunes questions (qid, term, w), w being positive: the blocks that could matter to them, and a row for each term of a question and kind.
 
         That row is (qid, kind, term, w, ub, u, theta, essential, rest, whole): ub the most that the term can add, u the sum of these, theta a score that ``k`` rows
@@ -155,7 +163,7 @@ class Index:
         best = own.groupBy("qid", "kind", "term").agg(F.first("w").alias("w"), (F.first("w") * F.max("bound")).alias("ub"))
         head = self._partial(own.where(F.col("block") * BLOCK < k).withColumn("whole", F.lit(False)))
         if where is not None:
-            head = head.join(self.rows.where(where).select("id"), "id", "left_semi")
+            head = self._meeting(head, where)
         # of those that the best blocks speak for most, some more than k are scored whole: theta is then near what it can be at best
         place = lambda c: F.row_number().over(Window.partitionBy("qid", "kind").orderBy(F.desc(c)))
         whole = self._scored(head.withColumn("place", place("partial")).where(F.col("place") <= TRIED * k).select("qid", "kind", "id", "known"), asked, ["qid"])
@@ -181,21 +189,21 @@ class Index:
         added = F.coalesce(F.aggregate(each, F.lit(0.0), lambda a, x: a + x), F.lit(0.0))
         return found.select("qid", "kind", "id", "seq", F.round(F.col("known") + added, 9).alias("score"))
 
-    def best(self, asked: DataFrame, k: int, where: Column | None = None, kinds: list[int] | None = None, keep=None) -> DataFrame:
+    def best(self, asked: DataFrame, k: int, where: Column | DataFrame | None = None, kinds: list[int] | None = None, keep=None) -> DataFrame:
         """(qid, kind, id, seq, score): of each question and kind the best ``k`` rows that meet ``where``, and some more. ``keep``: stores what is read twice."""
         blocks, bounds = self.bounds(asked, k, where, kinds)
         bounds = bounds if keep is None else keep(bounds, "bounds")
         part = self._partial(self.sources(blocks, bounds), "theta", "rest")
         left = part.where(F.col("partial") + F.col("rest") >= F.col("theta")).select("qid", "kind", "id", "known")
         out = self._scored(left, bounds.where("NOT whole"), ["qid", "kind"])
-        return out if where is None else out.join(self.rows.where(where).select("id"), "id", "left_semi").select(*out.columns)
+        return out if where is None else self._meeting(out, where).select(*out.columns)
 
     def sources(self, blocks: DataFrame, bounds: DataFrame) -> DataFrame:
         """The blocks that bring candidates, with (qid, w, whole, theta, rest)."""
         wide = F.col("bound") * F.greatest(F.lit(1.0), F.lit(self.avgdl or 1.0) / F.col("avg"))
         return blocks.join(bounds.where("essential"), ["kind", "term"]).where(wide * F.col("w") + F.col("u") - F.col("ub") >= F.col("theta"))
 
-    def top(self, query: list[str], k: int, where: Column | None = None, kinds: list[int] | None = None) -> DataFrame:
+    def top(self, query: list[str], k: int, where: Column | DataFrame | None = None, kinds: list[int] | None = None) -> DataFrame:
         """The best ``k`` of the rows that meet ``where`` and are of the kinds: all their columns, score and lex_rank. Rows without a query term score 0 and are ranked too.
 
         Where ``k`` rows with a query term are found, which is asked at once, nothing else of the rows is read but these.
@@ -208,7 +216,7 @@ class Index:
                 own = self.rows.where(F.col("id").isin([r["id"] for r in hits])) if k <= LOOKUP else self.rows
                 return number(own.join(F.broadcast(found), "id"), order, "lex_rank")  # k rows
         kept = self.rows if kinds is None else self.rows.join(self.forward.where(F.col("kind").isin(kinds)).select("id"), "id", "left_semi")
-        kept = kept if where is None else kept.where(where)
+        kept = kept if where is None else kept.where(where) if isinstance(where, Column) else self._meeting(kept, where)
         hits = kept.join(self.scores(query).withColumn("score", F.round("score", 9)), "id")
         if self.floor < 0:
             top = kept.join(hits.select("id", "score"), "id", "left").withColumn("score", F.coalesce("score", F.lit(0.0))).orderBy(*order).limit(k)

@@ -14,7 +14,7 @@ from quillstone.sources.tables import with_views
 
 _QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 _SQL: dict[str, str] = {}
-_MODULES = ["retrieval", "store", "biblio", "curation", "parsing", "articles", "files", "search", "phrases"]
+_MODULES = ["retrieval", "store", "biblio", "curation", "parsing", "articles", "files", "search", "phrases", "bitmaps"]
 
 
 def query(name: str, sql: str | None = None, *views: str):
