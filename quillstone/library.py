@@ -142,8 +142,9 @@ class Library:
     ``embed``: gives the vector of a text, for questions that come without one.
     """
 
-    def __init__(self, spark: SparkSession, root: str, model: str = DEFAULT_MODEL, parts: int = 32, embed: Callable[[str], list[float]] | None = None):
+    def __init__(self, spark: SparkSession, root: str, model: str = DEFAULT_MODEL, parts: int = 32, embed: Callable[[str], list[float]] | None = None, tokenizer: str | None = None):
         self.spark, self.root, self.model, self.embed = spark, root.rstrip("/"), model, embed
+        self.tokenizer = tokenizer  # the model's own, by its path; without it chunks are bounded by words
         self.tables = Versions(spark, f"{self.root}/{model.replace('/', '_')}")
         self.store = Parts(spark, f"{self.root}/{model.replace('/', '_')}", "doc_key", parts)
 
@@ -254,7 +255,7 @@ class Library:
                 self._put_papers(touched, L.replace(self.papers(touched), papers, "doc_key"))
             A.blocks(own).write.parquet(f"{at}/blocks")
             blocks = self.spark.read.schema(A.BLOCKS).parquet(f"{at}/blocks")
-            return self.ingest(A.library_rows(blocks, papers, self.model), force)
+            return self.ingest(A.library_rows(blocks, papers, self.model, self.tokenizer), force)
         finally:
             self.store.files.delete(at)
 
@@ -270,7 +271,7 @@ class Library:
         touched = self.store.parts_with(papers)
         if touched:
             self._put_papers(touched, L.replace(self.papers(touched), papers.select(*self.papers([]).columns), "doc_key"))
-        return self.ingest(A.library_rows(own.where("kind <> 'title'"), papers, self.model), force)
+        return self.ingest(A.library_rows(own.where("kind <> 'title'"), papers, self.model, self.tokenizer), force)
 
     def ingest_papers(self, keys: list[str], sources: list[tuple[str, Callable[[str], bytes | None]]], record: Callable[[str], bytes | None] | None = None, tags: list[str] | None = None, required: bool = False, force: bool = False) -> list[dict]:
         """Papers from the first source that has them, with the service's record: what came of each, FETCHED papers at a time.

@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 
 from quillstone.functions import text as X
 from quillstone.operators import parsing as P
+from quillstone.operators.token_chunks import token_chunks
 
 ARTICLE = "doc_key string, xml string, record string, tags array<string>"
 BLOCKS = "doc_key string, pos int, kind string, heading string, text string"
@@ -148,8 +149,8 @@ def records(articles: DataFrame) -> DataFrame:
     )
 
 
-def library_rows(blocks: DataFrame, papers: DataFrame, model: str) -> DataFrame:
-    """Rows of the library: chunks for the model, figures, and the abstract of each paper."""
+def library_rows(blocks: DataFrame, papers: DataFrame, model: str, tokenizer: str | None = None) -> DataFrame:
+    """Rows of the library: chunks for the model, figures, and the abstract of each paper. ``tokenizer``: the path of the model's own, whose tokens then bound a chunk instead of words."""
     key = F.col("doc_key")
     number = lambda n: (F.crc32("doc_key") * PAPER + n).cast("long").alias("seq")
     none = F.lit(None).cast("string")
@@ -159,7 +160,8 @@ def library_rows(blocks: DataFrame, papers: DataFrame, model: str) -> DataFrame:
 
     order = F.row_number().over(Window.partitionBy("doc_key").orderBy("pos")) - 1
     figures = blocks.where("kind = 'figure'").withColumn("n", order)
-    rows = row(section_chunks(blocks, words_for(model)), "text", F.col("chunk"), "text", F.col("text"), F.col("heading"), 0)
+    chunks = section_chunks(blocks, words_for(model)) if tokenizer is None else token_chunks(blocks, tokenizer, P.MODEL_TOKENS.get(model, P.DEFAULT_TOKENS))
+    rows = row(chunks, "text", F.col("chunk"), "text", F.col("text"), F.col("heading"), 0)
     rows = rows.unionByName(row(figures, "fig", F.col("n"), "figure", F.coalesce(X.nullif_empty(F.col("text")), F.lit(NO_CAPTION)), F.col("heading"), FIGURES))
     rows = rows.unionByName(row(papers.where("abstract <> ''"), "abstract", F.lit(0), "abstract", F.col("abstract"), none, ABSTRACT))
     return rows.join(papers.select("doc_key", "pmid", "title", "tags"), "doc_key")

@@ -8,6 +8,7 @@ from quillstone.library import DEFAULT_MODEL
 from quillstone.operators import articles as A
 from quillstone.operators import html as H
 from quillstone.operators import library as L
+from quillstone.operators.token_chunks import token_chunks
 from quillstone.plans.indexes import indexed
 from quillstone.plans.registry import query
 from quillstone.sources import tables as T
@@ -22,11 +23,23 @@ c AS (SELECT doc_key, run, part, heading, ltrim(string_agg(CASE WHEN k > 0 THEN
 SECTIONS = r""", b AS (SELECT * FROM (SELECT CAST(doc_id AS VARCHAR) AS doc_key, pos, CASE WHEN pos % 9 = 8 THEN 'References' ELSE source || ' > Part ' || (pos // 4) END AS heading, list_filter(regexp_split_to_array(text, '\s+'), lambda x: x <> '') AS w FROM paras) WHERE heading <> 'References')"""
 
 
+def headed(spark, d):
+    """Paragraphs of documents under headings, some of them reference lists."""
+    heading = F.when(F.col("pos") % 9 == 8, "References").otherwise(F.concat("source", F.lit(" > Part "), F.expr("cast(pos div 4 AS string)")))
+    return T.paras(spark, d).select(F.col("doc_id").cast("string").alias("doc_key"), "pos", F.lit("text").alias("kind"), heading.alias("heading"), "text")
+
+
 @query("section_chunks", SECTIONS + CHUNKED.format(half=60) + "SELECT doc_key, row_number() OVER (PARTITION BY doc_key ORDER BY run, part) - 1 AS chunk, heading, md5(replace(heading, ' > ', chr(10)) || chr(10) || text) AS digest FROM c", "paras")
 def _(spark, d):
-    heading = F.when(F.col("pos") % 9 == 8, "References").otherwise(F.concat("source", F.lit(" > Part "), F.expr("cast(pos div 4 AS string)")))
-    blocks = T.paras(spark, d).select(F.col("doc_id").cast("string").alias("doc_key"), "pos", F.lit("text").alias("kind"), heading.alias("heading"), "text")
-    return A.section_chunks(blocks, 120).select("doc_key", "chunk", "heading", F.md5("text").alias("digest"))
+    return A.section_chunks(headed(spark, d), 120).select("doc_key", "chunk", "heading", F.md5("text").alias("digest"))
+
+
+@query("token_chunks")
+def _(spark, d):
+    """Chunks of all documents by tokens of a byte-level vocabulary; SQL can't encode, so tests hold them against one-by-one packing and an independent count."""
+    import public_tokenizers
+
+    return token_chunks(headed(spark, d), public_tokenizers.path("byte_bpe_50k.json"), 128).select("doc_key", "chunk", "heading", "tokens", F.md5("text").alias("digest"))
 
 
 def articles(spark, d):
