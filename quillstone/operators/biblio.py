@@ -76,11 +76,16 @@ def base_key(authors: Column, year: Column, title: Column) -> Column:
     return F.concat(F.coalesce(family, F.lit("unknown")), F.coalesce(F.nullif(year, F.lit("")), F.lit("nd")), word)
 
 
+def character(code: Column) -> Column:
+    """The character of a Unicode code point; ``char`` starts again at 256."""
+    return F.decode(F.unhex(F.lpad(F.hex(code), 8, "0")), "UTF-32")
+
+
 def cite_keys(papers: DataFrame, order: str) -> DataFrame:
-    """Adds cite_key: the nth paper of a base key, n from 2, gets the letter a and on."""
+    """Adds cite_key: the nth paper of a base key, n from 2, gets the letter a and on, by code points."""
     keyed = papers.withColumn("base", base_key(F.col("authors"), F.col("year"), F.col("title")))
     n = F.row_number().over(Window.partitionBy("base").orderBy(order))
-    return keyed.withColumn("_n", n).withColumn("cite_key", F.when(F.col("_n") == 1, F.col("base")).otherwise(F.concat("base", F.char(F.lit(95) + F.col("_n"))))).drop("_n")
+    return keyed.withColumn("_n", n).withColumn("cite_key", F.when(F.col("_n") == 1, F.col("base")).otherwise(F.concat("base", character(F.lit(95) + F.col("_n"))))).drop("_n")
 
 
 def bibtex(keyed: DataFrame) -> Column:

@@ -92,6 +92,12 @@ def test_cite_keys(spark):
     assert entry == "@article{oneil2020rings,\n  author = {O'Neil, A},\n  title = {The of Rings},\n  year = {2020}\n}"
 
 
+def test_cite_keys_go_on_past_one_byte(spark):
+    df = spark.range(1, 301).selectExpr("id AS n", "array(named_struct('family', 'Ek', 'given', 'A')) AS authors", "'1999' AS year", "'Zinc' AS title")
+    keys = {r["n"]: r["cite_key"] for r in B.cite_keys(df, "n").collect()}
+    assert keys == {i: "ek1999zinc" + ("" if i == 1 else chr(95 + i)) for i in range(1, 301)}
+
+
 def test_author_position(spark):
     f = lambda names: [{"family": n, "given": ""} for n in names]
     df = spark.createDataFrame([(f(["Roe"]),), (f(["X", "Roe"]),), (f(["X", "roe", "Y"]),), (f(["X"]),), (f([]),)], "authors array<struct<family:string,given:string>>")
