@@ -81,7 +81,7 @@ def terms_of(concept: Concept, sensitivity: str = "balanced") -> list[str]:
     first = {t.lower(): t for t in reversed(concept.terms)}
     terms = sorted(first.values(), key=str.lower)
     _, with_short = SENSITIVITIES[sensitivity]
-    return [t for t in terms if with_short or " " in t or len(t) > SHORT] or terms
+    return [t for t in terms if with_short or " " in t.strip() or len(t.strip()) > SHORT] or terms
 
 
 def clauses(concepts: list[Concept], sensitivity: str = "balanced", headings: dict[str, str] | None = None) -> list[Clause]:

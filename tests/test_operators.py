@@ -121,6 +121,11 @@ def test_concepts():
             bad()
 
 
+def test_a_padded_word_is_a_short_word():
+    assert S.terms_of(S.Concept("x", ["the ", "With"]), "precise") == ["the ", "With"]
+    assert S.terms_of(S.Concept("x", ["the ", "of the"]), "precise") == ["of the"]
+
+
 def test_nearest_caption(spark):
     fig = spark.createDataFrame([("d", 0, 5), ("e", 0, 1)], "doc string, figure int, page int")
     cap = spark.createDataFrame([("d", 4, 0, "before"), ("d", 6, 1, "after"), ("d", 6, 2, "later")], "doc string, page int, pos int, caption string")
