@@ -1,7 +1,7 @@
 """Positional postings: which rows hold a phrase word for word, and Boolean searches made of phrases, without reading a text.
 
-A posting is a term in a row with the term's places there, ascending; Parquet keeps them as differences. Postings lie in order of term and row, so a
-reader skips all but those of its words, and a term that every row holds is still spread over files. A phrase starts from its rarest word's
+A posting is a term in a row with the term's places there, ascending; Parquet keeps them as differences. Postings lie in the files of the tasks that read
+the rows, each batch of rows in order of term, so a reader skips all pages but those of its words, and a term that every row holds is spread over files. A phrase starts from its rarest word's
 postings; those of its other words are looked up by word and row, shifted by their place in the phrase, and intersected. So what is moved grows
 with the rarest word, not with words like "the".
 
@@ -12,14 +12,20 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, IntegerType, StringType, StructField, StructType
 
 from quillstone.functions.text import tokenize
 from quillstone.operators.search import Concept, select, terms_of
 
 #: Words are looked up by value up to so many, which lets the reader skip files and pages; the steps of a funnel are bits of a number.
 LOOKUP, MOST_STEPS = 1000, 62
+#: Postings that leave a task at a time.
+STEP = 1 << 17
 
 
 @dataclass(frozen=True)
@@ -31,21 +37,37 @@ class Positions:
 
 
 def placed(docs: DataFrame) -> DataFrame:
-    """(term, lang, id, at) of rows (id, lang, text): made within each row, so nothing is shuffled."""
-    words = F.transform(tokenize(F.coalesce("text", F.lit(""))), lambda w, i: F.struct(w.alias("w"), i.alias("i")))
-    rows = docs.select("id", "lang", F.array_sort(words).alias("w"))
-    # in order, so that a term's places lie side by side: they end where the next word differs
-    ends = F.filter(F.transform("w", lambda x, i: F.when(F.coalesce(F.get("w", i + 1)["w"] != x["w"], F.lit(True)), F.struct(x["w"].alias("term"), (i + 1).alias("e")))), lambda x: x.isNotNull())
-    rows = rows.select("id", "lang", "w", ends.alias("e"))
-    begin = lambda i: F.coalesce(F.get("e", i - 1)["e"], F.lit(0))
-    each = F.transform("e", lambda x, i: F.struct(x["term"].alias("term"), F.transform(F.slice("w", begin(i) + 1, x["e"] - begin(i)), lambda y: y["i"]).alias("at")))
-    return rows.select("id", "lang", F.explode(each).alias("x")).select("x.term", "lang", "id", "x.at")
+    """(term, lang, id, at) of rows (id, lang, text), made and put in order of the term by the task that reads them, a batch at a time: nothing is shuffled."""
+    schema = StructType([StructField("term", StringType()), docs.schema["lang"], docs.schema["id"], StructField("at", ArrayType(IntegerType()))])
+
+    def place(batches):
+        for b in batches:
+            words = b.column(2)
+            n = words.value_lengths().to_numpy(zero_copy_only=False)
+            row, terms = np.repeat(np.arange(len(b)), n), words.flatten().dictionary_encode()
+            if not len(row):
+                continue
+            at = np.arange(len(row)) - np.repeat(np.cumsum(n) - n, n)
+            by = pc.sort_indices(terms.dictionary).to_numpy()
+            rank = np.empty(len(by), np.int64)
+            rank[by] = np.arange(len(by))
+            key = rank[terms.indices.to_numpy()] * len(b) + row
+            order = np.argsort(key, kind="stable")  # so places ascend
+            key = key[order]
+            first = np.nonzero(np.concatenate([[True], key[1:] != key[:-1]]))[0]
+            ends, at = np.append(first, len(key)), at[order]
+            for i in range(0, len(first), STEP):
+                own = first[i : i + STEP]
+                low, high, of = own[0], ends[i + len(own)], pa.array(row[order[own]])
+                lists = pa.ListArray.from_arrays(pa.array(ends[i : i + len(own) + 1] - low, pa.int32()), pa.array(at[low:high], pa.int32()))
+                yield pa.RecordBatch.from_arrays([terms.dictionary.take(pa.array(by[key[own] // len(b)])), b.column(1).take(of), b.column(0).take(of), lists], names=["term", "lang", "id", "at"])
+
+    return docs.select("id", "lang", tokenize(F.coalesce("text", F.lit(""))).alias("w")).mapInArrow(place, schema)
 
 
 def write_positions(docs: DataFrame, path: str) -> Positions:
-    ordered = placed(docs).repartitionByRange("term", "id").sortWithinPartitions("term", "id")
     # the second format's pages hold integers as differences, where there is no dictionary
-    ordered.write.option("parquet.writer.version", "PARQUET_2_0").option("parquet.enable.dictionary#at.list.element", "false").parquet(f"{path}/postings")
+    placed(docs).write.option("parquet.writer.version", "PARQUET_2_0").option("parquet.enable.dictionary#at.list.element", "false").parquet(f"{path}/postings")
     postings = docs.sparkSession.read.parquet(f"{path}/postings")
     postings.groupBy("term").agg(F.count("*").alias("df")).repartitionByRange("term").sortWithinPartitions("term").write.parquet(f"{path}/terms")
     return read_positions(docs.sparkSession, path)

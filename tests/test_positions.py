@@ -4,6 +4,7 @@ import random
 import re
 
 import pytest
+from pyspark.sql import functions as F
 
 from quillstone.operators import positions as P
 from quillstone.operators.search import Concept
@@ -58,3 +59,9 @@ def test_no_text_is_read_and_words_reach_the_scan(made):
     _, index = made
     plan = P.matching(index, [Concept("one", ["a b"])])._jdf.queryExecution().executedPlan().toString()
     assert "text" not in plan.replace("TextBased", "") and re.search(r"PushedFilters: \[.*In\(term", plan)
+
+
+def test_postings_stay_with_the_task_that_read_the_row(spark, tmp_path):
+    docs = spark.range(0, 40, 1, 4).selectExpr("id", "'en' AS lang", "'a few of the words that all rows have' AS text")
+    made = P.write_positions(docs, f"file://{tmp_path}/p").postings.select("id", F.input_file_name().alias("f")).distinct()
+    assert made.count() == 40 and made.select("f").distinct().count() == 4
