@@ -13,12 +13,14 @@ reach it with what is left go before any row is looked up. Scores of those left
 from __future__ import annotations
 
 import json
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegerType, LongType, MapType, StringType, StructField, StructType
 
 from quillstone.functions.text import tokenize
 from quillstone.operators import bitmaps
@@ -52,19 +54,29 @@ def impact(tf: Column, dl: Column, avg: Column) -> Column:
 
 def counted(docs: DataFrame) -> DataFrame:
     """The columns of ``docs`` but text, its length dl and counts of its terms tfs (map), of a row each."""
-    t = F.array_sort(tokenize(F.coalesce("text", F.lit(""))))
     own = [c for c in docs.columns if c not in ("text", "dl", "tfs")]
-    df = docs.select(*own, t.alias("_t"))
-    # in order, so that a term's occurrences lie side by side: it ends where the next one differs
-    ends = F.filter(F.transform("_t", lambda x, i: F.when(F.coalesce(F.get("_t", i + 1) != x, F.lit(True)), F.struct(x.alias("t"), (i + 1).alias("e")))), lambda x: x.isNotNull())
-    df = df.select(*own, F.size("_t").cast("long").alias("dl"), ends.alias("_e"))
-    times = F.transform("_e", lambda x, i: x["e"] - F.coalesce(F.get("_e", i - 1)["e"], F.lit(0)))
-    return df.select(*own, "dl", F.map_from_arrays(F.transform("_e", lambda x: x["t"]), times).alias("tfs"))
+    made = [StructField("dl", LongType()), StructField("tfs", MapType(StringType(), IntegerType()))]
+
+    def count(batches):
+        for b in batches:
+            words = b.column(len(own))
+            of = np.repeat(np.arange(len(b)), words.value_lengths().to_numpy(zero_copy_only=False))
+            terms = words.flatten().dictionary_encode()
+            # a row and a term as one number: equal ones lie side by side once they are in order
+            wide = max(1, len(terms.dictionary))
+            key, times = np.unique(of * wide + terms.indices.to_numpy(), return_counts=True)
+            ends = np.searchsorted(key, np.arange(len(b) + 1) * wide)
+            tfs = pa.MapArray.from_arrays(pa.array(ends, pa.int32()), terms.dictionary.take(pa.array(key % wide)), pa.array(times, pa.int32()))
+            cols = [*b.columns[: len(own)], words.value_lengths().cast(pa.int64()), tfs]
+            yield pa.RecordBatch.from_arrays(cols, names=[*own, "dl", "tfs"])
+
+    words = tokenize(F.coalesce("text", F.lit("")))
+    return docs.select(*own, words.alias("_t")).mapInArrow(count, StructType([*(docs.schema[c] for c in own), *made]))
 
 
 BLOCKS = "kind int, term string, block int, bound double, avg double, posts array<struct<id:{id},tf:int,dl:long>>"
-#: Postings of a block, and rows that a part of the index holds: a term's postings in a part are put in order by one task.
-BLOCK, PART_ROWS = 128, 100_000
+#: Postings of a block.
+BLOCK = 128
 
 
 def blocked(forward: DataFrame, avg: float, part: Column) -> DataFrame:
@@ -79,6 +91,58 @@ def blocked(forward: DataFrame, avg: float, part: Column) -> DataFrame:
     return lists.select("_part", "kind", "term", F.col("block").cast("int"), (-F.get("p", F.lit(0))["x"]).alias("bound"), F.lit(avg).alias("avg"), posts.alias("posts"))
 
 
+#: Postings that a task puts in order at once. So many list entries go into a batch of rows at most.
+RUN, BATCH = 1 << 21, 1 << 19
+
+
+def packed(forward: DataFrame, avg: float) -> DataFrame:
+    """As ``blocked``, for rows that lie in files: each task packs what it reads, RUN postings at a time, so no posting is shuffled. A run is in order of term, kind and block."""
+    avg, size, run_of = avg or 1.0, BLOCK, RUN
+    schema = BLOCKS.format(id=forward.schema["id"].dataType.simpleString())
+
+    def run(batches):
+        rows = pa.Table.from_batches(batches).combine_chunks()
+        tfs = rows["tfs"].combine_chunks()
+        ids, kind, dl = rows["id"].combine_chunks(), rows["kind"].to_numpy(), rows["dl"].to_numpy()
+        row = np.repeat(np.arange(len(ids)), np.diff(tfs.offsets.to_numpy()))
+        if not len(row):
+            return
+        words = tfs.keys.dictionary_encode()
+        by = pc.sort_indices(words.dictionary).to_numpy()
+        place = np.empty(len(by), np.int64)
+        place[by] = np.arange(len(by))
+        tf, word = tfs.items.to_numpy(), place[words.indices.to_numpy()]
+        x = tf * (K1 + 1) / (tf + K1 * (1 - B + B * dl[row] / avg))
+        order = np.lexsort((row, -x, kind[row], word))
+        word, row = word[order], row[order]
+        new = np.concatenate([[True], (word[1:] != word[:-1]) | (kind[row[1:]] != kind[row[:-1]])])
+        first = np.nonzero(new)[0]
+        nth = np.arange(len(row)) - first[np.cumsum(new) - 1]
+        at = np.nonzero(nth % size == 0)[0]
+        ends = np.append(at, len(row))
+        terms = words.dictionary.take(pa.array(by[word[at]]))
+        step = max(1, BATCH // size)
+        for i in range(0, len(at), step):
+            own, low, high = at[i : i + step], ends[i], ends[min(i + step, len(at))]
+            posts = pa.StructArray.from_arrays([ids.take(pa.array(row[low:high])), pa.array(tf[order[low:high]], pa.int32()), pa.array(dl[row[low:high]], pa.int64())], ["id", "tf", "dl"])
+            lists = pa.ListArray.from_arrays(pa.array(ends[i : i + len(own) + 1] - low, pa.int32()), posts)
+            cols = [pa.array(kind[row[own]], pa.int32()), terms.slice(i, len(own)), pa.array(nth[own] // size, pa.int32()), pa.array(x[order[own]]), pa.array(np.full(len(own), avg)), lists]
+            yield pa.RecordBatch.from_arrays(cols, names=["kind", "term", "block", "bound", "avg", "posts"])
+
+    def runs(batches):
+        held, n = [], 0
+        for b in batches:
+            held.append(b)
+            n += len(b.column(3).keys)
+            if n >= run_of:
+                yield from run(held)
+                held, n = [], 0
+        if held:
+            yield from run(held)
+
+    return forward.select("id", "kind", "dl", "tfs").mapInArrow(runs, schema)
+
+
 def ordered(df: DataFrame, parts: int, *by: str) -> DataFrame:
     """Rows in order over ``parts`` files, so that a reader skips all but those of its terms, or ids."""
     return df.repartitionByRange(parts, by[0]).sortWithinPartitions(*by)
@@ -104,8 +168,8 @@ LOOKUP = 1000
 class Index:
     """What questions read, all without the text.
 
-    blocks (BLOCKS), in order of the term; terms (term, df); forward (id, kind, seq, dl, tfs), in order of the id; rows (id, seq and more); the corpus's
-    numbers. Rows of a ``kind`` have blocks of their own.
+    blocks (BLOCKS), runs in order of the term; terms (term, df); forward (id, kind, seq, dl, tfs); rows (id, seq and more), in order of the id; the
+    corpus's numbers. Rows of a ``kind`` have blocks of their own.
     """
 
     blocks: DataFrame
@@ -151,7 +215,7 @@ class Index:
         of = found if "seq" in found.columns else found.join(self.forward.select("id", "seq"), "id")
         return bitmaps.among(of, where, "seq").select(*found.columns)
 
-    def bounds(self, asked: DataFrame, k: int, where: Column | DataFrame | None = None, kinds: list[int] | None = None) -> tuple[DataFrame, DataFrame]:
+    def bounds(self, asked: DataFrame, k: int, where: Column | DataFrame | None = None, kinds: list[int] | None = None, few: bool = False) -> tuple[DataFrame, DataFrame]:
         """What prunes questions (qid, term, w), w being positive: the blocks that could matter to them, and a row for each term of a question and kind.
 
         That row is (qid, kind, term, w, ub, u, theta, essential, rest, whole): ub the most that the term can add, u the sum of these, theta a score that ``k`` rows
@@ -166,7 +230,8 @@ class Index:
             head = self._meeting(head, where)
         # of those that the best blocks speak for most, some more than k are scored whole: theta is then near what it can be at best
         place = lambda c: F.row_number().over(Window.partitionBy("qid", "kind").orderBy(F.desc(c)))
-        whole = self._scored(head.withColumn("place", place("partial")).where(F.col("place") <= TRIED * k).select("qid", "kind", "id", "known"), asked, ["qid"])
+        tried = head.withColumn("place", place("partial")).where(F.col("place") <= TRIED * k).select("qid", "kind", "id", "known")
+        whole = self._added(F.broadcast(tried), self._adding(asked, ["term"])) if few else self._scored(tried, asked, ["qid"])  # TRIED * k rows a kind
         theta = whole.withColumn("place", place("score")).where(F.col("place") <= k).groupBy("qid", "kind").agg(F.when(F.count("*") == k, F.min("score")).alias("theta"))
         question = Window.partitionBy("qid", "kind")
         out = best.join(theta, ["qid", "kind"], "left").withColumns({"theta": F.coalesce("theta", F.lit(0.0)) - MARGIN, "u": F.sum("ub").over(question)})
@@ -189,6 +254,34 @@ class Index:
         added = F.coalesce(F.aggregate(each, F.lit(0.0), lambda a, x: a + x), F.lit(0.0))
         return found.select("qid", "kind", "id", "seq", F.round(F.col("known") + added, 9).alias("score"))
 
+    def _adding(self, words: DataFrame, on: list[str]) -> DataFrame:
+        """(qid, kind, id, adds): what the postings of ``words`` (on, qid, w) add to scores."""
+        of = self.blocks.select("kind", "term", "posts").join(F.broadcast(words.select("qid", "w", *on)), on)  # as many rows as terms asked for
+        of = of.select("qid", "kind", "w", F.explode("posts").alias("p"))
+        return of.select("qid", "kind", F.col("p.id").alias("id"), (F.col("w") * self._impact(F.col("p.tf"), F.col("p.dl"))).alias("adds"))
+
+    def _added(self, found: DataFrame, adding: DataFrame) -> DataFrame:
+        """(qid, kind, id, score) of found rows (qid, kind, id, known), each of which has a posting among ``adding``."""
+        sums = adding.join(found, ["qid", "kind", "id"]).groupBy("qid", "kind", "id").agg(F.first("known").alias("known"), F.sum("adds").alias("adds"))
+        return sums.select("qid", "kind", "id", F.round(F.col("known") + F.col("adds"), 9).alias("score"))
+
+    def few_best(self, query: list[str], k: int, where: Column | DataFrame | None = None, kinds: list[int] | None = None) -> DataFrame:
+        """As ``best``, for one question: scores come from the postings of its own terms, so the counts of rows aren't read, and what is moved grows with these postings."""
+        spark, wanted = self.rows.sparkSession, sorted(set(query))
+        own = replace(self, blocks=self.blocks.where(F.col("term").isin(wanted)))
+        blocks, bounds = own.bounds(self.asked(query), k, where, kinds, few=True)
+        bounds = F.broadcast(spark.createDataFrame(bounds.collect(), bounds.schema))  # a row for each term asked for and kind
+        part = own._partial(own.sources(blocks, bounds), "theta", "rest")
+        left = part.where(F.col("partial") + F.col("rest") >= F.col("theta")).select("qid", "kind", "id", F.col("known").alias("adds"), F.lit(True).alias("left"))
+        more = own._adding(bounds.where("NOT whole"), ["kind", "term"]).withColumn("left", F.lit(False))
+        out = left.unionByName(more).groupBy("qid", "kind", "id").agg(F.sum("adds").alias("adds"), F.max("left").alias("left")).where("left")
+        out = out.select("qid", "kind", "id", F.round("adds", 9).alias("score"))
+        out = out if where is None else own._meeting(out, where)
+        # rows that share the last score stay, as their seq decides
+        place = F.rank().over(Window.partitionBy("qid", "kind").orderBy(F.desc("score")))
+        out = out.withColumn("place", place).where(F.col("place") <= k).drop("place")
+        return out.join(self.forward.select("id", "seq"), "id").select("qid", "kind", "id", "seq", "score")
+
     def best(self, asked: DataFrame, k: int, where: Column | DataFrame | None = None, kinds: list[int] | None = None, keep=None) -> DataFrame:
         """(qid, kind, id, seq, score): of each question and kind the best ``k`` rows that meet ``where``, and some more. ``keep``: stores what is read twice."""
         blocks, bounds = self.bounds(asked, k, where, kinds)
@@ -210,7 +303,7 @@ class Index:
         """
         order = [F.desc("score"), F.col("seq"), F.col("id")]
         if query and self.floor >= 0:
-            hits = [r for r in self.best(self.asked(query), k, where, kinds).orderBy(*order).limit(k).select("id", "score").collect() if r["score"] > 0]
+            hits = [r for r in self.few_best(query, k, where, kinds).orderBy(*order).limit(k).select("id", "score").collect() if r["score"] > 0]
             if len(hits) == k:
                 found = self.rows.sparkSession.createDataFrame(hits, self.rows.select("id", F.lit(0.0).alias("score")).schema)
                 own = self.rows.where(F.col("id").isin([r["id"] for r in hits])) if k <= LOOKUP else self.rows
@@ -259,12 +352,13 @@ def write_index(rows: DataFrame, path: str, parts: int | None = None, kind: Colu
     n = parts or max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
     ordered(rows.drop("text"), n, "id").write.mode("overwrite").parquet(f"{path}/rows")
     own = (F.lit(0) if kind is None else kind).cast("int").alias("kind")
-    ordered(counted(rows.select("id", own, "seq", "text")), n, "id").write.mode("overwrite").parquet(f"{path}/forward")
+    # rows stay in the tasks that read them: counting words is dear, and what it makes is large
+    counted(rows.select("id", own, "seq", "text")).write.mode("overwrite").parquet(f"{path}/forward")
     forward = spark.read.parquet(f"{path}/forward")
     total = forward.agg(F.count("*").alias("n"), F.avg("dl").alias("avgdl")).first()
-    ordered(forward.select(F.explode(F.map_keys("tfs")).alias("term")).groupBy("term").agg(F.count("*").alias("df")), n, "term").write.mode("overwrite").parquet(f"{path}/terms")
-    part = F.pmod(F.xxhash64("id"), F.lit(total["n"] // PART_ROWS + 1))
-    ordered(blocked(forward, total["avgdl"] or 0.0, part).drop("_part"), n, "term", "kind", "block").write.mode("overwrite").parquet(f"{path}/blocks")
+    packed(forward, total["avgdl"] or 0.0).write.mode("overwrite").parquet(f"{path}/blocks")
+    sizes = spark.read.parquet(f"{path}/blocks").select("term", F.size("posts.tf").cast("long").alias("df"))
+    ordered(sizes.groupBy("term").agg(F.sum("df").alias("df")), n, "term").write.mode("overwrite").parquet(f"{path}/terms")
     floor = floor_of(spark.read.parquet(f"{path}/terms"), total["n"])
     numbers = json.dumps({"n": total["n"], "avgdl": total["avgdl"] or 0.0, "floor": floor})
     spark.createDataFrame([(numbers,)], "value string").coalesce(1).write.mode("overwrite").text(f"{path}/numbers")

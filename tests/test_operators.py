@@ -48,6 +48,18 @@ def test_bm25_ranks_rows_without_terms_too(spark, tmp_path):
     assert R.write_index(df.limit(0), str(tmp_path / "none")).top(["alpha"], 5).count() == 0
 
 
+def test_an_index_moves_no_postings_and_a_question_no_counts(spark, tmp_path):
+    df = spark.range(0, 40, 1, 4).selectExpr("id", "id AS seq", "concat('alpha beta beta w', id, if(id % 4 = 0, ' even', '')) AS text", "id % 3 AS page")
+    index = R.write_index(df, f"file://{tmp_path}/i", 2)
+    files = index.blocks.select(F.explode("posts.id").alias("id"), F.input_file_name().alias("f")).distinct()
+    assert files.count() == 40  # all postings of a row lie in one file
+    counts = {r["id"]: (r["dl"], r["tfs"]) for r in index.forward.collect()}
+    assert counts[4] == (5, {"alpha": 1, "beta": 2, "w4": 1, "even": 1}) and {r["term"]: r["df"] for r in index.terms.collect()}["even"] == 10
+    plan = index.few_best(["even", "w4"], 3, F.col("page") == 1)._jdf.queryExecution().optimizedPlan().toString()
+    assert "tfs" not in plan
+    assert [r["id"] for r in index.top(["even", "w4"], 3, F.col("page") == 1).orderBy("lex_rank").collect()] == [4, 16, 28]
+
+
 def test_fusion_and_merge(spark):
     den = spark.createDataFrame([("a", 1), ("b", 2)], "id string, dense_rank long")
     lex = spark.createDataFrame([("b", 1), ("c", 2)], "id string, lex_rank long")
