@@ -128,14 +128,13 @@ def ranked(df: DataFrame, group: list[str], order: list[str], total: int, name:
     """
     n = min(most_buckets, max(1, math.ceil(total / bucket_rows)))
     df = df.withColumn("_bucket", F.pmod(F.xxhash64(*order), F.lit(n)).cast("int"))
-    key = [*group, "_bucket"]
-    starts = df.groupBy(*key).agg(F.count("*").alias("_n"))
-    starts = starts.withColumn("_start", F.sum("_n").over(Window.partitionBy(*group).orderBy("_bucket")) - F.col("_n")).drop("_n")
-    right = starts.select(*[F.col(k).alias(f"_r_{k}") for k in key], "_start")
-    on = [df[k].eqNullSafe(right[f"_r_{k}"]) for k in key]
-    out = df.join(right, on, "left").drop(*[f"_r_{k}" for k in key])
-    place = F.row_number().over(Window.partitionBy(*key).orderBy(*order))
-    return out.withColumn(name, F.col("_start") + place - 1).drop("_start", "_bucket")
+    # one key for window and join, in which nulls are equal, so that the rows are shuffled once
+    df = df.withColumn("_key", F.struct(*group, "_bucket"))
+    starts = df.groupBy("_key").agg(F.count("*").alias("_n"))
+    starts = starts.withColumn("_start", F.sum("_n").over(Window.partitionBy(*[F.col(f"_key.{g}") for g in group]).orderBy("_key._bucket")) - F.col("_n")).drop("_n")
+    place = F.row_number().over(Window.partitionBy("_key").orderBy(*order))
+    out = df.withColumn(name, place).join(starts, "_key")
+    return out.withColumn(name, F.col("_start") + F.col(name) - 1).drop("_start", "_bucket", "_key")
 
 
 def forest(linked: np.ndarray) -> np.ndarray:

@@ -946,3 +946,19 @@ def test_pipeline_on_odd_rows(spark, odd):
         seen[name] = Counter(r["doc_id"] for r in docs.select("doc_id").collect())
     assert seen["quality rules"] == Counter({None: 2, 9: 2}) and seen["simhash near-dedup"] == seen["pii"] == Counter({None: 1, 9: 2})
     assert set(seen["mixing"]) == set(seen["packing"]) == {None, 9} and corpus_pipeline.run(spark, D).columns == docs.columns
+
+
+def test_ranks_shuffle_the_rows_once(spark):
+    """Groups may be null; ranks of each go from 0 up, and rows with their texts pass one exchange, the counts three."""
+    from quillstone.llm.common import ranked
+
+    df = spark.range(0, 300, 1, 3).selectExpr("id AS doc_id", "if(id % 3 = 0, null, concat('s', id % 3)) AS source", "repeat('x', 50) AS text")
+    kept = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        out = ranked(df, ["source"], ["doc_id"], 300, bucket_rows=20)
+        assert out._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning") == 4
+        got = out.groupBy("source").agg(F.sort_array(F.collect_list("rank")).alias("r")).collect()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", kept)
+    assert {r["source"] for r in got} == {None, "s1", "s2"} and all(r["r"] == list(range(100)) for r in got)
