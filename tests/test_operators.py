@@ -55,7 +55,7 @@ def test_an_index_moves_no_postings_and_a_question_no_counts(spark, tmp_path):
     assert files.count() == 40  # all postings of a row lie in one file
     counts = {r["id"]: (r["dl"], r["tfs"]) for r in index.forward.collect()}
     assert counts[4] == (5, {"alpha": 1, "beta": 2, "w4": 1, "even": 1}) and {r["term"]: r["df"] for r in index.terms.collect()}["even"] == 10
-    plan = index.few_best(["even", "w4"], 3, F.col("page") == 1)._jdf.queryExecution().optimizedPlan().toString()
+    plan = index.few_best(["even", "w4"], 3, F.col("page") == 1)._jdf.queryExecution().executedPlan().toString()
     assert "tfs" not in plan
     assert [r["id"] for r in index.top(["even", "w4"], 3, F.col("page") == 1).orderBy("lex_rank").collect()] == [4, 16, 28]
 
