@@ -84,5 +84,5 @@ query("jats_front", "SELECT doc_id, CAST(doc_id AS VARCHAR) AS pmid, 'J of ' ||
 query("pubmed_record", "SELECT doc_id, CAST(doc_id AS VARCHAR) AS pmid, 'About ' || source AS title, '1999' AS year FROM documents")(
     lambda spark, d: P.pubmed_record(docs(spark, d).select("doc_id", F.concat(F.lit("<PubmedArticle><MedlineCitation><PMID>"), F.col("doc_id").cast("string"), F.lit("</PMID><Article><Journal><JournalIssue><PubDate><MedlineDate>1999 Spring</MedlineDate></PubDate></JournalIssue></Journal><ArticleTitle>About "), "source", F.lit("</ArticleTitle></Article></MedlineCitation></PubmedArticle>")).alias("xml"))).select("doc_id", "pmid", "title", "year"))
 query("mesh_build", "SELECT p_partkey AS record, 'D' || p_partkey AS ui, p_name AS heading, unnest([p_name, p_type]) AS term FROM part")(
-    lambda spark, d: P.mesh_terms(T.table(spark, d, "part").select(F.col("p_partkey").alias("record"), F.concat(F.lit("<DescriptorRecord><DescriptorUI>D"), F.col("p_partkey").cast("string"), F.lit("</DescriptorUI><DescriptorName><String>"), "p_name", F.lit("</String></DescriptorName><ConceptList><Concept><TermList><Term><String>"), "p_name", F.lit("</String></Term><Term><String>"), "p_type", F.lit("</String></Term></TermList></Concept></ConceptList></DescriptorRecord>")).alias("xml"))))
+    lambda spark, d: P.mesh_terms(T.table(spark, d, "part", spread=True).select(F.col("p_partkey").alias("record"), F.concat(F.lit("<DescriptorRecord><DescriptorUI>D"), F.col("p_partkey").cast("string"), F.lit("</DescriptorUI><DescriptorName><String>"), "p_name", F.lit("</String></DescriptorName><ConceptList><Concept><TermList><Term><String>"), "p_name", F.lit("</String></Term><Term><String>"), "p_type", F.lit("</String></Term></TermList></Concept></ConceptList></DescriptorRecord>")).alias("xml"))))
 query("file_info")(lambda spark, d: spark.read.format("binaryFile").option("pathGlobFilter", "*.parquet").option("recursiveFileLookup", "true").load(d).select(F.element_at(F.split("path", "/"), -1).alias("name"), "length", X.human_mb(F.col("length")).alias("size")))

@@ -13,10 +13,10 @@ SEQ = 1_000_000_000
 TEXTS = {"documents", "pages", "conversations"}
 
 
-def table(spark: SparkSession, d: str, name: str) -> DataFrame:
-    """A stored table. Texts in fewer splits than half the cores, such as one small file, are dealt out to all cores."""
+def table(spark: SparkSession, d: str, name: str, spread: bool = False) -> DataFrame:
+    """A stored table. Texts, and with ``spread`` any rows, in fewer splits than half the cores, such as one small file, are dealt out to all cores."""
     df = spark.read.parquet(f"{d}/{name}.parquet")
-    if name not in TEXTS:
+    if name not in TEXTS and not spread:
         return df
     cores, files = spark.sparkContext.defaultParallelism, Files(spark).stamp(f"{d}/{name}.parquet")
     split = int(spark._jsparkSession.sessionState().conf().filesMaxPartitionBytes())

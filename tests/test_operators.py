@@ -168,3 +168,9 @@ def test_any_number_of_short_passages(spark, monkeypatch):
     assert sorted(map(tuple, passages.holding(docs, items).collect())) == want
     monkeypatch.setattr(passages, "FEW", 2)
     assert sorted(map(tuple, passages.holding(docs, items).collect())) == want
+
+
+def test_records_are_parsed_on_all_cores(spark):
+    from quillstone.plans import registry
+
+    assert registry.queries()["mesh_build"](spark, "/root/testdata/sf0.001").rdd.getNumPartitions() == spark.sparkContext.defaultParallelism
