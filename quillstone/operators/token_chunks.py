@@ -7,6 +7,9 @@ A paragraph goes to the open chunk if it fits, else to a new one; a paragraph th
 What is counted is a paragraph with the white space before it. Tokenizers that never merge across white space (byte-level and word-end BPE, WordPiece) then
 give the chunk exactly the sum. No chunk is taken on trust, though: one that the tokenizer counts beyond the limit is cut again.
 
+Texts hold the same words over and over. Of tokenizers whose rules are among ``APART``, a task asks for each word once and adds up what it remembers; a text with
+white space other than single spaces and line breaks between words, and any text of other tokenizers, is encoded whole. The counts are the same.
+
 Defined results: blank and null paragraphs and skipped sections are left out, and white space within a paragraph is one space. Special tokens that the
 tokenizer adds count. Headings stand in front, the outermost going first while they take more than half of the limit. A null heading is like none. A null
 paper is a paper; paragraphs with equal ``pos`` come in order of their text.
@@ -14,6 +17,10 @@ paper is a paper; paragraphs with equal ``pos`` come in order of their text.
 
 from __future__ import annotations
 
+import json
+import math
+import os
+import re
 from collections.abc import Iterable, Iterator
 
 import pyarrow as pa
@@ -26,13 +33,82 @@ from quillstone.functions import text as X
 MEASURED, LEAST = 256, 32
 #: A piece of a word has at most so many characters for each token of its room.
 MOST_CHARS = 32
+_CASES = r"'s|'t|'re|'ve|'m|'ll|'d"
+BYTES = {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": True}
+#: Normalizers and pre-tokenizers of BPE files under which no token, and nothing that decides on one, reaches over a space or line break before a word.
+APART = [
+    (None, BYTES),
+    (
+        {"type": "Sequence", "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": r"\s+"}, "content": " "}, {"type": "Lowercase"}]},
+        {"type": "Sequence", "pretokenizers": [{"type": "Split", "pattern": {"Regex": _CASES + r"|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"}, "behavior": "Removed", "invert": True}, BYTES | {"use_regex": False}]},
+    ),
+]
+#: How byte-level files part a text (fixed pattern); a word with what stands before it, or white space without a word; words of printable ASCII and Latin-1's letters.
+_PARTS = _CASES + r"| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
+_WORD, _PLAIN = re.compile(r"[ \n]?[^ \n]+|[ \n]+"), re.compile(r"[ \n]?[!-~\xc0-\xd6\xd8-\xf6\xf8-\xff]+")
+#: A task remembers words of so many characters, each counting WORD more.
+REMEMBERED, WORD = 1 << 26, 100
 CHUNKS = "doc_key string, chunk long, heading string, tokens int, text string"
 
 
+def _apart(rules: dict) -> bool:
+    """Whether words are counted apart under a file's rules."""
+    model = rules["model"]
+    plain = model.get("type") == "BPE" and not model.get("dropout") and all(t.get("special") for t in rules.get("added_tokens") or [])
+    return plain and (rules.get("normalizer"), rules.get("pre_tokenizer")) in APART
+
+
+def ranked(definition: str) -> bool:
+    """Whether a byte-level file's merges are told by its vocabulary: each merge has a token of its own, in their order, and each token by itself ends as that token.
+
+    Then symbols that together are a token were always its merge's, so an encoder that joins by the rank of the outcome gives the same tokens.
+    """
+    rules = json.loads(definition)
+    model = rules["model"]
+    if not _apart(rules) or rules["pre_tokenizer"] != BYTES or model.get("continuing_subword_prefix") or model.get("end_of_word_suffix"):
+        return False
+    from tokenizers import Tokenizer
+
+    vocab, special = model["vocab"], {t["content"] for t in rules.get("added_tokens") or []}
+    made = [vocab["".join(m.split(" ") if isinstance(m, str) else m)] for m in model["merges"]]
+    own = {t: i for t, i in vocab.items() if t not in special}
+    if len(own) != 256 + len(made) or any(i >= k for i, k in zip(made, made[1:], strict=False)) or max(i for t, i in own.items() if len(t) == 1) >= made[0]:
+        return False
+    bare = Tokenizer.from_str(json.dumps(rules | {"added_tokens": [], "pre_tokenizer": None, "post_processor": None, "decoder": None}))
+    return all(e.ids == [i] for e, i in zip(bare.encode_batch_fast([*own], add_special_tokens=False), own.values(), strict=True))
+
+
+def _by_rank(rules: dict):
+    """An encoder of plain words for a file that is ``ranked``."""
+    import tiktoken
+
+    shown = [*range(33, 127), *range(161, 173), *range(174, 256)]  # printable bytes stand for themselves, the rest follow from 256 on
+    byte = {chr(b): b for b in shown} | {chr(256 + i): b for i, b in enumerate(b for b in range(256) if b not in shown)}
+    special = {t["content"] for t in rules.get("added_tokens") or []}
+    ranks = {bytes(byte[c] for c in t): i for t, i in rules["model"]["vocab"].items() if t not in special}
+    return tiktoken.Encoding("words", pat_str=_PARTS, mergeable_ranks=ranks, special_tokens={})
+
+
+class Words(dict):
+    """Tokens of words, each asked for when it is first met; infinite: white space that may be one token with what is beside it."""
+
+    def __init__(self, measure: Measure):
+        self.measure, self.size = measure, 0
+
+    def __missing__(self, word: str) -> float:
+        if self.measure.fast and _PLAIN.fullmatch(word):
+            n = len(self.measure.fast.encode_ordinary(word))
+        else:
+            n = math.inf if any(map(str.isspace, word[1:])) else self.measure.encoded([word])[0]
+        self[word] = n
+        self.size += len(word) + WORD
+        return n
+
+
 class Measure:
-    """Counts tokens, and cuts texts to a number of them."""
+    """Counts tokens, and cuts texts to a number of them. ``by_rank``: what ``ranked`` says of the definition."""
 
-    def __init__(self, definition: str, most: int):
+    def __init__(self, definition: str, most: int, by_rank: bool = False):
         from tokenizers import Tokenizer
 
         self.of = Tokenizer.from_str(definition)
@@ -41,10 +117,34 @@ class Measure:
         self.of.encode_special_tokens = True  # their names in a text are text
         self.most = most
         self.special = self.of.num_special_tokens_to_add(False)
+        rules = json.loads(definition)
+        self.apart = _apart(rules)
+        self.fast = _by_rank(rules) if by_rank else None
+        self.known = Words(self)
 
-    def counts(self, texts: list[str]) -> list[int]:
+    def encoded(self, texts: list[str]) -> list[int]:
         return [len(e.ids) for e in self.of.encode_batch_fast(texts, add_special_tokens=False)]
 
+    def recall(self) -> Words:
+        if self.known.size > REMEMBERED:
+            self.known = Words(self)
+        return self.known
+
+    def apart_of(self, words: list[str]) -> list[int] | None:
+        """Tokens of each word of a text, with what stands before it; None where they don't add up to the text's."""
+        if not self.apart:
+            return None
+        n = [*map(self.recall().__getitem__, words)]
+        return None if math.inf in n else n
+
+    def counts(self, texts: list[str]) -> list[int]:
+        if not self.apart:
+            return self.encoded(texts)
+        of = self.recall().__getitem__
+        sums = [sum(map(of, _WORD.findall(t))) for t in texts]
+        whole = iter(self.encoded([t for t, n in zip(texts, sums, strict=True) if n == math.inf]))
+        return [next(whole) if n == math.inf else n for n in sums]
+
     def count(self, text: str) -> int:
         return self.counts([text])[0]
 
@@ -70,14 +170,17 @@ class Measure:
     def pieces(self, paragraph: str, budget: int) -> Iterator[tuple[str, int]]:
         """A long paragraph's pieces, each with its tokens behind a line break: whole words as far as they fit."""
         words = paragraph.split(" ")
-        n = self.counts([f" {w}" for w in words])
+        n = self.apart_of([f" {w}" for w in words])
+        adds = n is not None
+        n = n if adds else self.counts([f" {w}" for w in words])
+        joined = lambda at, end: self.count("\n" + words[at]) + sum(n[at + 1 : end]) if adds else self.count("\n" + " ".join(words[at:end]))
         at = 0
         while at < len(words):
             end, used = at, 0
             while end < len(words) and used + n[end] <= budget:
                 used += n[end]
                 end += 1
-            while end > at and (used := self.count("\n" + " ".join(words[at:end]))) > budget:
+            while end > at and (used := joined(at, end)) > budget:
                 end -= 1
             if end > at:
                 yield " ".join(words[at:end]), used
@@ -142,12 +245,14 @@ def token_chunks(blocks: DataFrame, tokenizer: str, most: int) -> DataFrame:
         raise ValueError(f"a chunk takes at least {LEAST} tokens")
     with open(tokenizer, encoding="utf-8") as f:
         definition = f.read()
+    by_rank = ranked(definition)
     squashed = F.trim(F.regexp_replace("text", r"\s+", " "))
     kept = blocks.where((F.col("kind") == "text") & ~X.skipped_section(F.col("heading")))
     kept = kept.select("doc_key", "pos", F.coalesce("heading", F.lit("")).alias("heading"), squashed.alias("text")).where("text <> ''")
 
     def rows(batches):
-        measure = Measure(definition, most)
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has a core
+        measure = Measure(definition, most, by_rank)
 
         def measured():
             for b in batches:

@@ -97,3 +97,26 @@ def test_no_key_is_gathered(spark):
     plan = df._jdf.queryExecution().executedPlan().toString()
     assert "MapInArrow" in plan and "FlatMapGroups" not in plan and plan.count("Exchange") == 1
     assert A.words_for("none") == 384
+
+
+def test_words_are_counted_once_and_as_the_tokenizer_counts_texts(file):
+    rng, of, definition = random.Random(5), encoder(file), open(file, encoding="utf-8").read()
+    m = C.Measure(definition, 64, C.ranked(definition))
+    asked, encoded = [], m.encoded
+    m.encoded = lambda texts: asked.extend(texts) or encoded(texts)
+    plain = ["\nthe don't 12 x-1's word, " + "word 'tis\nÉté " * 400 + "end"]
+    assert m.counts(plain) == m.counts(plain * 3)[1:2] == [len(of.encode(plain[0], add_special_tokens=False).ids)]
+    assert len(asked) < 20 and max(map(len, asked), default=0) < 20  # no text is encoded whole
+    of.encode_special_tokens = True
+    odd = ["".join(rng.choices("ab é ß \n\t  ́\u0085\x1cΣσ1'st中.🙂᠎​　  <|endoftext|>", k=rng.randrange(30))) for _ in range(3000)] + ["", " ", "\n", " \n", "a ", "a  b"]
+    assert m.counts(odd) == [len(e.ids) for e in of.encode_batch(odd, add_special_tokens=False)]
+
+
+def test_only_vocabularies_that_tell_their_merges_are_ranked():
+    import json
+
+    rules = json.load(open(public_tokenizers.path(FILES[0]), encoding="utf-8"))
+    assert C.ranked(json.dumps(rules)) and not C.ranked(open(public_tokenizers.path(FILES[1]), encoding="utf-8").read())
+    merges = rules["model"]["merges"]
+    rules["model"]["merges"] = [*merges[:9], merges[10], merges[9], *merges[11:]]
+    assert not C.ranked(json.dumps(rules))
