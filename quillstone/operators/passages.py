@@ -5,9 +5,13 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from quillstone.sources.versions import stored
+
 #: Words that a passage is looked up by, and characters where it has fewer than three words. So many of those, with so many characters in all, are
 #: held against all texts instead, which is cheaper.
 GRAM, CHARS, FEW, FEW_CHARS = 5, 8, 1000, 100_000
+#: So many pairs to verify, with so many characters of passages, are brought to the texts; for more the texts are shuffled.
+MET, MET_CHARS = 1_000_000, 64_000_000
 
 
 def words(c: Column) -> Column:
@@ -24,15 +28,23 @@ def grams(w: Column, n: int) -> Column:
     return F.when(F.size(w) >= n, F.slice(each, F.lit(1), F.size(w) - (n - 1))).otherwise(F.array().cast("array<bigint>"))
 
 
+def verified(docs: DataFrame, met: DataFrame, items: DataFrame) -> DataFrame:
+    """Of the pairs met (doc_id, qid) those whose text holds the passage."""
+    met = stored(met.select("doc_id", "qid").distinct().join(items.select("qid", "asked"), "qid"), "met")
+    size = met.agg(F.count("*").alias("n"), F.coalesce(F.sum(F.length("asked")), F.lit(0)).alias("chars")).first()
+    few = size["n"] <= MET and size["chars"] <= MET_CHARS
+    return docs.join(F.broadcast(met) if few else met, "doc_id").where(F.contains("text", "asked")).select("doc_id", "qid").distinct()
+
+
 def by_characters(docs: DataFrame, items: DataFrame) -> DataFrame:
     """As ``holding``, for any number of passages: they meet texts by their first CHARS characters, or all where there are fewer."""
     cut = items.select("qid", "asked", F.split("asked", "").alias("c")).withColumn("n", F.when(F.col("asked") == "", 0).otherwise(F.least(F.lit(CHARS), F.size("c"))))
     letters = docs.select("doc_id", F.split("text", "").alias("c"))
     out = docs.select("doc_id").join(cut.where("n = 0").select("qid"), F.lit(True))  # its result is each text with each
     for n in range(1, CHARS + 1):
-        key = cut.where(F.col("n") == n).select("qid", "asked", gram([F.get("c", F.lit(k)) for k in range(n)]).alias("g"))
-        met = letters.select("doc_id", F.explode(F.array_distinct(grams(F.col("c"), n))).alias("g")).join(key, "g").select("doc_id", "qid", "asked")
-        out = out.unionByName(docs.join(met, "doc_id").where(F.contains("text", "asked")).select("doc_id", "qid").distinct())
+        key = cut.where(F.col("n") == n).select("qid", gram([F.get("c", F.lit(k)) for k in range(n)]).alias("g"))
+        met = letters.select("doc_id", F.explode(F.array_distinct(grams(F.col("c"), n))).alias("g")).join(key, "g")
+        out = out.unionByName(verified(docs, met, cut.where(F.col("n") == n)))
     return out
 
 
@@ -56,8 +68,8 @@ def holding(docs: DataFrame, items: DataFrame) -> DataFrame:
             else:
                 part = by_characters(docs, own)
         else:
-            key = own.select("qid", "asked", gram([F.get("w", F.lit(k)) for k in range(1, n + 1)]).alias("g"))
-            met = docs.select("doc_id", words(F.col("text")).alias("w")).select("doc_id", F.explode(F.array_distinct(grams(F.col("w"), n))).alias("g")).join(key, "g").select("doc_id", "qid", "asked")
-            part = docs.join(met, "doc_id").where(F.contains("text", "asked")).select("doc_id", "qid").distinct()
+            key = own.select("qid", gram([F.get("w", F.lit(k)) for k in range(1, n + 1)]).alias("g"))
+            met = docs.select("doc_id", words(F.col("text")).alias("w")).select("doc_id", F.explode(F.array_distinct(grams(F.col("w"), n))).alias("g")).join(key, "g")
+            part = verified(docs, met, own)
         out = part if out is None else out.unionByName(part)
     return docs.select("doc_id").join(items.select("qid"), F.lit(False)) if out is None else out

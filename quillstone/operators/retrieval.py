@@ -20,7 +20,8 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
-from pyspark.sql.types import IntegerType, LongType, MapType, StringType, StructField, StructType
+from pyspark.sql.pandas.types import to_arrow_type
+from pyspark.sql.types import DoubleType, IntegerType, LongType, MapType, StringType, StructField, StructType
 
 from quillstone.functions.text import tokenize
 from quillstone.operators import bitmaps
@@ -164,6 +165,75 @@ TRIED = 4
 LOOKUP = 1000
 
 
+#: Questions of so many terms in all go to the rows' counts instead of being pruned, and so many products are made at once.
+SCANNED, PRODUCTS = 100_000, 1 << 22
+
+
+def scan(forward: DataFrame, asked: DataFrame, terms: list, avg: float, k: int) -> DataFrame:
+    """(qid, kind, id, seq, score) of rows (id, kind, seq, dl, tfs) with a term of a question: of each question and kind the best ``k`` of each task, and those near the last of them.
+
+    ``terms``: the rows (qid, term, w) of ``asked``, a stated set of questions. Each batch of rows is held against all of them; what leaves a task is k rows
+    a question and kind, and rows of scores that rounding could make equal. Of equal scores those first by seq and id count.
+    """
+    schema = StructType([asked.schema["qid"], *(forward.schema[c] for c in ("kind", "id", "seq")), StructField("score", DoubleType())])
+    if not terms:
+        return forward.sparkSession.createDataFrame([], schema).select("qid", "kind", "id", "seq", "score")
+    qids, words = sorted({r["qid"] for r in terms}), sorted({r["term"] for r in terms})
+    nth_q, nth_w = ({x: i for i, x in enumerate(of)} for of in (qids, words))
+    by_word = sorted((nth_w[r["term"]], nth_q[r["qid"]], r["w"]) for r in terms)
+    word, question, w = (np.array(c) for c in zip(*by_word, strict=True))
+    fan, begin = np.bincount(word, minlength=len(words)), np.searchsorted(word, np.arange(len(words)))
+    n_q, step, positive, avg = len(qids), max(1, PRODUCTS // len(terms)), bool((w > 0).all()), avg or 1.0
+    kind_of_qid = asked.select("qid").schema["qid"].dataType
+
+    def best(held: pa.Table) -> tuple[pa.Table, np.ndarray]:
+        """What can still be among the best k of a question and kind, and the scores that are needed."""
+        held = held.take(pc.sort_indices(held, sort_keys=[("q", "ascending"), ("kind", "ascending"), ("score", "descending"), ("seq", "ascending"), ("id", "ascending")], null_placement="at_start"))
+        q, kind, score = (held[c].to_numpy() for c in ("q", "kind", "score"))
+        new = np.append(True, (q[1:] != q[:-1]) | (kind[1:] != kind[:-1]))
+        other = new | np.append(True, score[1:] != score[:-1])
+        since = lambda firsts: np.arange(len(q)) - np.nonzero(firsts)[0][np.cumsum(firsts) - 1]
+        group, last = np.cumsum(new) - 1, np.full(new.sum(), -np.inf)
+        at = since(new) == k - 1
+        last[group[at]] = score[at]
+        return held.filter(pa.array((score >= last[group] - MARGIN) & (since(other) < k))), np.stack([q[new], kind[new], last])
+
+    def task(batches):
+        held, bound, needed = None, 1 << 16, {}
+        for b in batches:
+            tfs, kinds = b.column(4), b.column(1).to_numpy()
+            of = pc.fill_null(pc.index_in(tfs.keys, pa.array(words)), -1).to_numpy()
+            row = np.repeat(np.arange(len(b)), np.diff(tfs.offsets.to_numpy()))[of >= 0]
+            tf, dl, of = tfs.items.to_numpy()[of >= 0], b.column(3).to_numpy()[row], of[of >= 0]
+            x = tf * (K1 + 1) / (tf + K1 * (1 - B + B * dl / avg))
+            for low in range(0, len(b), step):
+                n = min(step, len(b) - low)
+                s = slice(*np.searchsorted(row, [low, low + n]))
+                many = fan[of[s]]
+                at = np.repeat(begin[of[s]] - np.cumsum(many) + many, many) + np.arange(many.sum())
+                key = np.repeat(row[s] - low, many) * n_q + question[at]
+                score = np.bincount(key, w[at] * np.repeat(x[s], many), n * n_q)
+                hit = score > 0 if positive else np.bincount(key, minlength=n * n_q) > 0
+                least = np.stack([needed.get(c, np.full(n_q, -np.inf)) for c in kinds[low : low + n]]).ravel() if needed else -np.inf
+                hit = np.nonzero(hit & (score >= least))[0]
+                own = pa.array(low + hit // n_q)
+                some = pa.table({"q": pa.array(hit % n_q), "kind": b.column(1).take(own), "id": b.column(0).take(own), "seq": b.column(2).take(own), "score": pa.array(score[hit])})
+                held = some if held is None else pa.concat_tables([held, some])
+                if held.num_rows > bound:
+                    held, last = best(held)
+                    bound = max(bound, 2 * held.num_rows)
+                    for c in np.unique(last[1]):
+                        own = last[1] == c
+                        needed.setdefault(int(c), np.full(n_q, -np.inf))[last[0][own].astype(int)] = last[2][own] - MARGIN
+        if held is not None and held.num_rows:
+            held, _ = best(held)
+            of = pa.array(qids, to_arrow_type(kind_of_qid)).take(held["q"].combine_chunks())
+            yield from pa.table({"qid": of, **{c: held[c] for c in ("kind", "id", "seq", "score")}}).to_batches()
+
+    found = forward.select("id", "kind", "seq", "dl", "tfs").mapInArrow(task, schema)
+    return found.select("qid", "kind", "id", "seq", F.round("score", 9).alias("score"))
+
+
 @dataclass(frozen=True)
 class Index:
     """What questions read, all without the text.
@@ -324,12 +394,16 @@ class Index:
     def batch(self, questions: DataFrame, strategies: dict[str, list[int] | None], k: int, padded: bool = False) -> DataFrame:
         """(strategy, qid, id, score, place): the best ``k`` rows of each strategy, which are kinds of rows (None: all), for all questions (qid, text) at once.
 
-        Hits only, unless ``padded``: then rows without a term of the question score 0 and are ranked too, as in ``top``. With negative idfs nothing is pruned.
+        Hits only, unless ``padded``: then rows without a term of the question score 0 and are ranked too, as in ``top``. Up to SCANNED terms of all questions are held
+        against each row where it lies, so rows' counts aren't shuffled; more are pruned by bounds, but for negative idfs.
         """
         asked = questions.select("qid", F.explode(tokenize(F.col("text"))).alias("term")).groupBy("qid", "term").agg(F.count("*").alias("times"))
         asked = asked.join(self.idf(), "term").select("qid", "term", (F.col("times") * F.col("idf")).alias("w"))
         asked = stored(asked, "asked")
-        if self.floor < 0:
+        terms = asked.limit(SCANNED + 1).collect()  # the questions asked
+        if len(terms) <= SCANNED:
+            hits = scan(self.forward, asked, terms, self.avgdl, k)
+        elif self.floor < 0:
             hits = self._partial(self.blocks.join(asked, "term").withColumn("whole", F.lit(True))).join(self.forward.select("id", "seq"), "id").withColumn("score", F.round("partial", 9))
         else:
             hits = self.best(asked, k, keep=stored)

@@ -1,5 +1,7 @@
 """Small cases of the operators, with the edge cases that the large tables don't hold."""
 
+import random
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -174,3 +176,28 @@ def test_records_are_parsed_on_all_cores(spark):
     from quillstone.plans import registry
 
     assert registry.queries()["mesh_build"](spark, "/root/testdata/sf0.001").rdd.getNumPartitions() == spark.sparkContext.defaultParallelism
+
+
+def test_a_batch_of_questions_shuffles_neither_texts_nor_counts(spark, tmp_path):
+    rng = random.Random(3)
+    data = [(i, i % 40, "claim" if i % 3 == 0 else "text", " ".join(rng.choices([f"w{j}" for j in range(25)], k=rng.randrange(1, 12)))) for i in range(600)]
+    data += [(i, i % 7, "text", "w1 w2 w3 w4") for i in range(600, 900)]  # copies: seq and id decide
+    rows = spark.createDataFrame(data, "id long, seq long, type string, text string").repartition(6)
+    index = R.write_index(rows, str(tmp_path / "index"), kind=R.kind_of(F.col("type")))
+    asked = spark.createDataFrame([(q, " ".join(rng.choices([f"w{j}" for j in range(27)], k=4))) for q in range(20)] + [(20, "w1 w2 w3 w4")], "qid long, text string")
+    kinds = {"claims": [1], "chunks": [0], "mixed": None}
+    got = index.batch(asked, kinds, 4)
+    plan = got._jdf.queryExecution().toString()
+    assert "SortMergeJoin" not in plan and "MapInArrow" in plan
+    want = []
+    for r in asked.collect():
+        scored = index.scores(r["text"].split(" ")).join(index.forward, "id").collect()
+        for s, c in kinds.items():
+            own = sorted((-round(x["score"], 9), x["seq"], x["id"]) for x in scored if c is None or x["kind"] in c)[:4]
+            want += [(s, r["qid"], i, -x, n + 1) for n, (x, _, i) in enumerate(own)]
+    assert sorted(map(tuple, got.collect())) == sorted(want)
+    from quillstone.operators import passages
+
+    docs = spark.createDataFrame([(i, f"a b c d e {i} g h") for i in range(300)], "doc_id long, text string")
+    found = passages.holding(docs, spark.createDataFrame([(1, "b c d e 7 g")], "qid long, asked string"))
+    assert found.collect() == [(7, 1)] and "SortMergeJoin" not in found._jdf.queryExecution().toString()
