@@ -31,9 +31,11 @@ K1, B, EPSILON, RRF_K, POOL = 1.5, 0.75, 0.25, 60, 4
 
 
 def postings(docs: DataFrame) -> DataFrame:
-    """(id, term, tf, dl) of rows (id, text)."""
-    toks = docs.select("id", tokenize(F.col("text")).alias("t")).select("id", F.size("t").cast("long").alias("dl"), F.explode("t").alias("term"))
-    return toks.groupBy("id", "term").agg(F.count("*").alias("tf"), F.first("dl").alias("dl"))
+    """(id, term, tf, dl) of rows (id, text). Terms are counted where a row lies; only where ids repeat are the counts shuffled, to be summed up."""
+    own = counted(docs.select("id", "text")).select("id", F.explode("tfs").alias("term", "n"), "dl").select("id", "term", F.col("n").cast("long").alias("tf"), "dl")
+    if docs.groupBy("id").count().where("count > 1").isEmpty():
+        return own
+    return own.groupBy("id", "term").agg(F.sum("tf").alias("tf"), F.first("dl").alias("dl"))
 
 
 def corpus_stats(docs: DataFrame) -> DataFrame:

@@ -201,3 +201,12 @@ def test_a_batch_of_questions_shuffles_neither_texts_nor_counts(spark, tmp_path)
     docs = spark.createDataFrame([(i, f"a b c d e {i} g h") for i in range(300)], "doc_id long, text string")
     found = passages.holding(docs, spark.createDataFrame([(1, "b c d e 7 g")], "qid long, asked string"))
     assert found.collect() == [(7, 1)] and "SortMergeJoin" not in found._jdf.queryExecution().toString()
+
+
+def test_postings_of_a_row_are_counted_where_it_lies(spark):
+    docs = spark.createDataFrame([(1, "b a b"), (2, None), (3, ""), (4, "A-a")], "id long, text string")
+    got = R.postings(docs)
+    assert "Exchange" not in got._jdf.queryExecution().executedPlan().toString()
+    assert got.columns == ["id", "term", "tf", "dl"] and sorted(map(tuple, got.collect())) == [(1, "a", 1, 3), (1, "b", 2, 3), (4, "a", 2, 2)]
+    twice = R.postings(docs.unionByName(spark.createDataFrame([(1, "b c d")], docs.schema)))
+    assert sorted(map(tuple, twice.collect())) == [(1, "a", 1, 3), (1, "b", 3, 3), (1, "c", 1, 3), (1, "d", 1, 3), (4, "a", 2, 2)]
