@@ -12,6 +12,7 @@ from quillstone.operators.token_chunks import token_chunks
 from quillstone.plans.indexes import indexed
 from quillstone.plans.registry import query
 from quillstone.sources import tables as T
+from quillstone.sources.versions import stored
 
 #: Chunks ``c`` (doc_key, run, part, heading, text) of paragraphs ``b`` (doc_key, pos, heading, w) for DuckDB, half of a chunk's words at a time.
 CHUNKED = r""", p AS (SELECT doc_key, pos, heading, k, list_slice(w, k * {half} + 1, k * {half} + {half}) AS w FROM (SELECT *, unnest(range(0, CAST(ceil(len(w) / {half}.0) AS BIGINT))) AS k FROM b WHERE len(w) > 0)),
@@ -65,8 +66,9 @@ SELECT doc_key || '::' || x AS id, doc_key, doc_key AS pmid, 'About ' || source
 
 @query("ingest_articles", ARTICLE_ROWS)
 def _(spark, d):
-    own = articles(spark, d)
-    return A.library_rows(A.blocks(own), A.records(own), DEFAULT_MODEL).select("id", "doc_key", "pmid", "title", "type", "section", F.md5("text").alias("digest"))
+    own = stored(articles(spark, d), "articles")  # read for blocks and, three times, for records; these twice each
+    blocks, papers = stored(A.blocks(own), "blocks"), stored(A.records(own), "papers")
+    return A.library_rows(blocks, papers, DEFAULT_MODEL).select("id", "doc_key", "pmid", "title", "type", "section", F.md5("text").alias("digest"))
 
 
 @query("page_chunks")

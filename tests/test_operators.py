@@ -210,3 +210,10 @@ def test_postings_of_a_row_are_counted_where_it_lies(spark):
     assert got.columns == ["id", "term", "tf", "dl"] and sorted(map(tuple, got.collect())) == [(1, "a", 1, 3), (1, "b", 2, 3), (4, "a", 2, 2)]
     twice = R.postings(docs.unionByName(spark.createDataFrame([(1, "b c d")], docs.schema)))
     assert sorted(map(tuple, twice.collect())) == [(1, "a", 1, 3), (1, "b", 3, 3), (1, "c", 1, 3), (1, "d", 1, 3), (4, "a", 2, 2)]
+
+
+def test_articles_are_made_and_parsed_once(spark):
+    from quillstone.plans import registry
+
+    read = registry.queries()["ingest_articles"](spark, "/root/testdata/sf0.001").inputFiles()
+    assert read and not [f for f in read if "documents.parquet" in f or "/articles-" in f]
