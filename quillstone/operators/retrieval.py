@@ -55,13 +55,23 @@ def impact(tf: Column, dl: Column, avg: Column) -> Column:
     return tf * (K1 + 1) / (tf + K1 * (1 - B + B * dl / avg))
 
 
+#: Words that are counted at once, but for those of one row.
+WORDS = 1 << 19
+
+
 def counted(docs: DataFrame) -> DataFrame:
     """The columns of ``docs`` but text, its length dl and counts of its terms tfs (map), of a row each."""
     own = [c for c in docs.columns if c not in ("text", "dl", "tfs")]
     made = [StructField("dl", LongType()), StructField("tfs", MapType(StringType(), IntegerType()))]
 
-    def count(batches):
+    def parts(batches):
         for b in batches:
+            lot = np.cumsum(b.column(len(own)).value_lengths().to_numpy(zero_copy_only=False)) // WORDS
+            ends = [0, *(np.nonzero(np.diff(lot))[0] + 1).tolist(), len(b)]
+            yield from (b.slice(low, high - low) for low, high in zip(ends, ends[1:], strict=False))
+
+    def count(batches):
+        for b in parts(batches):
             words = b.column(len(own))
             of = np.repeat(np.arange(len(b)), words.value_lengths().to_numpy(zero_copy_only=False))
             terms = words.flatten().dictionary_encode()

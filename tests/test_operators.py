@@ -217,3 +217,10 @@ def test_articles_are_made_and_parsed_once(spark):
 
     read = registry.queries()["ingest_articles"](spark, "/root/testdata/sf0.001").inputFiles()
     assert read and not [f for f in read if "documents.parquet" in f or "/articles-" in f]
+
+
+def test_rows_are_counted_in_lots_of_words(spark, monkeypatch):
+    docs = spark.createDataFrame([(i, "w " * (i % 5) + f"x{i % 3}") for i in range(60)] + [(60, "")], "id long, text string").coalesce(1)
+    want = sorted((r["id"], r["dl"], sorted(r["tfs"].items())) for r in R.counted(docs).collect())
+    monkeypatch.setattr(R, "WORDS", 7)
+    assert sorted((r["id"], r["dl"], sorted(r["tfs"].items())) for r in R.counted(docs).collect()) == want and want[4] == (4, 5, [("w", 4), ("x1", 1)])
