@@ -5,7 +5,8 @@ Each language keeps the terms that at least LEAST_DOCS of its documents hold. A
 by ``f = floor((p - q)**2 / q)``. Part ``pair`` has for each two sources of a language the sum of f over all kept terms, part ``term`` each source's TOP
 terms with more than the language's share.
 
-Documents are counted in tasks, before anything is shuffled. Kept terms are dealt to blocks of about BLOCK by hash and the sources of a language to
+Documents are counted in tasks, lot by lot, before anything is shuffled: a lot's bytes are folded by a table and split, its terms numbered, and one sort of
+numbers brings equal terms of a group and document together. Kept terms are dealt to blocks of about BLOCK by hash and the sources of a language to
 about GROUPS; a task makes the dense int64 tile (sources by terms) of a block for two sets of sources, compares all their pairs by broadcasting, and
 returns one partial sum a pair and the block's best terms of each source. Partial sums are added up by pair, best terms merged by
 source. So a task's memory is bounded by BLOCK * GROUPS whatever the corpus holds, a hot source is a row of a tile like any other,
@@ -19,9 +20,6 @@ its pairs and no terms. doc_ids aren't read: each row is a document. An empty ta
 
 from __future__ import annotations
 
-import re
-from collections import Counter
-
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -34,44 +32,87 @@ UNIT_STEPS, LEAST_DOCS, TOP = 3, 3, 200
 #: UNIT is a thousand for each step.
 UNIT = 1000**UNIT_STEPS
 BLOCK, GROUPS = 4096, 256
-#: Entries that a task counts before it hands them on, and elements of a product that is broadcast.
-_HELD, _CELLS = 600_000, 1 << 21
+#: Rows that a task hands on at once, and elements of a product that is broadcast.
+_SENT, _CELLS = 100_000, 1 << 21
+#: Bytes of text, and rows, that a task counts at once.
+LOT, LOT_ROWS = 1 << 24, 1 << 16
 TERM = r"[^\x00-\x40\x5B-\x60\x7B-\x7F]+"
-_TABLE = str.maketrans(UPPER, LOWER)
+#: UTF-8 with a space in place of each byte outside terms, A-Z lower-cased.
+_FOLD = bytes(x if x > 127 else ord(chr(x).lower()) if chr(x).isalpha() else 32 for x in range(256))
+#: Stands before a source's name where a row is for a group, not a term; no term holds it.
+MARK = " "
+COUNTS = pa.schema([("lang", pa.string()), ("source", pa.string()), ("term", pa.string()), ("n", pa.int64()), ("docs", pa.int64())])
+
+
+def lots(sizes: np.ndarray) -> list[tuple[int, int]]:
+    """(start, rows) of runs that hold LOT bytes, or one text, and LOT_ROWS rows at most."""
+    lot, held, out = 0, 0, []
+    for k, size in enumerate(sizes.tolist()):
+        if k > lot and (held + size > LOT or k - lot == LOT_ROWS):
+            out.append((lot, k - lot))
+            lot, held = k, 0
+        held += size
+    return [*out, (lot, len(sizes) - lot)] if len(sizes) else out
+
+
+def occurrences(texts: pa.Array, groups: np.ndarray) -> tuple[pa.Array, np.ndarray]:
+    """All terms of the texts, and sorted for each occurrence of one (group * terms + term) * texts + text."""
+    words = pc.ascii_split_whitespace(pa.array([t.translate(_FOLD) for t in texts.cast(pa.large_binary()).to_pylist()], pa.string()))
+    coded, text = words.flatten().dictionary_encode(), pc.list_parent_indices(words).to_numpy()
+    out = groups[text]
+    out *= len(coded.dictionary)
+    out += coded.indices.to_numpy()
+    out *= len(texts)
+    out += text
+    out.sort()
+    return coded.dictionary, out
+
+
+def changes(x: np.ndarray) -> np.ndarray:
+    """Where a value is another than the one before."""
+    return np.concatenate([np.ones(min(1, len(x)), bool), x[1:] != x[:-1]])
+
+
+def term_counts(texts: pa.Array, langs: list[str], sources: list[str]) -> pa.RecordBatch:
+    """COUNTS of a lot of rows without nulls."""
+    codes: dict[tuple[str, str], int] = {}
+    groups = np.array([codes.setdefault(g, len(codes)) for g in zip(langs, sources, strict=True)], np.int64)
+    terms, found = occurrences(texts, groups)
+    pair = found // max(1, len(texts))
+    at = np.flatnonzero(changes(pair))
+    n, docs = np.diff(at, append=len(pair)), np.add.reduceat(changes(found), at, dtype=np.int64)
+    group, term = np.divmod(pair[at], max(1, len(terms)))
+    real = term != pc.index(terms, "").as_py()  # splitting leaves one at a text's ends
+    group, term, n, docs = (np.concatenate([x[real], y]) for x, y in zip((group, term, n, docs), (np.arange(len(codes)), len(terms) + np.arange(len(codes)), *[np.zeros(len(codes), np.int64)] * 2), strict=True))
+    lang, source = (pa.array(x, pa.string()) for x in zip(*codes, strict=True))
+    terms = pa.concat_arrays([terms, pc.binary_join_element_wise("", source, " ")])
+    return pa.RecordBatch.from_arrays([lang.take(group := pa.array(group)), source.take(group), terms.take(pa.array(term)), pa.array(n), pa.array(docs)], schema=COUNTS)
 
 
 def counted(docs: DataFrame) -> DataFrame:
-    """(lang, source, term, n, docs): occurrences, and documents with the term; a null term for each group, with its documents."""
+    """(lang, source, term, n, docs): occurrences, and documents with the term, of each lot of rows; MARK and source in place of a term for each group."""
 
     def rows(batches):
-        held: dict[tuple[str, str], list] = {}
-        size, find = 0, re.compile(TERM).findall
-        schema = pa.schema([("lang", pa.string()), ("source", pa.string()), ("term", pa.string()), ("n", pa.int64()), ("docs", pa.int64())])
+        for b in batches:
+            langs, sources = (b.column(k).to_pylist() for k in (1, 2))
+            for start, size in lots(pc.binary_length(b.column(0)).to_numpy()):
+                own = slice(start, start + size)
+                out = term_counts(b.column(0)[own], langs[own], sources[own])
+                yield from (out.slice(k, _SENT) for k in range(0, len(out), _SENT))
 
-        def flush():
-            for (lang, source), (n, d, rows) in held.items():
-                terms = list(n)
-                same = [pa.repeat(pa.scalar(x, pa.string()), len(terms) + 1) for x in (lang, source)]
-                cols = [[None, *terms], [0, *n.values()], [rows, *map(d.__getitem__, terms)]]
-                yield pa.RecordBatch.from_arrays([*same, *(pa.array(c, f.type) for c, f in zip(cols, list(schema)[2:], strict=True))], schema=schema)
+    read = docs.select(*[F.coalesce(c, F.lit("")).alias(c) for c in ("text", "lang", "source")])
+    return read.mapInArrow(rows, "lang string, source string, term string, n long, docs long")
 
-        for b in batches:
-            for text, lang, source in zip(b.column(0), *(b.column(k).to_pylist() for k in (1, 2)), strict=True):
-                own = held.setdefault((lang, source), [Counter(), Counter(), 0])
-                before = len(own[0])
-                found = find((text.as_py() or "").translate(_TABLE))
-                own[0].update(found)
-                own[1].update(set(found))
-                own[2] += 1
-                size += len(own[0]) - before
-                if size > _HELD:
-                    yield from flush()
-                    held, size = {}, 0
-        yield from flush()
-
-    read = docs.select("text", *[F.coalesce(c, F.lit("")).alias(c) for c in ("lang", "source")])
-    part = read.mapInArrow(rows, "lang string, source string, term string, n long, docs long")
-    return part.groupBy("lang", "source", "term").agg(F.sum("n").alias("n"), F.sum("docs").alias("docs"))
+
+def kept_terms(docs: DataFrame, least_docs: int) -> DataFrame:
+    """(lang, source, term, n, all_n, first): counts of kept terms by source and over all, ``first`` being 1 once a language and term; and the groups, with MARK.
+
+    What tasks counted is dealt by language and term once, for the sums by source as for those over all.
+    """
+    sums = counted(docs).repartition("lang", "term").groupBy("lang", "source", "term").agg(F.sum("n").alias("n"), F.sum("docs").alias("docs"))
+    of = Window.partitionBy("lang", "term")  # a row for each source
+    all_of = sums.withColumns({"all_n": F.sum("n").over(of), "docs": F.sum("docs").over(of), "first": (F.min("source").over(of) == F.col("source")).cast("long")})
+    return all_of.where((F.col("docs") >= least_docs) | F.col("term").startswith(MARK)).drop("docs")
 
 
 def share(count: np.ndarray, total: np.ndarray | int) -> np.ndarray:
@@ -154,12 +195,10 @@ def tiles(rows: DataFrame, top: int) -> DataFrame:
 
 def audit(docs: DataFrame, least_docs: int = LEAST_DOCS, top: int = TOP, block: int = BLOCK, groups: int = GROUPS) -> DataFrame:
     """(lang, source, part, item, value, rank) of rows (text, lang, source)."""
-    counts = materialise(counted(docs), "term-counts")
-    of = Window.partitionBy("lang", "term")  # a row for each source
-    kept = counts.where("term IS NOT NULL").select("lang", "source", "term", "n", F.sum("n").over(of).alias("all_n"), F.sum("docs").over(of).alias("docs"), F.row_number().over(of.orderBy("source")).alias("k"))
-    kept = materialise(kept.where(F.col("docs") >= least_docs).withColumn("first", (F.col("k") == 1).cast("long")).drop("docs", "k"), "kept-terms")
+    stored, mark = materialise(kept_terms(docs, least_docs), "kept-terms"), F.col("term").startswith(MARK)
+    kept = stored.where(~mark)
     totals = kept.groupBy("lang", "source").agg(F.sum("n").alias("total"), F.sum("first").alias("v"))
-    named = counts.where("term IS NULL").select("lang", "source").join(totals, ["lang", "source"], "left")
+    named = stored.where(mark).select("lang", "source").join(totals, ["lang", "source"], "left")
     named = materialise(named.select("lang", "source", F.coalesce("total", F.lit(0)).alias("total"), F.coalesce("v", F.lit(0)).alias("v")), "groups")
     lang = named.groupBy("lang").agg(F.sum("v").alias("v"), F.sum("total").alias("all_total"), F.count("*").alias("sources"))
     parts = lambda c, size: F.greatest(F.lit(1), F.ceil(F.col(c) / size)).cast("int")
@@ -177,7 +216,7 @@ def audit(docs: DataFrame, least_docs: int = LEAST_DOCS, top: int = TOP, block:
     ranked = F.row_number().over(Window.partitionBy("lang", "source").orderBy(F.desc("value"), "item"))
     pairs = found.where("part = 'pair'").groupBy("lang", "source", "part", "item").agg(F.sum("value").alias("value")).withColumn("rank", ranked)
     best = found.where("part = 'term'").withColumn("rank", ranked).where(F.col("rank") <= top)
-    release(counts, kept, named)
+    release(stored, named)
     return pairs.union(best).select("lang", "source", "part", "item", "value", "rank")
 
 

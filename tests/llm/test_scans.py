@@ -6,6 +6,8 @@ import re
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 import pytest
 from pyspark.sql import functions as F
 
@@ -168,6 +170,44 @@ def test_divergence_against_brute_force(spark):
     assert divergence.audit(df.limit(0)).count() == 0
 
 
+def test_divergence_shuffles_counts_once(spark, monkeypatch):
+    shuffles = []
+
+    def seen(df, name, *a):
+        if name in ("term-counts", "kept-terms"):
+            shuffles.append(df._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning"))
+        return materialise(df, name, *a)
+
+    materialise = divergence.materialise
+    monkeypatch.setattr(divergence, "materialise", seen)
+    assert divergence.audit(spark.createDataFrame([("a b", "en", "a")] * 3 + [("b", "en", "b")], "text string, lang string, source string")).count() == 4
+    assert sum(shuffles) == 1
+
+
+def test_divergence_counts_of_lots(monkeypatch):
+    rng = random.Random(7)
+    pieces = ["a", "B", "é", "É", "\x85", "\xa0", "\u2028", "\x00", "\x1f", "@", "[", "`", "{", "\x7f", " ", "\n", "9", "漢", "\U0001f600", "Z", "z"]
+    texts = ["".join(rng.choices(pieces, k=rng.choice([0, 1, 3, 60]))) for _ in range(300)] + ["", " ", "word " * 500]
+    langs, sources = ([rng.choice(x) for _ in texts] for x in (["en", "fr", ""], ["a", "é", ""]))
+    monkeypatch.setattr(divergence, "LOT", 200)
+    monkeypatch.setattr(divergence, "LOT_ROWS", 5)
+    own = pa.array(["before", *texts])[1:]
+    cut = divergence.lots(pc.binary_length(own).to_numpy())
+    assert [k for start, size in cut for k in range(start, start + size)] == list(range(len(texts)))
+    assert all(n == 1 or n <= 5 and sum(len(t.encode()) for t in texts[k : k + n]) <= 200 for k, n in cut) and any(n == 5 for _, n in cut)
+    assert divergence.lots(np.zeros(0, np.int64)) == []
+    for start, size in [*cut, (0, len(texts))]:
+        at = slice(start, start + size)
+        n, docs = Counter(), Counter()
+        for text, *group in zip(texts[at], langs[at], sources[at], strict=True):
+            found = re.findall(divergence.TERM, "".join(c.lower() if c.isascii() else c for c in text))
+            n.update((*group, t) for t in found)
+            docs.update((*group, t) for t in set(found))
+        wanted = [(*k, n[k], docs[k]) for k in n] + [(*g, " " + g[1], 0, 0) for g in set(zip(langs[at], sources[at], strict=True))]
+        got = divergence.term_counts(own[at], langs[at], sources[at])
+        assert sorted(tuple(r.values()) for r in got.to_pylist()) == sorted(wanted)
+
+
 def test_shares_are_exact():
     rng = random.Random(2)
     for _ in range(300):
